@@ -170,6 +170,8 @@ def decisions(spark: SparkSession, to: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 1000, to: str | None = None, digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)) -> DataFrame:
     """Decisions for all rows of the Parquet table at `path`, read as a stream of its files."""
     to = to or scratch(spark, "exact")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]" if single else path)  # a stream reads one file as a pattern
     dedup_stream(stream, to, id_col=id_col, text_col=text_col, digest=digest).awaitTermination()
     return decisions(spark, to)

@@ -62,9 +62,9 @@ QUERIES = {f.__name__: f for f in (op1_html_extract, op2_minhash_dedup, op3_mixt
 SQL = {
     "op1_html_extract": r"""
         WITH article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS a FROM pages),
-        blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), x -> trim(regexp_replace(
+        blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
             replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM article),
-        texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(b, x -> x <> ''), chr(10)), '') AS text FROM blocks)
+        texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '') AS text FROM blocks)
         SELECT page_id, url, text, length(text) AS n_chars FROM texts""",
     "op4_line_dedup": r"""
         WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

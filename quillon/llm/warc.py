@@ -95,7 +95,7 @@ def _write(root: str, roll_bytes: int):
                 if out is None:
                     at.create_dir(base, recursive=True)
                     tmp = f"{base}/.tmp-{name(k)}-{task.taskAttemptId()}"
-                    out = {"tmp": tmp, "to": at.open_output_stream(tmp), "bytes": 0, "records": 0, "sha": hashlib.sha256()}
+                    out = {"tmp": tmp, "to": at.open_output_stream(tmp, compression=None), "bytes": 0, "records": 0, "sha": hashlib.sha256()}
                 data = _gzip(record(page, url, (html or "").encode(), (r_page, r_url) if is_revisit else None))
                 out["to"].write(data)
                 out["sha"].update(data)
@@ -156,7 +156,7 @@ def _read(root: str, chunk: int = 1 << 20):
 
                 def chunks(name=name, seen=seen):
                     nonlocal total
-                    with at.open_input_stream(f"{base}/{name}") as f:
+                    with at.open_input_stream(f"{base}/{name}", compression=None) as f:
                         while data := f.read(chunk):
                             seen.update(data)
                             total += len(data)
