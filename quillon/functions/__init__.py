@@ -1 +1 @@
-
+"""Column expressions: three-valued labels, vectors, text and hashes."""
