@@ -1 +1 @@
-
+"""Sources, sinks and the model over the driver's tables."""
