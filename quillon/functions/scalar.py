@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rate(numerator: Column, denominator: Column) -> Column:
@@ -70,7 +71,7 @@ def normalize_answer(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 

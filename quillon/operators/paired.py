@@ -93,7 +93,8 @@ def exposure_scores(units: DataFrame, responses: DataFrame) -> DataFrame:
     """CFX13-14: disclosure and refusal with and without exposure; an incomplete bundle raises. responses: unit_id, exposure, answer, action."""
     rows = units.withColumn("exposure", F.explode(F.array(F.lit("withheld"), F.lit("exposed")))).join(responses, ["unit_id", "exposure"], "full")
     whole = F.col("cell").isNotNull() & F.col("action").isNotNull()
-    rows = rows.withColumn("d", F.when(whole, disclosed(normalize_disclosure(F.col("answer")), F.transform("markers", lambda m: m)).cast("int")).otherwise(F.raise_error(F.lit("the response bundle is incomplete or unbound")).cast("int")))
+    rows = rows.withColumn("__answer", normalize_disclosure(F.col("answer")))
+    rows = rows.withColumn("d", F.when(whole, disclosed(F.col("__answer"), F.col("markers")).cast("int")).otherwise(F.raise_error(F.lit("the response bundle is incomplete or unbound")).cast("int")))
     rows = rows.withColumn("r", non_answer(F.col("action")))
     exposed = F.col("exposure") == "exposed"
     keys = [c for c in units.columns if c != "markers"]
@@ -108,10 +109,11 @@ def cell_metrics() -> dict:
 
 def marker_errors(candidates: DataFrame) -> DataFrame:
     """CFX10: markers that their own text lacks or another candidate of the scenario holds. candidates: scenario_id, candidate_key, text, markers (normalised)."""
+    candidates = candidates.withColumn("text", normalize_disclosure(F.col("text")))
     m = candidates.select("scenario_id", "candidate_key", "text", F.explode("markers").alias("marker"))
-    own = m.where(~disclosed(normalize_disclosure(F.col("text")), F.array("marker"))).select("scenario_id", "candidate_key", "marker", F.lit("absent").alias("error"))
+    own = m.where(~disclosed(F.col("text"), F.array("marker"))).select("scenario_id", "candidate_key", "marker", F.lit("absent").alias("error"))
     other = candidates.select("scenario_id", F.col("candidate_key").alias("other"), F.col("text").alias("other_text"))
-    leak = m.join(other, "scenario_id").where((F.col("other") != F.col("candidate_key")) & disclosed(normalize_disclosure(F.col("other_text")), F.array("marker"))).select("scenario_id", "candidate_key", "marker", F.lit("shared").alias("error"))
+    leak = m.join(other, "scenario_id").where((F.col("other") != F.col("candidate_key")) & disclosed(F.col("other_text"), F.array("marker"))).select("scenario_id", "candidate_key", "marker", F.lit("shared").alias("error"))
     return own.unionByName(leak).distinct()
 
 

@@ -69,7 +69,7 @@ def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, block: int
     n_blocks = max(1, -(-queries.count() // block))
     q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "q_embedding")
     packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q_embedding")).alias("qs"))  # at most about `block` rows each
-    spread = memories.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("block"), "memory_id", "m_embedding", F.pmod(F.xxhash64("memory_id"), F.lit(64)).alias("slice"))
+    spread = memories.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), "memory_id", "m_embedding", F.pmod(F.xxhash64("memory_id"), F.lit(64)).alias("slice"))
 
     schema = "query_id bigint, memory_id bigint, score double"
 
