@@ -1,9 +1,12 @@
 """Exact deduplication as a stateful stream.
 
-State is kept by digest in a disk-backed store (RocksDB) and never expires. For each distinct text it
-holds the smallest identifier, a locator of the text's bytes in a content store, and the count. A digest
+State is kept in a disk-backed store (RocksDB) and never expires. For each distinct text it holds the
+digest, the smallest identifier, a locator of the text's bytes in a content store, and the count. A digest
 that is known already is not trusted: the bytes behind both locators are read and compared, and texts
-that differ under one digest are kept apart as variants.
+that differ under one digest are kept apart as variants. The state's keys are slots of the digest space, each
+with the entries of some digests, for a call into Python costs far more than an entry; `slots` follows the
+table's rows, about 32 each, and is kept with the state, whose keys it fixes. The state has a partition per
+million rows, 16 at least: a store takes megabytes of memory and local disk however little it holds.
 
 Texts don't travel through the shuffle. Each task writes the distinct texts of a batch to a content file
 of its own in the shared folder, so a digest held by a third of all rows reaches the state as one row a
@@ -24,6 +27,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -38,6 +42,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 
+PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
+
 
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
@@ -98,11 +104,14 @@ def _keep(content: str) -> Callable:
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if not store:
             store.append(_Content(content))
-        variants = json.loads(state.get[0]) if state.exists else []  # [smallest id, path, start, size, bytes, count]
-        rows, texts = [], {}
+        entries = json.loads(state.get[0]) if state.exists else {}  # by digest: [smallest id, path, start, size, bytes, count] of each variant
+        rows, last, texts = [], None, {}
         for frame in frames:
             for digest, ids, *locator in frame[["digest", "ids", "path", "start", "size", "n_bytes"]].itertuples(index=False, name=None):
                 locator = [locator[0], *map(int, locator[1:])]
+                variants = entries.setdefault(digest, [])
+                if digest != last:
+                    last, texts = digest, {}
                 own, found = None, -1
                 for k, v in enumerate(variants):
                     if v[1:4] == locator[:3]:
@@ -124,34 +133,48 @@ def _keep(content: str) -> Callable:
                     variants[found][0] = _smaller(variants[found][0], x)
                 variants[found][5] += len(ids)
                 rows.append((digest, found, ids))
-        state.update((json.dumps(variants),))
+        state.update((json.dumps(entries, separators=(",", ":")),))
+        own = [entries[r[0]][r[1]] for r in rows]
         yield pd.DataFrame(
             {
                 "digest": [r[0] for r in rows],
                 "variant": pd.Series([r[1] for r in rows], dtype="int32"),
                 "ids": [r[2] for r in rows],
-                "keep_id": pd.Series([variants[r[1]][0] for r in rows], dtype="Int64"),
-                "group_size": pd.Series([variants[r[1]][5] for r in rows], dtype="int64"),
-                "n_bytes": pd.Series([variants[r[1]][4] for r in rows], dtype="int64"),
+                "keep_id": pd.Series([v[0] for v in own], dtype="Int64"),
+                "group_size": pd.Series([v[5] for v in own], dtype="int64"),
+                "n_bytes": pd.Series([v[4] for v in own], dtype="int64"),
             }
         )
 
     return update
 
 
-def dedup_stream(stream: DataFrame, to: str, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)):
+def _slots(to: str, wanted: int) -> int:
+    """The number of slots that the state at `to` was begun with."""
+    at, root = filesystem(to)
+    at.create_dir(root, recursive=True)
+    name = f"{root}/slots"
+    if at.get_file_info(name).type == pafs.FileType.NotFound:
+        with at.open_output_stream(name) as f:
+            f.write(str(wanted).encode())
+    with at.open_input_stream(name) as f:
+        return int(f.read())
+
+
+def dedup_stream(stream: DataFrame, to: str, *, id_col: str = "doc_id", text_col: str = "text", slots: int = 1 << 12, partitions: int = 16, digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)):
     """The started query that reads `stream` to its end in micro-batches and appends to the table `to`/found.
 
     Restarted with the same `to`, it goes on from its checkpoint with the state of all earlier runs.
     """
     spark = stream.sparkSession
-    old = {k: spark.conf.get(k, None) for k in STORE}
+    settings = STORE | {PARTITIONS: str(partitions)}
+    old = {k: spark.conf.get(k, None) for k in settings}
     text = normalised(F.col(text_col).cast("string"))
     rows = stream.select(digest(text).alias("digest"), text.alias("text"), F.col(id_col).cast("bigint").alias("id"))
-    staged = rows.mapInArrow(_stage(f"{to}/content"), STAGED)
-    found = staged.groupBy("digest").applyInPandasWithState(_keep(f"{to}/content"), FOUND, "variants string", "append", GroupStateTimeout.NoTimeout)
+    staged = rows.mapInArrow(_stage(f"{to}/content"), STAGED).withColumn("slot", F.pmod(F.xxhash64("digest"), F.lit(_slots(to, slots))))
+    found = staged.groupBy("slot").applyInPandasWithState(_keep(f"{to}/content"), FOUND, "entries string", "append", GroupStateTimeout.NoTimeout)
     try:
-        for k, v in STORE.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         return found.writeStream.format("parquet").outputMode("append").option("path", f"{to}/found").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
     finally:
@@ -172,6 +195,8 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     to = to or scratch(spark, "exact")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    rows = spark.read.parquet(path).count()
+    slots = 1 << max(6, (rows // 32).bit_length())
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]" if single else path)  # a stream reads one file as a pattern
-    dedup_stream(stream, to, id_col=id_col, text_col=text_col, digest=digest).awaitTermination()
+    dedup_stream(stream, to, id_col=id_col, text_col=text_col, slots=slots, partitions=max(16, rows >> 20), digest=digest).awaitTermination()
     return decisions(spark, to)
