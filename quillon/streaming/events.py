@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame) -> DataFrame:
     """Events and their value by type and hour; events more than two hours late are left out when streaming."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = events.withWatermark("ts", "2 hours") if events.isStreaming else events
     return rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("hour"), "event_type", "n", "value")
 
