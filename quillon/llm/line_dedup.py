@@ -118,12 +118,32 @@ def _later(carry: dict[int, tuple[int, int, int]]):
     return run
 
 
-def _bitmaps(frames):
-    doc = frames["doc"].iloc[0]
-    keep = np.ones(int(frames["n_lines"].iloc[0]), bool)
-    for x in frames["lines"]:
-        keep[np.frombuffer(x, "<u4")] = False
-    return doc, keep
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap for each run of rows of one document; the rows come sorted by document."""
+    names = ("doc", "doc_hash", "n_lines", "n_dropped", "keep")
+    types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    own, keep, rows = None, None, []
+
+    def close() -> None:
+        rows.append((*own, len(keep), int((~keep).sum()), zlib.compress(np.packbits(keep, bitorder="little").tobytes())))
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        rows.clear()
+        return out
+
+    for batch in batches:
+        for doc, doc_hash_, n, lines in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if own != (doc, doc_hash_):
+                if own is not None:
+                    close()
+                own, keep = (doc, doc_hash_), np.ones(n, bool)
+            keep[np.frombuffer(lines, "<u4")] = False
+        if len(rows) > 4096:
+            yield flush()
+    if own is not None:
+        close()
+        yield flush()
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -133,12 +153,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     summary = ranged.select("h", "h2", "doc").mapInArrow(_summary, "part bigint, fh bigint, fh2 bigint, h bigint, h2 bigint, doc bigint").collect()  # one row a partition
     drops = ranged.mapInArrow(_later(carried([tuple(r) for r in summary])), DROPS)
 
-    def pack(frame):
-        doc, keep = _bitmaps(frame)
-        bits = zlib.compress(np.packbits(keep, bitorder="little").tobytes())
-        return frame.iloc[:1].assign(n_dropped=int((~keep).sum()), keep=[bits])[["doc", "doc_hash", "n_lines", "n_dropped", "keep"]]
-
-    return drops.groupBy("doc", "doc_hash").applyInPandas(pack, "doc bigint, doc_hash binary, n_lines int, n_dropped int, keep binary")
+    by_doc = drops.repartition("doc", "doc_hash").sortWithinPartitions("doc", "doc_hash")
+    return by_doc.mapInArrow(_pack, "doc bigint, doc_hash binary, n_lines int, n_dropped int, keep binary")
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> str:
