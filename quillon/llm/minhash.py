@@ -219,24 +219,45 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _blocks(least: int, percent: int, most: int):
     """Of a block of a bucket: pairs of an outsider and a member in another component, the most alike first."""
-    pairs = "a bigint, b bigint, more boolean"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        members, rows = frame[~frame["query"]], []
-        if len(members):
-            sig = np.frombuffer(b"".join(members["signature"]), np.uint8).reshape(-1, COORDINATES)
-            ids, comp, n = (members[c].to_numpy() for c in ("id", "component", "n"))
-            for own, own_comp, own_n, own_sig in frame.loc[frame["query"], ["id", "component", "n", "signature"]].itertuples(index=False, name=None):
-                same = (sig == np.frombuffer(own_sig, np.uint8)).sum(axis=1)
-                low, high = np.minimum(n, own_n), np.maximum(n, own_n)
-                found = np.flatnonzero((same >= least) & (comp != own_comp) & (100 * low >= percent * high))
-                if len(found):
-                    found = found[np.lexsort((ids[found], -same[found]))]
-                    taken = pd.Series(comp[found]).groupby(comp[found]).cumcount().to_numpy()
-                    rows += [(min(own, x), max(own, x), True) for x in ids[found[taken < most]].tolist()]
-                    if (taken >= most).any():
-                        rows.append((own, own, True))
-        return pd.DataFrame(rows, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+    pairs = "a bigint, b bigint"
+
+    def of_block(members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
+        rows: list[tuple[int, int]] = []
+        if not members or not queries:
+            return rows
+        sig = np.frombuffer(b"".join([m[3] for m in members]), np.uint8).reshape(-1, COORDINATES)
+        ids, comp, n = (np.array([m[i] for m in members], np.int64) for i in range(3))
+        for own, own_comp, own_n, own_sig in queries:
+            same = (sig == np.frombuffer(own_sig, np.uint8)).sum(axis=1)
+            found = np.flatnonzero((same >= least) & (comp != own_comp) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n)))
+            if len(found):
+                found = found[np.lexsort((ids[found], -same[found]))]
+                taken: dict[int, int] = {}
+                more = False
+                for i in found.tolist():
+                    k = taken[int(comp[i])] = taken.get(int(comp[i]), 0) + 1
+                    if k <= most:
+                        rows.append((min(own, int(ids[i])), max(own, int(ids[i]))))
+                    more |= k > most
+                if more:
+                    rows.append((own, own))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted by bucket and block: one block is held at a time."""
+        key, members, queries, rows = None, [], [], []
+        for batch in batches:
+            for bucket, block, query, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if key != (bucket, block):
+                    rows += of_block(members, queries)
+                    key, members, queries = (bucket, block), [], []
+                (queries if query else members).append(tuple(row))
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+                rows = []
+        rows += of_block(members, queries)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
     return run, pairs
 
@@ -285,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
             inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "id", "component", "n", "signature")
         )
         run, schema = _blocks(least, percent, most)
-        found = written(rows.groupBy("bucket", "block").applyInPandas(run, schema).distinct(), "candidates")
+        found = written(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, schema).distinct(), "candidates")
         new = written(found.where("a <> b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = not found.where("a = b").isEmpty()
         if new.isEmpty() and not more:
