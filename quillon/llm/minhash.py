@@ -191,32 +191,47 @@ def _verified(size: int, percent: int):
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and component (its smallest reachable id) of all nodes; links: a, b over ids of nodes.
 
-    Each round hooks every node to the smallest label around it and then halves the paths; links whose ends
+    Each round hooks every node to its smallest neighbour and then halves the paths; links whose ends
     share a label are dropped, so stars are done in a round or two. Joins and sums only, and each
-    round is cut by a checkpoint.
+    round is cut by checkpoints, whose counts also tell when to stop.
     """
     label = nodes.select("id", F.col("id").alias("component"))
     edges = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    moved = edges.select(F.col("b").alias("id")).limit(0).withColumn("to", F.col("id"))
+    moved = None
     while not edges.isEmpty():
         # Every root that has a smaller neighbour hooks to the smallest one; chains of hooks are halved until none is left.
-        hook = checkpointed(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
+        hook = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         while True:
             onward = hook.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            hook2 = hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far"))
-            hook2 = checkpointed(hook2)
-            more = not hook2.where("far").isEmpty()
-            hook = hook2.select("id", "to")
-            if not more:
+            halved = checkpointed(hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far")))
+            hook = halved.select("id", "to")
+            if halved.where("far").isEmpty():
                 break
-        moved = checkpointed(moved.join(hook.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to")).unionByName(hook))
         end = hook.select(F.col("id").alias("x"), F.col("to").alias("y"))
+        if moved is None:
+            moved = hook
+        else:
+            moved = checkpointed(moved.join(end.withColumnRenamed("x", "to"), "to", "left").select("id", F.coalesce("y", "to").alias("to")).unionByName(hook))
         a = edges.join(end.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("y", "a").alias("a"), "b")
         ab = a.join(end.withColumnRenamed("x", "b"), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
         edges = checkpointed(ab.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if moved is None:
+        return label
     return label.join(moved, "id", "left").select("id", F.coalesce("to", "component").alias("component"))
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, component) after more links between ids: only components that they touch are looked at."""
+    a = comp.select(F.col("id").alias("a"), F.col("component").alias("c_a"))
+    b = comp.select(F.col("id").alias("b"), F.col("component").alias("c_b"))
+    between = checkpointed(links.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return comp
+    touched = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    moved = components(touched, between).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return checkpointed(comp.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+
+
 def _blocks(least: int, percent: int, most: int):
     """Of a block of a bucket: pairs of an outsider and a member in another component, the most alike first."""
     pairs = "a bigint, b bigint"
@@ -288,33 +303,35 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     both = pairs.join(facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a")), "a").join(facts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b")), "b")
     tested = written(both.where(alike("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "pairs")
-    # Rows that share an identifier but not a text are one node: their classes are linked through it.
-    ids = full.select("id").distinct()
-    to_head = full.select("id", "class").distinct().join(classes.withColumnRenamed("id", "head"), "class").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = written(verify(tested), "links")
-    nodes = heads.select("id").distinct()
-    most = 4
-    while True:
-        comp = checkpointed(components(nodes, links))
-        placed = members.select("bucket", "id").join(comp, "id")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-        inside = placed.join(open_, "bucket")
-        largest = inside.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
-        # Buckets of two were tested whole in round 0.
-        inside = inside.where("size > 2").join(largest, "bucket").join(facts, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "id", "component", "n", "signature").unionByName(
-            inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "id", "component", "n", "signature")
-        )
+    # Rows that share an identifier but not a text are one node: the heads of their classes are linked through it.
+    head_of = classes.withColumnRenamed("id", "head")
+    several = full.select("id", "class").distinct().groupBy("id").agg(F.collect_set("class").alias("of")).where(F.size("of") > 1)
+    joint = several.select("id", F.explode("of").alias("class")).join(head_of, "class").groupBy("id").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))
+    joint = joint.select("a", F.explode("heads").alias("b")).where("a <> b").distinct()
+    comp = checkpointed(components(heads.select("id").distinct(), verify(tested).unionByName(joint)))
+    most, moved, more = 64, True, True
+    while moved or more:
+        if moved:
+            placed = members.select("bucket", "id").join(comp, "id")
+            open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+            # Buckets of two were tested whole in round 0.
+            inside = placed.join(open_.where("size > 2"), "bucket")
+            largest = inside.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
+            inside = inside.join(largest, "bucket").join(facts, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+            rows = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "id", "component", "n", "signature").unionByName(
+                inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "id", "component", "n", "signature")
+            )
         run, schema = _blocks(least, percent, most)
         found = written(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, schema).distinct(), "candidates")
-        new = written(found.where("a <> b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = not found.where("a = b").isEmpty()
-        if new.isEmpty() and not more:
-            break
-        tested = tested.unionByName(new)
-        links = links.unionByName(written(verify(new), "links"))
+        new = written(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        more, moved = not found.where("a = b").isEmpty(), False
+        if not new.isEmpty():
+            tested = tested.unionByName(new)
+            links = written(verify(new), "links")
+            if moved := not links.isEmpty():
+                comp = merged(comp, links)
         most *= 8
-    final = components(ids, links.unionByName(to_head)).withColumnRenamed("id", "cid")
+    final = full.select("id", "class").distinct().join(head_of, "class").join(comp.withColumnRenamed("id", "head"), "head").groupBy(F.col("id").alias("cid")).agg(F.min("component").alias("component"))
     out = signed.select("id", "n").join(final, F.col("id") == F.col("cid"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 
