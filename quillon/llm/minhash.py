@@ -233,28 +233,27 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(least: int, percent: int, most: int):
-    """Of a block of a bucket: pairs of an outsider and a member in another component, the most alike first."""
+    """Of a block of a bucket: each outsider with the `most` members in other components that are most alike, and with itself if there are more."""
     pairs = "a bigint, b bigint"
 
-    def of_block(members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
+    def of_block(bucket: int, members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
         rows: list[tuple[int, int]] = []
         if not members or not queries:
             return rows
         sig = np.frombuffer(b"".join([m[3] for m in members]), np.uint8).reshape(-1, COORDINATES)
         ids, comp, n = (np.array([m[i] for m in members], np.int64) for i in range(3))
-        for own, own_comp, own_n, own_sig in queries:
+        outside, bands = np.array([m[4] for m in members], bool), np.array([m[5] for m in members], np.int64)
+        for own, own_comp, own_n, own_sig, _, own_bands in queries:
             same = (sig == np.frombuffer(own_sig, np.uint8)).sum(axis=1)
-            found = np.flatnonzero((same >= least) & (comp != own_comp) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n)))
+            found = np.flatnonzero((same >= least) & (comp != own_comp) & ~(outside & (ids < own)) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n)))
+            if len(found):
+                # A pair is given by the first bucket that it shares, and by one of its ends.
+                at = own_bands.index(bucket) if bucket in own_bands else 0  # not in: another text of the same identifier
+                found = found[~(bands[found, :at] == np.array(own_bands[:at], np.int64)).any(axis=1)]
             if len(found):
                 found = found[np.lexsort((ids[found], -same[found]))]
-                taken: dict[int, int] = {}
-                more = False
-                for i in found.tolist():
-                    k = taken[int(comp[i])] = taken.get(int(comp[i]), 0) + 1
-                    if k <= most:
-                        rows.append((min(own, int(ids[i])), max(own, int(ids[i]))))
-                    more |= k > most
-                if more:
+                rows += [(min(own, i), max(own, i)) for i in ids[found[:most]].tolist()]
+                if len(found) > most:
                     rows.append((own, own))
         return rows
 
@@ -262,15 +261,15 @@ def _blocks(least: int, percent: int, most: int):
         """The rows come sorted by bucket and block: one block is held at a time."""
         key, members, queries, rows = None, [], [], []
         for batch in batches:
-            for bucket, block, query, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for bucket, block, query, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if key != (bucket, block):
-                    rows += of_block(members, queries)
+                    rows += of_block(key[0], members, queries) if key else []
                     key, members, queries = (bucket, block), [], []
                 (queries if query else members).append(tuple(row))
             if len(rows) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
                 rows = []
-        rows += of_block(members, queries)
+        rows += of_block(key[0], members, queries) if key else []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
 
@@ -289,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     in_bands = heads.select("id", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
     members = written(in_bands.join(shared, "bucket").distinct(), "buckets")
-    facts = heads.select("id", "n", "signature")
+    facts = heads.select("id", "n", "signature", "bands")
     least, alike, linked = least_agreement(percent / 100), None, _verified(words, percent)
     alike = _agree(percent, least)
     involved = written(own.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
@@ -309,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     joint = several.select("id", F.explode("of").alias("class")).join(head_of, "class").groupBy("id").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))
     joint = joint.select("a", F.explode("heads").alias("b")).where("a <> b").distinct()
     comp = checkpointed(components(heads.select("id").distinct(), verify(tested).unionByName(joint)))
-    most, moved, more = 64, True, True
+    most, moved, more = 4, True, True
     while moved or more:
         if moved:
             placed = members.select("bucket", "id").join(comp, "id")
@@ -318,8 +317,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
             inside = placed.join(open_.where("size > 2"), "bucket")
             largest = inside.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
             inside = inside.join(largest, "bucket").join(facts, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-            rows = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "id", "component", "n", "signature").unionByName(
-                inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "id", "component", "n", "signature")
+            member = ["id", "component", "n", "signature", (F.col("component") != F.col("largest")).alias("outside"), "bands"]
+            rows = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), *member).unionByName(
+                inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), *member)
             )
         run, schema = _blocks(least, percent, most)
         found = written(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, schema).distinct(), "candidates")
