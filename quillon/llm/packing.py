@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,15 @@ class Words:
         return out
 
 
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    """Kept with its memo for the next task of the same process."""
+    return Words(path)
+
+
 def _store(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(path), np.array([end], "<u2").tobytes()
+        words, last = words_of(path), np.array([end], "<u2").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
