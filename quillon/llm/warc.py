@@ -81,7 +81,7 @@ def _write(root: str, roll_bytes: int):
         at, base = filesystem(root)
         task = TaskContext.get()
         name = lambda k: f"part-{task.partitionId():06d}-{k:05d}.warc.gz"
-        out, k, done = None, 0, []
+        out, k, done, decided = None, 0, [], None
 
         def close():
             nonlocal out, k
@@ -91,12 +91,16 @@ def _write(root: str, roll_bytes: int):
             out, k = None, k + 1
 
         for batch in batches:
-            for page, url, html, r_page, r_url, is_revisit in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for page, url, key, is_page, html, r_page, r_url in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if not is_page:
+                    decided = (page, url, key), (r_page, r_url)
+                    continue
+                refers = decided[1] if decided and decided[0] == (page, url, key) else None
                 if out is None:
                     at.create_dir(base, recursive=True)
                     tmp = f"{base}/.tmp-{name(k)}-{task.taskAttemptId()}"
                     out = {"tmp": tmp, "to": at.open_output_stream(tmp, compression=None), "bytes": 0, "records": 0, "sha": hashlib.sha256()}
-                data = _gzip(record(page, url, (html or "").encode(), (r_page, r_url) if is_revisit else None))
+                data = _gzip(record(page, url, html.encode(), refers))
                 out["to"].write(data)
                 out["sha"].update(data)
                 out["bytes"] += len(data)
@@ -115,12 +119,13 @@ def write_warc(pages: DataFrame, root: str, *, page_col: str = "page_id", url_co
     """Writes the archives below `root` (a shared folder) and returns the manifest, read back."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    # One small row a page decides; the payloads meet the decisions in the range sort only.
+    # One small row a page decides. The payloads are shuffled once, in the range sort, where the decisions on revisits stand before them.
     keyed = rows.withColumns({"key": F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256))})
-    first = keyed.where("key IS NOT NULL AND page IS NOT NULL").groupBy("key").agg(F.max(F.struct("page", "url")).alias("r"), F.count("*").alias("n"))
-    first = first.where("n > 1 OR r.page IS NOT NULL").select(F.col("key").alias("r_key"), F.col("r.page").alias("r_page"), F.col("r.url").alias("r_url"))
-    marked = keyed.join(first, F.col("key") == F.col("r_key"), "left").select("page", "url", "html", "r_page", "r_url", F.coalesce(~F.col("page").eqNullSafe(F.col("r_page")) & F.col("r_page").isNotNull(), F.lit(False)).alias("is_revisit"))
-    ordered = marked.repartitionByRange("page", "url").sortWithinPartitions("page", "url", "html")
+    small = keyed.select("page", "url", "key").where("key IS NOT NULL")
+    first = small.where("page IS NOT NULL").groupBy("key").agg(F.max(F.struct("page", "url")).alias("r")).select(F.col("key").alias("r_key"), F.col("r.page").alias("r_page"), F.col("r.url").alias("r_url"))
+    revisits = small.join(first, (F.col("key") == F.col("r_key")) & ~F.col("page").eqNullSafe(F.col("r_page"))).select("page", "url", "key", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("html"), "r_page", "r_url").distinct()
+    payloads = keyed.select("page", "url", "key", F.lit(True).alias("is_page"), "html", F.lit(None).cast("bigint").alias("r_page"), F.lit(None).cast("string").alias("r_url"))
+    ordered = payloads.unionByName(revisits).repartitionByRange("page", "url").sortWithinPartitions("page", "url", "key", "is_page", "html")
     ordered.mapInArrow(_write(f"{root}/archives", roll_bytes), MANIFEST).write.parquet(f"{root}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
@@ -190,7 +195,8 @@ def _read(root: str, chunk: int = 1 << 20):
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
     """The records of all archives in the manifest, their digests checked. A revisit has no payload of its own."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("file", "bytes", "records", "sha256")
-    return manifest.repartition("file").mapInArrow(_read(f"{root}/archives"), READ)
+    # A number of partitions that is given stays: the manifest's few bytes don't tell how much a task reads.
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(_read(f"{root}/archives"), READ)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
