@@ -32,7 +32,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    read = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
 
 

@@ -90,7 +90,7 @@ def _write(root: str, roll_bytes: int):
             done.append((name(k), out["bytes"], out["records"], out["sha"].hexdigest()))
             out, k = None, k + 1
 
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             for page, url, key, is_page, html, r_page, r_url in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if not is_page:
                     decided = (page, url, key), (r_page, r_url)
@@ -152,7 +152,7 @@ def parse_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes
         raise ValueError("the file ends inside a record")
 
 
-def _read(root: str, chunk: int = 1 << 20):
+def _read(root: str, with_payload: bool, chunk: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = filesystem(root)
         for batch in batches:
@@ -180,9 +180,9 @@ def _read(root: str, chunk: int = 1 << 20):
                     if kind == "response" and (_b32(hashlib.sha1(payload).digest()) != headers["WARC-Payload-Digest"] or length != len(payload)):
                         raise ValueError(f"damaged payload {headers['WARC-Record-ID']}")
                     page, refers = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
-                    rows.append((int(page) if page else None, headers["WARC-Target-URI"], kind, length, base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex(), int(refers) if refers else None, payload if kind == "response" else None))
-                    held += len(payload)
-                    if held > 4 << 20:
+                    rows.append((int(page) if page else None, headers["WARC-Target-URI"], kind, length, base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex(), int(refers) if refers else None, payload if with_payload and kind == "response" else None))
+                    held += len(payload) if with_payload else 0
+                    if held > 4 << 20 or len(rows) >= 4096:
                         yield flush()
                 if rows:
                     yield flush()
@@ -192,15 +192,15 @@ def _read(root: str, chunk: int = 1 << 20):
     return run
 
 
-def read_warc(spark: SparkSession, root: str) -> DataFrame:
-    """The records of all archives in the manifest, their digests checked. A revisit has no payload of its own."""
+def read_warc(spark: SparkSession, root: str, *, with_payload: bool = True) -> DataFrame:
+    """The records of all archives in the manifest, their digests checked. A revisit has no payload of its own, and without with_payload none is returned."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("file", "bytes", "records", "sha256")
     # A number of partitions that is given stays: the manifest's few bytes don't tell how much a task reads.
-    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(_read(f"{root}/archives"), READ)
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(_read(f"{root}/archives", with_payload), READ)
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
+def round_trip(pages: DataFrame, *, with_payload: bool = True, **options) -> DataFrame:
     """Writes pages to a new set of archives and returns what reading them gives."""
     root = scratch(pages.sparkSession, "warc")
     write_warc(pages, root, **options)
-    return read_warc(pages.sparkSession, root)
+    return read_warc(pages.sparkSession, root, with_payload=with_payload)
