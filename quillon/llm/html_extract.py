@@ -8,10 +8,15 @@ is merged, a mismatch becomes an optional child, and neighbours that repeat fold
 order of merging is a tree: distinct page skeletons per host, then per host and salt, then per host, so a host
 with a third of all pages never meets in one task.
 
-The slots of a wrapper are marked once: as main text where they lie below the article (article, main
-or a telling word; without any, the body) and not in menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or reader comments. A page is then matched to its host's wrapper, and gives the
-texts that fall in main slots; a node that the wrapper lacks is marked by its own label.
+Evidence of the slots: every page is matched to its host's wrapper, and each text slot keeps what it holds
+on a page, all its repeats together. A slot that holds the same on all pages that have it, at least two
+that differ, is template; what varies is content. Copies of one page are no evidence.
+
+Main text lies below the article (article, main or a telling word) and not in menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments. Below an article the labels decide,
+and all text is kept: a heading or passage that a host's pages share there is content still. On a page
+without an article the wrapper decides: template slots are left out, unless nothing else is left. A node
+that the wrapper lacks is marked by its own label.
 
 Text: character references decoded, white space within a block as one space, trimmed, blocks joined by \\n.
 
@@ -22,6 +27,7 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
@@ -226,25 +232,32 @@ def _marks(label: str, inside: bool, main: bool) -> tuple[bool, bool]:
     return inside and not bad, main or good and inside and not bad
 
 
-def has_main(w: list, inside: bool = True) -> bool:
-    """If a wrapper has an article anywhere that main text can be."""
-    inside, main = _marks(w[0], inside, False) if w[0] not in ("()", "#", "") else (inside, False)
-    return main or any(has_main(x, inside) for x in w[2])
+def _flat(kids: list) -> list:
+    """Children with the members of groups in the place of groups."""
+    return [x for w in kids for x in (_flat(w[2]) if w[0] == "()" else [w])]
 
 
 class Wrapper:
-    """A host's wrapper ready to match pages."""
+    """A host's wrapper ready to match pages; template: the numbers, in document order, of its slots that hold template text."""
 
-    def __init__(self, tree: list):
+    def __init__(self, tree: list, template: list[int] | None = None):
         self.tree = tree
-        self.anchored = has_main(tree)
         self.memo: dict[tuple, list] = {}
+        self.slots: dict[int, int] = {}
+        self._number(tree)
+        self.template = frozenset(template or [])
+
+    def _number(self, w: list) -> None:
+        if w[0] == "#":
+            self.slots.setdefault(id(w), len(self.slots))
+        for x in w[2]:
+            self._number(x)
 
     def _places(self, kids: list, labels: tuple[str, ...]) -> list:
         """Of each label in a row, the wrapper's child that it matches, or None; repeated children take a run."""
         key = (id(kids), labels)
         if (got := self.memo.get(key)) is None:
-            flat = [x for w in kids for x in (w[2] if w[0] == "()" else [w])]
+            flat = _flat(kids)
             by: dict[str, list] = {}
             for x in flat:
                 by.setdefault(x[0], []).append(x)
@@ -258,31 +271,54 @@ class Wrapper:
                 self.memo[key] = got
         return got
 
-    def text(self, page: str) -> str:
-        blocks: list[list[str]] = [[]]
-        own = parse(page)
-        anchored = self.anchored and has_main(skeleton(own))
+    def _texts(self, page: str) -> tuple[list[tuple[str | None, int | None, bool, bool]], bool]:
+        """A page's texts in order, with slot, if they can be main text and if they lie below the article; None as text ends a block. And if the page has an article."""
+        own, out = parse(page), []
 
-        def walk(node: Node, w: list | None, inside: bool, main: bool) -> None:
+        def walk(node: Node, w: list | None, inside: bool, main: bool) -> bool:
             if node.label:
-                inside, main = _marks(w[0] if w else node.label, inside, main)
+                inside, main = _marks(node.label, inside, main)
+            found = main
             if node.tag in BLOCK:
-                blocks.append([])
+                out.append((None, None, False, False))
             if node.tag == "br":
-                blocks[-1].append(" ")
-            labels = tuple([x.label for x in node.kids if isinstance(x, Node)])
+                out.append((" ", None, inside, main))
+            labels = tuple([x.label if isinstance(x, Node) else "#" for x in node.kids if isinstance(x, Node) or x.strip()])
             places = iter(self._places(w[2], labels) if w else [None] * len(labels))
             for x in node.kids:
                 if isinstance(x, Node):
-                    walk(x, next(places), inside, main)
-                elif inside and (main or not anchored):
-                    blocks[-1].append(x)
+                    found = walk(x, next(places), inside, main) or found
+                else:
+                    slot = next(places) if x.strip() else None
+                    out.append((x, self.slots[id(slot)] if slot else None, inside, main))
             if node.tag in BLOCK:
-                blocks.append([])
+                out.append((None, None, False, False))
+            return found
 
-        walk(own, self.tree, True, False)
-        lines = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks)
-        return "\n".join(x for x in lines if x)
+        return out, walk(own, self.tree, True, False)
+
+    def held(self, page: str) -> dict[int, list[str]]:
+        """What each slot holds on a page."""
+        found: dict[int, list[str]] = {}
+        for x, slot, _, _ in self._texts(page)[0]:
+            if slot is not None:
+                found.setdefault(slot, []).append(x.strip())
+        return found
+
+    def text(self, page: str) -> str:
+        texts, anchored = self._texts(page)
+
+        def joined(left_out: frozenset[int]) -> str:
+            blocks: list[list[str]] = [[]]
+            for x, slot, inside, main in texts:
+                if x is None:
+                    blocks.append([])
+                elif inside and (main or not anchored) and slot not in left_out:
+                    blocks[-1].append(x)
+            lines = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks)
+            return "\n".join(x for x in lines if x)
+
+        return joined(frozenset()) if anchored else joined(self.template) or joined(frozenset())
 
 
 def _fold_hosts(parsed: bool):
@@ -313,29 +349,72 @@ def _rows(pages: DataFrame, page_col: str, url_col: str, html_col: str) -> DataF
     return pages.select(F.col(page_col).cast("bigint").alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
 
 
-def infer_wrappers(pages: DataFrame, *, salts: int = 16, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and wrapper (JSON) of each host, written to the shared folder."""
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Pages with their host's wrapper, broadcast if all hold at most broadcast_bytes, which is counted first, else joined by host."""
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    side = wrappers.withColumnRenamed("host", "w_host")
+    return rows.join(F.broadcast(side) if size <= broadcast_bytes else side, F.col("host") == F.col("w_host")).drop("w_host")
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host and slot in a partition, the least and greatest digest of what it held and of the pages that had it."""
+    ready: dict[str, Wrapper] = {}
+    found: dict[tuple[str, int], list[str]] = {}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for host, page, wrapper in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if wrapper not in ready:
+                    if len(ready) >= 256:
+                        ready.clear()
+                    ready[wrapper] = Wrapper(json.loads(wrapper))
+                whole = None
+                for slot, texts in ready[wrapper].held(page or "").items():
+                    e = found.get((host, slot))
+                    if e is not None and e[0] != e[1]:
+                        continue  # varies
+                    whole, own = whole or _digest(page), _digest("\0".join(texts))
+                    if e is None:
+                        found[host, slot] = [own, own, whole, whole]
+                    else:
+                        e[:] = min(e[0], own), max(e[1], own), min(e[2], whole), max(e[3], whole)
+    if found:
+        columns = [pa.array([h for h, _ in found]), pa.array([k for _, k in found], pa.int32()), *[pa.array([e[k] for e in found.values()]) for k in range(4)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "slot", "low", "high", "low_page", "high_page"])
+
+
+def infer_wrappers(pages: DataFrame, *, salts: int = 16, broadcast_bytes: int = 16 << 20, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, wrapper (JSON) and template (numbers of its template slots) of each host, written to the shared folder."""
     schema = "host string, wrapper string"
-    own = _rows(pages, page_col, url_col, html_col).select("host", "html").mapInArrow(_fold_hosts(False), schema).distinct()
+    rows = _rows(pages, page_col, url_col, html_col).select("host", "html")
+    own = rows.mapInArrow(_fold_hosts(False), schema).distinct()
     salted = own.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).mapInArrow(_fold_hosts(True), schema)
-    ordered = salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold_hosts(True), schema)
-    return written(ordered, "wrappers")
+    ordered = written(salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_fold_hosts(True), schema), "wrappers")
+    seen = _with_wrappers(rows, ordered, broadcast_bytes).select("host", "html", "wrapper").mapInArrow(_evidence, "host string, slot int, low string, high string, low_page string, high_page string")
+    slots = seen.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_page").alias("low_page"), F.max("high_page").alias("high_page"))
+    template = slots.where("low = high AND low_page <> high_page").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))
+    return written(ordered.join(template, "host", "left"), "wrappers")
 
 
 def _extract():
     schema = "page_id bigint, url string, text string, n_chars bigint, host string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, Wrapper] = {}
+        ready: dict[tuple, Wrapper] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(lo, 256), []
-                for page, wrapper in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    if wrapper not in ready:
+                for page, wrapper, template in zip(*(part.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                    key = (wrapper, tuple(template or ()))
+                    if key not in ready:
                         if len(ready) >= 256:
                             ready.clear()
-                        ready[wrapper] = Wrapper(json.loads(wrapper))
-                    texts.append(ready[wrapper].text(page or ""))
+                        ready[key] = Wrapper(json.loads(wrapper), template)
+                    texts.append(ready[key].text(page or ""))
                 if texts:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts), pa.array([len(x) for x in texts], pa.int64()), part.column(2)], names=["page_id", "url", "text", "n_chars", "host"])
 
@@ -349,9 +428,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, *, broadcast_by
     broadcast_bytes in all, which is counted first, else joined by host.
     """
     columns = {"page_col": page_col, "url_col": url_col, "html_col": html_col}
-    wrappers = infer_wrappers(pages, **columns, **options) if wrappers is None else wrappers
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    side = wrappers.select(F.col("host").alias("w_host"), "wrapper")
-    joined = _rows(pages, **columns).join(F.broadcast(side) if size <= broadcast_bytes else side, F.col("host") == F.col("w_host"))
+    wrappers = infer_wrappers(pages, broadcast_bytes=broadcast_bytes, **columns, **options) if wrappers is None else wrappers
     run, schema = _extract()
-    return joined.select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, schema)
+    joined = _with_wrappers(_rows(pages, **columns), wrappers.select("host", "wrapper", "template"), broadcast_bytes)
+    return joined.select("page_id", "url", "host", "html", "wrapper", "template").mapInArrow(run, schema)

@@ -42,6 +42,18 @@ def test_one_wrapper_a_host(spark):
     assert sorted(r["host"] for r in got) == ["h0.example", "h1.example", "h2.example"]
 
 
+def test_wrapper_decides_where_no_article_is(spark):
+    page = "<body><div><a>Home</a><a>About</a></div><div><p>{}</p><p>{}</p></div><div>All rights reserved</div></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(f"first {i}", f"then {i}")) for i in range(6)]
+    copies = [(i, f"http://b.example/{i}", page.format("the same", "on all")) for i in range(6, 9)]
+    marked = [(i, f"http://c.example/{i}", f"<article><h1>Kept</h1><p>{i}</p></article>") for i in range(9, 12)]
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = texts(spark, rows + copies + marked, **options)
+        assert all(got[i][0] == f"first {i}\nthen {i}" for i in range(6))
+        assert all(got[i][0] == "HomeAbout\nthe same\non all\nAll rights reserved" for i in range(6, 9))
+        assert all(got[i][0] == f"Kept\n{i}" for i in range(9, 12))
+
+
 def test_given_pages_as_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r, own in zip(sorted(extract(pages).collect(), key=lambda r: r["page_id"]), pages.orderBy("page_id").collect(), strict=True):
