@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar, status
@@ -277,27 +277,48 @@ n AS (SELECT *, ' ' || trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) ||
 
 
 def _dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text a conversation and role, the greatest: what the SQL of cell_metrics and token_jaccard reads."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").pivot("role", ["user", "assistant"]).agg(F.max("text"))
     return c.where("user IS NOT NULL AND assistant IS NOT NULL")
 
 
-@register("exposure_scores")
-def exposure_scores(spark, sf_dir):
-    d = _dialog(spark, sf_dir)
-    units = d.select(F.col("conv_id").cast("string").alias("unit_id"), F.concat(F.lit("s"), F.col("conv_id") % 16).alias("scenario_id"), F.concat(F.lit("a"), F.col("conv_id") % 4).alias("axis"), status.cell(F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0).alias("cell"), F.array(F.lit("the"), F.lit("la")).alias("markers"))
-    rows = d.select(F.col("conv_id").cast("string").alias("unit_id"), F.explode(F.array(F.struct(F.lit("withheld").alias("exposure"), F.col("user").alias("answer")), F.struct(F.lit("exposed").alias("exposure"), F.col("assistant").alias("answer")))).alias("r"))
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the assistant turn that follows it: conv_id, turn (the user's), user, assistant. A user turn without one has no pair."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user"))
+    return asked.join(c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant")), ["conv_id", "turn"])
+
+
+def _exposure(d: DataFrame, unit: Column) -> DataFrame:
+    units = d.select(unit.alias("unit_id"), F.concat(F.lit("s"), F.col("conv_id") % 16).alias("scenario_id"), F.concat(F.lit("a"), F.col("conv_id") % 4).alias("axis"), status.cell(F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0).alias("cell"), F.array(F.lit("the"), F.lit("la")).alias("markers"))
+    rows = d.select(unit.alias("unit_id"), F.explode(F.array(F.struct(F.lit("withheld").alias("exposure"), F.col("user").alias("answer")), F.struct(F.lit("exposed").alias("exposure"), F.col("assistant").alias("answer")))).alias("r"))
     responses = rows.select("unit_id", "r.exposure", "r.answer", F.when(F.length("r.answer") > 20, "answer").otherwise("refuse").alias("action"))
     return paired.exposure_scores(units, responses)
 
 
+def _cells(scores: DataFrame) -> DataFrame:
+    out = aggregate.grouping_sets(scores, [["cell"], ["axis", "cell"]], paired.cell_metrics())
+    return rounded(out, *[c for c in out.columns if c.endswith(("_rate", "_effect"))])
+
+
+@register("exposure_scores")
+def exposure_scores(spark, sf_dir):
+    return _exposure(_turns(spark, sf_dir), F.concat_ws("|", "conv_id", "turn"))
+
+
 _CELL = f"""{_DIALOG}, s AS (SELECT conv_id, 's' || (conv_id % 16) AS scenario_id, 'a' || (conv_id % 4) AS axis, CASE WHEN conv_id % 2 = 0 THEN 'relevant' ELSE 'irrelevant' END || '_' || CASE WHEN conv_id % 3 = 0 THEN 'admissible' ELSE 'inadmissible' END AS cell,
   CAST(contains(na, ' the ') OR contains(na, ' la ') AS INT) AS ed, CAST(contains(nu, ' the ') OR contains(nu, ' la ') AS INT) AS wd, CAST(length(a) <= 20 AS INT) AS er, CAST(length(u) <= 20 AS INT) AS wr FROM n)"""
 
 
 @register("cell_metrics", f"{_CELL} SELECT cell, coalesce(axis, 'all') AS axis, count(*) AS unit_count, count(DISTINCT scenario_id) AS scenario_count, round(avg(ed), 6) AS exposed_disclosure_rate, round(avg(wd), 6) AS withheld_disclosure_rate, round(avg(ed - wd), 6) AS exposure_effect, round(avg(er), 6) AS exposed_refusal_rate, round(avg(wr), 6) AS withheld_refusal_rate, round(avg(er - wr), 6) AS refusal_effect FROM s GROUP BY GROUPING SETS ((cell), (axis, cell))")
 def cell_metrics(spark, sf_dir):
-    out = aggregate.grouping_sets(exposure_scores(spark, sf_dir), [["cell"], ["axis", "cell"]], paired.cell_metrics())
-    return rounded(out, *[c for c in out.columns if c.endswith(("_rate", "_effect"))])
+    return _cells(_exposure(_dialog(spark, sf_dir), F.col("conv_id").cast("string")))
+
+
+@register("cell_metrics_turns")
+def cell_metrics_turns(spark, sf_dir):
+    """cell_metrics over every turn."""
+    return _cells(exposure_scores(spark, sf_dir))
 
 
 @register("exposure_cell_bootstrap")
@@ -308,8 +329,8 @@ def exposure_cell_bootstrap(spark, sf_dir):
 
 @register("query_similarity")
 def query_similarity(spark, sf_dir):
-    d = _dialog(spark, sf_dir).select("conv_id", F.col("user").alias("allow_query"), F.col("assistant").alias("block_query"))
-    return paired.query_similarity(d).select("conv_id", "query_token_jaccard", "query_sequence_similarity")
+    d = _turns(spark, sf_dir).select("conv_id", "turn", F.col("user").alias("allow_query"), F.col("assistant").alias("block_query"))
+    return paired.query_similarity(d).select("conv_id", "turn", "query_token_jaccard", "query_sequence_similarity")
 
 
 @register("token_jaccard", r"""WITH t AS (SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS u, max(CASE WHEN role = 'assistant' THEN text END) AS a FROM conversations GROUP BY conv_id HAVING u IS NOT NULL AND a IS NOT NULL),
@@ -319,9 +340,15 @@ def token_jaccard(spark, sf_dir):
     return _dialog(spark, sf_dir).select("conv_id", F.round(scalar.token_jaccard(F.col("user"), F.col("assistant")), 6).alias("jaccard"))
 
 
+@register("token_jaccard_turns")
+def token_jaccard_turns(spark, sf_dir):
+    """token_jaccard over every turn."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(scalar.token_jaccard(F.col("user"), F.col("assistant")), 6).alias("jaccard"))
+
+
 @register("answer_metrics")
 def answer_metrics(spark, sf_dir):
-    d = _dialog(spark, sf_dir).select("conv_id", F.col("assistant").alias("answer"), F.col("user").alias("expected_answer"), F.lit("answer").alias("action"))
+    d = _turns(spark, sf_dir).select("conv_id", "turn", F.col("assistant").alias("answer"), F.col("user").alias("expected_answer"), F.lit("answer").alias("action"))
     return paired.answer_metrics(d).drop("answer", "expected_answer", "action")
 
 

@@ -145,6 +145,19 @@ def test_incomplete_bundle_and_collisions_raise(spark):
         paired.requests(spark.createDataFrame([("h", "a"), ("h", "b")], "prompt_sha256 string, payload string")).collect()
 
 
+def test_every_turn_is_scored(spark, tmp_path):
+    said = [(0, "user", "tell me all"), (1, "assistant", "in the end it was all said"), (2, "user", "zz top"), (3, "assistant", "zz top"), (4, "user", "unanswered")]
+    rows = [(6, *x) for x in said] + [(7, 0, "system", "be brief"), (7, 1, "user", "a b"), (7, 2, "assistant", "b c"), (8, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    queries = __spark_entry__.queries()
+    got = {k: queries[k](spark, str(tmp_path)).collect() for k in ("exposure_scores", "cell_metrics_turns", "query_similarity", "token_jaccard_turns", "answer_metrics")}
+    assert {r["unit_id"]: (r["exposed_disclosure"], r["withheld_disclosure"]) for r in got["exposure_scores"]} == {"6|0": (1, 0), "6|2": (0, 0), "7|1": (0, 0)}
+    assert {(r["cell"], r["unit_count"]) for r in got["cell_metrics_turns"] if r["axis"] == "all"} == {("relevant_admissible", 2), ("irrelevant_inadmissible", 1)}
+    assert {(r["conv_id"], r["turn"]): r["jaccard"] for r in got["token_jaccard_turns"]} == {(6, 0): 0.111111, (6, 2): 1.0, (7, 1): 0.333333}
+    assert {(r["conv_id"], r["turn"]): r["query_sequence_similarity"] for r in got["query_similarity"]}[6, 2] == 1
+    assert {(r["conv_id"], r["turn"]): r["exact_match"] for r in got["answer_metrics"]} == {(6, 0): False, (6, 2): True, (7, 1): False}
+
+
 def test_text_and_hash_functions(spark):
     r = spark.createDataFrame([("Straße ÉTÉ_1, x", "ﬁne №5 Ünder")], "a string, b string").select(scalar.normalize_answer(F.col("a")), scalar.normalize_disclosure(F.col("b")), scalar.truncate_utf8(F.col("a"), 5), scalar.uniform("1", F.lit("x")), scalar.canonical_json(b=F.lit(None).cast("int"), a=F.lit(1))).first()
     assert r[0] == "strasse été_1 x" and r[1] == "fine no5 nder" and r[2] == "Stra" and r[4] == '{"a":1,"b":null}'
