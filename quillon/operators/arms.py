@@ -41,6 +41,22 @@ def route_stats(pairs: DataFrame, arms: list[str]) -> DataFrame:
     return long.select("x.setting_id", "source", "group_id", "query_id", "x.candidates_scored", (F.col("x.candidates_scored") > 0).cast("int").alias("route_width"))
 
 
+def corrupted_arms(rows: DataFrame, arms: list[str], top_k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """COR11: rankings and route statistics of dense arms under every corruption; setting_id is <arm>|<corruption_id>.
+
+    rows: pairs under their corruptions, with the score, which no corruption touches. An arm with the global
+    support reads none of what is corrupted; it is left to the caller to rank it once.
+    """
+    held: list[Column] = [F.when(DENSE[a](), F.lit(a)) for a in arms]
+    keys = ["setting_id", "query_id"]
+    named = rows.withColumn("arm", F.explode(F.array_compact(F.array(*held)))).withColumn("setting_id", F.concat_ws("|", "arm", "corruption_id"))
+    ranked = rank.top_k(named.select(*keys, "memory_id", "score"), top_k, keys)
+    wide = rows.groupBy("corruption_id", "query_id", "source", "group_id").agg(*[F.count_if(DENSE[a]()).alias(a) for a in arms])
+    long = wide.select("corruption_id", "query_id", "source", "group_id", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("candidates_scored")) for a in arms])).alias("x"))
+    runs = long.select(F.concat_ws("|", "x.arm", "corruption_id").alias("setting_id"), "source", "group_id", "query_id", "x.candidates_scored", (F.col("x.candidates_scored") > 0).cast("int").alias("route_width"))
+    return ranked, runs
+
+
 def global_bm25(queries: DataFrame, memories: DataFrame, pairs: DataFrame, top_k: int = 100) -> DataFrame:
     """ARM1."""
     return rank.top_k(rank.bm25(queries, memories, pairs), top_k)

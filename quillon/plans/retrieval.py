@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate
@@ -300,6 +300,55 @@ def break_even(spark, sf_dir):
     return corrupt.break_even(curve, ["channel"], "value", "base")
 
 
+# The whole protocol of the metadata corruptions: 11 channels, 8 rates, 10 seeds, 4 arms at recall 0.8.
+PROTOCOL_RATES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
+PROTOCOL_SEEDS = list(range(10))
+PROTOCOL_ARMS = ["namespace_dense", "query_agnostic_current_only", "released_governance_oracle_v2"]
+CURVE = ["feasible_rate", "evidence_recall", "penalized_admissibility_upper_risk", "penalized_admissibility_known_risk", "penalized_non_usable_upper_risk", "candidates_scored"]
+
+
+def robustness(pairs: DataFrame, labels: DataFrame, corruptions: DataFrame, words: DataFrame, target: float, top: int = TOP) -> DataFrame:
+    """COR11: channel, rate, seed, arm and the arm's summary under that corruption.
+
+    global_dense reads no corrupted field, so it is scored once and stands beside every corruption.
+    """
+    scored = rank.dense(pairs).drop("q_embedding", "m_embedding", "released_order")
+    ranked, runs = arms.corrupted_arms(corrupt.corrupt(scored, corruptions, words), PROTOCOL_ARMS, top)
+    summary = aggregate.summarize_settings(prefix.score_route(ranked, labels, runs, target))
+    own = summary.withColumns({"arm": F.substring_index("setting_id", "|", 1), "corruption_id": F.expr("substring(setting_id, instr(setting_id, '|') + 1)")}).select("arm", "corruption_id", *CURVE)
+    whole = ["global_dense"]
+    base = aggregate.summarize_settings(prefix.score_route(arms.dense_arms(pairs, whole, top), labels, arms.route_stats(pairs, whole), target))
+    beside = base.select(F.col("setting_id").alias("arm"), *CURVE).crossJoin(corruptions.select("corruption_id"))  # one row by the stated grid
+    return own.unionByName(beside).join(F.broadcast(corruptions), "corruption_id").select("channel", "rate", "seed", "arm", *CURVE)
+
+
+def dominance(points: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """COR12: up to which rate namespace_dense is feasible as often as global_dense and at no higher risk, of each channel and seed."""
+
+    def of(arm: str, c: str) -> Column:
+        return F.max(F.when(F.col("arm") == arm, F.col(c)))
+
+    lacks = of("global_dense", "feasible_rate") - of("namespace_dense", "feasible_rate")
+    more = of("namespace_dense", "penalized_admissibility_upper_risk") - of("global_dense", "penalized_admissibility_upper_risk")
+    sides = points.groupBy("channel", "seed", "rate").agg(F.greatest(lacks, more).alias("excess")).withColumn("base", F.lit(0.0))
+    return corrupt.break_even(sides, ["channel", "seed"], "excess", "base", tolerance)
+
+
+def _robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = corrupt.vocabulary(model.memories(spark, sf_dir), model.queries(spark, sf_dir))
+    return robustness(model.pairs(spark, sf_dir), model.assessments(spark, sf_dir), corrupt.grid(spark, list(corrupt.CHANNELS), PROTOCOL_RATES, PROTOCOL_SEEDS), words, 0.8)
+
+
+@register("corruption_settings")
+def corruption_settings(spark, sf_dir):
+    return _robustness(spark, sf_dir).withColumns(r6(*CURVE))
+
+
+@register("corruption_break_even")
+def corruption_break_even(spark, sf_dir):
+    return dominance(_robustness(spark, sf_dir))
+
+
 @register("natural_gates", f"""{MODEL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs WHERE scope_ok),
 f AS (SELECT 'global' AS arm, * FROM g WHERE rank <= 20 UNION ALL SELECT 'namespace', * FROM n WHERE rank <= 20), k AS (SELECT *, scope_ok AND policy_ok AND lifecycle_ok AS adm, {uniform_sql("'v'", 'CAST(query_id AS VARCHAR)', 'CAST(memory_id AS VARCHAR)')} AS ver FROM f),
 s AS (SELECT 'global_dense' AS setting_id, * FROM k WHERE arm = 'global' UNION ALL SELECT 'namespace_dense', * FROM k WHERE arm = 'namespace' UNION ALL SELECT 'namespace_policy_gate', * FROM k WHERE arm = 'namespace' AND policy_ok IS DISTINCT FROM false UNION ALL SELECT 'namespace_text_verifier', * FROM k WHERE arm = 'namespace' AND ver < 0.6 UNION ALL SELECT 'released_field_oracle', * FROM k WHERE arm = 'namespace' AND adm IS DISTINCT FROM false)

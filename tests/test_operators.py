@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillon.functions import scalar, status
 from quillon.operators import aggregate, arms, classify, cluster, corrupt, paired, prefix, quality, rank, stats, support
+from quillon.plans import retrieval
 from quillon.sources import io
 
 PAIRS = "query_id bigint, source string, group_id string, namespace string, intent string, purpose string, memory_id bigint, memory_namespace string, lifecycle_state string, content_allowed boolean, trace_allowed boolean, released_order double, q_embedding array<double>, m_embedding array<double>"
@@ -99,6 +100,24 @@ def test_corruption_is_nested_and_spares_labels(spark):
     assert tuple(corrupt.break_even(curve, ["channel"], "value", "base").first()) == ("c", 0.1, 0.2)
 
 
+def test_settings_under_the_whole_corruption_grid(spark):
+    assert len(corrupt.CHANNELS) * len(retrieval.PROTOCOL_RATES) * len(retrieval.PROTOCOL_SEEDS) == 880
+    pairs, labels = spark.createDataFrame(ROWS, PAIRS), spark.createDataFrame(LABELS, LABEL_SCHEMA)
+    points = retrieval.robustness(pairs, labels, corrupt.grid(spark, list(corrupt.CHANNELS), [0.0, 1.0], [0, 1]), corrupt.vocabulary(pairs, pairs), 0.8).cache()
+    got = {(r["channel"], r["rate"], r["seed"], r["arm"]): r for r in points.collect()}
+    assert len(got) == 11 * 2 * 2 * 4
+    plain = {r["setting_id"]: r for r in aggregate.summarize_settings(prefix.score_route(arms.dense_arms(pairs, list(arms.DENSE)), labels, arms.route_stats(pairs, list(arms.DENSE)), 0.8)).collect()}
+    for (channel, rate, _, arm), r in got.items():
+        if rate == 0 or arm == "global_dense":
+            assert [r[c] for c in retrieval.CURVE] == [plain[arm][c] for c in retrieval.CURVE]
+        elif channel in ("namespace_false_deny", "namespace_missing"):
+            assert (r["feasible_rate"], r["candidates_scored"], r["penalized_admissibility_upper_risk"]) == (0, 0, 1)
+        elif channel == "namespace_false_allow" and arm == "namespace_dense":
+            assert r["candidates_scored"] == plain["global_dense"]["candidates_scored"]
+    even = {(r["channel"], r["seed"]): (r["last_dominating_rate"], r["first_non_dominating_rate"]) for r in retrieval.dominance(points).collect()}
+    assert len(even) == 22 and even["namespace_missing", 0] == (0.0, 1.0) and even["policy_missing", 1] == (1.0, None)
+
+
 def test_statistics(spark):
     deltas = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5, 6, 7)], "delta double")
     assert tuple(stats.sign_flip(deltas, "delta").first()) == (7, 0.015625)
