@@ -92,7 +92,13 @@ def post_filters(pairs: DataFrame, depths: list[int], limit: int) -> DataFrame:
 
 
 def natural_gates(frozen: DataFrame, threshold: float) -> DataFrame:
-    """ARM13-21: delete-only gates over frozen rankings, the original rank kept. frozen: arm (global or namespace), policy_ok, admissible, verifier."""
+    """ARM13-17: delete-only gates over frozen rankings, the original rank kept. frozen: arm (global or namespace), policy_ok, admissible, verifier."""
     own = F.col("arm") == "namespace"
     gates = [F.when(~own, "global_dense"), F.when(own, "namespace_dense"), F.when(own & support.not_denied(F.col("policy_ok")), "namespace_policy_gate"), F.when(own & (F.col("verifier") < threshold), "namespace_text_verifier"), F.when(own & support.not_denied(F.col("admissible")), "released_field_oracle")]
     return frozen.withColumn("setting_id", F.explode(F.array_compact(F.array(*gates))))
+
+
+def inferred_gates(frozen: DataFrame) -> DataFrame:
+    """ARM18-21: the inferred arms over frozen namespace rankings, the original rank kept. frozen: admissible, p_violation, p_unknown, and the thresholds v and u."""
+    kept = {"namespace_dense": F.lit(True), "released_oracle": support.not_denied(F.col("admissible")), **support.inferred(F.col("p_violation"), F.col("p_unknown"), F.col("v"), F.col("u"))}
+    return frozen.withColumn("setting_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(a)) for a, c in kept.items()]))))

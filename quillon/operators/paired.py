@@ -1,4 +1,7 @@
-"""Counterfactual pairs, exposure units and routes to readers (CFX1-14, NAT1-13)."""
+"""Counterfactual pairs, exposure units and routes to readers (CFX1-14, NAT1-4, NAT6, NAT8-11, NAT13).
+
+NAT5, NAT7 and NAT12 are not built.
+"""
 
 from __future__ import annotations
 
@@ -89,6 +92,22 @@ def ordered_requests(units: DataFrame, seed: str, model: str) -> DataFrame:
     return rows.withColumn("order_key", F.sha2(F.concat_ws("|", F.lit(seed), F.lit(model), "request_id"), 256))
 
 
+def request_payloads(units: DataFrame) -> DataFrame:
+    """CFX11: what the reader sees with the unit's own candidate in (exposed) and out (withheld). units: unit_id, query, candidate_key, candidates (candidate_key, text)."""
+    rows = units.withColumn("exposure", F.explode(F.array(F.lit("withheld"), F.lit("exposed"))))
+    seen = F.filter("candidates", lambda c: (F.col("exposure") == "exposed") | (c["candidate_key"] != F.col("candidate_key")))
+    payload = canonical_json(candidates=F.transform(seen, lambda c: F.struct(c["candidate_key"].alias("candidate_key"), c["text"].alias("text"))), query=F.col("query"))
+    return rows.select("unit_id", "exposure", payload.alias("payload"), F.sha2(payload, 256).alias("prompt_sha256"))
+
+
+def verifier_scores(candidates: DataFrame, predictions: DataFrame) -> DataFrame:
+    """NAT10: predictions keyed back to memories by their place in the case; one without the other raises. candidates: case_id, rank, memory_id; predictions: case_id, position (from 1), p_violation, p_unknown."""
+    placed = candidates.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("rank")))
+    rows = placed.join(predictions, ["case_id", "position"], "full")
+    whole = F.when(F.col("memory_id").isNotNull() & F.col("p_violation").isNotNull(), F.col("p_violation"))
+    return rows.select("case_id", "memory_id", F.coalesce(whole, F.raise_error(F.lit("predictions differ from the case")).cast("double")).alias("p_violation"), "p_unknown")
+
+
 def exposure_scores(units: DataFrame, responses: DataFrame) -> DataFrame:
     """CFX13-14: disclosure and refusal with and without exposure; an incomplete bundle raises. responses: unit_id, exposure, answer, action."""
     rows = units.withColumn("exposure", F.explode(F.array(F.lit("withheld"), F.lit("exposed")))).join(responses, ["unit_id", "exposure"], "full")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import uniform
-from quillon.functions.status import PAST, allowed_for
+from quillon.functions.status import PAST, allowed_for, drop_candidate
 
 
 def in_namespace() -> Column:
@@ -85,3 +85,9 @@ def not_denied(status: Column) -> Column:
 def text_verifier(score: Column, threshold: float) -> Column:
     """SUP14: scores below the threshold stay; every candidate must have one."""
     return F.when(score.isNull(), F.raise_error(F.lit("a candidate has no verifier score")).cast("boolean")).otherwise(score < threshold)
+
+
+def inferred(p_violation: Column, p_unknown: Column, v: Column, u: Column) -> dict[str, Column]:
+    """SUP15: what each inferred arm keeps; text_inferred ignores the threshold on the unknown. Every candidate must have a prediction."""
+    predicted = F.when(p_violation.isNull() | p_unknown.isNull(), F.raise_error(F.lit("a candidate has no prediction")).cast("boolean")).otherwise(F.lit(True))
+    return {"text_inferred": predicted & ~drop_candidate(p_violation, p_unknown, v, F.lit(None).cast("double")), "abstaining_verifier": predicted & ~drop_candidate(p_violation, p_unknown, v, u)}

@@ -364,6 +364,15 @@ def reader_payloads(spark, sf_dir):
     return paired.payloads(rows, ["conv_id"], "query_text", "text")
 
 
+@register("exposure_payloads")
+def exposure_payloads(spark, sf_dir):
+    """Every turn of a conversation as the candidate that is in or out."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", F.format_string("t%05d", "turn").alias("candidate_key"), "text")
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("candidate_key", "text"))).alias("candidates"))
+    units = whole.select("conv_id", "candidates", F.explode("candidates.candidate_key").alias("candidate_key")).withColumn("query", F.lit("q"))
+    return paired.request_payloads(units.withColumn("unit_id", F.concat_ws("|", "conv_id", "candidate_key"))).select("unit_id", "exposure", "prompt_sha256", F.length("payload").alias("n_chars"))
+
+
 @register("ordered_requests", """WITH u AS (SELECT conv_id || '|' || e AS request_id FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('withheld'), ('exposed')) t(e)) SELECT request_id, sha256('5|m|' || request_id) AS order_key FROM u""")
 def ordered_requests(spark, sf_dir):
     units = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("unit_id")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate
 from quillon.functions.status import admissible_status
-from quillon.operators import aggregate, arms, corrupt, prefix, rank, support
+from quillon.operators import aggregate, arms, classify, corrupt, prefix, rank, support
 from quillon.sources import model
 
 DIRECT = list(arms.DENSE)
@@ -363,6 +363,53 @@ def natural_gates(spark, sf_dir):
     return gated.groupBy("setting_id").agg(F.count("*").alias("kept"), F.sum(F.col("rank").cast("bigint")).alias("rank_sum"), F.count_if(~F.col("admissible")).alias("violations"), F.count_if(F.col("admissible").isNull()).alias("unresolved"))
 
 
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen namespace rankings to rank 20 with labels and the verifier's predictions, which are keyed by place."""
+    from quillon.functions.scalar import uniform
+    from quillon.operators import paired
+
+    p = model.pairs(spark, sf_dir)
+    frozen = arms.dense_arm(p, "namespace_dense", 20).select("query_id", "memory_id", "rank")
+    known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
+    cases = frozen.select(F.col("query_id").alias("case_id"), "rank", "memory_id")
+    predictions = cases.select("case_id", F.col("rank").alias("position"), uniform("pv", F.col("case_id"), F.col("rank")).alias("p_violation"), uniform("pu", F.col("case_id"), F.col("rank")).alias("p_unknown"))
+    scores = paired.verifier_scores(cases, predictions).withColumnRenamed("case_id", "query_id")
+    return frozen.join(known, ["query_id", "memory_id"]).join(scores, ["query_id", "memory_id"])
+
+
+@register("inferred_gates")
+def inferred_gates(spark, sf_dir):
+    gated = arms.inferred_gates(_verified(spark, sf_dir).withColumns({"v": F.lit(0.7), "u": F.lit(0.6)}))
+    return gated.groupBy("setting_id").agg(F.count("*").alias("kept"), F.sum(F.col("rank").cast("bigint")).alias("rank_sum"), F.count_if(~F.col("admissible")).alias("violations"), F.count_if(F.col("admissible").isNull()).alias("unresolved"))
+
+
+def calibrated(candidates: DataFrame, cases: DataFrame, calibration: Column, grid: DataFrame, cap: float, target: float) -> DataFrame:
+    """NAT13: thresholds chosen on the calibration cases alone, and the inferred arms scored with them on the others alone.
+
+    candidates: query_id, memory_id, rank, the labels, admissible, anchor, p_violation, p_unknown; cases: query_id, source, anchor_total >= 1.
+    """
+    required = candidates.where(calibration).select("p_violation", "p_unknown", "admissible", F.col("anchor").alias("required"))
+    chosen = classify.select_threshold(classify.threshold_grid(required, grid), cap).select("v", "u")
+    route = arms.inferred_gates(candidates.where(~calibration).crossJoin(F.broadcast(chosen)))  # one row
+    names = F.explode(F.array(*map(F.lit, ("namespace_dense", "released_oracle", "text_inferred", "abstaining_verifier"))))
+    own = cases.where(~calibration).withColumn("setting_id", names)
+    scores = prefix.score_fixed_route(route.drop("v", "u"), own.select("setting_id", "query_id", "anchor_total"), target)
+    return scores.join(own.select("setting_id", "query_id", "source"), ["setting_id", "query_id"]).crossJoin(F.broadcast(chosen))
+
+
+@register("calibrated_gates")
+def calibrated_gates(spark, sf_dir):
+    known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
+    anchors = known.groupBy("query_id").agg(F.count_if("anchor").alias("anchor_total")).where("anchor_total > 0")
+    cases = anchors.join(model.queries(spark, sf_dir).select("query_id", "source"), "query_id")
+    grid = spark.createDataFrame([(v, u) for v in (0.5, 0.7, 0.9) for u in (0.2, 0.6, None)], "v double, u double")
+    candidates = _verified(spark, sf_dir).join(cases.select("query_id"), "query_id", "left_semi")
+    scores = calibrated(candidates, cases, classify.hash_split(F.col("query_id"), "cal", 0.5), grid, 0.5, 0.2)
+    names = ["evidence_recall", "penalized_upper_risk", "route_width"]
+    per = scores.groupBy("setting_id", "source").agg(*[F.avg(c).alias(c) for c in names])
+    return aggregate.with_macro_row(per, ["setting_id", "source"], "source", "equal_source_macro", names).withColumns(r6(*names))
+
+
 @register("fixed_route_scores")
 def fixed_route_scores(spark, sf_dir):
     known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))

@@ -177,6 +177,30 @@ def test_every_turn_is_scored(spark, tmp_path):
     assert {(r["conv_id"], r["turn"]): r["exact_match"] for r in got["answer_metrics"]} == {(6, 0): False, (6, 2): True, (7, 1): False}
 
 
+def test_inferred_gates_payloads_and_calibration(spark):
+    rows = [("a", 1, True, 0.9, 0.1), ("a", 2, None, 0.9, 0.8), ("a", 3, False, 0.2, 0.1)]
+    frozen = spark.createDataFrame(rows, "case_id string, rank int, admissible boolean, p_violation double, p_unknown double").withColumns({"v": F.lit(0.5), "u": F.lit(0.5)})
+    kept = {}
+    for r in arms.inferred_gates(frozen).collect():
+        kept.setdefault(r["setting_id"], set()).add(r["rank"])
+    assert kept == {"namespace_dense": {1, 2, 3}, "released_oracle": {1, 2}, "text_inferred": {3}, "abstaining_verifier": {2, 3}}
+    units = spark.createDataFrame([("u", "Q", "b", [("a", "x"), ("b", "y")])], "unit_id string, query string, candidate_key string, candidates array<struct<candidate_key string, text string>>")
+    seen = {r["exposure"]: r["payload"] for r in paired.request_payloads(units).collect()}
+    assert seen == {"exposed": '{"candidates":[{"candidate_key":"a","text":"x"},{"candidate_key":"b","text":"y"}],"query":"Q"}', "withheld": '{"candidates":[{"candidate_key":"a","text":"x"}],"query":"Q"}'}
+    cases = spark.createDataFrame([(1, 2, 70), (1, 5, 80)], "case_id int, rank int, memory_id int")
+    said = spark.createDataFrame([(1, 1, 0.1, 0.2), (1, 2, 0.3, 0.4)], "case_id int, position int, p_violation double, p_unknown double")
+    assert {r["memory_id"]: r["p_violation"] for r in paired.verifier_scores(cases, said).collect()} == {70: 0.1, 80: 0.3}
+    with pytest.raises(Exception, match="differ"):
+        paired.verifier_scores(cases, said.where("position = 1")).collect()
+    # Case 1 calibrates: 0.6 is the threshold that drops its violation and keeps what it needs. Case 2 would choose otherwise.
+    data = [(1, 10, 1, True, True, True, True, True, 0.5, 0.0), (1, 11, 2, False, True, False, True, False, 0.7, 0.0), (2, 20, 1, False, True, False, True, False, 0.55, 0.0), (2, 21, 2, True, True, True, True, True, 0.1, 0.0)]
+    candidates = spark.createDataFrame(data, "query_id int, memory_id int, rank int, relevant boolean, scope_ok boolean, policy_ok boolean, lifecycle_ok boolean, anchor boolean, p_violation double, p_unknown double").withColumn("admissible", F.col("policy_ok"))
+    grid = spark.createDataFrame([(0.5, None), (0.6, None), (0.9, None)], "v double, u double")
+    owners = spark.createDataFrame([(1, "s", 1), (2, "s", 1)], "query_id int, source string, anchor_total int")
+    got = {r["setting_id"]: r for r in retrieval.calibrated(candidates, owners, F.col("query_id") == 1, grid, 0.0, 1.0).collect()}
+    assert {k: (r["query_id"], r["v"], r["route_width"]) for k, r in got.items()} == {"namespace_dense": (2, 0.6, 2), "released_oracle": (2, 0.6, 1), "text_inferred": (2, 0.6, 2), "abstaining_verifier": (2, 0.6, 2)}
+
+
 def test_text_and_hash_functions(spark):
     r = spark.createDataFrame([("Straße ÉTÉ_1, x", "ﬁne №5 Ünder")], "a string, b string").select(scalar.normalize_answer(F.col("a")), scalar.normalize_disclosure(F.col("b")), scalar.truncate_utf8(F.col("a"), 5), scalar.uniform("1", F.lit("x")), scalar.canonical_json(b=F.lit(None).cast("int"), a=F.lit(1))).first()
     assert r[0] == "strasse été_1 x" and r[1] == "fine no5 nder" and r[2] == "Stra" and r[4] == '{"a":1,"b":null}'
