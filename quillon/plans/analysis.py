@@ -40,7 +40,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- statistics
 
-N = 200
+N = 200  # where SQL repeats the draws
+FULL = 10_000
 
 
 def draw_sql(n: str, *parts: str) -> str:
@@ -80,6 +81,26 @@ def scenario_bootstrap(spark, sf_dir):
     return rounded(stats.scenario_bootstrap(labelled(spark, sf_dir), "lang", "source", "delta", N, "9"), "estimate", "lower", "upper")
 
 
+@register("cluster_macro_bootstrap_full")
+def cluster_macro_bootstrap_full(spark, sf_dir):
+    return rounded(stats.cluster_macro_bootstrap(labelled(spark, sf_dir), "source", "quality", FULL, "11"), "estimate", "lower", "upper")
+
+
+@register("paired_bootstrap_full")
+def paired_bootstrap_full(spark, sf_dir):
+    return rounded(stats.paired_bootstrap(labelled(spark, sf_dir), ["lang"], "source", "delta", FULL, "5"), "estimate", "lower", "upper")
+
+
+@register("case_weighted_delta_full")
+def case_weighted_delta_full(spark, sf_dir):
+    return rounded(stats.paired_bootstrap(labelled(spark, sf_dir), ["lang"], "source", "delta", FULL, "5", weighting="cases", nearest=True), "estimate", "lower", "upper")
+
+
+@register("scenario_bootstrap_full")
+def scenario_bootstrap_full(spark, sf_dir):
+    return rounded(stats.scenario_bootstrap(labelled(spark, sf_dir), "lang", "source", "delta", FULL, "9"), "estimate", "lower", "upper")
+
+
 _GAP = f"{LAB}, g AS (SELECT lang, source, avg(score) FILTER (WHERE quality = 1) - avg(score) FILTER (WHERE quality = 0) AS gap FROM d GROUP BY ALL)"
 
 
@@ -92,7 +113,7 @@ def scenario_selectivity(spark, sf_dir):
 @register("agreement_bootstrap")
 def agreement_bootstrap(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("n_chars") >= 1000).alias("b"))
-    return stats.binary_agreement_bootstrap(rows, "a", "b", "doc_id", 50, "3")
+    return stats.binary_agreement_bootstrap(rows, "a", "b", "doc_id", FULL, "3")
 
 
 _MONTHS = """WITH m AS (SELECT month(o_orderdate) AS m, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS delta FROM orders GROUP BY ALL)"""
@@ -324,7 +345,7 @@ def cell_metrics_turns(spark, sf_dir):
 @register("exposure_cell_bootstrap")
 def exposure_cell_bootstrap(spark, sf_dir):
     rows = exposure_scores(spark, sf_dir).where("cell = 'relevant_admissible'")
-    return stats.scenario_bootstrap(rows, "axis", "scenario_id", "exposure_effect", N, "21")
+    return stats.scenario_bootstrap(rows, "axis", "scenario_id", "exposure_effect", FULL, "21")
 
 
 @register("query_similarity")

@@ -129,6 +129,18 @@ def test_statistics(spark):
     assert [r["loo"] for r in aggregate.leave_one_out(deltas, "delta").orderBy("delta").collect()][0] == pytest.approx(4.5)
 
 
+def test_bootstraps_without_sql_draw_the_whole_number(spark, monkeypatch):
+    queries, sf = __spark_entry__.queries(), "/root/testdata/sf0.001"
+    for k in ("cluster_macro_bootstrap", "paired_bootstrap", "case_weighted_delta", "scenario_bootstrap"):
+        few, full = queries[k](spark, sf).first(), queries[f"{k}_full"](spark, sf).first()
+        assert full["replicates"] == 10_000 and full["estimate"] == few["estimate"]
+    drawn = []
+    monkeypatch.setattr(stats, "binary_agreement_bootstrap", lambda *a: drawn.append(a[4]))
+    monkeypatch.setattr(stats, "scenario_bootstrap", lambda *a: drawn.append(a[4]))
+    queries["agreement_bootstrap"](spark, sf), queries["exposure_cell_bootstrap"](spark, sf)
+    assert drawn == [10_000, 10_000]
+
+
 def test_agreement(spark):
     pairs = spark.createDataFrame([(True, True), (True, False), (False, False), (False, False)], "a boolean, b boolean")
     r = classify.binary_agreement(pairs, "a", "b").first()
