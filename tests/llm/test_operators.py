@@ -185,6 +185,16 @@ def test_png_filters_and_damage():
             media.decode(png[:k] + bytes([png[k] ^ 1]) + png[k + 1 :])
 
 
+def test_png_rows_are_filtered():
+    rng, k = np.random.default_rng(2), np.arange(64)
+    rows = [rng.integers(0, 4, 64), (k * 3) % 256, (k * 3) % 256, *[(5 * k + 7 * y + rng.integers(0, 3, 64)) % 256 for y in range(6)], *[np.frombuffer(b"some words of plain text " * 3, np.uint8)[y : y + 64] for y in range(4)]]
+    payload = np.array(rows).astype(np.uint8).tobytes() + rng.integers(0, 256, 64 * 50).astype(np.uint8).tobytes()
+    png = media.encode(payload)
+    lines = np.frombuffer(zlib.decompress(png[41:-16]), np.uint8).reshape(-1, 65)
+    assert set(lines[:, 0].tolist()) == {0, 1, 2, 3, 4} and media.decode(png).tobytes() == payload
+    assert (np.abs(lines[:, 1:].view(np.int8).astype(int)).sum(axis=1) <= np.abs(np.frombuffer(payload, np.int8).reshape(-1, 64).astype(int)).sum(axis=1)).all()
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = labels.where("doc_id % 3 = 0")
