@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one below the warehouse, or a temporary one if all runs in this process."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    found = named or sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="quillon-") if sc._jsc.sc().isLocal() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quillon"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     return re.sub(r"^file:/*", "file:///", found if ":/" in found else f"file://{found}").rstrip("/")
 
 
@@ -29,10 +27,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).written(df, name)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """A folder below the shared one for the tables of one call, which drop() deletes when its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, scratch(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        removed(self.spark, self.root)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,6 +57,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def uncheckpointed(df: DataFrame) -> None:
+    """Deletes the files of what checkpointed() returned; df can't be read afterwards."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        removed(df.sparkSession, file.get())
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, and the path on it; works on the driver and on executors."""
     return pafs.FileSystem.from_uri(uri)

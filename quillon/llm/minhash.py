@@ -4,40 +4,47 @@ Two permutations of the 32-bit numbers make a signature: sigma shuffles the hash
 shingles once; coordinate k is the least pi(sigma(x) - k), the second permutation shifted circularly by k.
 With 200 coordinates in 40 bands of 5, two sets of similarity 0.8 share a band but for 1.3e-7 of cases.
 
-Steps: documents with equal shingle sets form a class (a hot group of copies is one row from here on).
-Each class representative puts its bands in buckets. In round 0 each member of a bucket is paired with
-the bucket's smallest representative; later rounds pair members of one bucket that lie in different
-components still, those outside the bucket's largest component against blocks of all its members, the
-most alike first, twice as many and more each round, until none are left. A pair is a candidate if
-the agreement of the signatures, within five and a half standard deviations, allows the threshold; it is
-a link only if the full sets of both texts meet it. Components follow from links by repeated
-hooking to the smallest neighbour.
-
-No bucket's pairs are all emitted, none is capped, and no links or components reach the driver.
+Steps:
+
+1. Documents with the same words form a class (by a cryptographic hash of all words); a hot group of copies
+   is one row from here on.
+2. (bucket, document) rows are range-partitioned and streamed; a hot bucket spreads over partitions. Within
+   a bucket the documents whose signatures agree, within five and a half standard deviations of the
+   threshold, are joined; buckets too large for a block are joined as a whole, which can only add to step 4.
+3. The components of these edges are families: any two documents to be linked are in one family.
+4. The texts of families are moved once. A task holds a block of a family, numbers its shingles without
+   hashing, counts all intersections by an inverted index, and gives only links that join components:
+   fewer than the block has documents, however many pairs are similar or nearly so. Of families of
+   several blocks, documents outside the largest component then meet the other blocks too.
+5. Components of the links, by repeated hooking to the smallest neighbour.
+
+So no pairs of a bucket or family are emitted or shuffled, none is capped, and no links or components reach the
+driver. A family of m documents below the threshold still costs m * m / 2 comparisons inside its blocks.
 
 Defined results: null and empty texts (or white space only) have an empty set, are linked with nothing
 and are their own component; a text of fewer words than `words` is one shingle; rows that repeat an
 identifier are one node of the graph, and each gets a row; null identifiers are linked with nothing
-and have a null component (kept: true); an empty table gives an empty result.
+and have a null component (kept: true); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import checkpointed, written
+from quillon.llm._common import Scratch, written
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 DEVIATIONS = 5.5
-BLOCK = 1024  # members of a bucket that one task holds at a time
+BLOCK = 1024  # members of a bucket that are compared by signatures; larger ones count as alike
+MEMBERS, SHINGLES = 2048, 1 << 20  # of a block of a family that a task holds at a time
 SIGNED = "id bigint, n bigint, class binary, bands array<bigint>, signature binary"
 
 
@@ -46,8 +53,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-
-
 def shingle_set(text: str, size: int) -> set[bytes]:
     """The exact set: shingles as words joined by one space."""
     words = split_words(text)
@@ -65,11 +70,8 @@ class Hasher:
         self.memo: dict[bytes, int] = {}
         self.most = most
 
-    def shingles(self, text: str, size: int) -> tuple[np.ndarray, int]:
-        """Hashes of the distinct shingles, sorted; and their exact number."""
-        words = split_words(text)
-        if not words:
-            return np.zeros(0, np.uint64), 0
+    def shingles(self, words: list[bytes], size: int) -> tuple[np.ndarray, int]:
+        """Hashes of the distinct shingles, and their exact number."""
         place: dict[bytes, int] = {}
         own = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int64, len(words))
         memo = self.memo
@@ -95,7 +97,7 @@ class Hasher:
         out = np.full(len(first), width, np.uint64)
         for i in range(width):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + of_word[own[first + i]])
-        return np.sort(out), len(first)
+        return out, len(first)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -143,12 +145,13 @@ def _sign(size: int):
             for lo in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(lo, 256), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    hashes, n = hasher.shingles(text or "", size)
-                    if not n:
+                    words = split_words(text or "")
+                    if not words:
                         rows.append((doc, 0, None, None, None))
                         continue
+                    hashes, n = hasher.shingles(words, size)
                     sig = signature(hashes)
-                    rows.append((doc, n, xxhash.xxh3_128_digest(hashes.tobytes()), bands_of(sig), (sig & np.uint32(255)).astype(np.uint8).tobytes()))
+                    rows.append((doc, n, blake2b(b" ".join(words), digest_size=16).digest(), bands_of(sig), (sig & np.uint32(255)).astype(np.uint8).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["id", "n", "class", "bands", "signature"])
 
@@ -161,182 +164,265 @@ def least_agreement(threshold: float) -> int:
     return int(np.floor(COORDINATES * p - DEVIATIONS * np.sqrt(COORDINATES * p * (1 - p))))
 
 
-def _agree(percent: int, least: int):
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, COORDINATES) for c in (a, b))
-        low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-        return pd.Series(((x == y).sum(axis=1) >= least) & (100 * low >= percent * high).to_numpy())
+class Forest:
+    """Sets of places 0..n-1 that are joined one by one."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        i, j = self.top(i), self.top(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _buckets(block: int):
+    """Of rows (bucket, id) sorted by both: the buckets with several members.
+
+    kind 0: the members of a bucket, `block` of them at most. Larger buckets, and those that touch an end of
+    the partition and may go on beyond it, are taken as alike as a whole: kind 1, pairs of their first
+    member with each other one; kind 2, a bucket and its first member here, to join its parts.
+    """
+    names, types = ("kind", "bucket", "a", "b", "ids"), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, first, whole, rows = None, [], None, True, []
+
+        def close(at_end: bool) -> None:
+            nonlocal whole
+            if bucket is not None:
+                if whole or at_end:
+                    spill()
+                    rows.append((2, bucket, first, None, None))
+                elif len(held) > 1:
+                    rows.append((0, None, None, None, held))
+            whole = False
+
+        def spill() -> None:
+            rows.extend((1, None, first, x, None) for x in held if x != first)
+            held.clear()
+
+        for batch in batches:
+            own, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(own):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ends = np.append(starts[1:], len(own))
+            # Whole runs of one row say nothing; the batch's first and last run may go on in others.
+            told = ends - starts > 1
+            told[[0, -1]] = True
+            for lo, hi in zip(starts[told].tolist(), ends[told].tolist(), strict=True):
+                if bucket is None or own[lo] != bucket:
+                    starts_here = bucket is None
+                    close(False)
+                    bucket, first, held, whole = int(own[lo]), int(ids[lo]), [], starts_here
+                held.extend(ids[lo:hi].tolist())
+                if len(held) > block:
+                    whole = True
+                if whole:
+                    spill()
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                rows.clear()
+        close(True)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
+
 
-    return alike
+def _grouped(of_group, columns: int, size: int = 1):
+    """Streams rows sorted by their first `size` columns; of_group turns the rest of a group's rows into pairs (a, b)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+                if row[:size] != key:
+                    out += of_group(rows) if rows else []
+                    key, rows = row[:size], []
+                rows.append(row[size:])
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        out += of_group(rows) if rows else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-def _verified(size: int, percent: int):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, of_last = [], None, set()
-        for x, y in zip(a, b, strict=True):
-            if y is not last and y != last:
-                last, of_last = y, shingle_set(y, size)
-            own = shingle_set(x, size)
-            both = len(own & of_last)
-            out.append(100 * both >= percent * (len(own) + len(of_last) - both))
-        return pd.Series(out, dtype=bool)
+    return run
 
-    return linked
+
+def alike(members: list[tuple[int, int, bytes]], least: int, percent: int) -> list[tuple[int, int]]:
+    """Of (id, n, signature): edges that join the members whose signatures and sizes allow the threshold, directly or by way of others."""
+    ids, n = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+    sig = np.frombuffer(b"".join([m[2] for m in members]), np.uint8).reshape(-1, COORDINATES)
+    left, edges = np.arange(len(members)), []
+    while len(left) > 1:
+        root, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            near = ((sig[left] == sig[k]).sum(axis=1) >= least) & (100 * np.minimum(n[left], n[k]) >= percent * np.maximum(n[left], n[k]))
+            queue += left[near].tolist()
+            edges += [(int(ids[root]), x) for x in ids[left[near]].tolist() if x != ids[root]]
+            left = left[~near]
+    return edges
+
+
+def numbered(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """Of each list of words: numbers of its distinct shingles, equal only for equal shingles (no hashes)."""
+    known: dict[bytes, int] = {}
+    words = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    width, number, room = 1, words, len(known) + 1
+    while width < size:
+        # number[i] stands for `width` words from i on; two of them, overlapping if need be, stand for up to twice as many.
+        step = min(width, size - width)
+        pair = number[:-step] * room + number[step:] if len(number) > step else np.zeros(0, np.int64)
+        number = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        width, room = width + step, len(number) + 1
+    short: dict[tuple[bytes, ...], int] = {}
+    out = []
+    for t, lo, hi in zip(texts, (ends - lengths).tolist(), ends.tolist(), strict=True):
+        if hi - lo >= size:
+            out.append(np.unique(number[lo : hi - size + 1]))
+        elif t:
+            out.append(np.array([-1 - short.setdefault(tuple(t), len(short))], np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id and component (its smallest reachable id) of all nodes; links: a, b over ids of nodes.
+def exact_links(rows: list[tuple[bool, int, int, str]], size: int, percent: int) -> list[tuple[int, int]]:
+    """Of (query, id, component, text): links by full sets between members, and of queries with members.
+
+    Intersections come from an inverted index of the shingles. Only links that join what neither
+    the components nor earlier links have joined are given: fewer than there are rows.
+    """
+    sets = numbered([split_words(r[3]) for r in rows], size)
+    ids, known = [r[1] for r in rows], {}
+    forest, n = Forest(len(rows)), np.array([len(x) for x in sets], np.int64)
+    for k, (_, _, component, _) in enumerate(rows):
+        if component is not None:
+            forest.join(k, known.setdefault(component, k))
+    is_member = np.array([not r[0] for r in rows])
+    inside = np.repeat(is_member, n)
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), n)
+    _, shingle = np.unique(shingle, return_inverse=True)
+    held, place = shingle[inside], owner[inside]
+    order = np.argsort(held, kind="stable")
+    place = place[order]
+    starts = np.searchsorted(held[order], np.arange(len(shingle) + 1 if not len(shingle) else int(shingle.max()) + 2))
+    at, links = np.cumsum(n), []
+    for k in range(len(rows)):
+        own = shingle[at[k] - n[k] : at[k]]
+        lists = [place[starts[x] : starts[x + 1]] for x in own.tolist()]
+        if not lists:
+            continue
+        both = np.bincount(np.concatenate(lists), minlength=len(rows))
+        found = np.flatnonzero((100 * both >= percent * (n + n[k] - both)) & is_member & (both > 0))
+        links += [(ids[k], ids[j]) for j in found.tolist() if j != k and forest.join(k, j) and ids[k] != ids[j]]
+    return links
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id and component (its smallest reachable id) of all ends of links (a, b) but the smallest ones themselves.
 
     Each round hooks every node to its smallest neighbour and then halves the paths; links whose ends
     share a label are dropped, so stars are done in a round or two. Joins and sums only, and each
-    round is cut by checkpoints, whose counts also tell when to stop.
+    round is cut by written tables, whose counts also tell when to stop. What joins on a root that a third
+    of all nodes hang on is the left side of left joins, which Spark splits where it is skewed.
     """
-    label = nodes.select("id", F.col("id").alias("component"))
-    edges = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    moved = None
+    work = Scratch(links.sparkSession, "components")
+    edges = work.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    moved = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     while not edges.isEmpty():
         # Every root that has a smaller neighbour hooks to the smallest one; chains of hooks are halved until none is left.
         hook = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         while True:
             onward = hook.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            halved = checkpointed(hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far")))
+            halved = work.written(hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far")), "hook")
             hook = halved.select("id", "to")
             if halved.where("far").isEmpty():
                 break
-        end = hook.select(F.col("id").alias("x"), F.col("to").alias("y"))
-        if moved is None:
-            moved = hook
-        else:
-            moved = checkpointed(moved.join(end.withColumnRenamed("x", "to"), "to", "left").select("id", F.coalesce("y", "to").alias("to")).unionByName(hook))
-        a = edges.join(end.withColumnRenamed("x", "a"), "a", "left").select(F.coalesce("y", "a").alias("a"), "b")
-        ab = a.join(end.withColumnRenamed("x", "b"), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
-        edges = checkpointed(ab.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if moved is None:
-        return label
-    return label.join(moved, "id", "left").select("id", F.coalesce("to", "component").alias("component"))
-
-
-def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """comp (id, component) after more links between ids: only components that they touch are looked at."""
-    a = comp.select(F.col("id").alias("a"), F.col("component").alias("c_a"))
-    b = comp.select(F.col("id").alias("b"), F.col("component").alias("c_b"))
-    between = checkpointed(links.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct())
-    if between.isEmpty():
-        return comp
-    touched = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    moved = components(touched, between).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    return checkpointed(comp.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
-
-
-def _blocks(least: int, percent: int, most: int):
-    """Of a block of a bucket: each outsider with the `most` members in other components that are most alike, and with itself if there are more."""
-    pairs = "a bigint, b bigint"
-
-    def of_block(bucket: int, members: list[tuple], queries: list[tuple]) -> list[tuple[int, int]]:
-        rows: list[tuple[int, int]] = []
-        if not members or not queries:
-            return rows
-        sig = np.frombuffer(b"".join([m[3] for m in members]), np.uint8).reshape(-1, COORDINATES)
-        ids, comp, n = (np.array([m[i] for m in members], np.int64) for i in range(3))
-        outside, bands = np.array([m[4] for m in members], bool), np.array([m[5] for m in members], np.int64)
-        for own, own_comp, own_n, own_sig, _, own_bands in queries:
-            same = (sig == np.frombuffer(own_sig, np.uint8)).sum(axis=1)
-            found = np.flatnonzero((same >= least) & (comp != own_comp) & ~(outside & (ids < own)) & (100 * np.minimum(n, own_n) >= percent * np.maximum(n, own_n)))
-            if len(found):
-                # A pair is given by the first bucket that it shares, and by one of its ends.
-                at = own_bands.index(bucket) if bucket in own_bands else 0  # not in: another text of the same identifier
-                found = found[~(bands[found, :at] == np.array(own_bands[:at], np.int64)).any(axis=1)]
-            if len(found):
-                found = found[np.lexsort((ids[found], -same[found]))]
-                rows += [(min(own, i), max(own, i)) for i in ids[found[:most]].tolist()]
-                if len(found) > most:
-                    rows.append((own, own))
-        return rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by bucket and block: one block is held at a time."""
-        key, members, queries, rows = None, [], [], []
-        for batch in batches:
-            for bucket, block, query, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                if key != (bucket, block):
-                    rows += of_block(key[0], members, queries) if key else []
-                    key, members, queries = (bucket, block), [], []
-                (queries if query else members).append(tuple(row))
-            if len(rows) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
-                rows = []
-        rows += of_block(key[0], members, queries) if key else []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
-
-    return run, pairs
+        end = hook.select(F.col("id").alias("component"), F.col("to").alias("end"))
+        moved = work.written(moved.join(end, "component", "left").select("id", F.coalesce("end", "component").alias("component")).unionByName(hook.withColumnRenamed("to", "component")), "moved")
+        a = edges.join(end.withColumnRenamed("component", "a"), "a", "left").select(F.coalesce("end", "a").alias("a"), "b")
+        ab = a.join(end.withColumnRenamed("component", "b"), "b", "left").select("a", F.coalesce("end", "b").alias("b"))
+        edges = work.written(ab.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    out = written(moved, "components")
+    work.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row, written to the shared folder; all else that it writes is removed."""
+    spark = docs.sparkSession
+    work = Scratch(spark, "minhash")
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(own.mapInArrow(_sign(words), SIGNED), "minhash")
+    signed = work.written(own.mapInArrow(_sign(words), SIGNED), "signed")
     full = signed.where("class IS NOT NULL AND id IS NOT NULL")
-    # A row a class: equal sets are linked, and only the smallest identifier goes on.
-    classes = checkpointed(full.groupBy("class").agg(F.min("id").alias("id")))
-    heads = full.select("id", "class", "n", "bands", "signature").join(classes.withColumnRenamed("id", "head"), "class").where("id = head").select("id", "class", "n", "bands", "signature").dropDuplicates(["id", "class"])
-    heads = written(heads, "heads")
-    in_bands = heads.select("id", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    members = written(in_bands.join(shared, "bucket").distinct(), "buckets")
-    facts = heads.select("id", "n", "signature", "bands")
-    least, alike, linked = least_agreement(percent / 100), None, _verified(words, percent)
-    alike = _agree(percent, least)
-    involved = written(own.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets meet the threshold."""
-        a = involved.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = involved.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").where(linked(F.col("text_b"), F.col("text_a"))).select("a", "b").distinct()
-
-    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    both = pairs.join(facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a")), "a").join(facts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b")), "b")
-    tested = written(both.where(alike("s_a", "s_b", "n_a", "n_b")).select("a", "b").distinct(), "pairs")
+    # A row a class: the same words are the same set, and only the smallest identifier goes on.
+    classes = work.written(full.groupBy("class").agg(F.min("id").alias("id")), "classes")
+    heads = work.written(full.select("id", "class", "n", "bands", "signature").join(classes, ["class", "id"], "left_semi").dropDuplicates(["id", "class"]), "heads")
+
+    in_bands = heads.select(F.explode("bands").alias("bucket"), "id").repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    buckets = work.written(in_bands.mapInArrow(_buckets(BLOCK), "kind int, bucket bigint, a bigint, b bigint, ids array<bigint>"), "buckets")
+    # The same members often share several buckets; they are looked at once.
+    blocks = buckets.where("kind = 0").select("ids").distinct().select(F.xxhash64("ids").alias("block"), F.explode("ids").alias("id"))
+    least = least_agreement(percent / 100)
+    facing = blocks.join(heads.select("id", "n", "signature"), "id").select("block", "id", "n", "signature")
+    edges = facing.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_grouped(lambda rows: alike(rows, least, percent), 4), "a bigint, b bigint")
+    parts = buckets.where("kind = 2").select("bucket", "a").distinct()
+    firsts = parts.groupBy("bucket").agg(F.min("a").alias("b"))
+    edges = edges.unionByName(buckets.where("kind = 1").select("a", "b")).unionByName(parts.join(firsts, "bucket").select("a", "b"))
+    found = components(edges)
+    roots = found.select("component").distinct()
+    family = work.written(found.select("id", F.col("component").alias("family")).unionByName(roots.select(F.col("component").alias("id"), F.col("component").alias("family"))), "family")
+
+    # Each family is one block if it isn't too large; its full sets are compared within the block.
+    sizes = family.join(heads.select("id", "n"), "id").groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("blocks"))
+    placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = work.written(own.join(placed, "id").dropDuplicates(["id", "text"]).select("id", "family", "block", "blocks", "text"), "texts")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        rows = rows.select("family", "block", "query", "id", "component", "text").repartition("family", "block").sortWithinPartitions("family", "block", "id")
+        return work.written(rows.mapInArrow(_grouped(lambda group: exact_links(group, words, percent), 6, 2), "a bigint, b bigint"), "links")
+
+    links = linked(texts.withColumns({"query": F.lit(False), "component": F.lit(None).cast("bigint")}))
     # Rows that share an identifier but not a text are one node: the heads of their classes are linked through it.
-    head_of = classes.withColumnRenamed("id", "head")
-    several = full.select("id", "class").distinct().groupBy("id").agg(F.collect_set("class").alias("of")).where(F.size("of") > 1)
-    joint = several.select("id", F.explode("of").alias("class")).join(head_of, "class").groupBy("id").agg(F.min("head").alias("a"), F.collect_set("head").alias("heads"))
-    joint = joint.select("a", F.explode("heads").alias("b")).where("a <> b").distinct()
-    comp = checkpointed(components(heads.select("id").distinct(), verify(tested).unionByName(joint)))
-    most, moved, more = 4, True, True
-    while moved or more:
-        if moved:
-            placed = members.select("bucket", "id").join(comp, "id")
-            open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-            # Buckets of two were tested whole in round 0.
-            inside = placed.join(open_.where("size > 2"), "bucket")
-            largest = inside.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
-            inside = inside.join(largest, "bucket").join(facts, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-            member = ["id", "component", "n", "signature", (F.col("component") != F.col("largest")).alias("outside"), "bands"]
-            rows = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), *member).unionByName(
-                inside.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), *member)
-            )
-        run, schema = _blocks(least, percent, most)
-        found = written(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, schema).distinct(), "candidates")
-        new = written(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        more, moved = not found.where("a = b").isEmpty(), False
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            links = written(verify(new), "links")
-            if moved := not links.isEmpty():
-                comp = merged(comp, links)
-        most *= 8
-    final = full.select("id", "class").distinct().join(head_of, "class").join(comp.withColumnRenamed("id", "head"), "head").groupBy(F.col("id").alias("cid")).agg(F.min("component").alias("component"))
-    out = signed.select("id", "n").join(final, F.col("id") == F.col("cid"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
+    several = full.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("id")
+    of_id = full.select("id", "class").join(several, "id").join(classes.withColumnRenamed("id", "head"), "class").select("id", "head").distinct()
+    links = links.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("head").alias("a")), "id").select("a", F.col("head").alias("b")).where("a <> b"))
+    # Of a family of several blocks: who isn't in its largest component yet meets the members of all other blocks too.
+    large = texts.where("blocks > 1")
+    if not large.isEmpty():
+        named = large.join(components(links).withColumnRenamed("component", "to"), "id", "left").withColumn("component", F.coalesce("to", "id")).drop("to")
+        named = work.written(named, "named")
+        largest = named.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
+        outside = named.join(largest, "family").where("component <> largest").select("id", "family", "component", "text", "blocks", F.col("block").alias("own"))
+        queries = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").withColumn("query", F.lit(True))
+        names = ["family", "block", "query", "id", "component", "text"]
+        links = links.unionByName(linked(named.withColumn("query", F.lit(False)).select(names).unionByName(queries.select(names))))
+    moved = components(links)
+    of_class = classes.join(moved, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
+    columns = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept")]
+    rest = signed.where("class IS NULL OR id IS NULL").select("id", "n").withColumn("component", F.lit(None).cast("bigint"))
+    out = written(full.select("id", "n", "class").join(of_class, "class").select("id", "n", "component").unionByName(rest).select(columns), "near_duplicates")
+    work.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of near-duplicates, all columns as they are."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    """docs with one document of each group of near-duplicates, all columns as they are, whatever they are called."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select("doc_id").distinct()
+    gone = gone.toDF(next(x for x in ("gone", *(f"gone_{k}" for k in range(len(docs.columns)))) if x.lower() not in {c.lower() for c in docs.columns}))
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(gone.columns[0]), "left_anti")

@@ -55,8 +55,9 @@ def test_same_as_all_pairs(spark, size):
     assert result(got) == brute(rows, size, 80)
 
 
-def test_small_blocks_and_later_rounds(spark, monkeypatch):
+def test_small_blocks_of_large_families(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "MEMBERS", 8)
     rows = [(*r, 1, "c", None) for r in near_copies(7, 2, 60)]
     assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), words=5)) == brute(rows, 5, 80)
 
