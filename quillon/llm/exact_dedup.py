@@ -34,8 +34,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quillon.llm._common import filesystem, scratch
 
-STAGED = "digest string, ids array<bigint>, path string, start bigint, size bigint, n_bytes bigint"
-FOUND = "digest string, variant int, ids array<bigint>, keep_id bigint, group_size bigint, n_bytes bigint"
+STAGED = "digest string, ids array<bigint>, nulls bigint, path string, start bigint, size bigint, n_bytes bigint"
+FOUND = "digest string, variant int, ids array<bigint>, nulls bigint, keep_id bigint, group_size bigint, n_bytes bigint"
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -69,10 +69,11 @@ def _stage(content: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 raw = text.encode()
                 block = pack.compress(raw)
                 out.write(block)
-                rows.append((digest, ids, path, start, len(block), len(raw)))
+                known = [x for x in ids if x is not None]  # a null among them would turn them into floats on the way
+                rows.append((digest, known, len(ids) - len(known), path, start, len(block), len(raw)))
                 start += len(block)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["digest", "ids", "path", "start", "size", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["digest", "ids", "nulls", "path", "start", "size", "n_bytes"])
         if out is not None:
             out.close()
 
@@ -94,8 +95,8 @@ class _Content:
         return self.unpack.decompress(self.open[path].read_at(size, start))
 
 
-def _smaller(a: int | None, b: int | None) -> int | None:
-    return b if a is None else a if b is None else min(a, b)
+def _smaller(a: int | None, b: int) -> int:
+    return b if a is None else min(a, b)
 
 
 def _keep(content: str) -> Callable:
@@ -107,7 +108,7 @@ def _keep(content: str) -> Callable:
         entries = json.loads(state.get[0]) if state.exists else {}  # by digest: [smallest id, path, start, size, bytes, count] of each variant
         rows, last, texts = [], None, {}
         for frame in frames:
-            for digest, ids, *locator in frame[["digest", "ids", "path", "start", "size", "n_bytes"]].itertuples(index=False, name=None):
+            for digest, ids, nulls, *locator in frame[["digest", "ids", "nulls", "path", "start", "size", "n_bytes"]].itertuples(index=False, name=None):
                 locator = [locator[0], *map(int, locator[1:])]
                 variants = entries.setdefault(digest, [])
                 if digest != last:
@@ -128,11 +129,11 @@ def _keep(content: str) -> Callable:
                 else:
                     found = len(variants)
                     variants.append([None, *locator, 0])
-                ids = [None if pd.isna(x) else int(x) for x in ids]
-                for x in ids:
-                    variants[found][0] = _smaller(variants[found][0], x)
-                variants[found][5] += len(ids)
-                rows.append((digest, found, ids))
+                ids = [int(x) for x in ids]
+                if ids:
+                    variants[found][0] = _smaller(variants[found][0], min(ids))
+                variants[found][5] += len(ids) + int(nulls)
+                rows.append((digest, found, ids, int(nulls)))
         state.update((json.dumps(entries, separators=(",", ":")),))
         own = [entries[r[0]][r[1]] for r in rows]
         yield pd.DataFrame(
@@ -140,6 +141,7 @@ def _keep(content: str) -> Callable:
                 "digest": [r[0] for r in rows],
                 "variant": pd.Series([r[1] for r in rows], dtype="int32"),
                 "ids": [r[2] for r in rows],
+                "nulls": pd.Series([r[3] for r in rows], dtype="int64"),
                 "keep_id": pd.Series([v[0] for v in own], dtype="Int64"),
                 "group_size": pd.Series([v[5] for v in own], dtype="int64"),
                 "n_bytes": pd.Series([v[4] for v in own], dtype="int64"),
@@ -186,7 +188,8 @@ def decisions(spark: SparkSession, to: str) -> DataFrame:
     """One row per row read so far: doc_id, keep_id, group_size, kept, text_sha256 (the digest), n_bytes."""
     found = spark.read.schema(FOUND).parquet(f"{to}/found")
     groups = found.groupBy("digest", "variant").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    rows = found.select("digest", "variant", "n_bytes", F.explode("ids").alias("doc_id"))
+    ids = F.concat("ids", F.array_repeat(F.lit(None).cast("bigint"), F.col("nulls").cast("int")))  # of one batch
+    rows = found.select("digest", "variant", "n_bytes", F.explode(ids).alias("doc_id"))
     return rows.join(groups, ["digest", "variant"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "n_bytes")
 
 

@@ -33,6 +33,14 @@ def table(spark, tmp_path, rows, parts):
     return path
 
 
+def test_large_identifiers_beside_nulls(spark, tmp_path):
+    big = [2**53 + 1, 2**53 + 3, 2**63 - 1, 2**63 - 2, -(2**63), None, None]
+    rows = [(i, "one text", None, None) for i in big] + [(None, "x", None, None), (2**62 + 1, "x", None, None)]
+    for parts in (1, 4):
+        path = table(spark, tmp_path / str(parts), rows, parts)
+        assert result(exact_dedup(spark, path, files_per_trigger=1)) == brute(rows)
+
+
 def test_hits_over_many_micro_batches(spark, tmp_path):
     path = table(spark, tmp_path, ROWS, 6)
     assert result(exact_dedup(spark, path, files_per_trigger=1)) == brute(ROWS)
