@@ -129,7 +129,11 @@ def unended(files: DataFrame, root: str, **options) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id and n_tokens of every row: written to token files, then counted from them."""
+    """doc_id and n_tokens of every row: written to token files, then counted from them.
+
+    Both sides have a row a document, so they meet in a merge join: neither is ever broadcast, whatever
+    its size on disk.
+    """
     root = scratch(docs.sparkSession, "tokens")
     order = write_tokens(docs, root, path, pattern, id_col=id_col, text_col=text_col)
-    return order.join(scan_tokens(order, root, **options), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    return order.hint("merge").join(scan_tokens(order, root, **options).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
