@@ -3,8 +3,8 @@
 A page is read leniently into a tree of labels (tag and telling class, id or role words) with text slots.
 A wrapper is such a tree whose children form a union-free expression: each child is there once,
 optionally (?), repeatedly (+) or both (*), and runs of several labels that repeat form a group. Wrappers
-of the same host are aligned child list by child list along their longest common subsequence; what matches
-is merged, a mismatch becomes an optional child, and neighbours that repeat fold into repeated groups. The
+of the same host are aligned child list by child list along their longest common subsequence (of lists too
+long for that, a common subsequence found in one pass); what matches is merged, a mismatch becomes an optional child, and neighbours that repeat fold into repeated groups. The
 order of merging is a tree: distinct page skeletons per host, then per host and salt, then per host, so a host
 with a third of all pages never meets in one task.
 
@@ -19,6 +19,8 @@ without an article the wrapper decides: template slots are left out, unless noth
 that the wrapper lacks is marked by its own label.
 
 Text: character references decoded, white space within a block as one space, trimmed, blocks joined by \\n.
+Tags are read as HTML reads them: a quote is one only where an attribute's value begins; one that is
+never closed ends with its tag. Nesting may be as deep as memory allows: what recurs does so in Python frames.
 
 Defined results: null, empty and text-free pages give an empty text; a null or odd URL is a host of its
 own (the empty one); repeated rows and null page identifiers each get a row; an empty table gives an
@@ -31,6 +33,8 @@ import hashlib
 import html as htmllib
 import json
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,13 +48,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe xmp svg math object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption legend".split())
+ENDS_P_CLOSING = tuple("article section div td th li blockquote body main".split())
+ENDS_P = (*ENDS_P_CLOSING, *"aside nav header footer form button".split())
 SIBLINGS = {  # what an opening tag closes, and where the search for it ends
-    **dict.fromkeys(("li",), ("li", "ul ol menu")),
-    **dict.fromkeys(("dt", "dd"), ("dt dd", "dl")),
-    **dict.fromkeys(("td", "th"), ("td th", "tr table")),
-    **dict.fromkeys(("tr",), ("tr", "table")),
-    **dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody thead tfoot", "table")),
-    **dict.fromkeys(("option",), ("option", "select")),
+    tag: (tuple(closed.split()), tuple(ends.split()))
+    for tags, closed, ends in (("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("td th", "td th", "tr table"), ("tr", "tr", "table"), ("tbody thead tfoot", "tbody thead tfoot", "table"), ("option", "option", "select"))
+    for tag in tags.split()
 }
 NOT_MAIN = frozenset("head title nav menu footer aside form button select input label dialog script style noscript template iframe textarea svg math object".split())
 MAIN = frozenset("article main".split())
@@ -60,10 +63,19 @@ NOT_MAIN_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup login search form pagination pager skip toolbar copyright masthead topbar".split()
 )
 TELLING = MAIN_WORDS | NOT_MAIN_WORDS | {"header", "complementary", "contentinfo"}
-LONGEST_GROUP = 4
+LONGEST_GROUP = 4  # labels that a run is looked for; longer groups stay unfolded, which costs length, not text
+CELLS = 100_000  # of the table for a longest common subsequence
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|((?:[^\s>"'][^\s>]*+|["'][^>]*+)?+))"""
+_ATTRIBUTE = rf"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE})?+"
+_TAG = rf"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|{_TAG}", re.S)
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+
+
+def deep() -> None:
+    """Lets Python functions call themselves as deeply as pages are nested; frames of Python code live on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4_000_000))
 
 
 class Node:
@@ -76,57 +88,69 @@ class Node:
 def _label(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
-    words = {w for m in _WORDS.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
+    words = {w for m in _ATTRIBUTES.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())}
     if "hidden" in words:
         words.add("notice")
     return ".".join([tag, *sorted(words & TELLING)])
 
 
+class _Open:
+    """The open nodes, and where each tag is open, so that closing never searches through them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags: tuple[str, ...] | frozenset[str]) -> int:
+        return max([p[-1] for t in tags if (p := self.places.get(t))], default=0)
+
+    def pop_to(self, tags: tuple[str, ...], barriers: tuple[str, ...] | frozenset[str] = ()) -> None:
+        """Closes the innermost of tags and all within, if no barrier stands before it."""
+        if (at := self.last(tags)) and at >= self.last(barriers):
+            for node in self.nodes[at:]:
+                self.places[node.tag].pop()
+            del self.nodes[at:]
+
+
 def parse(page: str) -> Node:
     """A tree of nodes and texts; never fails, whatever the page holds."""
     root = Node("", "")
-    stack = [root]
-
-    def pop_to(tag: str, barriers: str = "") -> None:
-        stop = barriers.split()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tag.split():
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
-
+    stack = _Open(root)
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            stack[-1].kids.append(page[at : m.start() if m else len(page)])
+            stack.nodes[-1].kids.append(page[at : m.start() if m else len(page)])
         if m is None:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        at, tag = m.end(), (m["tag"] or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if m["close"]:
             if tag in BLOCK and tag != "p":
-                pop_to(tag)
+                stack.pop_to((tag,))
             elif tag == "p":
-                pop_to("p", "article section div td th li blockquote body main")
+                stack.pop_to(("p",), ENDS_P_CLOSING)
             else:
-                pop_to(tag, " ".join(BLOCK))
+                stack.pop_to((tag,), BLOCK)
             continue
         if tag in CLOSES_P:
-            pop_to("p", "article section div td th li blockquote body main aside nav header footer form button")
+            stack.pop_to(("p",), ENDS_P)
         if tag in SIBLINGS:
-            pop_to(*SIBLINGS[tag])
+            closed, ends = SIBLINGS[tag]
+            stack.pop_to(closed, ends)
         if tag == "body" or tag == "html":
-            pop_to("head")
-        node = Node(tag, _label(tag, m[3] or ""))
-        stack[-1].kids.append(node)
+            stack.pop_to(("head",))
+        node = Node(tag, _label(tag, m["rest"] or ""))
+        stack.nodes[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(node)
+        elif tag not in VOID and not (m["rest"] or "").rstrip().endswith("/"):
+            stack.push(node)
     return root
 
 
@@ -152,6 +176,8 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     while end < min(len(a), len(b)) - pre and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[pre : len(a) - end], b[pre : len(b) - end]
+    if len(x) * len(y) > CELLS:
+        return [(k, k) for k in range(pre)] + _in_one_pass(x, y, pre) + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -171,13 +197,71 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     return out + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
 
 
+def _in_one_pass(x: list[str], y: list[str], pre: int) -> list[tuple[int | None, int | None]]:
+    """The same along a common subsequence that takes the next match there is, if it isn't far ahead."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(y):
+        places.setdefault(w, []).append(j)
+    out: list[tuple[int | None, int | None]] = []
+    upto = 0
+    for i, w in enumerate(x):
+        own = places.get(w, ())
+        k = bisect_left(own, upto)
+        if k < len(own) and own[k] - upto <= 64:
+            out += [(None, pre + j) for j in range(upto, own[k])]
+            out.append((pre + i, pre + own[k]))
+            upto = own[k] + 1
+        else:
+            out.append((pre + i, None))
+    return out + [(None, pre + j) for j in range(upto, len(y))]
+
+
+def _same(a: list, b: list) -> bool:
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x is not y:
+            if len(x) != len(y):
+                return False
+            for u, v in zip(x, y, strict=True):
+                if u[:2] != v[:2]:
+                    return False
+                todo.append((u[2], v[2]))
+    return True
+
+
+def dumps(w: list) -> str:
+    """A wrapper as flat JSON: label, how often and number of children of each node, parents first."""
+    out, todo = [], [w]
+    while todo:
+        x = todo.pop()
+        out += [x[0], x[1], len(x[2])]
+        todo.extend(reversed(x[2]))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def loads(text: str) -> list:
+    flat, above = json.loads(text), []
+    root = [flat[0], flat[1], []]
+    open_ = [(root, flat[2])]
+    for k in range(3, len(flat), 3):
+        while not open_[-1][1]:
+            open_.pop()
+        above, left = open_[-1]
+        open_[-1] = (above, left - 1)
+        node = [flat[k], flat[k + 1], []]
+        above[2].append(node)
+        open_.append((node, flat[k + 2]))
+    return root
+
+
 def merge(a: list, b: list) -> list:
     """The wrapper of two that share a label."""
     return [a[0], _often(a[1], b[1]), merge_lists(a[2], b[2])]
 
 
 def merge_lists(a: list, b: list) -> list:
-    if a == b:
+    if _same(a, b):
         return a
     out = []
     for i, j in _aligned([_key(x) for x in a], [_key(x) for x in b]):
@@ -241,6 +325,7 @@ class Wrapper:
     """A host's wrapper ready to match pages; template: the numbers, in document order, of its slots that hold template text."""
 
     def __init__(self, tree: list, template: list[int] | None = None):
+        deep()
         self.tree = tree
         self.memo: dict[tuple, list] = {}
         self.slots: dict[int, int] = {}
@@ -325,20 +410,21 @@ def _fold_hosts(parsed: bool):
     """Folds the wrappers of each host in a partition to one. parsed: the rows hold pages still."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         found: dict[str, list] = {}
         seen: dict[str, set[int]] = {}
         for batch in batches:
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = json.loads(text) if parsed else skeleton(parse(text or ""))
+                w = loads(text) if parsed else skeleton(parse(text or ""))
                 if not parsed:
                     known = seen.setdefault(host, set())
-                    if (h := hash(json.dumps(w))) in known:
+                    if (h := hash(dumps(w))) in known:
                         continue
                     if len(known) < 1000:
                         known.add(h)
                 found[host] = merge(found[host], w) if host in found else w
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w, separators=(",", ":")) for w in found.values()])], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([dumps(w) for w in found.values()])], names=["host", "wrapper"])
 
     return run
 
@@ -371,7 +457,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if wrapper not in ready:
                     if len(ready) >= 256:
                         ready.clear()
-                    ready[wrapper] = Wrapper(json.loads(wrapper))
+                    ready[wrapper] = Wrapper(loads(wrapper))
                 whole = None
                 for slot, texts in ready[wrapper].held(page or "").items():
                     e = found.get((host, slot))
@@ -413,7 +499,7 @@ def _extract():
                     if key not in ready:
                         if len(ready) >= 256:
                             ready.clear()
-                        ready[key] = Wrapper(json.loads(wrapper), template)
+                        ready[key] = Wrapper(loads(wrapper), template)
                     texts.append(ready[key].text(page or ""))
                 if texts:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts), pa.array([len(x) for x in texts], pa.int64()), part.column(2)], names=["page_id", "url", "text", "n_chars", "host"])

@@ -1,7 +1,7 @@
 import html
 import re
 
-from quillon.llm.html_extract import Wrapper, extract, infer_wrappers, merge, parse, skeleton
+from quillon.llm.html_extract import Wrapper, deep, dumps, extract, infer_wrappers, loads, merge, parse, skeleton
 
 SCHEMA = "page_id bigint, url string, html string, host string, text string"
 
@@ -66,3 +66,31 @@ def test_very_long_and_broken_pages(spark):
     long = "<article><p>" + "word " * 300_000 + "</article><p>after"
     got = texts(spark, [(1, "http://a", long), (2, "http://a", "<<<p<a href='x>y"), (3, "http://a", "<article><p>x<!-- y")])
     assert got[1][0] == ("word " * 300_000).strip() and got[3][0] == "x"
+
+
+def test_deep_pages(spark):
+    n = 100_000
+    rows = [(1, "http://a", "<article>" + "<div>" * n + "x" + "</div>" * n + "<p>y</article>z"), (2, "http://a", "<article><p>" + "<b>" * n + "bold</p></i>" + "</u>" * n + "<p>more</article>"), (3, "http://a", "<article><p>plain</article>"), (4, "http://b", "<i><div>" + "<b>" * n + "</i>" * n + "end")]
+    assert texts(spark, rows) == {1: ("x\ny", 3), 2: ("bold\nmore", 9), 3: ("plain", 5), 4: ("end", 3)}
+    deep()
+    w = merge(skeleton(parse(rows[0][2])), skeleton(parse(rows[1][2])))
+    assert dumps(loads(dumps(w))) == dumps(w)
+
+
+def test_odd_attributes(spark):
+    pages = {
+        "<article><p data-x=it's>Hello</p><p>World it's</p><p>z</p></article>": "Hello\nWorld it's\nz",
+        '<article><p title="5" tall">in</p><p a=\'b>c\' d="e>f" / g=h/>out</p></article>': "in\nout",
+        '<article><p title="never closed>one</p><p>two</p></article>': "one\ntwo",
+        "<article><p =x == a= >one</p><p/class=nav>menu</p><p data-y='class=nav'>two</p><br/></article>": "one\ntwo",
+        "<article><p>a < b <3 c<p>d</article >after": "a < b <3 c\nd",
+        "<article><script>x</scripty></script ><p>t</p></article>": "t",
+    }
+    got = texts(spark, [(k, f"http://{k}", p) for k, p in enumerate(pages)])
+    assert [got[k][0] for k in range(len(pages))] == list(pages.values())
+
+
+def test_long_child_lists():
+    a, b = (["x" + str(k * m % 997) for k in range(3000)] for m in (1, 7))
+    w = merge(*(skeleton(parse("".join(f"<{t}></{t}>" for t in x))) for x in (a, b)))
+    assert w[0] == "" and len(w[2]) >= 3000
