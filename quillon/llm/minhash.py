@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import Scratch, written
+from quillon.llm._common import Scratch, fresh, written
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
@@ -63,41 +63,25 @@ def shingle_set(text: str, size: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-class Hasher:
-    """64-bit hashes of shingles from hashes of words, with a bounded memo of words."""
-
-    def __init__(self, most: int = 1 << 19):
-        self.memo: dict[bytes, int] = {}
-        self.most = most
-
-    def shingles(self, words: list[bytes], size: int) -> tuple[np.ndarray, int]:
-        """Hashes of the distinct shingles, and their exact number."""
-        place: dict[bytes, int] = {}
-        own = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int64, len(words))
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        hashes = []
-        for w in place:
-            if (h := memo.get(w)) is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    memo[w] = h
-            hashes.append(h)
-        of_word = np.array(hashes, np.uint64)
-        width = min(size, len(words))
-        n = len(words) - width + 1
-        if len(place) ** width < 2**63:
-            key = np.zeros(n, np.int64)
-            for i in range(width):
-                key = key * len(place) + own[i : i + n]
-            first = np.unique(key, return_index=True)[1]
-        else:
-            first = np.unique(np.stack([own[i : i + n] for i in range(width)]), axis=1, return_index=True)[1]
-        out = np.full(len(first), width, np.uint64)
+def shingle_hashes(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
+    """64-bit hashes of all shingles, from hashes of words, and the exact number of distinct ones."""
+    place: dict[bytes, int] = {}
+    own = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int64, len(words))
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
+    width = min(size, len(words))
+    n = len(words) - width + 1
+    if len(place) ** width < 2**63:
+        key = np.zeros(n, np.int64)
         for i in range(width):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + of_word[own[first + i]])
-        return out, len(first)
+            key = key * len(place) + own[i : i + n]
+        key.sort()
+        distinct = 1 + int(np.count_nonzero(key[1:] != key[:-1]))
+    else:
+        distinct = np.unique(np.stack([own[i : i + n] for i in range(width)]), axis=1).shape[1]
+    each, out = of_word[own], np.full(n, width, np.uint64)
+    for i in range(width):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n])
+    return out, distinct
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -130,30 +114,34 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
-    out = np.zeros(BANDS, np.uint64)
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+def bands_of(signatures: np.ndarray) -> np.ndarray:
+    """A row of buckets for each row of coordinates."""
+    out = np.zeros((len(signatures), BANDS), np.uint64)
+    rows = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
     for i in range(ROWS):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i] + np.uint64(1))
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i] + np.uint64(1))
     return mix64(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(lo, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = split_words(text or "")
-                    if not words:
-                        rows.append((doc, 0, None, None, None))
-                        continue
-                    hashes, n = hasher.shingles(words, size)
-                    sig = signature(hashes)
-                    rows.append((doc, n, blake2b(b" ".join(words), digest_size=16).digest(), bands_of(sig), (sig & np.uint32(255)).astype(np.uint8).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["id", "n", "class", "bands", "signature"])
+                part = batch.slice(lo, 256)
+                split = [split_words(x or "") for x in part.column(1).to_pylist()]
+                signed = [shingle_hashes(x, size) if x else (None, 0) for x in split]
+                coordinates = np.stack([np.zeros(COORDINATES, np.uint32) if h is None else signature(h) for h, _ in signed])
+                low = (coordinates & np.uint32(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([n for _, n in signed], pa.int64()),
+                        pa.array([blake2b(b" ".join(x), digest_size=16).digest() if x else None for x in split], pa.binary()),
+                        pa.array([b if x else None for b, x in zip(bands_of(coordinates), split, strict=True)], pa.list_(pa.int64())),
+                        pa.array([c.tobytes() if x else None for c, x in zip(low, split, strict=True)], pa.binary()),
+                    ],
+                    names=["id", "n", "class", "bands", "signature"],
+                )
 
     return run
 
@@ -424,5 +412,5 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near-duplicates, all columns as they are, whatever they are called."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select("doc_id").distinct()
-    gone = gone.toDF(next(x for x in ("gone", *(f"gone_{k}" for k in range(len(docs.columns)))) if x.lower() not in {c.lower() for c in docs.columns}))
+    gone = gone.toDF(*fresh(docs, "gone"))
     return docs.join(gone, F.col(id_col).cast("bigint") == F.col(gone.columns[0]), "left_anti")
