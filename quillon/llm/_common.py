@@ -64,6 +64,12 @@ def uncheckpointed(df: DataFrame) -> None:
         removed(df.sparkSession, file.get())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in whatever case, made from names."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n, *(f"{n}_{k}" for k in range(len(taken) + 1))) if x not in taken) for n in names]
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, and the path on it; works on the driver and on executors."""
     return pafs.FileSystem.from_uri(uri)

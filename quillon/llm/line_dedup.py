@@ -7,11 +7,14 @@ in the smallest identifier that holds them.
 One row per document and key is range-partitioned by (hash, document, position) and sorted within
 partitions, so one frequent line spreads over many partitions. The first occurrence is found by streaming
 each partition; for a hash that began in an earlier partition its owner is carried over from a summary of
-one row a partition. Only hashes and positions are shuffled; the texts meet the bitmaps at the end.
-
-Defined results: null and empty texts are one empty line; null identifiers count as one document that
-sorts after all others; rows with the same identifier count as one document, and each keeps its own
-lines; an empty table gives an empty result. `apply_bitmaps` keeps all other columns as they are.
+one row a partition. Only hashes and positions are shuffled; the texts meet the bitmaps at the end. The
+keys are written once, so that the bounds of the ranges and the shuffle both come from that table; all
+tables but the bitmaps are removed at the end.
+
+Defined results: null and empty texts are one empty line; null identifiers count as one document, the
+same as identifier 2^63 - 1, which sorts after all others; rows with the same identifier count as one
+document, and each keeps its own lines; an empty table gives an empty result. `apply_bitmaps` keeps all
+other columns as they are, whatever they are called, but those named in `counts`, which it replaces.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +30,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quillon.llm._common import checkpointed
+from quillon.llm._common import Scratch, checkpointed, fresh, uncheckpointed, written
 
-WHITE = " \t\n\x0b\x0c\r"
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WHITE = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1  # sorts last; stands for a null identifier
 KEYS = "h bigint, h2 bigint, doc bigint, pos int, doc_hash binary, n_lines int, lines binary"
 DROPS = "doc bigint, doc_hash binary, n_lines int, lines binary"
 
 
-def line_key(line: str) -> str:
-    return line.strip(WHITE).translate(UPPER)
+def line_keys(text: str, min_chars: int) -> tuple[dict[bytes, list[int]], int]:
+    """The places of each key of at least min_chars code points, and the number of lines."""
+    lines, at = text.encode().lower().split(b"\n"), {}  # bytes: A-Z only
+    for i, line in enumerate(lines):
+        key = line.strip(WHITE)
+        if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars):
+            at.setdefault(key, []).append(i)
+    return at, len(lines)
 
 
 def doc_hash(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    return hashlib.sha256(text.encode()).digest()[:16]
 
 
 def _keys(min_chars: int):
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = []
+                rows, digests = [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    text = text or ""
-                    lines, at = text.split("\n"), {}
-                    for i, line in enumerate(lines):
-                        if len(key := line_key(line)) >= min_chars:
-                            at.setdefault(key, []).append(i)
-                    own = doc_hash(text)
-                    for key, where in at.items():
-                        h, h2 = np.frombuffer(hashlib.blake2b(key.encode(), digest_size=16).digest(), "<i8").tolist()
-                        rows.append((h, h2, NO_ID if doc is None else doc, where[0], own, len(lines), np.asarray(where, "<u4").tobytes()))
+                    at, n_lines = line_keys(text or "", min_chars)
+                    if at:
+                        of_doc = NO_ID if doc is None else doc, doc_hash(text)
+                        for key, where in at.items():
+                            digests.append(hashlib.blake2b(key, digest_size=16).digest())
+                            rows.append((of_doc[0], where[0], of_doc[1], n_lines, where[0].to_bytes(4, "little") if len(where) == 1 else np.asarray(where, "<u4").tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["h", "h2", "doc", "pos", "doc_hash", "n_lines", "lines"])
+                    hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["h", "h2", "doc", "pos", "doc_hash", "n_lines", "lines"])
 
     return run
 
@@ -147,14 +156,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """Of each document that loses lines: doc, doc_hash (of its text), n_lines, n_dropped, keep (zlib of a bit per line, first line first)."""
-    keys = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_keys(min_chars), KEYS)
+    """Of each document that loses lines: doc, doc_hash (of its text), n_lines, n_dropped, keep (zlib of a bit per line, first line first); a written table."""
+    work = Scratch(docs.sparkSession, "lines")
+    keys = work.written(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_keys(min_chars), KEYS), "keys")
     ranged = checkpointed(keys.repartitionByRange("h", "h2", "doc", "pos").sortWithinPartitions("h", "h2", "doc", "pos"))
+    work.drop()
     summary = ranged.select("h", "h2", "doc").mapInArrow(_summary, "part bigint, fh bigint, fh2 bigint, h bigint, h2 bigint, doc bigint").collect()  # one row a partition
     drops = ranged.mapInArrow(_later(carried([tuple(r) for r in summary])), DROPS)
 
     by_doc = drops.repartition("doc", "doc_hash").sortWithinPartitions("doc", "doc_hash")
-    return by_doc.mapInArrow(_pack, "doc bigint, doc_hash binary, n_lines int, n_dropped int, keep binary")
+    out = written(by_doc.mapInArrow(_pack, "doc bigint, doc_hash binary, n_lines int, n_dropped int, keep binary"), "bitmaps")
+    uncheckpointed(ranged)
+    return out
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> str:
@@ -162,34 +175,34 @@ def kept_lines(text: str | None, keep: bytes | None) -> str:
     if keep is None:
         return "\n".join(lines)
     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines), bitorder="little")
-    return "\n".join(x for x, b in zip(lines, bits, strict=True) if b)
+    return "\n".join(compress(lines, bits.tolist()))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept text in text_col, and the columns __n_lines, __n_dropped.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the kept text in text_col, and in the columns named by counts the lines before and those dropped.
 
     Rows without a bitmap pass unchanged; a null text that loses nothing is an empty one.
     """
 
-    @F.pandas_udf("binary")
-    def hashed(text):
-        return text.map(lambda x: doc_hash(x or ""))
-
     @F.pandas_udf("string")
     def keep(text, bits):
         import pandas as pd
 
         return pd.Series([kept_lines(x, b) for x, b in zip(text, bits, strict=True)])
 
+    doc, own, n_dropped, bits = fresh(docs, "doc", "hash", "n_dropped", "keep")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "__hash": hashed(text)})
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("doc_hash").alias("__hash"), F.col("n_dropped").cast("bigint").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    out = own.join(marks, ["__doc", "__hash"], "left")
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return out.withColumns({"__n_lines": n_lines.cast("bigint"), "__n_dropped": F.coalesce("__n_dropped", F.lit(0).cast("bigint")), text_col: F.when(F.col("__keep").isNull(), text).otherwise(keep(text, F.col("__keep")))}).drop("__doc", "__hash", "__keep")
-
-
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with their texts reduced to the kept lines, and __n_lines, __n_dropped."""
+    hashed = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    marks = bitmaps.select(F.col("doc").alias(doc), F.col("doc_hash").alias(own), F.col("n_dropped").cast("bigint").alias(n_dropped), F.col("keep").alias(bits))
+    out = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), own: hashed}).join(marks, [doc, own], "left")
+    more = {text_col: F.when(F.col(bits).isNull(), text).otherwise(keep(text, F.col(bits)))}
+    if counts:
+        n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+        more |= {counts[0]: n_lines.cast("bigint"), counts[1]: F.coalesce(n_dropped, F.lit(0).cast("bigint"))}
+    return out.withColumns(more).drop(doc, own, n_dropped, bits)
+
+
+def dedup_lines(docs: DataFrame, *, counts: tuple[str, str] | None = None, **options) -> DataFrame:
+    """docs with their texts reduced to the kept lines, and the counts asked for."""
     columns = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
-    return apply_bitmaps(docs, keep_bitmaps(docs, **options), **columns)
+    return apply_bitmaps(docs, keep_bitmaps(docs, **options), counts=counts, **columns)

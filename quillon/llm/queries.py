@@ -23,12 +23,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, with_ids=False).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, targets=packing.EQUAL, with_ids=False).drop("ids")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_warc_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), with_media=False).drop("media")
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_minhash_dedup, op3_mixture_packing, op4_line_dedup, op5_warc_write, op6_exact_dedup, op7_byte_bpe, op8_token_counts, op9_toxicity_chain, op10_png_media)}

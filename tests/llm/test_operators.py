@@ -2,14 +2,17 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillon.llm import bpe, line_dedup, media, packing, token_counts, toxicity, warc
@@ -28,7 +31,7 @@ def frame(spark, rows=TEXTS, parts=3):
 
 
 def key(line):
-    return line.strip(" \t\n\x0b\x0c\r").translate(line_dedup.UPPER)
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
 
 def test_line_dedup(spark):
@@ -43,9 +46,10 @@ def test_line_dedup(spark):
         keep = [x for x in lines if len(key(x)) < 10 or (big if i is None else i) == min(owner[key(x)])]
         want.append((i, "\n".join(keep), len(lines), len(lines) - len(keep)))
     for parts in (1, 5):
-        out = line_dedup.dedup_lines(frame(spark, parts=parts))
-        assert set(out.columns) == {*frame(spark).columns, "__n_lines", "__n_dropped"}
-        assert sorted(((r["doc_id"], r["text"], r["__n_lines"], r["__n_dropped"]) for r in out.collect()), key=str) == sorted(want, key=str)
+        out = line_dedup.dedup_lines(frame(spark, parts=parts).withColumn("Hash", F.lit("own")), counts=("lines", "dropped"))
+        assert set(out.columns) == {*frame(spark).columns, "Hash", "lines", "dropped"}
+        assert sorted(((r["doc_id"], r["text"], r["lines"], r["dropped"]) for r in out.collect()), key=str) == sorted(want, key=str)
+        assert {(r["Hash"], r["keep"]) for r in out.collect()} == {("own", "k")}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
@@ -114,46 +118,93 @@ def test_tokens_after_the_last_separator(spark, tmp_path):
     assert sorted(map(tuple, token_counts.unended(files, root, block_tokens=2).collect())) == [("x", 3), ("y", 2)]
 
 
+def round_robin(rows, ids, window, targets):
+    """Places of rows in the order in which the queues send them, window by window, with whole-number credits."""
+    queues = defaultdict(list)
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0)):
+        queues[rows[k][2]].append(k)
+    if targets is None:
+        share = {s: Fraction(sum(len(ids[k]) for k in q), sum(map(len, ids))) for s, q in queues.items()}
+    else:
+        share = {s: Fraction(1, len(queues)) if targets == packing.EQUAL else Fraction(round(targets.get(s, 0) * packing.SCALE), packing.SCALE) for s in queues}
+    order, sent, w, names = [], Counter(), 0, sorted(queues, key=lambda s: (s is not None, s or ""))
+    while any(share[s] and queues[s] for s in names):
+        for s in names:
+            while share[s] and queues[s] and sent[s] + len(ids[queues[s][0]]) <= share[s] * window * (w + 1):
+                order.append(queues[s].pop(0))
+                sent[s] += len(ids[order[-1]])
+        w += 1
+    return order + [k for s in names for k in queues[s]]
+
+
 def test_packing(spark):
     rnd = random.Random(5)
-    rows = TEXTS + [(100 + k, " ".join(rnd.choice(["alpha", "beta", "Gamma,", "δέλτα", "x1"]) for _ in range(rnd.randrange(1, 90))), rnd.choice("aaabc")) for k in range(150)]
+    rows = TEXTS + [(100 + k, " ".join(rnd.choice(["alpha", "beta", "Gamma,", "δέλτα", "x1", "ÀÉ'll", "İx", "a\u0301"]) for _ in range(rnd.randrange(1, 90))), rnd.choice("aaabc")) for k in range(150)]
     tok = Tokenizer.from_file(WORDS)
     ids = [tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t, _ in rows]
-    for targets in (None, {"a": 0.5, "b": 0.3, None: 0.1}):
-        got = packing.pack(frame(spark, rows), WORDS, length=256, targets=targets).collect()
-        seq = defaultdict(list)
-        for r in got:
-            piece = np.frombuffer(r["ids"], "<u4").tolist()
-            assert r["length"] == len(piece) and r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
-            seq[r["sequence_id"]].append((r["offset"], len(piece)))
-        for k, pieces in seq.items():
-            at = 0
-            for offset, n in sorted(pieces):
-                assert offset == at
-                at += n
-            assert at == 256 or k == max(seq)
-        assert sorted(seq) == list(range(len(seq)))
-        docs = Counter()
-        for r in got:
-            docs[(r["doc_id"], r["doc_tokens"], r["start"], r["length"], r["ids_crc32"])] += 1
-        own = [[x for x in got if (x["doc_id"], x["doc_tokens"]) == (i, len(e))] for (i, _, _), e in zip(rows, ids, strict=True)]
-        for (i, _, _), e, pieces in zip(rows, ids, own, strict=True):
-            assert any(np.frombuffer(p["ids"], "<u4").tolist() == e[p["start"] : p["start"] + p["length"]] for p in pieces), i
-        assert sum(r["length"] for r in got) == sum(map(len, ids))
-    assert packing.pack(frame(spark, []), WORDS).count() == 0
-
-
-def test_packing_keeps_the_mixture(spark):
+    for targets, length in ((None, 256), ({"a": 0.5, "b": 0.3, None: 0.1}, 256), (packing.EQUAL, 100), ({"zzz": 1.0, "b": 2.0}, 64)):
+        pieces = sorted(packing.pack(frame(spark, rows), WORDS, length=length, targets=targets).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+        at, found = 0, iter(pieces)
+        for k in round_robin(rows, ids, length, targets):
+            start = 0
+            while start < len(ids[k]):
+                r = next(found)
+                want = np.array(ids[k][start : start + length - at % length], "<u4").tobytes()
+                assert (r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"], r["doc_tokens"]) == (*divmod(at, length), rows[k][0], start, len(want) // 4, len(ids[k]))
+                assert bytes(r["ids"]) == want and r["ids_crc32"] == zlib.crc32(want)
+                start, at = start + len(want) // 4, at + len(want) // 4
+        assert next(found, None) is None
+    assert packing.pack(frame(spark, []), WORDS, targets=packing.EQUAL).count() == 0
+    for bad in ({"a": -1.0}, {"a": 0.0}, {}):
+        with pytest.raises(ValueError):
+            packing.pack(frame(spark, rows), WORDS, targets=bad)
+
+
+def test_packing_holds_the_targets_until_a_queue_is_dry(spark, tmp_path):
     rows = [(k, "alpha beta " * (3 + k % 5), "a" if k % 4 else "b") for k in range(400)]
-    stored = packing.tokenized(frame(spark, rows), WORDS)
-    total = {r["source"]: r["n"] for r in stored.groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
-    placed = sorted((r["at"], r["source"], r["n"]) for r in packing.plan(stored.drop("ids"), window=256).join(stored, "row").collect())
-    sent, upto = Counter(), 0
-    for at, source, n in placed:
-        assert at == upto
-        upto, sent[source] = upto + n, sent[source] + n
-        for s in total:  # a deficit is at most a window's credit and a document
-            assert abs(sent[s] - upto * total[s] / sum(total.values())) <= 256 + 20
+    stored = packing.tokenized(frame(spark, rows), f"file://{tmp_path}", WORDS).cache()
+    for targets in ({"a": 0.75, "b": 0.25}, {"a": 0.2, "b": 0.8}, packing.EQUAL):
+        share = {"a": 0.5, "b": 0.5} if targets == packing.EQUAL else targets
+        left = Counter(s for _, _, s in rows)
+        sent, upto = Counter(), 0
+        for r in sorted(packing.plan(stored, window=256, targets=targets).collect(), key=lambda r: r["at"]):
+            assert r["at"] == upto
+            upto, sent[r["source"]], left[r["source"]] = upto + r["n"], sent[r["source"]] + r["n"], left[r["source"]] - 1
+            if all(left.values()):  # a deficit is at most a window's credit and a document
+                assert all(abs(sent[s] - upto * share[s]) <= 256 + 20 for s in share)
+
+
+def test_words_as_the_tokenizer():
+    rnd, tok, words = random.Random(7), Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    texts = ["".join(rnd.choice("ab  \n\té漢1'sx🙂ÀZ\x1c\x85²½_ΣσςİıǅʼßẞÅǺ don't'LL.,;-<|\u0301") for _ in range(rnd.randrange(90))) for _ in range(3000)]
+    assert words.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def cosine_hash(payload):
+    """By the definition, sample by sample."""
+    rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+
+    def slices(n):
+        return [range(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1)) for k in range(32)]
+
+    small = [[sum(rows[y][x] for y in ys for x in xs) / len(ys) / len(xs) for xs in slices(64)] for ys in slices(len(rows))]
+    wave = [[math.cos(math.pi * (2 * k + 1) * u / 64) for k in range(32)] for u in range(8)]
+    half = [[sum(wave[u][x] * row[x] for x in range(32)) for u in range(8)] for row in small]
+    low = [round(sum(wave[v][y] * half[y][u] for y in range(32)), 6) for v in range(8) for u in range(8)]
+    middle = sum(sorted(low)[31:33]) / 2
+    return f"{int(''.join('01'[x > middle] for x in low), 2):016x}"
+
+
+def test_large_images_are_unfiltered_by_diagonals(monkeypatch):
+    rng = np.random.default_rng(4)
+    for step, high, wide in ((1, 300, 400), (3, 20, 31), (4, 7, 1)):
+        lines = np.concatenate([rng.integers(0, 5, (high, 1)), rng.integers(0, 256, (high, wide * step))], axis=1).astype(np.uint8)
+        lines[5 : high - 2, 0] = rng.integers(3, 5, max(0, high - 7))
+        found = []
+        for least in (0, 1 << 40):
+            monkeypatch.setattr(media, "DIAGONAL", least)
+            found.append(media._unfilter(lines, step))
+        assert (found[0] == found[1]).all()
 
 
 def test_png_media(spark):
@@ -162,7 +213,7 @@ def test_png_media(spark):
         raw = (t or "").encode()
         r, pay = got[(i, len(raw))], raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
-        assert media.decode(r["media"]).tobytes() == pay and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["feature"]) == 16
+        assert media.decode(r["media"]).tobytes() == pay and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and r["feature"] == cosine_hash(pay)
     assert media.media_columns(frame(spark, [])).count() == 0
 
 
