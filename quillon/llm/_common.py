@@ -64,9 +64,9 @@ def uncheckpointed(df: DataFrame) -> None:
         removed(df.sparkSession, file.get())
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that df doesn't have, in whatever case, made from names."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, *names: str, besides: tuple[str, ...] = ()) -> list[str]:
+    """Column names that neither df nor `besides` has, in whatever case, made from names."""
+    taken = {c.lower() for c in (*df.columns, *besides)}
     return [next(x for x in (n, *(f"{n}_{k}" for k in range(len(taken) + 1))) if x not in taken) for n in names]
 
 

@@ -190,7 +190,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
 
         return pd.Series([kept_lines(x, b) for x, b in zip(text, bits, strict=True)])
 
-    doc, own, n_dropped, bits = fresh(docs, "doc", "hash", "n_dropped", "keep")
+    doc, own, n_dropped, bits = fresh(docs, "doc", "hash", "n_dropped", "keep", besides=counts or ())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
     marks = bitmaps.select(F.col("doc").alias(doc), F.col("doc_hash").alias(own), F.col("n_dropped").cast("bigint").alias(n_dropped), F.col("keep").alias(bits))

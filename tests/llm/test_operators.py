@@ -46,9 +46,9 @@ def test_line_dedup(spark):
         keep = [x for x in lines if len(key(x)) < 10 or (big if i is None else i) == min(owner[key(x)])]
         want.append((i, "\n".join(keep), len(lines), len(lines) - len(keep)))
     for parts in (1, 5):
-        out = line_dedup.dedup_lines(frame(spark, parts=parts).withColumn("Hash", F.lit("own")), counts=("lines", "dropped"))
-        assert set(out.columns) == {*frame(spark).columns, "Hash", "lines", "dropped"}
-        assert sorted(((r["doc_id"], r["text"], r["lines"], r["dropped"]) for r in out.collect()), key=str) == sorted(want, key=str)
+        out = line_dedup.dedup_lines(frame(spark, parts=parts).withColumn("Hash", F.lit("own")), counts=("lines", "n_dropped"))
+        assert set(out.columns) == {*frame(spark).columns, "Hash", "lines", "n_dropped"}
+        assert sorted(((r["doc_id"], r["text"], r["lines"], r["n_dropped"]) for r in out.collect()), key=str) == sorted(want, key=str)
         assert {(r["Hash"], r["keep"]) for r in out.collect()} == {("own", "k")}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
