@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.status import INTENT
 from quillon.operators import cluster, rank, support
 
 # Supports of the dense arms, by arm; None is the global support.
@@ -19,25 +22,67 @@ DENSE = {
 }
 
 
-def dense_arm(pairs: DataFrame, arm: str, top_k: int = 100) -> DataFrame:
-    """ARM2, ARM5-10."""
-    rows = pairs if DENSE[arm] is None else pairs.where(DENSE[arm]())
-    return rank.top_k(rank.dense(rows), top_k).withColumn("setting_id", F.lit(arm))
+# A query's class, by which a memory's place in a support can be told ahead: its intent and purpose.
+CLASSES = [(i, p) for i in INTENT for p in ("content_disclosure", "operation_trace")]
+
+
+def query_class() -> Column:
+    """The place in CLASSES; purposes other than content disclosure count as one."""
+    intent = F.coalesce(*[F.when(F.col("intent") == x, F.lit(2 * k)) for k, x in enumerate(INTENT)], F.lit(2 * INTENT.index("unknown")))
+    return intent + F.when(F.col("purpose") == "content_disclosure", 0).otherwise(1)
 
 
-def dense_arms(pairs: DataFrame, arms: list[str], top_k: int = 100) -> DataFrame:
-    """Several dense arms in one pass: a pair's score is computed once and counts in every arm whose support holds it."""
-    scored = rank.dense(pairs)
-    held: list[Column] = [F.when(F.lit(True) if DENSE[a] is None else DENSE[a](), F.lit(a)) for a in arms]
-    rows = scored.withColumn("setting_id", F.explode(F.array_compact(F.array(*held))))
-    return rank.top_k(rows.drop("q_embedding", "m_embedding"), top_k, ["setting_id", "query_id"])
+def with_support_bits(memories: DataFrame, names: list[str]) -> DataFrame:
+    """memories with `fact`: bit class * len(names) + arm tells if the arm's support holds the memory for queries of the class in its namespace."""
+    if len(CLASSES) * len(names) > 62:
+        raise ValueError("too many arms for one pass")
+    out = memories.withColumns({"fact": F.lit(0).cast("bigint"), "namespace": F.col("memory_namespace")})
+    for c, (intent, purpose) in enumerate(CLASSES):
+        out = out.withColumns({"intent": F.lit(intent), "purpose": F.lit(purpose)})
+        held = [F.when(F.coalesce(F.lit(True) if DENSE[a] is None else DENSE[a](), F.lit(False)), F.lit(1 << (c * len(names) + k))).otherwise(F.lit(0)) for k, a in enumerate(names)]
+        out = out.withColumn("fact", sum(held, F.col("fact")))
+    return out.drop("namespace", "intent", "purpose")
 
 
-def route_stats(pairs: DataFrame, arms: list[str]) -> DataFrame:
-    """candidates_scored and route_width of the direct arms, for every query."""
-    held: list[Column] = [F.count_if(F.lit(True) if DENSE[a] is None else DENSE[a]()).alias(a) for a in arms]
-    wide = pairs.groupBy("query_id", "source", "group_id").agg(*held)
-    long = wide.select("query_id", "source", "group_id", F.explode(F.array(*[F.struct(F.lit(a).alias("setting_id"), F.col(a).alias("candidates_scored")) for a in arms])).alias("x"))
+def dense_arms(queries: DataFrame, memories: DataFrame, names: list[str], top_k: int = 100) -> DataFrame:
+    """ARM2, ARM5-10: rankings of several dense arms (setting_id, query_id, memory_id, rank, score), by blocks.
+
+    Arms other than the global one meet memories of their own namespace only, in one pass for all.
+    """
+    found = []
+    for own in ([a for a in names if DENSE[a] is None], [a for a in names if DENSE[a] is not None]):
+        if own:
+            key = (lambda c: F.lit("")) if DENSE[own[0]] is None else F.col
+            q = queries.select(key("namespace").alias("key"), "query_id", query_class().alias("fact"), "q_embedding")
+            m = with_support_bits(memories, own).select(key("memory_namespace").alias("key"), "memory_id", "fact", "m_embedding")
+            best = rank.blocked_dense(q, m, top_k, arms=len(own))
+            named = F.array_compact(F.array(*[F.when(F.col("held").bitwiseAND(1 << k) != 0, F.lit(a)) for k, a in enumerate(own)]))
+            found.append(best.withColumn("setting_id", F.explode(named)).drop("held"))
+    return rank.top_k(reduce(DataFrame.unionByName, found), top_k, ["setting_id", "query_id"])
+
+
+def dense_arm(queries: DataFrame, memories: DataFrame, arm: str, top_k: int = 100) -> DataFrame:
+    return dense_arms(queries, memories, [arm], top_k)
+
+
+def route_stats(queries: DataFrame, memories: DataFrame, names: list[str]) -> DataFrame:
+    """candidates_scored and route_width of the direct arms for every query, from counts by kind of memory: no row a pair."""
+    kinds = ["memory_namespace", "lifecycle_state", "content_allowed", "trace_allowed"]
+    bits = with_support_bits(memories.select("memory_id", *kinds), names)
+    counts = bits.groupBy("memory_namespace", "fact").agg(F.count("*").alias("n"))  # a row a kind
+    asked = queries.select("query_id", "source", "group_id", "namespace", query_class().alias("class"))
+    own = asked.join(bits.select(F.col("memory_id").alias("query_id"), F.col("fact").alias("own_fact")), "query_id", "left")
+
+    def holds(fact: str, k: int) -> Column:
+        return F.coalesce(F.col(fact).bitwiseAND(F.expr(f"shiftleft(1L, cast(class * {len(names)} + {k} as int))")) != 0, F.lit(False))
+
+    # What a class finds in each namespace; the query itself isn't a candidate.
+    classes = asked.select("namespace", "class").distinct().join(counts, F.col("namespace") == F.col("memory_namespace"))
+    in_namespace = classes.groupBy("namespace", "class").agg(*[F.sum(F.when(holds("fact", k), F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(names))])
+    total = memories.agg(F.count("*").alias("total"))  # one row
+    wide = own.join(in_namespace, ["namespace", "class"], "left").crossJoin(F.broadcast(total))
+    scored = [F.col("total") - F.col("own_fact").isNotNull().cast("int") if DENSE[a] is None else F.coalesce(f"n{k}", F.lit(0)) - holds("own_fact", k).cast("int") for k, a in enumerate(names)]
+    long = wide.select("query_id", "source", "group_id", F.explode(F.array(*[F.struct(F.lit(a).alias("setting_id"), c.cast("bigint").alias("candidates_scored")) for a, c in zip(names, scored, strict=True)])).alias("x"))
     return long.select("x.setting_id", "source", "group_id", "query_id", "x.candidates_scored", (F.col("x.candidates_scored") > 0).cast("int").alias("route_width"))
 
 
@@ -85,9 +130,9 @@ def cluster_router(pairs: DataFrame, memories: DataFrame, *, alpha: float = 1.0,
     return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), members, top_l=top_l, beta=beta, gamma=gamma, tau=tau)), top_k)
 
 
-def post_filters(pairs: DataFrame, depths: list[int], limit: int) -> DataFrame:
+def post_filters(queries: DataFrame, memories: DataFrame, depths: list[int], limit: int) -> DataFrame:
     """ARM25-27: one global ranking, the namespace mask over its first d ranks, then the cut."""
-    ranked = rank.top_k(rank.dense(pairs), max(depths)).drop("q_embedding", "m_embedding")
+    ranked = dense_arm(queries, memories, "global_dense", max(depths)).join(queries.select("query_id", "namespace"), "query_id").join(memories.select("memory_id", "memory_namespace"), "memory_id")
     return support.rerank(ranked.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).where((F.col("rank") <= F.col("depth")) & support.in_namespace()), ["depth", "query_id"], limit)
 
 

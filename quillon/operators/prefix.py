@@ -38,15 +38,22 @@ def matched(rows: DataFrame, keys: list[str], hit: Column, target: Column | floa
     return out.withColumn("inside", F.coalesce((F.col("rank") <= F.col("__first")) & (target > 0), F.lit(False)))
 
 
-def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float) -> DataFrame:
+def assessed(rankings: DataFrame, labels: DataFrame) -> DataFrame:
+    """JOI1: ranked rows with their labels; one that has none raises, for without it ranks and prefixes would shift."""
+    known = labels.withColumn("__known", F.lit(True))
+    out = rankings.join(known, ["query_id", "memory_id"], "left")
+    checked = F.when(F.col("__known"), F.col("rank")).otherwise(F.raise_error(F.lit("a ranked memory has no assessment")).cast("int"))
+    return out.withColumn("rank", checked).drop("__known")
+
+
+def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float, anchors: DataFrame) -> DataFrame:
     """SCO4: a row for each of `runs` (setting_id, source, group_id, query_id, candidates_scored, route_width).
 
-    No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
+    labels: of the ranked pairs at least, a row each; anchors: query_id, anchor_total over all of a query's
+    candidates. No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
     an empty prefix, whose rates are NULL.
     """
-    known = labelled(labels)
-    anchors = known.groupBy("query_id").agg(_count(F.col("usable")).alias("anchor_total"))
-    rows = rankings.select("setting_id", "query_id", "memory_id", "rank").join(known, ["query_id", "memory_id"]).join(anchors, "query_id")
+    rows = labelled(assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)).join(anchors, "query_id")
     rows = matched(rows, ["setting_id", "query_id"], F.col("usable"), target)
     inside, rel, adm = F.col("inside"), F.col("relevant"), F.col("admissible")
     n = F.count_if(inside)
@@ -80,7 +87,7 @@ def score_matched_recall(rankings: DataFrame, statuses: DataFrame, anchors: Data
 
     statuses: query_id, memory_id, anchor, full, residual; anchors: query_id, anchor_total (> 0).
     """
-    rows = rankings.join(statuses, ["query_id", "memory_id"]).join(anchors, "query_id").crossJoin(F.broadcast(grid))  # the grid is a handful of settings
+    rows = assessed(rankings.join(anchors, "query_id"), statuses).crossJoin(F.broadcast(grid))  # the grid is a handful of settings
     keys = ["setting_id", "query_id", "target", "cost"]
     rows = matched(rows, keys, F.col("anchor"), F.col("target"))
     inside, n = F.col("inside"), F.count_if(F.col("inside"))

@@ -59,34 +59,70 @@ def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     return a.join(c, ["query_id", "memory_id"]).withColumn("score", 1 / (k + F.col("r1")) + 1 / (k + F.col("r2")))
 
 
-def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
-    """RNK15: exact dense top-k by matrix products, without a row per pair.
+PACKED = "key string, ids binary, facts binary, vectors binary"
 
-    Queries form blocks of at most `block` rows. Each task multiplies its memories with one block at a time and
-    passes on its own k best a query; those few meet in one ranking. The queries reach the tasks by a join
-    on the block, so nothing is broadcast and memory is bounded by block and batch.
+
+def _packed(most: int):
+    """Rows (key, id, fact, vector), those of a key together, as matrices of `most` rows of one key at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            ids, facts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            vectors, lengths = batch.column(3), batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                for lo in range(first, end, most):
+                    hi = min(lo + most, end)
+                    if len(set(lengths[lo:hi].tolist())) != 1:
+                        raise ValueError("vectors differ in dimension")
+                    values = vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[lo]]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (ids[lo:hi].astype(np.int64), facts[lo:hi].astype(np.int64), values.astype(np.float64)))], names=["key", "ids", "facts", "vectors"])
+
+    return run
+
+
+def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int = 1, block: int = 1024, chunk: int = 4096, slices: int = 16) -> DataFrame:
+    """RNK15: exact dense top-k of several arms by matrix products, without a row per pair: query_id, memory_id, score, held.
+
+    queries: key, query_id, fact (the query's class, from 0), q_embedding; memories: key, memory_id, fact, m_embedding.
+    A query meets the memories of its key but itself; bit class * arms + arm of a memory's fact tells if
+    that arm's support holds it for that class; bit `arm` of `held` if it is among the arm's k best there. A
+    task multiplies `block` queries with `chunk` memories at a time and passes on each arm's k best and their
+    ties; those few meet in one ranking. A key's blocks and chunks are dealt over block x slices tasks, so
+    neither a hot key nor many queries gather in one, and nothing is broadcast.
     """
     n_blocks = max(1, -(-queries.count() // block))
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "q_embedding")
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q_embedding")).alias("qs"))  # at most about `block` rows each
-    spread = memories.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), "memory_id", "m_embedding", F.pmod(F.xxhash64("memory_id"), F.lit(64)).alias("slice"))
-
-    schema = "query_id bigint, memory_id bigint, score double"
+    place, part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("memory_id"), F.lit(slices))
+    q = queries.select("key", "query_id", F.col("fact").cast("bigint"), "q_embedding", place.alias("block")).repartition("key", "block").sortWithinPartitions("key", "block")
+    m = memories.select("key", "memory_id", F.col("fact").cast("bigint"), "m_embedding", part.alias("slice")).repartition("key", "slice").sortWithinPartitions("key")
+    q_packed = q.select("key", "query_id", "fact", "q_embedding").mapInArrow(_packed(block), PACKED).select(F.col("key"), F.col("ids").alias("q_ids"), F.col("facts").alias("q_facts"), F.col("vectors").alias("q_vectors"))
+    q_packed = q_packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    m_packed = m.select("key", "memory_id", "fact", "m_embedding").mapInArrow(_packed(chunk), PACKED).withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                qs, ms = r["qs"], r["ms"]
-                scores = np.array([x["q_embedding"] for x in qs]) @ np.array([x["m_embedding"] for x in ms]).T
-                ids = np.array([x["memory_id"] for x in ms])
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x["query_id"] for x in qs], order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                    names=["query_id", "memory_id", "score"],
-                )
-
-    size = Window.partitionBy("block", "slice").orderBy("memory_id")
-    cut = spread.withColumn("part", F.floor((F.row_number().over(size) - 1) / block))
-    ms = cut.groupBy("block", "slice", "part").agg(F.collect_list(F.struct("memory_id", "m_embedding")).alias("ms"))
-    return top_k(ms.join(packed, "block").select("qs", "ms").mapInArrow(best, schema), k)
+            for columns in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                q_ids, classes, m_ids, facts = (np.frombuffer(columns[i], np.int64) for i in (0, 1, 3, 4))
+                a, b = (np.frombuffer(columns[i], np.float64).reshape(len(ids), -1) for i, ids in ((2, q_ids), (5, m_ids)))
+                if a.shape[1] != b.shape[1]:
+                    raise ValueError("vectors differ in dimension")
+                scores = a @ b.T
+                if not np.isfinite(scores).all():
+                    raise ValueError("scores must be finite")
+                scores[q_ids[:, None] == m_ids] = -np.inf
+                held = np.zeros(scores.shape, np.int64)
+                for c in np.unique(classes):
+                    rows = np.flatnonzero(classes == c)
+                    for arm in range(arms):
+                        inside = (facts >> (int(c) * arms + arm)) & 1 == 1
+                        own = scores[np.ix_(rows, inside)]
+                        if not own.shape[1]:
+                            continue
+                        least = np.partition(own, -k, axis=1)[:, -k, None] if own.shape[1] > k else np.full((len(rows), 1), -np.inf)
+                        held[np.ix_(rows, inside)] |= ((own >= least) & (own > -np.inf)).astype(np.int64) << arm
+                i, j = np.nonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(m_ids[j]), pa.array(scores[i, j]), pa.array(held[i, j])], names=["query_id", "memory_id", "score", "held"])
+
+    met = q_packed.join(m_packed, ["key", "place"]).select("q_ids", "q_facts", "q_vectors", "ids", "facts", "vectors")
+    return met.mapInArrow(best, "query_id bigint, memory_id bigint, score double, held bigint")

@@ -62,9 +62,13 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _arms(spark: SparkSession, sf_dir: str, names: list[str], top: int) -> DataFrame:
+    return arms.dense_arms(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names, top)
+
+
 def _dense_query(arm: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _ranked(arms.dense_arm(model.pairs(spark, sf_dir), arm, TOP))
+        return _ranked(_arms(spark, sf_dir, [arm], TOP))
 
     return run
 
@@ -108,10 +112,11 @@ def arm_global_recency_dense(spark, sf_dir):
 
 @register("rank_blocked_dense", SQL["arm_global_dense"])
 def rank_blocked_dense(spark, sf_dir):
-    """Self-matches leave after the cut, so one rank more is asked for."""
+    """Small blocks and chunks, so that rankings of several tasks meet."""
     q, m = model.queries(spark, sf_dir), model.memories(spark, sf_dir)
-    found = rank.blocked_dense(q.select("query_id", "q_embedding"), m.select("memory_id", "m_embedding"), TOP + 1).where("query_id <> memory_id")
-    return _ranked(support.rerank(found, ["query_id"], TOP))
+    every = F.lit("").alias("key")
+    found = rank.blocked_dense(q.select(every, "query_id", F.lit(0).alias("fact"), "q_embedding"), m.select(every, "memory_id", F.lit(1).alias("fact"), "m_embedding"), TOP, block=16, chunk=128)
+    return _ranked(rank.top_k(found, TOP))
 
 
 @register("arm_threshold_router")
@@ -131,7 +136,7 @@ stats AS (SELECT arm AS setting_id, source, q_group AS group_id, query_id, CAST(
 
 @register("route_stats", f"{STATS} SELECT *, CAST(candidates_scored > 0 AS INT) AS route_width FROM stats")
 def route_stats(spark, sf_dir):
-    return arms.route_stats(model.pairs(spark, sf_dir), DIRECT)
+    return arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), DIRECT)
 
 
 def _scores_sql(target: float, depth: str = f"rank <= {TOP}") -> str:
@@ -163,8 +168,9 @@ SCORE_COLUMNS = ["setting_id", "source", "group_id", "query_id", "candidates_sco
 
 
 def _scores(spark: SparkSession, sf_dir: str, target: float, names: list[str] = DIRECT, top: int = TOP) -> DataFrame:
-    p = model.pairs(spark, sf_dir)
-    return prefix.score_route(arms.dense_arms(p, names, top), model.assessments(spark, sf_dir), arms.route_stats(p, names), target)
+    ranked = _arms(spark, sf_dir, names, top)
+    runs = arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names)
+    return prefix.score_route(ranked, model.assessments(spark, sf_dir, ranked), runs, target, model.anchors(spark, sf_dir))
 
 
 @register("route_scores", f"{_scores_sql(0.5)} SELECT {', '.join(SCORE_COLUMNS)}, {_ROUND} FROM scores")
@@ -212,17 +218,17 @@ _PARETO = " UNION ALL ".join(f"SELECT * FROM ({_scores_sql(0.2, f'rank <= {d}')}
 @register("top_k_pareto", f"SELECT setting_id, round(f, 6) AS feasible_rate, round(r, 6) AS mean_evidence_recall, round(m, 6) AS mean_matched_prefix_count FROM ({_PARETO})")
 def top_k_pareto(spark, sf_dir):
     names = ["global_dense", "namespace_dense"]
-    p = model.pairs(spark, sf_dir)
-    ranked = aggregate.depths(arms.dense_arms(p, names, max(DEPTHS)).select("setting_id", "query_id", "memory_id", "rank"), DEPTHS)
-    runs = arms.route_stats(p, names).withColumn("d", F.explode(F.array(*map(F.lit, DEPTHS)))).withColumn("setting_id", F.concat_ws("@", "setting_id", "d")).drop("d")
-    scores = aggregate.aggregate_scores(prefix.score_route(ranked, model.assessments(spark, sf_dir), runs, 0.2), ["setting_id"])
+    deepest = _arms(spark, sf_dir, names, max(DEPTHS)).select("setting_id", "query_id", "memory_id", "rank")
+    ranked = aggregate.depths(deepest, DEPTHS)
+    runs = arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names).withColumn("d", F.explode(F.array(*map(F.lit, DEPTHS)))).withColumn("setting_id", F.concat_ws("@", "setting_id", "d")).drop("d")
+    scores = aggregate.aggregate_scores(prefix.score_route(ranked, model.assessments(spark, sf_dir, deepest), runs, 0.2, model.anchors(spark, sf_dir)), ["setting_id"])
     return scores.select("setting_id", *[F.round(c, 6).alias(c) for c in ("feasible_rate", "mean_evidence_recall", "mean_matched_prefix_count")])
 
 
 @register("post_filters", f"""{MODEL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs), d(depth) AS (VALUES (20), (100), (500)),
 m AS (SELECT depth, query_id, memory_id, row_number() OVER (PARTITION BY depth, query_id ORDER BY rank) AS rank FROM g, d WHERE rank <= depth AND scope_ok) SELECT depth, query_id, memory_id, CAST(rank AS INT) AS rank FROM m WHERE rank <= 20""")
 def post_filters(spark, sf_dir):
-    return arms.post_filters(model.pairs(spark, sf_dir), [20, 100, 500], 20).select("depth", "query_id", "memory_id", "rank")
+    return arms.post_filters(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), [20, 100, 500], 20).select("depth", "query_id", "memory_id", "rank")
 
 
 def uniform_sql(*parts: str) -> str:
@@ -253,11 +259,11 @@ SELECT query_id, target, cost, round(got / t, 6) AS evidence_recall, got / t >=
 
 @register("support_control_scores", _CONTROL)
 def support_control_scores(spark, sf_dir):
-    known = prefix.labelled(model.assessments(spark, sf_dir))
+    ranked = _arms(spark, sf_dir, ["namespace_dense"], TOP).select("setting_id", "query_id", "memory_id", "rank")
+    known = prefix.labelled(model.assessments(spark, sf_dir, ranked))
     statuses = known.select("query_id", "memory_id", F.coalesce("usable", F.lit(False)).alias("anchor"), F.col("admissible").alias("full"), (F.col("policy_ok") & F.col("lifecycle_ok")).alias("residual"))
-    totals = statuses.groupBy("query_id").agg(F.count_if("anchor").alias("anchor_total")).where("anchor_total > 0")
+    totals = model.anchors(spark, sf_dir).where("anchor_total > 0")
     grid = spark.createDataFrame([(t, c) for t in (0.2, 0.5, 0.8) for c in (0.5, 1.0)], "target double, cost double")
-    ranked = arms.dense_arm(model.pairs(spark, sf_dir), "namespace_dense", TOP).select("setting_id", "query_id", "memory_id", "rank")
     out = prefix.score_matched_recall(ranked, statuses, totals, grid).drop("setting_id")
     return out.withColumns(r6("evidence_recall", "penalized_full", "penalized_residual"))
 
@@ -356,9 +362,8 @@ SELECT setting_id, count(*) AS kept, CAST(sum(rank) AS BIGINT) AS rank_sum, coun
 def natural_gates(spark, sf_dir):
     from quillon.functions.scalar import uniform
 
-    p = model.pairs(spark, sf_dir)
-    frozen = arms.dense_arms(p, ["global_dense", "namespace_dense"], 20).select(F.when(F.col("setting_id") == "global_dense", "global").otherwise("namespace").alias("arm"), "query_id", "memory_id", "rank")
-    frozen = frozen.join(model.assessments(spark, sf_dir), ["query_id", "memory_id"]).withColumns({"admissible": admissible_status(F.col("scope_ok"), F.col("policy_ok"), F.col("lifecycle_ok")), "verifier": uniform("v", F.col("query_id"), F.col("memory_id"))})
+    frozen = _arms(spark, sf_dir, ["global_dense", "namespace_dense"], 20).select(F.when(F.col("setting_id") == "global_dense", "global").otherwise("namespace").alias("arm"), "query_id", "memory_id", "rank")
+    frozen = prefix.assessed(frozen, model.assessments(spark, sf_dir, frozen)).withColumns({"admissible": admissible_status(F.col("scope_ok"), F.col("policy_ok"), F.col("lifecycle_ok")), "verifier": uniform("v", F.col("query_id"), F.col("memory_id"))})
     gated = arms.natural_gates(frozen, 0.6)
     return gated.groupBy("setting_id").agg(F.count("*").alias("kept"), F.sum(F.col("rank").cast("bigint")).alias("rank_sum"), F.count_if(~F.col("admissible")).alias("violations"), F.count_if(F.col("admissible").isNull()).alias("unresolved"))
 
@@ -368,9 +373,8 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.functions.scalar import uniform
     from quillon.operators import paired
 
-    p = model.pairs(spark, sf_dir)
-    frozen = arms.dense_arm(p, "namespace_dense", 20).select("query_id", "memory_id", "rank")
-    known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
+    frozen = _arms(spark, sf_dir, ["namespace_dense"], 20).select("query_id", "memory_id", "rank")
+    known = prefix.labelled(model.assessments(spark, sf_dir, frozen)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
     cases = frozen.select(F.col("query_id").alias("case_id"), "rank", "memory_id")
     predictions = cases.select("case_id", F.col("rank").alias("position"), uniform("pv", F.col("case_id"), F.col("rank")).alias("p_violation"), uniform("pu", F.col("case_id"), F.col("rank")).alias("p_unknown"))
     scores = paired.verifier_scores(cases, predictions).withColumnRenamed("case_id", "query_id")
@@ -399,9 +403,7 @@ def calibrated(candidates: DataFrame, cases: DataFrame, calibration: Column, gri
 
 @register("calibrated_gates")
 def calibrated_gates(spark, sf_dir):
-    known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
-    anchors = known.groupBy("query_id").agg(F.count_if("anchor").alias("anchor_total")).where("anchor_total > 0")
-    cases = anchors.join(model.queries(spark, sf_dir).select("query_id", "source"), "query_id")
+    cases = model.anchors(spark, sf_dir).where("anchor_total > 0").join(model.queries(spark, sf_dir).select("query_id", "source"), "query_id")
     grid = spark.createDataFrame([(v, u) for v in (0.5, 0.7, 0.9) for u in (0.2, 0.6, None)], "v double, u double")
     candidates = _verified(spark, sf_dir).join(cases.select("query_id"), "query_id", "left_semi")
     scores = calibrated(candidates, cases, classify.hash_split(F.col("query_id"), "cal", 0.5), grid, 0.5, 0.2)
@@ -412,9 +414,10 @@ def calibrated_gates(spark, sf_dir):
 
 @register("fixed_route_scores")
 def fixed_route_scores(spark, sf_dir):
-    known = prefix.labelled(model.assessments(spark, sf_dir)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
-    cases = known.groupBy("query_id").agg(F.count_if("anchor").alias("anchor_total")).where("anchor_total > 0").withColumn("setting_id", F.lit("namespace_dense"))
-    route = arms.dense_arm(model.pairs(spark, sf_dir), "namespace_dense", TOP).select("setting_id", "query_id", "memory_id", "rank").join(known, ["query_id", "memory_id"])
+    ranked = _arms(spark, sf_dir, ["namespace_dense"], TOP).select("setting_id", "query_id", "memory_id", "rank")
+    known = prefix.labelled(model.assessments(spark, sf_dir, ranked)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
+    cases = model.anchors(spark, sf_dir).where("anchor_total > 0").withColumn("setting_id", F.lit("namespace_dense"))
+    route = prefix.assessed(ranked, known)
     return prefix.score_fixed_route(route, cases, 0.2)
 
 

@@ -8,10 +8,10 @@ id / 20 alternates intents and purposes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.status import lifecycle_compatible
+from quillon.functions.status import admissible_status, lifecycle_compatible, usable_status
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,18 +38,42 @@ def queries(spark: SparkSession, sf_dir: str, *, with_text: bool = False) -> Dat
     )
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routing fields of memories only."""
+    return memories(spark, sf_dir).select("memory_id", "memory_namespace", "m_embedding", "released_order", "lifecycle_state", (F.col("toxic") == 0).alias("content_allowed"), (F.col("quality") == 1).alias("trace_allowed"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI2-4: every query with every other memory, and the routing fields only. The queries are broadcast if Spark finds them small."""
-    m = memories(spark, sf_dir)
-    side = m.select("memory_id", "memory_namespace", "m_embedding", "released_order", "lifecycle_state", (F.col("toxic") == 0).alias("content_allowed"), (F.col("quality") == 1).alias("trace_allowed"))
-    return queries(spark, sf_dir).drop("q_label").join(side, F.col("query_id") != F.col("memory_id"))
+    """JOI2-4: every query with every other memory, for what needs each pair. The queries are broadcast if Spark finds them small."""
+    return queries(spark, sf_dir).drop("q_label").join(candidates(spark, sf_dir), F.col("query_id") != F.col("memory_id"))
 
 
-def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scorer-only labels of every query and memory."""
-    m = memories(spark, sf_dir).select("memory_id", F.col("memory_namespace").alias("m_ns"), "label", "quality", "toxic", F.col("lifecycle_state").alias("state"))
-    rows = queries(spark, sf_dir).select("query_id", "namespace", "intent", "q_label").join(m, F.col("query_id") != F.col("memory_id"))
-    return rows.select(
-        "query_id", "memory_id", F.when(F.col("label") != F.col("q_label"), F.lit(False)).otherwise(F.col("quality") == 1).alias("relevant"),
+def _assessed() -> list[Column]:
+    return [
+        F.when(F.col("label") != F.col("q_label"), F.lit(False)).otherwise(F.col("quality") == 1).alias("relevant"),
         (F.col("namespace") == F.col("m_ns")).alias("scope_ok"), (F.col("toxic") == 0).alias("policy_ok"), lifecycle_compatible(F.col("state"), F.col("intent")).alias("lifecycle_ok"),
-    )
+    ]
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = memories(spark, sf_dir).select("memory_id", F.col("memory_namespace").alias("m_ns"), "label", "quality", "toxic", F.col("lifecycle_state").alias("state"))
+    return queries(spark, sf_dir).select("query_id", "namespace", "intent", "q_label"), m
+
+
+def assessments(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """Scorer-only labels of the ranked pairs (query_id, memory_id)."""
+    q, m = _sides(spark, sf_dir)
+    rows = ranked.select("query_id", "memory_id").distinct().join(q, "query_id").join(m, "memory_id")
+    return rows.select("query_id", "memory_id", *_assessed())
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and anchor_total of every query: its usable memories, from counts by kind of memory, without a row a pair."""
+    q, m = _sides(spark, sf_dir)
+    kinds = m.groupBy("m_ns", "label", "state", "quality", "toxic").agg(F.count("*").alias("n"))  # a row a kind
+    usable = usable_status(F.col("relevant"), admissible_status(F.col("scope_ok"), F.col("policy_ok"), F.col("lifecycle_ok")))
+    asked = q.select("namespace", "intent", "q_label").distinct()
+    of_kind = asked.join(kinds, (F.col("namespace") == F.col("m_ns")) & (F.col("q_label") == F.col("label"))).select("namespace", "intent", "q_label", "n", *_assessed()).where(usable).groupBy("namespace", "intent", "q_label").agg(F.sum("n").alias("n"))
+    own = q.join(m, F.col("query_id") == F.col("memory_id")).select("query_id", *_assessed()).where(usable).select("query_id", F.lit(1).alias("own"))
+    found = q.join(of_kind, ["namespace", "intent", "q_label"], "left").join(own, "query_id", "left")
+    return found.select("query_id", (F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("bigint").alias("anchor_total"))
