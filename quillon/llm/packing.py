@@ -35,7 +35,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +45,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm._common import Scratch, checkpointed, filesystem, scratch, uncheckpointed, written
 
-MEMO = 1 << 19
-SPLIT = "<|startoftext|>"
+MEMO, LONG = 1 << 19, 64  # entries of a memo before it is emptied, and characters of the longest
 PLAIN = r"[!-~\u00A1-\u024F]+"  # Latin without blanks and combining marks: in normal form already, and lower-cased letter by letter
 EQUAL = "equal"
 SCALE = 10**9  # targets are rounded to so many parts
@@ -63,76 +61,59 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class _Memo(dict):
+    """Answers that are worked out where they are missing; `learn` decides what is kept."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        return self.learn(key)
+
+
 class Words:
     """Token ids of texts by a tokenizer that never joins across a blank, word by word with two memos.
 
     `pieces` holds the ids of the tokenizer's own pre-tokens (lower case, letters apart from marks and
     digits), which are far fewer than words as they stand in texts; `memo` those of such words. Latin words
     are lower-cased and split here, and only new pre-tokens go to the tokenizer's model; all other words go
-    through the tokenizer as they are, set apart by a special token's text, and those that hold any special
-    token's text go alone.
+    through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.special = self.tokenizer.token_to_id(SPLIT)
+        self.memo, self.pieces = _Memo(self._word), _Memo(self._piece)
         self.blank = regex.compile(r"[ \n\t\r]").split
         self.plain = regex.compile(PLAIN).fullmatch
         self.split = regex.compile(next(x["pattern"]["Regex"] for x in json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
         self.letters = dict(enumerate(_byte_letters()))
+        self.of_model = self.tokenizer.model.tokenize
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-
-    def _as_they_are(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 1000):
-            part = words[lo : lo + 1000]
-            ids = self._ids(SPLIT.join(part))
-            cuts = np.flatnonzero(ids == self.special)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer joined words")
-            data = ids.tobytes()
-            ends = (2 * cuts).tolist()
-            for w, a, b in zip(part, [0, *(x + 2 for x in ends)], [*ends, len(data)], strict=True):
-                self.memo[w] = data[a:b]
-
-    def _in_pieces(self, words: list[str]) -> None:
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        known, of_model = self.pieces, self.tokenizer.model.tokenize
-        cut = [[w] if w.isalpha() else self.split(w) for w in " ".join(words).lower().split(" ")]
-        for x in set(chain.from_iterable(cut)).difference(known):
-            ids = [t.id for t in of_model(x if x.isascii() else x.encode().decode("latin-1").translate(self.letters))]
-            known[x] = struct.pack(f"<{len(ids)}H", *ids)
-        for w, own in zip(words, cut, strict=True):
-            self.memo[w] = known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own])
-
-    def learn(self, words: list[str]) -> None:
-        alone = [w for w in words if "<|" in w]
-        for w in alone:
-            self.memo[w] = self._ids(w).tobytes()
-        rest = [w for w in words if "<|" not in w] if alone else words
-        plain = [w for w in rest if self.plain(w)]
-        if len(plain) < len(rest):
-            self._as_they_are([w for w in rest if not self.plain(w)])
-        if plain:
-            self._in_pieces(plain)
+    def _piece(self, x: str) -> bytes:
+        ids = [t.id for t in self.of_model(x if x.isascii() else x.encode().decode("latin-1").translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}H", *ids)
+        if len(x) <= LONG:
+            self.pieces[x] = out
+        return out
+
+    def _word(self, w: str) -> bytes:
+        if self.plain(w) and "<|" not in w:  # special tokens begin so
+            low = w.lower()
+            out = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.split(low)))
+        else:
+            out = np.asarray(self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids, "<u2").tobytes()
+        if len(w) <= LONG:
+            self.memo[w] = out
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        split = [self.blank(x) if "\t" in x or "\r" in x else x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*split).difference(self.memo)
-        self.learn(list(new))
-        known = self.memo.__getitem__
-        out = [b"".join(map(known, x)) for x in split]
-        for w in new:
-            if len(w) > 64:
-                del self.memo[w]
-        return out
+        for known in (self.memo, self.pieces):
+            if len(known) > MEMO:
+                known.clear()
+        of_word = self.memo.__getitem__
+        return [b"".join(map(of_word, self.blank(x) if "\t" in x or "\r" in x else x.replace("\n", " ").split(" "))) for x in texts]
 
 
 @lru_cache(2)
