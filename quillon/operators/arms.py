@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.status import INTENT
+from quillon.functions.status import INTENT, LIFECYCLE
 from quillon.operators import cluster, rank, support
 
 # Supports of the dense arms, by arm; None is the global support.
@@ -22,6 +22,28 @@ DENSE = {
 }
 
 
+def dense_arm(pairs: DataFrame, arm: str, top_k: int = 100) -> DataFrame:
+    """ARM2, ARM5-10."""
+    rows = pairs if DENSE[arm] is None else pairs.where(DENSE[arm]())
+    return rank.top_k(rank.dense(rows), top_k).withColumn("setting_id", F.lit(arm))
+
+
+def dense_arms(pairs: DataFrame, arms: list[str], top_k: int = 100) -> DataFrame:
+    """Several dense arms in one pass: a pair's score is computed once and counts in every arm whose support holds it."""
+    scored = rank.dense(pairs)
+    held: list[Column] = [F.when(F.lit(True) if DENSE[a] is None else DENSE[a](), F.lit(a)) for a in arms]
+    rows = scored.withColumn("setting_id", F.explode(F.array_compact(F.array(*held))))
+    return rank.top_k(rows.drop("q_embedding", "m_embedding"), top_k, ["setting_id", "query_id"])
+
+
+def route_stats(pairs: DataFrame, arms: list[str]) -> DataFrame:
+    """candidates_scored and route_width of the direct arms, for every query."""
+    held: list[Column] = [F.count_if(F.lit(True) if DENSE[a] is None else DENSE[a]()).alias(a) for a in arms]
+    wide = pairs.groupBy("query_id", "source", "group_id").agg(*held)
+    long = wide.select("query_id", "source", "group_id", F.explode(F.array(*[F.struct(F.lit(a).alias("setting_id"), F.col(a).alias("candidates_scored")) for a in arms])).alias("x"))
+    return long.select("x.setting_id", "source", "group_id", "query_id", "x.candidates_scored", (F.col("x.candidates_scored") > 0).cast("int").alias("route_width"))
+
+
 # A query's class, by which a memory's place in a support can be told ahead: its intent and purpose.
 CLASSES = [(i, p) for i in INTENT for p in ("content_disclosure", "operation_trace")]
 
@@ -33,19 +55,24 @@ def query_class() -> Column:
 
 
 def with_support_bits(memories: DataFrame, names: list[str]) -> DataFrame:
-    """memories with `fact`: bit class * len(names) + arm tells if the arm's support holds the memory for queries of the class in its namespace."""
+    """memories with `fact`: bit class * len(names) + arm tells if the arm's support holds the memory for queries of the class in its namespace.
+
+    The supports are asked once for each combination of the closed vocabularies, and memories look it up.
+    """
     if len(CLASSES) * len(names) > 62:
         raise ValueError("too many arms for one pass")
-    out = memories.withColumns({"fact": F.lit(0).cast("bigint"), "namespace": F.col("memory_namespace")})
-    for c, (intent, purpose) in enumerate(CLASSES):
-        out = out.withColumns({"intent": F.lit(intent), "purpose": F.lit(purpose)})
-        held = [F.when(F.coalesce(F.lit(True) if DENSE[a] is None else DENSE[a](), F.lit(False)), F.lit(1 << (c * len(names) + k))).otherwise(F.lit(0)) for k, a in enumerate(names)]
-        out = out.withColumn("fact", sum(held, F.col("fact")))
-    return out.drop("namespace", "intent", "purpose")
+    flags = (True, False, None)
+    rows = [(state, content, trace, *asked, c) for state in LIFECYCLE for content in flags for trace in flags for c, asked in enumerate(CLASSES)]
+    table = memories.sparkSession.createDataFrame(rows, "lifecycle_state string, content_allowed boolean, trace_allowed boolean, intent string, purpose string, class int").withColumns({"namespace": F.lit(""), "memory_namespace": F.lit("")})
+    bits = sum((F.when(F.lit(True) if DENSE[a] is None else DENSE[a](), F.expr(f"shiftleft(1L, class * {len(names)} + {k})")).otherwise(0) for k, a in enumerate(names)), F.lit(0))
+    known = table.groupBy(F.col("lifecycle_state").alias("s"), F.col("content_allowed").alias("c"), F.col("trace_allowed").alias("t")).agg(F.sum(bits).alias("fact"))  # 36 rows
+    same = (F.col("lifecycle_state") == F.col("s")) & F.col("content_allowed").eqNullSafe(F.col("c")) & F.col("trace_allowed").eqNullSafe(F.col("t"))
+    out = memories.join(F.broadcast(known), same, "left").drop("s", "c", "t")
+    return out.withColumn("fact", F.coalesce("fact", F.raise_error(F.lit("unknown lifecycle state")).cast("bigint")))
 
 
-def dense_arms(queries: DataFrame, memories: DataFrame, names: list[str], top_k: int = 100) -> DataFrame:
-    """ARM2, ARM5-10: rankings of several dense arms (setting_id, query_id, memory_id, rank, score), by blocks.
+def pooled_arms(queries: DataFrame, memories: DataFrame, names: list[str], top_k: int = 100) -> DataFrame:
+    """ARM2, ARM5-10 where all queries share their candidates: setting_id, query_id, memory_id, rank, score, by blocks and without a row a pair.
 
     Arms other than the global one meet memories of their own namespace only, in one pass for all.
     """
@@ -61,12 +88,8 @@ def dense_arms(queries: DataFrame, memories: DataFrame, names: list[str], top_k:
     return rank.top_k(reduce(DataFrame.unionByName, found), top_k, ["setting_id", "query_id"])
 
 
-def dense_arm(queries: DataFrame, memories: DataFrame, arm: str, top_k: int = 100) -> DataFrame:
-    return dense_arms(queries, memories, [arm], top_k)
-
-
-def route_stats(queries: DataFrame, memories: DataFrame, names: list[str]) -> DataFrame:
-    """candidates_scored and route_width of the direct arms for every query, from counts by kind of memory: no row a pair."""
+def pooled_stats(queries: DataFrame, memories: DataFrame, names: list[str]) -> DataFrame:
+    """route_stats where all queries share their candidates, from counts by kind of memory: no row a pair."""
     kinds = ["memory_namespace", "lifecycle_state", "content_allowed", "trace_allowed"]
     bits = with_support_bits(memories.select("memory_id", *kinds), names)
     counts = bits.groupBy("memory_namespace", "fact").agg(F.count("*").alias("n"))  # a row a kind
@@ -130,9 +153,8 @@ def cluster_router(pairs: DataFrame, memories: DataFrame, *, alpha: float = 1.0,
     return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), members, top_l=top_l, beta=beta, gamma=gamma, tau=tau)), top_k)
 
 
-def post_filters(queries: DataFrame, memories: DataFrame, depths: list[int], limit: int) -> DataFrame:
-    """ARM25-27: one global ranking, the namespace mask over its first d ranks, then the cut."""
-    ranked = dense_arm(queries, memories, "global_dense", max(depths)).join(queries.select("query_id", "namespace"), "query_id").join(memories.select("memory_id", "memory_namespace"), "memory_id")
+def post_filters(ranked: DataFrame, depths: list[int], limit: int) -> DataFrame:
+    """ARM25-27: one global ranking (with namespace and memory_namespace), the namespace mask over its first d ranks, then the cut."""
     return support.rerank(ranked.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).where((F.col("rank") <= F.col("depth")) & support.in_namespace()), ["depth", "query_id"], limit)
 
 

@@ -46,13 +46,15 @@ def assessed(rankings: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("rank", checked).drop("__known")
 
 
-def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float, anchors: DataFrame) -> DataFrame:
+def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float, anchors: DataFrame | None = None) -> DataFrame:
     """SCO4: a row for each of `runs` (setting_id, source, group_id, query_id, candidates_scored, route_width).
 
-    labels: of the ranked pairs at least, a row each; anchors: query_id, anchor_total over all of a query's
-    candidates. No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
+    labels: a row for each of a query's candidates; of the ranked ones only, if anchors (query_id,
+    anchor_total over all candidates) are given. No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
     an empty prefix, whose rates are NULL.
     """
+    if anchors is None:
+        anchors = labelled(labels).groupBy("query_id").agg(_count(F.col("usable")).alias("anchor_total"))
     rows = labelled(assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)).join(anchors, "query_id")
     rows = matched(rows, ["setting_id", "query_id"], F.col("usable"), target)
     inside, rel, adm = F.col("inside"), F.col("relevant"), F.col("admissible")

@@ -63,7 +63,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _arms(spark: SparkSession, sf_dir: str, names: list[str], top: int) -> DataFrame:
-    return arms.dense_arms(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names, top)
+    return arms.pooled_arms(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names, top)
 
 
 def _dense_query(arm: str):
@@ -136,7 +136,7 @@ stats AS (SELECT arm AS setting_id, source, q_group AS group_id, query_id, CAST(
 
 @register("route_stats", f"{STATS} SELECT *, CAST(candidates_scored > 0 AS INT) AS route_width FROM stats")
 def route_stats(spark, sf_dir):
-    return arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), DIRECT)
+    return arms.pooled_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), DIRECT)
 
 
 def _scores_sql(target: float, depth: str = f"rank <= {TOP}") -> str:
@@ -169,7 +169,7 @@ SCORE_COLUMNS = ["setting_id", "source", "group_id", "query_id", "candidates_sco
 
 def _scores(spark: SparkSession, sf_dir: str, target: float, names: list[str] = DIRECT, top: int = TOP) -> DataFrame:
     ranked = _arms(spark, sf_dir, names, top)
-    runs = arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names)
+    runs = arms.pooled_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names)
     return prefix.score_route(ranked, model.assessments(spark, sf_dir, ranked), runs, target, model.anchors(spark, sf_dir))
 
 
@@ -220,7 +220,7 @@ def top_k_pareto(spark, sf_dir):
     names = ["global_dense", "namespace_dense"]
     deepest = _arms(spark, sf_dir, names, max(DEPTHS)).select("setting_id", "query_id", "memory_id", "rank")
     ranked = aggregate.depths(deepest, DEPTHS)
-    runs = arms.route_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names).withColumn("d", F.explode(F.array(*map(F.lit, DEPTHS)))).withColumn("setting_id", F.concat_ws("@", "setting_id", "d")).drop("d")
+    runs = arms.pooled_stats(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), names).withColumn("d", F.explode(F.array(*map(F.lit, DEPTHS)))).withColumn("setting_id", F.concat_ws("@", "setting_id", "d")).drop("d")
     scores = aggregate.aggregate_scores(prefix.score_route(ranked, model.assessments(spark, sf_dir, deepest), runs, 0.2, model.anchors(spark, sf_dir)), ["setting_id"])
     return scores.select("setting_id", *[F.round(c, 6).alias(c) for c in ("feasible_rate", "mean_evidence_recall", "mean_matched_prefix_count")])
 
@@ -228,7 +228,8 @@ def top_k_pareto(spark, sf_dir):
 @register("post_filters", f"""{MODEL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs), d(depth) AS (VALUES (20), (100), (500)),
 m AS (SELECT depth, query_id, memory_id, row_number() OVER (PARTITION BY depth, query_id ORDER BY rank) AS rank FROM g, d WHERE rank <= depth AND scope_ok) SELECT depth, query_id, memory_id, CAST(rank AS INT) AS rank FROM m WHERE rank <= 20""")
 def post_filters(spark, sf_dir):
-    return arms.post_filters(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), [20, 100, 500], 20).select("depth", "query_id", "memory_id", "rank")
+    ranked = _arms(spark, sf_dir, ["global_dense"], 500).join(model.queries(spark, sf_dir).select("query_id", "namespace"), "query_id").join(model.candidates(spark, sf_dir).select("memory_id", "memory_namespace"), "memory_id")
+    return arms.post_filters(ranked, [20, 100, 500], 20).select("depth", "query_id", "memory_id", "rank")
 
 
 def uniform_sql(*parts: str) -> str:
@@ -288,11 +289,8 @@ curve AS (SELECT channel, rate, count_if(hit) AS hits, count_if(ns2 = q_ns AND p
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = model.pairs(spark, sf_dir).drop("q_embedding", "m_embedding", "released_order").withColumn("scope_ok", support.in_namespace())
-    words = corrupt.vocabulary(model.memories(spark, sf_dir), model.queries(spark, sf_dir))
-    rows = corrupt.corrupt(p, corrupt.grid(spark, list(corrupt.CHANNELS), RATES, [1]), words)
     admitted = support.in_namespace() & support.governance_v2()
-    return rows.groupBy("channel", "rate").agg(F.count_if("hit").alias("hits"), F.count_if(admitted).alias("admitted"), F.count_if(admitted & ~F.col("scope_ok")).alias("wrong_scope"))
+    return corrupt.curve(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), admitted, list(corrupt.CHANNELS), RATES, [1]).drop("seed")
 
 
 @register("corruption_curve", f"{_CORRUPT} SELECT channel, rate, hits, admitted, wrong_scope FROM curve")

@@ -4,24 +4,32 @@ A document with an embedding is a memory; every memory whose id is divisible by
 all other memories. Namespace is the language, the group the document's source; lifecycle follows from the
 id; labels give policy and relevance, and a memory without a label row is unresolved. Numbering by
 id / 20 alternates intents and purposes.
+
+Plans (not rows) are kept by session and folder, so that a query that asks for a table several times lists
+its files and reads its schema once; the tables must not be rewritten while a session uses them.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.status import admissible_status, lifecycle_compatible, usable_status
 
 
+@lru_cache(32)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(32)
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
+@lru_cache(32)
 def memories(spark: SparkSession, sf_dir: str, *, with_text: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("memory_namespace"), F.col("source").alias("group_id"), *(["text"] if with_text else []))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("m_embedding"), "label")
@@ -29,6 +37,7 @@ def memories(spark: SparkSession, sf_dir: str, *, with_text: bool = False) -> Da
     return vectors.join(docs, "doc_id").join(labels(spark, sf_dir), "doc_id", "left").withColumnRenamed("doc_id", "memory_id").withColumns({"released_order": F.col("memory_id").cast("double"), "lifecycle_state": state})
 
 
+@lru_cache(32)
 def queries(spark: SparkSession, sf_dir: str, *, with_text: bool = False) -> DataFrame:
     turn = F.floor(F.col("memory_id") / 20)
     m = memories(spark, sf_dir, with_text=with_text).where("memory_id % 20 = 0")
@@ -38,6 +47,7 @@ def queries(spark: SparkSession, sf_dir: str, *, with_text: bool = False) -> Dat
     )
 
 
+@lru_cache(32)
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routing fields of memories only."""
     return memories(spark, sf_dir).select("memory_id", "memory_namespace", "m_embedding", "released_order", "lifecycle_state", (F.col("toxic") == 0).alias("content_allowed"), (F.col("quality") == 1).alias("trace_allowed"))
@@ -55,14 +65,17 @@ def _assessed() -> list[Column]:
     ]
 
 
+@lru_cache(32)
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = memories(spark, sf_dir).select("memory_id", F.col("memory_namespace").alias("m_ns"), "label", "quality", "toxic", F.col("lifecycle_state").alias("state"))
     return queries(spark, sf_dir).select("query_id", "namespace", "intent", "q_label"), m
 
 
-def assessments(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
-    """Scorer-only labels of the ranked pairs (query_id, memory_id)."""
+def assessments(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
+    """Scorer-only labels of the ranked pairs (query_id, memory_id); without them, of every query with every other memory."""
     q, m = _sides(spark, sf_dir)
+    if ranked is None:
+        return q.join(m, F.col("query_id") != F.col("memory_id")).select("query_id", "memory_id", *_assessed())
     rows = ranked.select("query_id", "memory_id").distinct().join(q, "query_id").join(m, "memory_id")
     return rows.select("query_id", "memory_id", *_assessed())
 

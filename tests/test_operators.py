@@ -55,7 +55,7 @@ def test_unknown_labels_widen_the_bounds(spark):
 
 def test_filter_and_cut_do_not_commute(spark):
     pairs = spark.createDataFrame(ROWS[:4], PAIRS)
-    post = arms.post_filters(pairs, [2, 4], 20)
+    post = arms.post_filters(arms.dense_arm(pairs, "global_dense", 4), [2, 4], 20)
     assert {(r["depth"], r["memory_id"], r["rank"]) for r in post.collect()} == {(2, 1, 1), (4, 1, 1), (4, 2, 2), (4, 4, 3)}
     ranked = rank.top_k(rank.dense(pairs), None)
     assert support.filter_ranking(ranked, support.in_namespace(), ["query_id"], 0).count() == 3
@@ -245,7 +245,8 @@ def test_streamed_windows_match_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     events.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got, want = ({(r["hour"], r["event_type"]): r["n"] for r in d.collect()} for d in (spark.read.parquet(str(tmp_path / "out")), events.hourly(rows)))
-    assert got.items() <= want.items()
+    # The watermark closes every window but the latest: those are all there, and none differs.
+    assert got == {k: n for k, n in want.items() if k in got} and len(got) >= len(want) - len({e for _, e in want}) * 2 > 0
 
 
 def test_entry_and_plans(spark):
