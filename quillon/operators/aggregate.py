@@ -49,6 +49,16 @@ def select_settings(summary: DataFrame, arm: str, risk: str = "admissibility") -
     return summary.withColumn("k", F.row_number().over(Window.partitionBy(arm).orderBy(*order))).where("k = 1").drop("k")
 
 
+def source_macro_costs(costs: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """AGG5: what a route costs: query means within a source, then over sources. costs: returned, candidates_scored, route_width."""
+    return nested_macro(costs, keys, source, {c: F.col(c).cast("double") for c in ("returned", "candidates_scored", "route_width")})
+
+
+def gap_closed(base: Column, risk: Column, oracle: Column) -> Column:
+    """AGG12: the share of the way from base to oracle; NULL where there is none."""
+    return F.when(base > oracle, (base - risk) / (base - oracle))
+
+
 def depths(rankings: DataFrame, at: list[int]) -> DataFrame:
     """AGG6: nested prefixes of one ranking as settings `<id>@<depth>`; ranked once, at the greatest depth."""
     return rankings.where(F.col("rank") <= max(at)).withColumn("top_k", F.explode(F.array(*map(F.lit, at)))).where(F.col("rank") <= F.col("top_k")).withColumn("setting_id", F.concat_ws("@", "setting_id", "top_k"))
@@ -77,9 +87,10 @@ def sign_counts(deltas: DataFrame, value: str = "delta") -> DataFrame:
     return deltas.agg(F.count("*").alias("groups"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("positive"), F.count_if(d == 0).alias("zero"), F.count_if(d < 0).alias("negative"), F.min("loo").alias("loo_min"), F.max("loo").alias("loo_max"))
 
 
-def with_macro_row(per: DataFrame, keys: list[str], level: str, name: str, metrics: list[str]) -> DataFrame:
-    """AGG12-14: the strata's rows and one more with the mean of their means; not a rollup, which would pool rows."""
-    macro = per.groupBy(*[k for k in keys if k != level]).agg(*[F.avg(m).alias(m) for m in metrics]).withColumn(level, F.lit(name))
+def with_macro_row(per: DataFrame, keys: list[str], level: str, name: str, metrics: list[str], *, strict: bool = False) -> DataFrame:
+    """AGG12-14: the strata's rows and one more with the mean of their means; not a rollup, which would pool rows. strict (AGG14): NULL if any stratum's is."""
+    mean = (lambda m: F.when(F.count(m) == F.count("*"), F.avg(m))) if strict else F.avg
+    macro = per.groupBy(*[k for k in keys if k != level]).agg(*[mean(m).alias(m) for m in metrics]).withColumn(level, F.lit(name))
     return per.select(*keys, *metrics).unionByName(macro.select(*keys, *metrics))
 
 

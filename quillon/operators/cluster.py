@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 MEMBERS = "memory_namespace string, memory_id bigint, cluster int, members int, centroid array<double>"
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """A zero vector has no direction and raises; one that isn't finite too."""
+    n = np.linalg.norm(v)
+    if not 0 < n < math.inf:
+        raise ValueError("a zero vector can't be normalised" if n == 0 else "vectors must be finite")
+    return v / n
+
+
 def threshold_clusters(vectors: np.ndarray, theta: float) -> list[int]:
     """RNK10: each vector joins the cluster of the best cosine if that is at least theta (ties: the older), else it leads a new one."""
     sums: list[np.ndarray] = []
     units = np.zeros((0, vectors.shape[1]))
     out = []
     for v in vectors:
-        cos = units @ (v / np.linalg.norm(v))
+        cos = units @ _unit(v)
         best = int(np.argmax(cos)) if len(cos) else -1
         if best >= 0 and cos[best] >= theta:
             sums[best] = sums[best] + v
@@ -27,7 +35,7 @@ def threshold_clusters(vectors: np.ndarray, theta: float) -> list[int]:
             best = len(sums)
             sums.append(v.copy())
             units = np.vstack([units, np.zeros((1, vectors.shape[1]))])
-        units[best] = sums[best] / np.linalg.norm(sums[best])
+        units[best] = _unit(sums[best])
         out.append(best)
     return out
 
@@ -39,7 +47,7 @@ def size_aware_clusters(vectors: np.ndarray, *, alpha: float, beta: float, gamma
     units = np.zeros((0, vectors.shape[1]))
     out = []
     for v in vectors:
-        cos = units @ (v / np.linalg.norm(v))
+        cos = units @ _unit(v)
         best = -1
         if len(cos):
             old = gamma * np.log(np.array(sizes) + beta) + cos / tau
@@ -53,7 +61,7 @@ def size_aware_clusters(vectors: np.ndarray, *, alpha: float, beta: float, gamma
             units = np.vstack([units, np.zeros((1, vectors.shape[1]))])
         sums[best] = sums[best] + v
         sizes[best] += 1
-        units[best] = sums[best] / np.linalg.norm(sums[best])
+        units[best] = _unit(sums[best])
         out.append(best)
     return out
 

@@ -1,14 +1,11 @@
-"""Counterfactual pairs, exposure units and routes to readers (CFX1-14, NAT1-4, NAT6, NAT8-11, NAT13).
-
-NAT5, NAT7 and NAT12 are not built.
-"""
+"""Counterfactual pairs, exposure units and routes to readers (CFX1-14, NAT1-13)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import canonical_json, disclosed, normalize_answer, normalize_disclosure, rate, sequence_similarity, token_jaccard
+from quillon.functions.scalar import canonical_json, disclosed, normalize_answer, normalize_disclosure, rate, sequence_similarity, token_jaccard, truncate_utf8
 from quillon.functions.status import cell, gold, non_answer
 
 LABELS = ["admissible", "inadmissible", "unknown"]
@@ -150,6 +147,28 @@ def requests(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("prompt_sha256").agg(one.alias("payload"), F.count("*").alias("assignments"))
 
 
+def judged_scores(cases: DataFrame, answers: DataFrame, judgements: DataFrame) -> DataFrame:
+    """NAT5, NAT12: every case and arm with its reader's answer and the judge's verdict; one that lacks either raises.
+
+    cases: case_id, arm, prompt_sha256 and more; answers: prompt_sha256, answer, action; judgements: case_id, answer_sha256, correct, quality.
+    """
+    read = cases.join(answers, "prompt_sha256", "left").withColumn("answer_sha256", F.sha2("answer", 256))
+    rows = read.join(judgements, ["case_id", "answer_sha256"], "left")
+    whole = F.col("answer").isNotNull() & F.col("correct").isNotNull()
+    return rows.withColumns({"correct": F.when(whole, F.col("correct").cast("double")).otherwise(F.raise_error(F.lit("an answer or a verdict is missing")).cast("double")), "over_refusal": non_answer(F.col("action"))})
+
+
+def materialised(rankings: DataFrame, memories: DataFrame, labels: DataFrame, depth: int, cap: int) -> DataFrame:
+    """NAT7: the candidates of each case: ranks up to depth, label, and the text cut to `cap` bytes of UTF-8 at a character; `cut` tells where."""
+    rows = rankings.where(F.col("rank") <= depth).join(memories.select("memory_id", "text"), "memory_id").join(labels, ["query_id", "memory_id"])
+    return rows.withColumns({"cut": F.octet_length("text") > cap, "text": truncate_utf8(F.col("text"), cap)})
+
+
+def verifier_cases(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """NAT9: candidates of a case numbered c01.. anew in the order of their ranks, without their identifiers in what the verifier sees."""
+    return candidates.withColumn("candidate_key", F.format_string("c%02d", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))))
+
+
 def answer_metrics(rows: DataFrame) -> DataFrame:
     """NAT3: rows: answer, expected_answer, action."""
     p, e = normalize_answer(F.col("answer")), normalize_answer(F.col("expected_answer"))

@@ -128,3 +128,19 @@ def score_fixed_route(route: DataFrame, cases: DataFrame, target: float) -> Data
         F.coalesce("known_rate", zero).alias("known_violation_rate"), F.coalesce("upper", zero).alias("upper_risk"), F.coalesce("upper", zero, F.lit(1.0)).alias("penalized_upper_risk"),
         F.coalesce("route_width", F.lit(0)).alias("route_width"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("wrong_scope_exposure_rate", "policy_disallowed_exposure_rate", "lifecycle_incompatible_exposure_rate", "unresolved_exposure_rate")],
     )
+
+
+def scope_diagnostics(rankings: DataFrame, labels: DataFrame, anchors: DataFrame, target: float) -> DataFrame:
+    """SCO8-9: of each setting and query the share of wrong scope among all returned rows, and in the matched prefix (NULL where infeasible).
+
+    anchors: query_id, anchor_total (> 0).
+    """
+    rows = matched(labelled(assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)).join(anchors, "query_id"), ["setting_id", "query_id"], F.col("usable"), target)
+    wrong, inside = ~F.col("scope_ok"), F.col("inside")
+    return rows.groupBy("setting_id", "query_id").agg(F.count("*").alias("returned"), rate(_count(wrong), F.count("*")).alias("returned_wrong_scope_rate"), rate(_count(inside & wrong), F.count_if(inside)).alias("matched_wrong_scope_rate"))
+
+
+def passed_on(value: Column) -> Column:
+    """SCO10: a cost or latency beside a score: NULL stays, anything negative or not finite raises."""
+    good = value.isNull() | ((value >= 0) & ~F.isnan(value) & (value < float("inf")))
+    return F.when(good, value.cast("double")).otherwise(F.raise_error(F.lit("costs must be finite and not negative")).cast("double"))

@@ -76,3 +76,23 @@ def cost(input_bytes: Column, max_output_tokens: Column, price_in: float, price_
 def sanitised(rows: DataFrame, domain: str, identifier: str, allowed: list[str]) -> DataFrame:
     """NAT8: identifiers as domain-separated hashes, and listed columns only."""
     return rows.select(F.sha2(F.concat(F.lit(domain), F.col(identifier).cast("string")), 256).alias("token"), *allowed)
+
+
+def receipt(requests: DataFrame, records: DataFrame, identifier: str, payload: str, *, digits: int = 3) -> DataFrame:
+    """EXE2: requests, records, pending, and a digest of the whole set of records: a hash of the hashes of its parts by identifier, so no task gathers all."""
+    one = F.sha2(F.concat_ws("\0", F.col(identifier).cast("string"), payload), 256)
+    parts = records.select(F.substring(F.sha2(F.col(identifier).cast("string"), 256), 1, digits).alias("part"), one.alias("h")).groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    whole = parts.agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("response_set_sha256"))
+    pending = missing(requests, records, [identifier]).agg(F.count("*").alias("pending"))
+    return requests.agg(F.count("*").alias("requests")).crossJoin(pending).crossJoin(whole)  # one row each
+
+
+def in_same_order(a: DataFrame, b: DataFrame, identifier: str, place: str) -> DataFrame:
+    """JOI9: rows at the same place that differ in identifier, or that one side lacks."""
+    x, y = a.select(place, F.col(identifier).alias("left_id")), b.select(place, F.col(identifier).alias("right_id"))
+    return x.join(y, place, "full").where(~F.col("left_id").eqNullSafe(F.col("right_id")))
+
+
+def figure_rows(panels: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """EVD6: several tables as one tidy table with their panel's name."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("panel"), *columns) for k, df in panels.items()])

@@ -95,3 +95,11 @@ def risk_difference(rows: DataFrame, exposed: str, used: str) -> DataFrame:
     """STA14."""
     x, u = F.col(exposed), F.col(used).cast("double")
     return rows.agg((F.avg(F.when(x, u)) - F.avg(F.when(~x, u))).alias("risk_difference"))
+
+
+def robustness_table(deltas: DataFrame, value: str) -> DataFrame:
+    """STA15: units, mean, least and greatest leave-one-out mean, counts of signs and the exact p, in one row."""
+    from quillon.operators.aggregate import leave_one_out, sign_counts
+
+    rows = deltas.where(F.col(value).isNotNull()).select(F.col(value).alias("delta"))
+    return sign_counts(leave_one_out(rows, "delta")).crossJoin(sign_flip(rows, "delta").select("p"))  # one row each

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,9 +61,37 @@ def checkpoint_view(rows: DataFrame, case: str, order: str, which: str = "first"
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
-def unsorted_ids(rows: DataFrame, identifier: str, order: str) -> DataFrame:
-    """SRC4: places where identifiers aren't sorted and unique."""
-    return rows.withColumn("before", F.lag(identifier).over(Window.partitionBy(F.lit(1)).orderBy(order))).where(F.col("before") >= F.col(identifier))
+def unsorted_ids(rows: DataFrame, identifier: str, order: str, *, part: int = 1 << 20) -> DataFrame:
+    """SRC4: rows whose identifier isn't greater than that of the row before them; order numbers the rows.
+
+    Each part of `part` numbers is one window; its first row is compared with the last one of the part before.
+    """
+    placed = rows.withColumn("__part", F.floor(F.col(order) / part))
+    inner = placed.withColumn("before", F.lag(identifier).over(Window.partitionBy("__part").orderBy(order)))
+    ends = placed.groupBy("__part").agg(F.min(order).alias("__first"), F.max_by(identifier, order).alias("__last"))  # a row a part
+    ends = ends.select(F.col("__part").alias("__p"), "__first", F.lag("__last").over(Window.partitionBy(F.lit(1)).orderBy("__part")).alias("__prior"))
+    out = inner.join(ends, F.col("__part") == F.col("__p")).withColumn("before", F.when(F.col(order) == F.col("__first"), F.col("__prior")).otherwise(F.col("before")))
+    return out.where(F.col("before") >= F.col(identifier)).drop("__part", "__p", "__first", "__prior")
+
+
+def unique_ids(rows: DataFrame, identifier: str) -> DataFrame:
+    """SRC5, SRC9: rows as they are; an identifier that comes twice raises."""
+    n = rows.groupBy(F.col(identifier).alias("__id")).agg(F.count("*").alias("__n"))
+    once = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("duplicate identifier")).cast("boolean"))
+    return rows.join(n, F.col(identifier).eqNullSafe(F.col("__id"))).where(once).drop("__id", "__n")
+
+
+def not_empty(rows: DataFrame) -> DataFrame:
+    """SRC1: an empty input is refused."""
+    if rows.isEmpty():
+        raise ValueError("the input is empty")
+    return rows
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir; where that is unset, below the warehouse, or in a temporary folder if all runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="quillon-") if spark.sparkContext._jsc.sc().isLocal() else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
