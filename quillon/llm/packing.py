@@ -35,6 +35,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm._common import Scratch, checkpointed, filesystem, scratch, uncheckpointed, written
 
-MEMO, LONG = 1 << 19, 64  # entries of a memo before it is emptied, and characters of the longest
+MEMO, KEPT, LONG = 1 << 19, 1 << 16, 64  # entries of a memo before it is cut, entries it is cut to, and characters of the longest
 PLAIN = r"[!-~\u00A1-\u024F]+"  # Latin without blanks and combining marks: in normal form already, and lower-cased letter by letter
 EQUAL = "equal"
 SCALE = 10**9  # targets are rounded to so many parts
@@ -71,6 +72,12 @@ class _Memo(dict):
     def __missing__(self, key: str) -> bytes:
         return self.learn(key)
 
+    def cut(self) -> None:
+        """Keeps what came first, which is what comes most."""
+        first = list(islice(self.items(), KEPT))
+        self.clear()
+        self.update(first)
+
 
 class Words:
     """Token ids of texts by a tokenizer that never joins across a blank, word by word with two memos.
@@ -111,14 +118,19 @@ class Words:
         """Little-endian 16-bit ids of each text."""
         for known in (self.memo, self.pieces):
             if len(known) > MEMO:
-                known.clear()
+                known.cut()
         of_word = self.memo.__getitem__
         return [b"".join(map(of_word, self.blank(x) if "\t" in x or "\r" in x else x.replace("\n", " ").split(" "))) for x in texts]
 
 
+    def rest(self) -> None:
+        self.memo.cut()
+        self.pieces.cut()
+
+
 @lru_cache(2)
 def words_of(path: str) -> Words:
-    """Kept with its memo for the next task of the same process."""
+    """Kept with what its memos hold at rest for the next task of the same process."""
     return Words(path)
 
 
@@ -143,6 +155,7 @@ def _store(root: str, path: str, end: int):
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["row", "doc_id", "source", "n", "file", "start"])
         if out is not None:
             out.close()
+        words.rest()
 
     return run
 
