@@ -19,6 +19,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -62,6 +63,12 @@ class Codec:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    @staticmethod
+    @lru_cache(2)
+    def kept(path: str, pattern: str) -> Codec:
+        """Loaded once, and kept for the next task of the same process."""
+        return Codec.load(path, pattern)
+
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
         ranks, n = self.ranks, len(piece)
@@ -215,7 +222,7 @@ class Codec:
 
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(path, pattern)
+        codec = Codec.kept(path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(lo, 256), []
@@ -230,7 +237,7 @@ def _digests(path: str, pattern: str):
 
 def _ids(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(path, pattern)
+        codec = Codec.kept(path, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -254,7 +261,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes of the ids; a null or empty list gives no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.load(path, pattern)
+        codec = Codec.kept(path, pattern)
         for batch in batches:
             data = [codec.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])

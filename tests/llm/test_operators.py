@@ -269,3 +269,75 @@ def test_toxicity_edges(spark):
 def test_ranks_file():
     with open(RANKS, "rb") as f:
         assert sum(1 for x in f if base64.b64decode(x.split()[0])) == 50256
+
+
+def test_chain_as_by_hand():
+    """The chain fitted again: stems and chi-squared by loops, weights by plain gradient steps."""
+    rnd = random.Random(11)
+    pool = ["calm", "river", "stone", "garden", "morning", "paper", "window"]
+    texts, labels = [], []
+    for _ in range(160):
+        low, bad = rnd.random() < 0.5, rnd.random() < 0.4
+        own = rnd.choices(pool, k=6) + ["Spamword!"] * (low and rnd.random() < 0.9) + ["vile", "curse"][: 2 * (bad and rnd.random() < 0.95)]
+        rnd.shuffle(own)
+        texts.append(" ".join(own))
+        labels.append((int(low), int(bad)))
+    texts[5], labels[5] = texts[4], labels[4]
+    y = np.array(labels)
+    options = {"least": 5, "least_z": 5.0, "n_stems": 400}
+
+    def stems(text):
+        out = set()
+        for w in text.split():
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w).strip(toxicity.PUNCTUATION)
+            out |= {w + " "} | {w[:n] for n in (3, 4, 5, 6) if w and len(w) >= 3 for n in [min(n, len(w))]} if w else set()
+        return out
+
+    own = [stems(t) for t in texts]
+
+    def chosen(rows, target):
+        scores = {}
+        for s in set().union(*(own[i] for i in rows)):
+            a = sum(s in own[i] for i in rows if target[i])
+            c = sum(s in own[i] for i in rows if not target[i])
+            b, d = sum(target[i] for i in rows) - a, sum(1 - target[i] for i in rows) - c
+            z = (a * d - b * c) * math.sqrt(len(rows) / max((a + b) * (c + d) * (a + c) * (b + d), 1))
+            if a + c >= 5 and z >= 5.0:
+                scores[s] = z
+        out = []
+        for s in sorted(scores, key=lambda s: (-scores[s], len(s), s)):
+            if not any(t.startswith(s) or s.startswith(t) for t in out):
+                out.append(s)
+        return out
+
+    def fitted(rows, target, before):
+        """A function of a row and the earlier categories' probabilities."""
+        names = chosen(rows, target)
+
+        def features(i, b):
+            return [float(s in own[i]) for s in names] + list(b) + [1.0]
+
+        x, t = np.array([features(i, before[i]) for i in rows]), np.array([target[i] for i in rows], float)
+        w, ridge = np.zeros(x.shape[1]), np.array([0.3] * (x.shape[1] - 1) + [1e-6])
+        for _ in range(30_000):
+            w += 0.004 * (x.T @ (t - 1 / (1 + np.exp(-(x @ w)))) - ridge * w)
+        return lambda i, b: 1 / (1 + math.exp(-float(np.array(features(i, b)) @ w)))
+
+    every, fold = range(len(texts)), [zlib.crc32(t.encode()) % 5 for t in texts]
+    before, given = [[] for _ in texts], [[] for _ in texts]  # out of fold; by the whole model, which scoring feeds on
+    for k in (0, 1):
+        target = y[:, k].tolist()
+        parts = [fitted([i for i in every if fold[i] != f], target, before) for f in range(5)]
+        whole = fitted(every, target, before)
+        given = [[*g, whole(i, g)] for i, g in enumerate(given)]
+        before = [[*b, parts[fold[i]](i, b)] for i, b in enumerate(before)]
+    chain = toxicity.fit_chain(texts, y, ["low", "bad"], **options)
+    got = [chain.score(t) for t in texts]
+    assert np.abs(np.array(got) - np.array(given)).max() < 1e-3 and fold[4] == fold[5]
+    for k in (0, 1):
+        assert set(chain.links[k].weights) == set(chosen(every, y[:, k].tolist()))
+    last = sorted({b[1] for b in before}, reverse=True)
+    f1 = {p: 2 * sum(y[i, 1] for i in every if before[i][1] >= p) / (sum(b[1] >= p for b in before) + y[:, 1].sum()) for p in last}
+    best = max(last, key=lambda p: (f1[p], p))
+    below = [p for p in last if p < best][0]
+    assert chain.threshold == pytest.approx(max(0.2, (best + below) / 2), abs=1e-3)
