@@ -94,7 +94,9 @@ def pooled_stats(queries: DataFrame, memories: DataFrame, names: list[str]) -> D
     bits = with_support_bits(memories.select("memory_id", *kinds), names)
     counts = bits.groupBy("memory_namespace", "fact").agg(F.count("*").alias("n"))  # a row a kind
     asked = queries.select("query_id", "source", "group_id", "namespace", query_class().alias("class"))
-    own = asked.join(bits.select(F.col("memory_id").alias("query_id"), F.col("fact").alias("own_fact")), "query_id", "left")
+    # The query itself as a memory; in no namespace arm if it lies in another namespace than it asks for.
+    own = asked.join(bits.select(F.col("memory_id").alias("query_id"), F.col("memory_namespace").alias("own_namespace"), F.col("fact").alias("fact_there")), "query_id", "left")
+    own = own.withColumn("own_fact", F.when(F.col("own_namespace") == F.col("namespace"), F.col("fact_there")))
 
     def holds(fact: str, k: int) -> Column:
         return F.coalesce(F.col(fact).bitwiseAND(F.expr(f"shiftleft(1L, cast(class * {len(names)} + {k} as int))")) != 0, F.lit(False))
@@ -104,7 +106,7 @@ def pooled_stats(queries: DataFrame, memories: DataFrame, names: list[str]) -> D
     in_namespace = classes.groupBy("namespace", "class").agg(*[F.sum(F.when(holds("fact", k), F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(names))])
     total = memories.agg(F.count("*").alias("total"))  # one row
     wide = own.join(in_namespace, ["namespace", "class"], "left").crossJoin(F.broadcast(total))
-    scored = [F.col("total") - F.col("own_fact").isNotNull().cast("int") if DENSE[a] is None else F.coalesce(f"n{k}", F.lit(0)) - holds("own_fact", k).cast("int") for k, a in enumerate(names)]
+    scored = [F.col("total") - F.col("fact_there").isNotNull().cast("int") if DENSE[a] is None else F.coalesce(f"n{k}", F.lit(0)) - holds("own_fact", k).cast("int") for k, a in enumerate(names)]
     long = wide.select("query_id", "source", "group_id", F.explode(F.array(*[F.struct(F.lit(a).alias("setting_id"), c.cast("bigint").alias("candidates_scored")) for a, c in zip(names, scored, strict=True)])).alias("x"))
     return long.select("x.setting_id", "source", "group_id", "query_id", "x.candidates_scored", (F.col("x.candidates_scored") > 0).cast("int").alias("route_width"))
 

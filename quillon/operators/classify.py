@@ -76,7 +76,11 @@ def select_threshold(decisions: DataFrame, cap: float) -> DataFrame:
 def binary_agreement(pairs: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """CLS9: exact agreement, Cohen's kappa, Gwet's AC1 from the 2 x 2 counts; chance 1 gives 1."""
     x, y = F.col(a), F.col(b)
-    t = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.count_if(x & y).alias("tt"), F.count_if(x & ~y).alias("tf"), F.count_if(~x & y).alias("ft"), F.count_if(~x & ~y).alias("ff"))
+    return agreement_of_counts(pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.count_if(x & y).alias("tt"), F.count_if(x & ~y).alias("tf"), F.count_if(~x & y).alias("ft"), F.count_if(~x & ~y).alias("ff")), keys)
+
+
+def agreement_of_counts(t: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The same of rows that hold n and the four counts."""
     n, exact = F.col("n"), (F.col("tt") + F.col("ff")) / F.col("n")
     pa, pb = (F.col("tt") + F.col("tf")) / n, (F.col("tt") + F.col("ft")) / n
     chance, q = pa * pb + (1 - pa) * (1 - pb), (pa + pb) / 2

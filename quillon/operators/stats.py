@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +76,30 @@ def selectivity(rows: DataFrame, axis: str, scenario: str, cell: str, value: str
 
 
 def binary_agreement_bootstrap(pairs: DataFrame, a: str, b: str, unit: str, n: int, seed: str) -> DataFrame:
-    """STA10: items resampled; the 2 x 2 counts of each replicate give the bounds of exact agreement, kappa and AC1."""
-    from quillon.operators.classify import binary_agreement
+    """STA10: items resampled; the 2 x 2 counts of each replicate give the bounds of exact agreement, kappa and AC1.
 
-    draws = binary_agreement(replicates(pairs.select(F.col(unit).alias("unit"), a, b), [], n, seed), a, b, ["replicate"])
+    A resample matters by its counts only, and those are multinomial: one pass counts the cells, and each
+    replicate draws its counts from them with a generator of its own, so no item is copied.
+    """
+    from quillon.operators.classify import agreement_of_counts
+
+    x, y = F.col(a), F.col(b)
+    cells = {"tt": x & y, "tf": x & ~y, "ft": ~x & y, "ff": ~x & ~y}
+    seen = pairs.agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in cells.items()])  # one row
+    names = list(cells)
+    rows = seen.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"), "n", *names).repartition(32, "replicate")
+
+    def drawn(batches):
+        for batch in batches:
+            out = []
+            for replicate, size, *counts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                stream = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(f"{seed}\0{replicate}".encode()).digest()[:8], "big")))
+                p = np.array([*counts, size - sum(counts)]) / max(size, 1)  # the last: a status is unknown
+                out.append((replicate, size, *stream.multinomial(size, p if size else [0, 0, 0, 0, 1])[:4].tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["replicate", "n", *names])
+
+    draws = agreement_of_counts(rows.mapInArrow(drawn, "replicate bigint, n bigint, tt bigint, tf bigint, ft bigint, ff bigint"), ["replicate"])
     return draws.agg(*[F.percentile(m, p).alias(f"{m}_{k}") for m in ("exact", "kappa", "ac1") for k, p in (("lower", 0.025), ("upper", 0.975))])
 
 

@@ -45,10 +45,18 @@ def current_only() -> Column:
 
 def random_partition(memories: DataFrame, seed: str) -> DataFrame:
     """SUP8: namespaces permuted among memories, their sizes kept: the k-th by id takes the k-th label by hash."""
-    by_id = Window.partitionBy("source").orderBy("memory_id")
-    by_hash = Window.partitionBy("source").orderBy(uniform(seed, F.col("source"), F.col("memory_id")), "memory_id")
-    labels = memories.select("source", F.row_number().over(by_hash).alias("k"), F.col("memory_namespace").alias("shuffled"))
-    return memories.withColumn("k", F.row_number().over(by_id)).join(labels, ["source", "k"]).drop("k", "memory_namespace").withColumnRenamed("shuffled", "memory_namespace")
+    u = uniform(seed, F.col("source"), F.col("memory_id"))
+    labels = numbered(memories.select("source", "memory_id", F.col("memory_namespace").alias("shuffled"), u.alias("u")), ["source"], F.floor(F.col("u") * 4096), ["u", "memory_id"], "k").select("source", "k", "shuffled")
+    return numbered(memories, ["source"], F.floor(F.col("memory_id") / (1 << 16)), ["memory_id"], "k").join(labels, ["source", "k"]).drop("k", "memory_namespace").withColumnRenamed("shuffled", "memory_namespace")
+
+
+def numbered(rows: DataFrame, keys: list[str], part: Column, order: list[str], out: str) -> DataFrame:
+    """rows numbered from 1 within keys along `order`, of which `part` must be a non-falling function: a task sorts a part of a key, not all of it."""
+    placed = rows.withColumn("__part", part)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row a part
+    within = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return placed.withColumn("__k", within).join(sizes, [*keys, "__part"]).withColumn(out, F.col("__k") + F.col("__before")).drop("__part", "__k", "__before")
 
 
 def rerank(rows: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sign_flip_pvalue", f"""{_MONTHS}, u AS (SELECT delta AS d, row_number() OVER (ORDER BY delta) - 1 AS k FROM m WHERE delta <> 0), t AS (SELECT count(*) AS n, abs(avg(d)) AS o FROM u),
 pat AS (SELECT unnest(range(CAST(2 ** n AS BIGINT))) AS x, o FROM t), s AS (SELECT x, o, sum(CASE WHEN (x >> k) & 1 = 1 THEN d ELSE -d END) / count(*) AS mean FROM pat, u GROUP BY ALL)
-SELECT (SELECT n FROM t) AS units, round(avg(CASE WHEN abs(mean) >= o - 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM s""")
+SELECT (SELECT n FROM t) AS units, round(avg(CASE WHEN abs(mean) >= o - 1e-15 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM s""")
 def sign_flip_pvalue(spark, sf_dir):
     return rounded(stats.sign_flip(monthly(spark, sf_dir), "delta"), "p")
 
@@ -214,7 +214,8 @@ def quality_agreement(spark, sf_dir):
     return rounded(classify.quality_agreement(rows, "a", "b"), "exact", "within_one", "mae", "mean_difference", "quadratic_kappa")
 
 
-@register("unique_stratified_sample")
+# A document has one language, so the greedy choice is a rank by hash within it.
+@register("unique_stratified_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat_ws(chr(31), '17', lang, CAST(doc_id AS VARCHAR)))) AS k FROM documents) x WHERE k <= 10")
 def unique_stratified_sample(spark, sf_dir):
     return classify.unique_stratified(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 10, "17")
 
@@ -224,7 +225,12 @@ def salted_sample(spark, sf_dir):
     return classify.salted_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50, "salt", F.col("lang") == "de")
 
 
-@register("intent_metrics")
+@register("intent_metrics", f"""WITH u AS (SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS gold, {', '.join(f"{uniform_sql(f"'i{k}'", 'CAST(doc_id AS VARCHAR)')} + 0.01::DOUBLE AS x{k}" for k in range(3))} FROM documents),
+p AS (SELECT lang, gold, x0 / (x0 + x1 + x2) AS p0, x1 / (x0 + x1 + x2) AS p1, x2 / (x0 + x1 + x2) AS p2 FROM u),
+r AS (SELECT lang, CAST(gold = CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INT) AS label, greatest(p0, p1, p2) AS score, (p0 - CAST(gold = 0 AS INT)) ** 2 + (p1 - CAST(gold = 1 AS INT)) ** 2 + p2 ** 2 AS brier FROM p),
+m AS (SELECT lang, avg(label) AS accuracy, avg(brier) AS multiclass_brier FROM r GROUP BY lang), b AS (SELECT lang, (SELECT count(*) FROM range(1, 10) t(i) WHERE i / 10 <= score) AS bin, label, score FROM r),
+g AS (SELECT lang, bin, count(*) AS n, abs(avg(label) - avg(score)) AS gap FROM b GROUP BY ALL), e AS (SELECT lang, sum(n * gap) / sum(n) AS ece FROM g GROUP BY lang)
+SELECT lang, round(accuracy, 6) AS accuracy, round(multiclass_brier, 6) AS multiclass_brier, round(ece, 6) AS ece FROM m JOIN e USING (lang)""")
 def intent_metrics(spark, sf_dir):
     names = ["current_state", "history", "unknown"]
     u = [scalar.uniform(f"i{k}", F.col("doc_id")) + 0.01 for k in range(3)]
@@ -232,7 +238,7 @@ def intent_metrics(spark, sf_dir):
     p = [F.col(f"p{k}") for k in range(3)]
     rows = rows.withColumns({"label": (scalar.argmax_label(names, *p) == F.col("gold")).cast("int"), "score": F.greatest(*p), "brier": classify.multiclass_brier(F.col("gold"), names, *p)})
     metrics = rows.groupBy("lang").agg(F.avg("label").alias("accuracy"), F.avg("brier").alias("multiclass_brier"))
-    return metrics.join(classify.calibration_error(rows, ["lang"]), "lang")
+    return rounded(metrics.join(classify.calibration_error(rows, ["lang"]), "lang"), "accuracy", "multiclass_brier", "ece")
 
 
 # --- paired designs: three candidates make a pair, two pairs a scenario
@@ -322,7 +328,13 @@ def _cells(scores: DataFrame) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c.endswith(("_rate", "_effect"))])
 
 
-@register("exposure_scores")
+_TURN = r"""WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), t AS (SELECT q.conv_id, q.turn, q.text AS u, r.text AS a FROM c q JOIN c r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' WHERE q.role = 'user'),
+n AS (SELECT *, ' ' || trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) || ' ' AS nu, ' ' || trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')) || ' ' AS na FROM t),
+s AS (SELECT conv_id || '|' || turn AS unit_id, 's' || (conv_id % 16) AS scenario_id, 'a' || (conv_id % 4) AS axis, CASE WHEN conv_id % 2 = 0 THEN 'relevant' ELSE 'irrelevant' END || '_' || CASE WHEN conv_id % 3 = 0 THEN 'admissible' ELSE 'inadmissible' END AS cell,
+  CAST(contains(na, ' the ') OR contains(na, ' la ') AS INT) AS ed, CAST(contains(nu, ' the ') OR contains(nu, ' la ') AS INT) AS wd, CAST(length(a) <= 20 AS INT) AS er, CAST(length(u) <= 20 AS INT) AS wr FROM n)"""
+
+
+@register("exposure_scores", f"{_TURN} SELECT unit_id, scenario_id, axis, cell, ed AS exposed_disclosure, er AS exposed_refusal, wd AS withheld_disclosure, wr AS withheld_refusal, ed - wd AS exposure_effect, er - wr AS refusal_effect FROM s")
 def exposure_scores(spark, sf_dir):
     return _exposure(_turns(spark, sf_dir), F.concat_ws("|", "conv_id", "turn"))
 
@@ -336,7 +348,7 @@ def cell_metrics(spark, sf_dir):
     return _cells(_exposure(_dialog(spark, sf_dir), F.col("conv_id").cast("string")))
 
 
-@register("cell_metrics_turns")
+@register("cell_metrics_turns", f"{_TURN} SELECT cell, coalesce(axis, 'all') AS axis, count(*) AS unit_count, count(DISTINCT scenario_id) AS scenario_count, round(avg(ed), 6) AS exposed_disclosure_rate, round(avg(wd), 6) AS withheld_disclosure_rate, round(avg(ed - wd), 6) AS exposure_effect, round(avg(er), 6) AS exposed_refusal_rate, round(avg(wr), 6) AS withheld_refusal_rate, round(avg(er - wr), 6) AS refusal_effect FROM s GROUP BY GROUPING SETS ((cell), (axis, cell))")
 def cell_metrics_turns(spark, sf_dir):
     """cell_metrics over every turn."""
     return _cells(exposure_scores(spark, sf_dir))
@@ -361,7 +373,8 @@ def token_jaccard(spark, sf_dir):
     return _dialog(spark, sf_dir).select("conv_id", F.round(scalar.token_jaccard(F.col("user"), F.col("assistant")), 6).alias("jaccard"))
 
 
-@register("token_jaccard_turns")
+@register("token_jaccard_turns", r"""WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), x AS (SELECT q.conv_id, q.turn, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS u, list_distinct(regexp_extract_all(lower(r.text), '[a-z0-9]+')) AS a FROM c q JOIN c r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' WHERE q.role = 'user')
+SELECT conv_id, turn, round(CASE WHEN len(u) = 0 AND len(a) = 0 THEN 1 ELSE len(list_intersect(u, a)) / nullif(len(list_distinct(list_concat(u, a))), 0) END, 6) AS jaccard FROM x""")
 def token_jaccard_turns(spark, sf_dir):
     """token_jaccard over every turn."""
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(scalar.token_jaccard(F.col("user"), F.col("assistant")), 6).alias("jaccard"))
@@ -379,13 +392,17 @@ def request_dedup(spark, sf_dir):
     return paired.requests(rows)
 
 
-@register("reader_payloads")
+@register("reader_payloads", """WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+p AS (SELECT conv_id, '{"candidates":[' || string_agg('{"key":"' || printf('c%02d', k) || '","text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}', ',' ORDER BY printf('c%02d', k)) || '],"query":"q"}' AS payload FROM r GROUP BY conv_id)
+SELECT conv_id, payload, sha256(payload) AS prompt_sha256 FROM p""")
 def reader_payloads(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("rank"), "text", F.lit("q").alias("query_text"))
     return paired.payloads(rows, ["conv_id"], "query_text", "text")
 
 
-@register("exposure_payloads")
+@register("exposure_payloads", """WITH c AS (SELECT conv_id, printf('t%05d', turn) AS k, text FROM conversations WHERE text IS NOT NULL), u AS (SELECT conv_id, k, e FROM c, (VALUES ('withheld'), ('exposed')) x(e)),
+p AS (SELECT u.conv_id || '|' || u.k AS unit_id, e AS exposure, '{"candidates":[' || coalesce(string_agg('{"candidate_key":"' || c.k || '","text":' || CAST(to_json(c.text) AS VARCHAR) || '}', ',' ORDER BY c.k) FILTER (WHERE e = 'exposed' OR c.k <> u.k), '') || '],"query":"q"}' AS payload FROM u JOIN c ON c.conv_id = u.conv_id GROUP BY u.conv_id, u.k, e)
+SELECT unit_id, exposure, sha256(payload) AS prompt_sha256, length(payload) AS n_chars FROM p""")
 def exposure_payloads(spark, sf_dir):
     """Every turn of a conversation as the candidate that is in or out."""
     c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", F.format_string("t%05d", "turn").alias("candidate_key"), "text")

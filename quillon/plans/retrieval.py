@@ -379,7 +379,12 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen.join(known, ["query_id", "memory_id"]).join(scores, ["query_id", "memory_id"])
 
 
-@register("inferred_gates")
+_VERIFIED = f"""{MODEL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs WHERE scope_ok),
+v AS (SELECT *, scope_ok AND policy_ok AND lifecycle_ok AS adm, {uniform_sql("'pv'", 'CAST(query_id AS VARCHAR)', 'CAST(rank AS VARCHAR)')} AS pv, {uniform_sql("'pu'", 'CAST(query_id AS VARCHAR)', 'CAST(rank AS VARCHAR)')} AS pu FROM n WHERE rank <= 20)"""
+
+
+@register("inferred_gates", f"""{_VERIFIED}, s AS (SELECT 'namespace_dense' AS setting_id, * FROM v UNION ALL SELECT 'released_oracle', * FROM v WHERE adm IS DISTINCT FROM false UNION ALL SELECT 'text_inferred', * FROM v WHERE pv < 0.7 UNION ALL SELECT 'abstaining_verifier', * FROM v WHERE NOT (pv >= 0.7 AND pu <= 0.6))
+SELECT setting_id, count(*) AS kept, CAST(sum(rank) AS BIGINT) AS rank_sum, count_if(adm IS FALSE) AS violations, count_if(adm IS NULL) AS unresolved FROM s GROUP BY setting_id""")
 def inferred_gates(spark, sf_dir):
     gated = arms.inferred_gates(_verified(spark, sf_dir).withColumns({"v": F.lit(0.7), "u": F.lit(0.6)}))
     return gated.groupBy("setting_id").agg(F.count("*").alias("kept"), F.sum(F.col("rank").cast("bigint")).alias("rank_sum"), F.count_if(~F.col("admissible")).alias("violations"), F.count_if(F.col("admissible").isNull()).alias("unresolved"))
@@ -410,12 +415,18 @@ def calibrated_gates(spark, sf_dir):
     return aggregate.with_macro_row(per, ["setting_id", "source"], "source", "equal_source_macro", names).withColumns(r6(*names))
 
 
-@register("fixed_route_scores")
+@register("fixed_route_scores", f"""{MODEL}, k AS (SELECT *, scope_ok AND policy_ok AND lifecycle_ok AS adm, coalesce(relevant AND scope_ok AND policy_ok AND lifecycle_ok, false) AS anchor FROM pairs), tot AS (SELECT query_id, count_if(anchor) AS anchor_total FROM k GROUP BY ALL HAVING count_if(anchor) > 0),
+r AS (SELECT k.*, anchor_total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM k JOIN tot USING (query_id) WHERE scope_ok), c AS (SELECT *, sum(CAST(anchor AS INT)) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM r WHERE rank <= {TOP}),
+i AS (SELECT *, coalesce(rank <= min(CASE WHEN cum / anchor_total >= 0.2 THEN rank END) OVER (PARTITION BY query_id), false) AS i FROM c),
+p AS (SELECT query_id, count(*) AS width, count_if(anchor) AS hits, count_if(i) AS n, count_if(i AND adm IS FALSE) / nullif(count_if(i AND adm IS NOT NULL), 0) AS known, count_if(i AND adm IS DISTINCT FROM true) / nullif(count_if(i), 0) AS upper, count_if(scope_ok IS FALSE) / count(*) AS w, count_if(policy_ok IS FALSE) / count(*) AS p, count_if(lifecycle_ok IS FALSE) / count(*) AS l, count_if(adm IS NULL) / count(*) AS u FROM i GROUP BY query_id)
+SELECT 'namespace_dense' AS setting_id, query_id, round(coalesce(hits, 0) / anchor_total, 6) AS evidence_recall, coalesce(hits, 0) / anchor_total >= 0.2 AS feasible, CASE WHEN coalesce(hits, 0) / anchor_total >= 0.2 THEN coalesce(n, 0) END AS matched_prefix_count, round(known, 6) AS known_violation_rate, round(upper, 6) AS upper_risk, round(coalesce(upper, 1), 6) AS penalized_upper_risk,
+coalesce(width, 0) AS route_width, round(coalesce(w, 0), 6) AS wrong_scope_exposure_rate, round(coalesce(p, 0), 6) AS policy_disallowed_exposure_rate, round(coalesce(l, 0), 6) AS lifecycle_incompatible_exposure_rate, round(coalesce(u, 0), 6) AS unresolved_exposure_rate FROM tot LEFT JOIN p USING (query_id)""")
 def fixed_route_scores(spark, sf_dir):
     ranked = _arms(spark, sf_dir, ["namespace_dense"], TOP).select("setting_id", "query_id", "memory_id", "rank")
     known = prefix.labelled(model.assessments(spark, sf_dir, ranked)).withColumn("anchor", F.coalesce("usable", F.lit(False)))
     cases = model.anchors(spark, sf_dir).where("anchor_total > 0").withColumn("setting_id", F.lit("namespace_dense"))
     route = prefix.assessed(ranked, known)
-    return prefix.score_fixed_route(route, cases, 0.2)
+    rates = ("evidence_recall", "known_violation_rate", "upper_risk", "penalized_upper_risk", "wrong_scope_exposure_rate", "policy_disallowed_exposure_rate", "lifecycle_incompatible_exposure_rate", "unresolved_exposure_rate")
+    return prefix.score_fixed_route(route, cases, 0.2).withColumns(r6(*rates))
 
 

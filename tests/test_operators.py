@@ -252,3 +252,71 @@ def test_streamed_windows_match_batch(spark, tmp_path):
 def test_entry_and_plans(spark):
     assert __spark_entry__.entry(spark).count() == len(arms.DENSE)
     assert "WindowGroupLimit" in arms.dense_arm(spark.createDataFrame(ROWS, PAIRS), "global_dense")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_are_dealt_by_place(spark):
+    import hashlib
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), i) for i in rnd.sample(range(400_000), 500)]
+    got = {(r["k"], r["i"]): r["u"] for r in corrupt.vector_stream(spark.createDataFrame(rows, "k string, i bigint").repartition(5), ["k"], "i", 7, "c").collect()}
+    for k in "ab":
+        stream = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(f"7\0c\0{k}".encode()).digest()[:8], "big")))
+        own = sorted(i for x, i in rows if x == k)
+        assert [got[k, i] for i in own] == stream.random(len(own)).tolist()
+    numbers = support.numbered(spark.createDataFrame(rows, "k string, i bigint"), ["k"], F.floor(F.col("i") / 1000), ["i"], "n").collect()
+    assert all(r["n"] == 1 + sum(x == r["k"] and i < r["i"] for x, i in rows) for r in numbers)
+
+
+def test_agreement_bounds(spark):
+    pairs = spark.createDataFrame([(i, i % 10 < 7, i % 10 < 6 or i % 50 == 9) for i in range(400)], "id bigint, a boolean, b boolean")
+    r = stats.binary_agreement_bootstrap(pairs, "a", "b", "id", 2000, "s").first()
+    one = classify.binary_agreement(pairs, "a", "b").first()
+    for m in ("exact", "kappa", "ac1"):
+        assert r[f"{m}_lower"] < one[m] < r[f"{m}_upper"]
+    assert r["exact_upper"] - r["exact_lower"] == pytest.approx(2 * 1.96 * (one["exact"] * (1 - one["exact"]) / 400) ** 0.5, rel=0.1)
+
+
+def test_pooled_arms_are_the_arms_over_pairs(spark):
+    rnd = random.Random(8)
+
+    def vector():
+        return [rnd.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
+
+    memories = [(i, rnd.choice("ab"), rnd.choice(status.LIFECYCLE), rnd.choice([True, False, None]), rnd.choice([True, False, None]), float(i), vector()) for i in range(60)]
+    queries = [(i, "s", "g", rnd.choice("abc"), rnd.choice(status.INTENT), rnd.choice(["content_disclosure", "operation_trace", "other"]), vector()) for i in (0, 3, 7, 11, 90)]
+    m = spark.createDataFrame(memories, "memory_id bigint, memory_namespace string, lifecycle_state string, content_allowed boolean, trace_allowed boolean, released_order double, m_embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id bigint, source string, group_id string, namespace string, intent string, purpose string, q_embedding array<double>")
+    pairs, names = q.join(m, F.col("query_id") != F.col("memory_id")), list(arms.DENSE)
+    keys = ["setting_id", "query_id", "memory_id", "rank", "score"]
+    assert sorted(map(tuple, arms.pooled_arms(q, m, names, 5).select(keys).collect())) == sorted(map(tuple, arms.dense_arms(pairs, names, 5).select(keys).collect()))
+    keys = ["setting_id", "source", "group_id", "query_id", "candidates_scored", "route_width"]
+    assert sorted(map(tuple, arms.pooled_stats(q, m, names).select(keys).collect())) == sorted(map(tuple, arms.route_stats(pairs, names).select(keys).collect()))
+
+
+def test_a_ranked_memory_without_an_assessment_raises(spark):
+    labels, ranked = spark.createDataFrame(LABELS, LABEL_SCHEMA), spark.createDataFrame([("s", 1, 99, 1)], "setting_id string, query_id bigint, memory_id bigint, rank int")
+    runs = spark.createDataFrame([("s", "x", "g", 1, 3, 1)], "setting_id string, source string, group_id string, query_id bigint, candidates_scored bigint, route_width int")
+    with pytest.raises(Exception, match="no assessment"):
+        prefix.score_route(ranked, labels, runs, 1.0).collect()
+    with pytest.raises(ValueError, match="zero vector"):
+        import numpy as np
+
+        cluster.threshold_clusters(np.zeros((2, 3)), 0.5)
+
+
+def test_records_are_checked(spark):
+    rows = spark.createDataFrame([(1, -1.0), (2, 1.0)], "id bigint, cost double")
+    with pytest.raises(Exception, match="not negative"):
+        rows.select(prefix.passed_on(F.col("cost"))).collect()
+    with pytest.raises(Exception, match="duplicate"):
+        io.unique_ids(rows.unionByName(rows), "id").collect()
+    with pytest.raises(ValueError, match="empty"):
+        io.not_empty(rows.limit(0))
+    cases = spark.createDataFrame([("c", "arm", "p")], "case_id string, arm string, prompt_sha256 string")
+    answers = spark.createDataFrame([("q", "x", "answer")], "prompt_sha256 string, answer string, action string")
+    with pytest.raises(Exception, match="missing"):
+        paired.judged_scores(cases, answers, spark.createDataFrame([], "case_id string, answer_sha256 string, correct boolean, quality double")).collect()
+    assert [r["place"] for r in quality.in_same_order(rows.withColumn("place", F.col("id")), rows.where("id = 1").withColumn("place", F.col("id")), "id", "place").collect()] == [2]
