@@ -33,3 +33,18 @@ def test_registered():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in queries} and "pipeline" in queries
     assert set(sql) <= set(queries) and "pipeline" not in sql
+
+
+def test_nulls_empty_tables_and_columns_of_other_names(spark, tmp_path):
+    rows = [(1, "one two three four five six seven eight", "en", "a"), (2, None, None, None), (None, "one two three four five six seven eight nine", "en", "a"), (3, "", "en", "b"), (1, "one two three four five six seven eight", "en", "a"), (4, "a line of its own that is long\none two three four five six seven eight", "en", "b")]
+    schema = "doc_id bigint, text string, lang string, source string"
+    for k, own in enumerate((rows, [])):
+        docs = spark.createDataFrame(own, schema).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS doc", "'x' AS gone", "2 AS row", "'k' AS keep", "0 AS component")
+        docs.write.parquet(str(tmp_path / f"{k}/documents.parquet"))
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / f"{k}/labels.parquet"))
+        pieces = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
+        # Rows of one identifier are one document, and null identifiers match nothing: all stay, 4 without its repeated line.
+        assert sorted(str(r["doc_id"]) for r in pieces) == sorted(str(r[0]) for r in own)
+        assert not own or len({r["doc_tokens"] for r in pieces if r["doc_id"] == 1}) == 1
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, str(tmp_path / str(k))).columns == docs.columns
