@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import dot, finite, tokens
+from quillon.functions.scalar import dot, finite, rate, tokens
 
 
 def top_k(scored: DataFrame, k: int | None, keys: list[str] | None = None, score: str = "score") -> DataFrame:
@@ -52,6 +52,28 @@ def bm25(queries: DataFrame, candidates: DataFrame, pairs: DataFrame, *, k1: flo
     return pairs.drop("score").join(scores, ["query_id", "memory_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def pooled_bm25(memories: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """RNK6 where each query is one of the memories and all others are its candidates: query_id, memory_id and score of what can be among its k best.
+
+    memories: memory_id, text; queries: query_id, a memory's. Frequencies are counted once by term and corrected
+    for the query itself. Rows are made for pairs that share a term only; memories without one score 0
+    and rank by identifier, so the first k + 1 of those stand for them all.
+    """
+    terms = memories.select("memory_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("memory_id", "term").agg(F.count("*").alias("tf"))
+    length = terms.groupBy("memory_id").agg(F.sum("tf").alias("dl"))
+    df = terms.groupBy("term").agg((F.count("*") - 1).alias("df"))
+    whole = memories.agg(F.count("*").alias("all")).crossJoin(length.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))  # one row
+    asked = queries.select("query_id").join(length.select(F.col("memory_id").alias("query_id"), F.col("dl").alias("own")), "query_id", "left").crossJoin(F.broadcast(whole))
+    asked = asked.select("query_id", (F.col("all") - 1).alias("n"), rate(F.col("total") - F.coalesce("own", F.lit(0)), F.col("all") - 1).alias("avgdl"))
+    words = terms.select(F.col("memory_id").alias("query_id"), "term").join(queries.select("query_id"), "query_id", "left_semi")
+    hits = words.join(terms.join(length, "memory_id"), "term").where("query_id <> memory_id").join(df, "term").join(asked, "query_id")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scores = hits.groupBy("query_id", "memory_id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("score"))
+    first = memories.select("memory_id").orderBy("memory_id").limit(k + 1)
+    rest = queries.select("query_id").crossJoin(F.broadcast(first)).where("query_id <> memory_id").join(scores, ["query_id", "memory_id"], "left_anti").withColumn("score", F.lit(0.0))  # k + 1 rows a query
+    return scores.unionByName(rest)
+
+
 def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     """RNK7: 1 / (k + rank) summed over two full rankings of the same pairs."""
     a = top_k(first, None).select("query_id", "memory_id", F.col("rank").alias("r1"))

@@ -91,7 +91,7 @@ bm AS (SELECT p.query_id, p.memory_id, p.score AS dense, coalesce(s, 0.0) AS s F
 @register("arm_global_bm25", f"{BM25}, x AS (SELECT query_id, memory_id, round(s, 9) AS s FROM bm), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) AS rank FROM x) SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM y WHERE rank <= {TOP}")
 def arm_global_bm25(spark, sf_dir):
     m = model.memories(spark, sf_dir, with_text=True).select("memory_id", "text")
-    scored = rank.bm25(model.queries(spark, sf_dir, with_text=True).select("query_id", "text"), m, model.pairs(spark, sf_dir).select("query_id", "memory_id"))
+    scored = rank.pooled_bm25(m, model.queries(spark, sf_dir).select("query_id"), TOP)
     return _ranked(rank.top_k(scored.withColumn("score", F.round("score", 9)), TOP))
 
 
