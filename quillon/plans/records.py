@@ -153,6 +153,25 @@ def baseline_predictions(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("kind", "lang").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("p_adm", "p_inadm", "p_unk")])
 
 
+@register("exposure_units", """WITH b AS (SELECT doc_id, 'p' || (doc_id // 3) AS pair_id, 'c' || (doc_id % 3) AS k, CASE doc_id % 3 WHEN 0 THEN 'focal' ELSE 'stable' END AS role FROM documents), c AS (SELECT b.*, x.c AS condition FROM b, (VALUES ('allow'), ('block')) x(c))
+SELECT pair_id || '|' || condition || '|' || k AS unit_id, role AS candidate_role, CASE WHEN CASE condition WHEN 'allow' THEN doc_id % 2 = 0 ELSE doc_id % 5 < 3 END THEN 'relevant' ELSE 'irrelevant' END || '_' || CASE WHEN CASE condition WHEN 'allow' THEN doc_id % 3 < 2 ELSE doc_id % 3 = 1 END THEN 'admissible' ELSE 'inadmissible' END AS cell FROM c""")
+def exposure_units(spark, sf_dir):
+    """CFX9: three documents make a pair's candidates."""
+    i = F.col("doc_id")
+    candidate = F.struct(F.concat(F.lit("c"), i % 3).alias("candidate_key"), F.when(i % 3 == 0, "focal").otherwise("stable").alias("role"), (i % 2 == 0).alias("relevant_allow"), (i % 5 < 3).alias("relevant_block"), (i % 3 < 2).alias("allow"), (i % 3 == 1).alias("block"), F.array(F.concat(F.lit("m"), i)).alias("markers"))
+    pairs = model.table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("p"), F.floor(i / 3)).alias("pair_id")).agg(F.collect_list(candidate).alias("candidates"))  # three a pair
+    return paired.exposure_units(pairs).select("unit_id", "candidate_role", "cell")
+
+
+@register("marker_errors", r"""WITH c AS (SELECT 's' || conv_id AS scenario_id, turn AS candidate_key, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM conversations WHERE text IS NOT NULL), m AS (SELECT *, unnest(['the', 'la']) AS marker FROM c)
+SELECT scenario_id, candidate_key, marker, 'absent' AS error FROM m WHERE NOT contains(t, ' ' || marker || ' ')
+UNION SELECT m.scenario_id, m.candidate_key, m.marker, 'shared' FROM m JOIN c o ON o.scenario_id = m.scenario_id AND o.candidate_key <> m.candidate_key AND contains(o.t, ' ' || m.marker || ' ')""")
+def marker_errors(spark, sf_dir):
+    """CFX10: the turns of a conversation are a scenario's candidates."""
+    c = model.table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat(F.lit("s"), "conv_id").alias("scenario_id"), F.col("turn").alias("candidate_key"), "text", F.array(F.lit("the"), F.lit("la")).alias("markers"))
+    return paired.marker_errors(c)
+
+
 # --- scans, sinks and receipts
 
 
