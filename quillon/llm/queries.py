@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, html_extract, line_dedup, media, minhash, packing, token_counts, toxicity, warc
+from quillon.llm import bpe, exact_dedup, html_extract, line_dedup, media, minhash, nearest, packing, token_counts, toxicity, vector_codes, warc, whitening
 from quillon.llm._common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,7 +57,19 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_minhash_dedup, op3_mixture_packing, op4_line_dedup, op5_warc_write, op6_exact_dedup, op7_byte_bpe, op8_token_counts, op9_toxicity_chain, op10_png_media)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_minhash_dedup, op3_mixture_packing, op4_line_dedup, op5_warc_write, op6_exact_dedup, op7_byte_bpe, op8_token_counts, op9_toxicity_chain, op10_png_media, op11_vector_codes, op12_whitening, op13_nearest)}
 
 SQL = {
     "op1_html_extract": r"""
@@ -83,4 +95,24 @@ SQL = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
+    "op11_vector_codes": """
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+        parts AS (SELECT vec_id, label, p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, range(16) t(p)),
+        b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 64),
+        a0 AS (SELECT vec_id, p, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM parts JOIN b0 USING (p) GROUP BY vec_id, p, x),
+        s0 AS (SELECT p, m % 64 AS e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, m % 64 AS m, i, sum(x[i]) AS s, count(*) AS n FROM a0, range(1, 1 + len(x)) t(i) GROUP BY p, m % 64, i) GROUP BY p, m % 64),
+        b1 AS (SELECT p, e, coalesce(s0.c, b0.c) AS c FROM b0 LEFT JOIN s0 USING (p, e)),
+        a1 AS (SELECT vec_id, p, x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM parts JOIN b1 USING (p) GROUP BY vec_id, p, x),
+        s1 AS (SELECT p, m % 64 AS e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, m % 64 AS m, i, sum(x[i]) AS s, count(*) AS n FROM a1, range(1, 1 + len(x)) t(i) GROUP BY p, m % 64, i) GROUP BY p, m % 64),
+        b2 AS (SELECT p, e, coalesce(s1.c, b1.c) AS c FROM b1 LEFT JOIN s1 USING (p, e)),
+        a2 AS (SELECT vec_id, label, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM parts JOIN b2 USING (p) GROUP BY vec_id, label, p),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(m % 64 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM coded""",
+    "op13_nearest": """
+        WITH kept AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL
+            AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM kept q JOIN kept c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 10""",
 }
