@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate
 from quillon.functions.status import admissible_status
-from quillon.operators import aggregate, arms, classify, corrupt, prefix, rank, support
+from quillon.operators import aggregate, arms, classify, corrupt, corrupt_grid, prefix, rank, support
 from quillon.sources import model
 
 DIRECT = list(arms.DENSE)
@@ -271,26 +273,34 @@ def support_control_scores(spark, sf_dir):
 
 RATES = [0.0, 0.1, 0.3]
 _ID = {
-    **{c: "concat_ws(chr(0), '1', channel, source, CAST(memory_id AS VARCHAR))" for c in corrupt.RECORD_CHANNELS},
-    **{c: "concat_ws(chr(0), '1', channel, source, CAST(query_id AS VARCHAR))" for c in corrupt.QUERY_CHANNELS},
-    **{c: "concat_ws(chr(0), '1', channel, source, CAST(query_id AS VARCHAR), CAST(memory_id AS VARCHAR))" for c in corrupt.PAIR_CHANNELS},
+    **{c: f"concat_ws(chr(0), seed, channel, source, CAST(memory_id AS VARCHAR), '{corrupt.tag(c)}')" for c in corrupt.RECORD_CHANNELS},
+    **{c: f"concat_ws(chr(0), seed, channel, source, CAST(query_id AS VARCHAR), '{corrupt.tag(c)}')" for c in corrupt.QUERY_CHANNELS},
+    **{c: f"concat_ws(chr(0), seed, channel, source, CAST(query_id AS VARCHAR), CAST(memory_id AS VARCHAR), '{corrupt.tag(c)}')" for c in corrupt.PAIR_CHANNELS},
 }
-_CORRUPT = f"""{MODEL}, ch(channel) AS (VALUES {', '.join(f"('{c}')" for c in corrupt.CHANNELS)}), rt(rate) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in RATES)}),
+
+
+def _corrupt_sql(rates: list[float], seeds: list[int]) -> str:
+    """The pairs under every corruption: hit, the corrupted fields, and pol2, the decision for the query's purpose."""
+    allowed = "CASE WHEN purpose = 'content_disclosure' THEN content_allowed ELSE trace_allowed END"
+    return f"""{MODEL}, ch(channel) AS (VALUES {', '.join(f"('{c}')" for c in corrupt.CHANNELS)}), rt(rate) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in rates)}), sd(seed) AS (VALUES {', '.join(f"('{s}')" for s in seeds)}),
 voc AS (SELECT list_sort(list_distinct(list(ns))) AS v FROM mem),
-u AS (SELECT *, ('0x' || substr(sha256(CASE channel {' '.join(f"WHEN '{c}' THEN {e}" for c, e in _ID.items())} END), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < rate AS hit,
-  list_filter(v, lambda x: x <> m_ns) AS others, {uniform_sql("'1'", "'alternate'", 'source', 'CAST(memory_id AS VARCHAR)')} AS ua FROM pairs, ch, rt, voc),
-c AS (SELECT channel, rate, source, query_id, memory_id, hit, q_ns, scope_ok, score,
+u AS (SELECT *, ('0x' || substr(sha256(CASE channel {' '.join(f"WHEN '{c}' THEN {e}" for c, e in _ID.items())} END), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u,
+  list_filter(v, lambda x: x <> m_ns) AS others, CASE WHEN channel = 'namespace_swap' THEN {uniform_sql("seed", "channel", 'source', 'CAST(memory_id AS VARCHAR)', "'alternate'")} END AS ua, {allowed} AS pol FROM pairs, ch, sd, voc),
+h AS (SELECT *, u < rate AS hit FROM u, rt),
+c AS (SELECT channel, rate, seed, source, query_id, memory_id, hit, q_ns, scope_ok, score, relevant, policy_ok, lifecycle_ok,
   CASE WHEN hit AND channel = 'namespace_false_allow' THEN q_ns WHEN hit AND channel = 'namespace_false_deny' THEN '__denied__:' || m_ns WHEN hit AND channel = 'namespace_missing' THEN '__missing__' WHEN hit AND channel = 'namespace_swap' THEN others[CAST(least(floor(ua * len(others)), len(others) - 1) AS INT) + 1] ELSE m_ns END AS ns2,
-  CASE WHEN hit AND channel = 'lifecycle_false_current' THEN 'current' WHEN hit AND channel = 'lifecycle_false_stale' THEN 'stale' WHEN hit AND channel = 'lifecycle_missing' THEN 'unknown' ELSE state END AS st2,
+  CASE WHEN hit AND channel = 'lifecycle_false_current' AND state IN ('stale', 'superseded') THEN 'current' WHEN hit AND channel = 'lifecycle_false_stale' AND state = 'current' THEN 'stale' WHEN hit AND channel = 'lifecycle_missing' THEN 'unknown' ELSE state END AS st2,
   CASE WHEN hit AND channel = 'query_intent_flip' THEN CASE WHEN intent = 'current_state' THEN 'history' ELSE 'current_state' END ELSE intent END AS in2,
-  CASE WHEN hit AND channel = 'policy_false_allow' THEN true WHEN hit AND channel = 'policy_false_deny' THEN false WHEN hit AND channel = 'policy_missing' THEN NULL ELSE CASE WHEN purpose = 'content_disclosure' THEN content_allowed ELSE trace_allowed END END AS pol2 FROM u),
+  CASE WHEN hit AND channel = 'policy_false_allow' AND pol = false THEN true WHEN hit AND channel = 'policy_false_deny' AND pol THEN false WHEN hit AND channel = 'policy_missing' THEN NULL ELSE pol END AS pol2 FROM h)"""
+
+
+_CORRUPT = f"""{_corrupt_sql(RATES, [1])},
 curve AS (SELECT channel, rate, count_if(hit) AS hits, count_if(ns2 = q_ns AND pol2 IS DISTINCT FROM false AND NOT (in2 = 'current_state' AND st2 IN ('stale', 'superseded'))) AS admitted,
   count_if(ns2 = q_ns AND pol2 IS DISTINCT FROM false AND NOT (in2 = 'current_state' AND st2 IN ('stale', 'superseded')) AND NOT scope_ok) AS wrong_scope FROM c GROUP BY ALL)"""
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted = support.in_namespace() & support.governance_v2()
-    return corrupt.curve(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), admitted, list(corrupt.CHANNELS), RATES, [1]).drop("seed")
+    return corrupt_grid.curve(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), "released_governance_oracle_v2", list(corrupt.CHANNELS), RATES, [1]).drop("seed")
 
 
 @register("corruption_curve", f"{_CORRUPT} SELECT channel, rate, hits, admitted, wrong_scope FROM curve")
@@ -311,21 +321,6 @@ PROTOCOL_ARMS = ["namespace_dense", "query_agnostic_current_only", "released_gov
 CURVE = ["feasible_rate", "evidence_recall", "penalized_admissibility_upper_risk", "penalized_admissibility_known_risk", "penalized_non_usable_upper_risk", "candidates_scored"]
 
 
-def robustness(pairs: DataFrame, labels: DataFrame, corruptions: DataFrame, words: DataFrame, target: float, top: int = TOP) -> DataFrame:
-    """COR11: channel, rate, seed, arm and the arm's summary under that corruption.
-
-    global_dense reads no corrupted field, so it is scored once and stands beside every corruption.
-    """
-    scored = rank.dense(pairs).drop("q_embedding", "m_embedding", "released_order")
-    ranked, runs = arms.corrupted_arms(corrupt.corrupt(scored, corruptions, words), PROTOCOL_ARMS, top)
-    summary = aggregate.summarize_settings(prefix.score_route(ranked, labels, runs, target))
-    own = summary.withColumns({"arm": F.substring_index("setting_id", "|", 1), "corruption_id": F.expr("substring(setting_id, instr(setting_id, '|') + 1)")}).select("arm", "corruption_id", *CURVE)
-    whole = ["global_dense"]
-    base = aggregate.summarize_settings(prefix.score_route(arms.dense_arms(pairs, whole, top), labels, arms.route_stats(pairs, whole), target))
-    beside = base.select(F.col("setting_id").alias("arm"), *CURVE).crossJoin(corruptions.select("corruption_id"))  # one row by the stated grid
-    return own.unionByName(beside).join(F.broadcast(corruptions), "corruption_id").select("channel", "rate", "seed", "arm", *CURVE)
-
-
 def dominance(points: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """COR12: up to which rate namespace_dense is feasible as often as global_dense and at no higher risk, of each channel and seed."""
 
@@ -338,19 +333,61 @@ def dominance(points: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return corrupt.break_even(sides, ["channel", "seed"], "excess", "base", tolerance)
 
 
-def _robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = corrupt.vocabulary(model.memories(spark, sf_dir), model.queries(spark, sf_dir))
-    return robustness(model.pairs(spark, sf_dir), model.assessments(spark, sf_dir), corrupt.grid(spark, list(corrupt.CHANNELS), PROTOCOL_RATES, PROTOCOL_SEEDS), words, 0.8)
+def robustness(queries: DataFrame, memories: DataFrame, assess: Callable[[DataFrame], DataFrame], anchors: DataFrame, rates: list[float], seeds: list[int], target: float, top: int = TOP, **sizes: int) -> DataFrame:
+    """COR11: channel, rate, seed, arm and the arm's summary under that corruption.
 
+    global_dense reads no corrupted field, so it is scored once and stands beside every corruption.
+    """
+    channels = list(corrupt.CHANNELS)
+    own = corrupt_grid.settings(queries, memories, assess, anchors, PROTOCOL_ARMS, channels, rates, seeds, k=top, target=target, **sizes)
+    whole = ["global_dense"]
+    ranked = arms.pooled_arms(queries, memories, whole, top)
+    base = aggregate.summarize_settings(prefix.score_route(ranked, assess(ranked), arms.pooled_stats(queries, memories, whole), target, anchors))
+    points = corrupt.grid(queries.sparkSession, channels, rates, seeds).drop("corruption_id")
+    beside = points.crossJoin(base.select(F.col("setting_id").alias("arm"), *CURVE))  # one row by the stated grid
+    return own.select("channel", "rate", "seed", "arm", *CURVE).unionByName(beside)
 
-@register("corruption_settings")
+
+def _robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def assess(ranked: DataFrame) -> DataFrame:
+        return prefix.labelled(model.assessments(spark, sf_dir, ranked))
+
+    return robustness(model.queries(spark, sf_dir), model.candidates(spark, sf_dir), assess, model.anchors(spark, sf_dir), PROTOCOL_RATES, PROTOCOL_SEEDS, 0.8)
+
+
+_ARM_WHERE = {"namespace_dense": "true", "query_agnostic_current_only": "st2 NOT IN ('stale', 'superseded')", "released_governance_oracle_v2": "pol2 IS DISTINCT FROM false AND NOT (in2 = 'current_state' AND st2 IN ('stale', 'superseded'))"}
+_POINT = "arm, channel, rate, seed"
+_SETTINGS = f"""{_corrupt_sql(PROTOCOL_RATES, PROTOCOL_SEEDS)},
+lbl AS (SELECT query_id, memory_id, score, scope_ok AND policy_ok AND lifecycle_ok AS adm, relevant AND scope_ok AND policy_ok AND lifecycle_ok AS usable FROM pairs),
+anch AS (SELECT query_id, count_if(usable) AS t FROM lbl GROUP BY ALL),
+here AS (SELECT * FROM c WHERE ns2 = q_ns),
+held AS ({' UNION ALL '.join(f"SELECT '{a}' AS arm, channel, rate, seed, query_id, memory_id, score FROM here WHERE {w}" for a, w in _ARM_WHERE.items())} UNION ALL SELECT 'global_dense', '', 0::DOUBLE, '', query_id, memory_id, score FROM pairs),
+num AS (SELECT *, row_number() OVER (PARTITION BY {_POINT}, query_id ORDER BY score DESC, memory_id) AS rank FROM held),
+cand AS (SELECT {_POINT}, query_id, count(*) AS n FROM num GROUP BY ALL),
+cum AS (SELECT num.*, adm, usable, t, sum(CASE WHEN usable THEN 1 ELSE 0 END) OVER (PARTITION BY {_POINT}, query_id ORDER BY rank) AS cum FROM num JOIN lbl USING (query_id, memory_id) JOIN anch USING (query_id) WHERE rank <= {TOP}),
+ins AS (SELECT *, coalesce(rank <= min(CASE WHEN cum / nullif(t, 0) >= 0.8 THEN rank END) OVER (PARTITION BY {_POINT}, query_id), false) AS i FROM cum),
+per AS (SELECT {_POINT}, query_id, max(cum) AS got, count_if(i) AS n, count_if(i AND adm) AS good, count_if(i AND adm IS FALSE) AS bad, count_if(i AND usable) AS fit FROM ins GROUP BY ALL),
+points AS (SELECT arm, channel, rate, seed FROM (VALUES {', '.join(f"('{a}')" for a in _ARM_WHERE)}) a(arm), ch, rt, sd UNION ALL SELECT 'global_dense', '', 0::DOUBLE, ''),
+scored AS (SELECT p.*, q.query_id, q.source, coalesce(cand.n, 0) AS candidates, t, coalesce(got, 0) / nullif(t, 0) AS recall, per.n, good, bad, fit FROM points p CROSS JOIN q JOIN anch USING (query_id) LEFT JOIN per USING ({_POINT}, query_id) LEFT JOIN cand USING ({_POINT}, query_id)),
+parts AS (SELECT *, recall >= 0.8 AS ok FROM scored),
+by_source AS (SELECT {_POINT}, source, avg(CAST(ok AS INT)) AS feasible_rate, avg(recall) AS evidence_recall, avg(CASE WHEN ok IS NULL THEN NULL WHEN ok THEN (n - good) / n ELSE 1 END) AS penalized_admissibility_upper_risk,
+  avg(CASE WHEN ok IS NULL THEN NULL WHEN ok AND good + bad > 0 THEN bad / (good + bad) ELSE 1 END) AS penalized_admissibility_known_risk, avg(CASE WHEN ok IS NULL THEN NULL WHEN ok THEN (n - fit) / n ELSE 1 END) AS penalized_non_usable_upper_risk, avg(candidates) AS candidates_scored FROM parts GROUP BY ALL),
+summary AS (SELECT {_POINT}, {', '.join(f'avg({c}) AS {c}' for c in CURVE)} FROM by_source GROUP BY ALL),
+points_all AS (SELECT channel, rate, CAST(seed AS INT) AS seed, arm, {', '.join(CURVE)} FROM summary WHERE arm <> 'global_dense' UNION ALL SELECT ch.channel, rt.rate, CAST(sd.seed AS INT), arm, {', '.join(CURVE)} FROM ch, rt, sd, summary WHERE arm = 'global_dense')"""
+_EVEN = f"""{_SETTINGS}, e AS (SELECT channel, seed, rate, greatest(max(CASE WHEN arm = 'global_dense' THEN feasible_rate END) - max(CASE WHEN arm = 'namespace_dense' THEN feasible_rate END),
+  max(CASE WHEN arm = 'namespace_dense' THEN penalized_admissibility_upper_risk END) - max(CASE WHEN arm = 'global_dense' THEN penalized_admissibility_upper_risk END)) <= 1e-9 AS ok FROM points_all GROUP BY ALL),
+f AS (SELECT *, min(CASE WHEN NOT ok THEN rate END) OVER (PARTITION BY channel, seed) AS fails FROM e)
+SELECT channel, seed, max(CASE WHEN fails IS NULL OR rate < fails THEN rate END) AS last_dominating_rate, min(fails) AS first_non_dominating_rate FROM f GROUP BY channel, seed"""
+
+
+@register("corruption_settings", f"{_SETTINGS} SELECT channel, rate, seed, arm, {', '.join(f'round(round({c}, 9), 6) AS {c}' for c in CURVE)} FROM points_all")
 def corruption_settings(spark, sf_dir):
-    return _robustness(spark, sf_dir).withColumns(r6(*CURVE))
+    return _robustness(spark, sf_dir).withColumns({c: F.round(F.round(c, 9), 6) for c in CURVE})
 
 
-@register("corruption_break_even")
+@register("corruption_break_even", _EVEN)
 def corruption_break_even(spark, sf_dir):
-    return dominance(_robustness(spark, sf_dir))
+    return dominance(_robustness(spark, sf_dir), 1e-9)
 
 
 @register("natural_gates", f"""{MODEL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM pairs WHERE scope_ok),

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.functions import scalar, status
-from quillon.operators import aggregate, arms, classify, cluster, corrupt, paired, prefix, quality, rank, stats, support
+from quillon.operators import aggregate, arms, classify, cluster, corrupt, corrupt_grid, paired, prefix, quality, rank, stats, support
 from quillon.plans import retrieval
 from quillon.sources import io
 
@@ -100,22 +101,53 @@ def test_corruption_is_nested_and_spares_labels(spark):
     assert tuple(corrupt.break_even(curve, ["channel"], "value", "base").first()) == ("c", 0.1, 0.2)
 
 
-def test_settings_under_the_whole_corruption_grid(spark):
+def _corruptible(spark, n=70, dims=4):
+    """Memories of four namespaces, every fifth a query, with odd policies and states; labels by identifier."""
+    rng = np.random.default_rng(11)
+    state, flag = ["current", "stale", "superseded", "unknown"], [True, False, None]
+    rows = [(i, "abcd"[int(rng.integers(4))], state[int(rng.integers(4))], flag[int(rng.integers(3))], flag[int(rng.integers(3))], float(i), [float(x) for x in rng.integers(-2, 3, dims)]) for i in range(n)]
+    memories = spark.createDataFrame(rows, "memory_id bigint, memory_namespace string, lifecycle_state string, content_allowed boolean, trace_allowed boolean, released_order double, m_embedding array<double>")
+    asked = [(f"s{i % 2}", f"g{i % 3}", i, ns, ["current_state", "history", "unknown"][i // 5 % 3], ["content_disclosure", "operation_trace"][i // 5 % 2], v) for i, ns, _, _, _, _, v in rows if i % 5 == 0]
+    queries = spark.createDataFrame(asked, "source string, group_id string, query_id bigint, namespace string, intent string, purpose string, q_embedding array<double>")
+    pairs = queries.join(memories, F.col("query_id") != F.col("memory_id"))
+    mixed = F.pmod(F.xxhash64("query_id", "memory_id"), F.lit(7))
+    labels = pairs.select("query_id", "memory_id", (mixed < 3).alias("relevant"), (F.col("namespace") == F.col("memory_namespace")).alias("scope_ok"), F.when(mixed != 2, mixed != 6).alias("policy_ok"), (mixed != 5).alias("lifecycle_ok"))
+    return queries, memories, pairs, labels
+
+
+@pytest.mark.parametrize(("top", "group", "slice_rows"), [(100, 64, 1 << 16), (4, 3, 4)])
+def test_settings_under_a_corruption_grid(spark, top, group, slice_rows):
+    """The masks against a row for each pair and corruption; the second case meets in 18 slices, narrowed twice."""
     assert len(corrupt.CHANNELS) * len(retrieval.PROTOCOL_RATES) * len(retrieval.PROTOCOL_SEEDS) == 880
-    pairs, labels = spark.createDataFrame(ROWS, PAIRS), spark.createDataFrame(LABELS, LABEL_SCHEMA)
-    points = retrieval.robustness(pairs, labels, corrupt.grid(spark, list(corrupt.CHANNELS), [0.0, 1.0], [0, 1]), corrupt.vocabulary(pairs, pairs), 0.8).cache()
-    got = {(r["channel"], r["rate"], r["seed"], r["arm"]): r for r in points.collect()}
-    assert len(got) == 11 * 2 * 2 * 4
-    plain = {r["setting_id"]: r for r in aggregate.summarize_settings(prefix.score_route(arms.dense_arms(pairs, list(arms.DENSE)), labels, arms.route_stats(pairs, list(arms.DENSE)), 0.8)).collect()}
-    for (channel, rate, _, arm), r in got.items():
-        if rate == 0 or arm == "global_dense":
-            assert [r[c] for c in retrieval.CURVE] == [plain[arm][c] for c in retrieval.CURVE]
-        elif channel in ("namespace_false_deny", "namespace_missing"):
-            assert (r["feasible_rate"], r["candidates_scored"], r["penalized_admissibility_upper_risk"]) == (0, 0, 1)
-        elif channel == "namespace_false_allow" and arm == "namespace_dense":
-            assert r["candidates_scored"] == plain["global_dense"]["candidates_scored"]
+    queries, memories, pairs, labels = _corruptible(spark)
+    rates, seeds = [0.0, 0.4, 1.0], [0, 1]
+    known = prefix.labelled(labels).cache()
+    anchors = known.groupBy("query_id").agg(F.count_if(F.coalesce("usable", F.lit(False))).alias("anchor_total"))
+    points = retrieval.robustness(queries, memories, lambda ranked: known.join(ranked.select("query_id", "memory_id").distinct(), ["query_id", "memory_id"], "left_semi"), anchors, rates, seeds, 0.5, top, group=group, slice_rows=slice_rows).cache()
+    got = {(r["arm"], r["channel"], r["rate"], r["seed"]): [r[c] for c in retrieval.CURVE] for r in points.collect()}
+    scored = corrupt.corrupt(rank.dense(pairs), corrupt.grid(spark, list(corrupt.CHANNELS), rates, seeds), corrupt.vocabulary(memories, queries))
+    ranked, runs = arms.corrupted_arms(scored, retrieval.PROTOCOL_ARMS, top)
+    plain = aggregate.summarize_settings(prefix.score_route(arms.dense_arms(pairs, ["global_dense"], top), labels, arms.route_stats(pairs, ["global_dense"]), 0.5)).first()
+    want = {}
+    for r in aggregate.summarize_settings(prefix.score_route(ranked, labels, runs, 0.5)).collect():
+        arm, channel, rate, seed = r["setting_id"].split("|")
+        want[arm, channel, float(rate), int(seed)] = [r[c] for c in retrieval.CURVE]
+    want |= {("global_dense", c, r, s): [plain[x] for x in retrieval.CURVE] for c in corrupt.CHANNELS for r in rates for s in seeds}
+    assert got.keys() == want.keys() and len(got) == 11 * 3 * 2 * 4
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-12), k
     even = {(r["channel"], r["seed"]): (r["last_dominating_rate"], r["first_non_dominating_rate"]) for r in retrieval.dominance(points).collect()}
-    assert len(even) == 22 and even["namespace_missing", 0] == (0.0, 1.0) and even["policy_missing", 1] == (1.0, None)
+    assert len(even) == 22
+
+
+def test_corruption_curve_counts(spark):
+    queries, memories, pairs, _ = _corruptible(spark)
+    rates, seeds = [0.0, 0.4, 1.0], [3]
+    rows = corrupt.corrupt(pairs.withColumn("scope", F.col("namespace") != F.col("memory_namespace")), corrupt.grid(spark, list(corrupt.CHANNELS), rates, seeds), corrupt.vocabulary(memories, queries))
+    admitted = F.coalesce(support.in_namespace() & support.governance_v2(), F.lit(False))
+    want = rows.groupBy("channel", "rate", "seed").agg(F.count_if("hit"), F.count_if(admitted), F.count_if(admitted & F.col("scope")))
+    got = corrupt_grid.curve(queries, memories, "released_governance_oracle_v2", list(corrupt.CHANNELS), rates, seeds, group=3, slice_rows=9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_statistics(spark):
