@@ -15,11 +15,14 @@ Steps:
 4. The texts of families are moved once. A task holds a block of a family, numbers its shingles without
    hashing, counts all intersections by an inverted index, and gives only links that join components:
    fewer than the block has documents, however many pairs are similar or nearly so. Of families of
-   several blocks, documents outside the largest component then meet the other blocks too.
+   several blocks, documents outside the largest component then meet the other blocks too, two blocks at a
+   time: first by signatures and sizes, then, of what these allow, by full sets.
 5. Components of the links, by repeated hooking to the smallest neighbour.
 
 So no pairs of a bucket or family are emitted or shuffled, none is capped, and no links or components reach the
-driver. A family of m documents below the threshold still costs m * m / 2 comparisons inside its blocks.
+driver; no task holds more than two blocks. A family of m documents below the threshold still costs
+m * m / 2 comparisons inside its blocks and between them, and the texts that signatures allow are moved once
+a pair of blocks.
 
 Defined results: null and empty texts (or white space only) have an empty set, are linked with nothing
 and are their own component; a text of fewer words than `words` is one shingle; rows that repeat an
@@ -227,8 +230,8 @@ def _buckets(block: int):
     return run
 
 
-def _grouped(of_group, columns: int, size: int = 1):
-    """Streams rows sorted by their first `size` columns; of_group turns the rest of a group's rows into pairs (a, b)."""
+def _grouped(of_group, columns: int, size: int = 1, names: tuple[str, ...] = ("a", "b")):
+    """Streams rows sorted by their first `size` columns; of_group turns the rest of a group's rows into rows of integers, pairs (a, b) if nothing else is said."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -239,11 +242,11 @@ def _grouped(of_group, columns: int, size: int = 1):
                     key, rows = row[:size], []
                 rows.append(row[size:])
             if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
                 out = []
         out += of_group(rows) if rows else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     return run
 
@@ -289,20 +292,30 @@ def numbered(texts: list[list[bytes]], size: int) -> list[np.ndarray]:
     return out
 
 
-def exact_links(rows: list[tuple[bool, int, int, str]], size: int, percent: int) -> list[tuple[int, int]]:
-    """Of (query, id, component, text): links by full sets between members, and of queries with members.
+def exact_links(rows: list[tuple[int, str]], size: int, percent: int) -> list[tuple[int, int]]:
+    """Links by full sets between the rows (id, text) of a block.
 
-    Intersections come from an inverted index of the shingles. Only links that join what neither
-    the components nor earlier links have joined are given: fewer than there are rows.
+    Only links that join what earlier links haven't are given: fewer than there are rows.
     """
-    sets = numbered([split_words(r[3]) for r in rows], size)
-    ids, known = [r[1] for r in rows], {}
+    return _joining([(0, True, i, None, text) for i, text in rows], size, percent, across=False)
+
+
+def cross_links(rows: list[tuple[int, bool, int, int, str]], size: int, percent: int) -> list[tuple[int, int]]:
+    """Of two blocks' rows (side, outside, id, component, text): links by full sets between the sides, one end of them outside the largest component."""
+    return _joining(rows, size, percent, across=True)
+
+
+def _joining(rows: list[tuple[int, bool, int, int | None, str]], size: int, percent: int, across: bool) -> list[tuple[int, int]]:
+    """Intersections come from an inverted index of the shingles, of the second side's if `across`."""
+    sets = numbered([split_words(r[4]) for r in rows], size)
+    ids, known = [r[2] for r in rows], {}
     forest, n = Forest(len(rows)), np.array([len(x) for x in sets], np.int64)
-    for k, (_, _, component, _) in enumerate(rows):
+    for k, (_, _, _, component, _) in enumerate(rows):
         if component is not None:
             forest.join(k, known.setdefault(component, k))
-    is_member = np.array([not r[0] for r in rows])
-    inside = np.repeat(is_member, n)
+    outside = np.array([r[1] for r in rows], bool)
+    indexed = np.array([not across or r[0] == 1 for r in rows])
+    inside = np.repeat(indexed, n)
     shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), n)
     _, shingle = np.unique(shingle, return_inverse=True)
     held, place = shingle[inside], owner[inside]
@@ -311,16 +324,45 @@ def exact_links(rows: list[tuple[bool, int, int, str]], size: int, percent: int)
     starts = np.searchsorted(held[order], np.arange(len(shingle) + 1 if not len(shingle) else int(shingle.max()) + 2))
     at, links = np.cumsum(n), []
     for k in range(len(rows)):
+        if across and indexed[k]:
+            continue
         own = shingle[at[k] - n[k] : at[k]]
         lists = [place[starts[x] : starts[x + 1]] for x in own.tolist()]
         if not lists:
             continue
         both = np.bincount(np.concatenate(lists), minlength=len(rows))
-        found = np.flatnonzero((100 * both >= percent * (n + n[k] - both)) & is_member & (both > 0))
+        found = np.flatnonzero((100 * both >= percent * (n + n[k] - both)) & (both > 0) & (outside | outside[k]))
         links += [(ids[k], ids[j]) for j in found.tolist() if j != k and forest.join(k, j) and ids[k] != ids[j]]
     return links
 
 
+def may_link(rows: list[tuple[int, int, int, int, bool, int, int, int, bytes]], least: int, percent: int) -> list[tuple[int, ...]]:
+    """Of two blocks' rows (family, lo, hi, side, outside, id, component, n, signature): those whose signature and size allow a link to the other side that joins components and has an end outside the largest."""
+    side, outside = np.array([r[3] for r in rows]), np.array([r[4] for r in rows], bool)
+    component, n = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
+    sig = np.frombuffer(b"".join([r[8] for r in rows]), np.uint8).reshape(-1, COORDINATES)
+    other, keep = np.flatnonzero(side == 1), np.zeros(len(rows), bool)
+    for k in np.flatnonzero(side == 0):
+        near = other[(component[other] != component[k]) & (outside[other] | outside[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
+        near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
+        keep[near] = True
+        keep[k] = len(near) > 0
+    return [(*r[:4], int(r[4]), *r[5:7]) for r, kept in zip(rows, keep.tolist(), strict=True) if kept]
+
+
+FACING = ("family", "lo", "hi", "side", "outside", "id", "component")
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of families (family, block, blocks, outside and others) beside each other block of theirs, if the row or some row there is outside: family, lo, hi, side and the others.
+
+    What has the same (family, lo, hi) is two blocks at most.
+    """
+    there = rows.where("outside").select("family", F.col("block").alias("other")).distinct().withColumn("met", F.lit(True))
+    beside = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block").join(there, ["family", "other"], "left").where("outside OR met")
+    return beside.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")}).drop("block", "blocks", "other", "met")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component (its smallest reachable id) of all ends of links (a, b) but the smallest ones themselves.
 
@@ -381,25 +423,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = work.written(own.join(placed, "id").dropDuplicates(["id", "text"]).select("id", "family", "block", "blocks", "text"), "texts")
 
-    def linked(rows: DataFrame) -> DataFrame:
-        rows = rows.select("family", "block", "query", "id", "component", "text").repartition("family", "block").sortWithinPartitions("family", "block", "id")
-        return work.written(rows.mapInArrow(_grouped(lambda group: exact_links(group, words, percent), 6, 2), "a bigint, b bigint"), "links")
-
-    links = linked(texts.withColumns({"query": F.lit(False), "component": F.lit(None).cast("bigint")}))
+    blocked = texts.select("family", "block", "id", "text").repartition("family", "block").sortWithinPartitions("family", "block", "id")
+    links = work.written(blocked.mapInArrow(_grouped(lambda group: exact_links(group, words, percent), 4, 2), "a bigint, b bigint"), "links")
     # Rows that share an identifier but not a text are one node: the heads of their classes are linked through it.
     several = full.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("id")
     of_id = full.select("id", "class").join(several, "id").join(classes.withColumnRenamed("id", "head"), "class").select("id", "head").distinct()
     links = links.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("head").alias("a")), "id").select("a", F.col("head").alias("b")).where("a <> b"))
-    # Of a family of several blocks: who isn't in its largest component yet meets the members of all other blocks too.
+    # Of a family of several blocks: who isn't in its largest component yet meets the other blocks too, a pair of blocks at a time, by signatures first.
     large = texts.where("blocks > 1")
     if not large.isEmpty():
-        named = large.join(components(links).withColumnRenamed("component", "to"), "id", "left").withColumn("component", F.coalesce("to", "id")).drop("to")
+        named = large.select("id", "family", "block", "blocks").distinct().join(components(links).withColumnRenamed("component", "to"), "id", "left").withColumn("component", F.coalesce("to", "id")).drop("to")
         named = work.written(named, "named")
         largest = named.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("largest"))
-        outside = named.join(largest, "family").where("component <> largest").select("id", "family", "component", "text", "blocks", F.col("block").alias("own"))
-        queries = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").withColumn("query", F.lit(True))
-        names = ["family", "block", "query", "id", "component", "text"]
-        links = links.unionByName(linked(named.withColumn("query", F.lit(False)).select(names).unionByName(queries.select(names))))
+        placed = named.join(largest, "family").withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+        met = block_pairs(placed.join(heads.select("id", "n", "signature"), "id")).select("family", "lo", "hi", *[F.col(c).alias(f"own_{c}") for c in FACING], "n", "signature")
+        near = met.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "own_side", "own_id").mapInArrow(_grouped(lambda group: may_link(group, least, percent), 12, 3, FACING), ", ".join(f"{c} bigint" for c in FACING))
+        rows = work.written(near.distinct(), "facing").join(large.select("id", "text"), "id").select("family", "lo", "hi", "side", F.col("outside").cast("boolean").alias("outside"), "id", "component", "text")
+        rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "side", "id")
+        links = links.unionByName(work.written(rows.mapInArrow(_grouped(lambda group: cross_links(group, words, percent), 8, 3), "a bigint, b bigint"), "links"))
     moved = components(links)
     of_class = classes.join(moved, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     columns = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept")]

@@ -62,6 +62,46 @@ def test_small_blocks_of_large_families(spark, monkeypatch):
     assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), words=5)) == brute(rows, 5, 80)
 
 
+def boilerplate(n=320, seed=4):
+    """One family of documents that share much and stay below the threshold, but for twins far apart in it."""
+    rnd = random.Random(seed)
+    base, rows = " ".join(f"b{rnd.randrange(10**6)}" for _ in range(150)), []
+    for i in range(n):
+        own = [f"o{i % (n - 40)}x{j}" for j in range(24)] + [f"z{i}y{j}" for j in range(2)]  # the last 40 are twins of the first 40
+        rows.append((i, f"{base} {' '.join(own)}"))
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_many_outsiders_meet_two_blocks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "MEMBERS", 5)
+    seen, plain = [], minhash.block_pairs
+
+    def watched(rows):
+        out = plain(rows)
+        here = rows.groupBy("family", "block").count().agg({"count": "max"}).first()[0]
+        pairs = out.groupBy("family", "lo", "hi").agg({"id": "count", "side": "max"}).collect()
+        seen.append((rows.select("blocks").first()[0], here, max(r[3] for r in pairs), len(pairs)))
+        return out
+
+    monkeypatch.setattr(minhash, "block_pairs", watched)
+    rows = [(*r, 1, "c", None) for r in boilerplate()]
+    got = result(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), words=5))
+    assert got == brute(rows, 5, 80)
+    assert sum(not r[3] for r in got) == 40
+    (blocks, largest_block, largest_pair, pairs), = seen
+    assert blocks == 64 and largest_pair <= 2 * largest_block and pairs <= 64 * 63 // 2
+
+
+def test_cross_links_join_sides_only():
+    texts = ["a b c d e f", "a b c d e f", "a b c d e f", "p q r s t u"]
+    rows = [(0, True, 1, 1, texts[0]), (0, True, 2, 2, texts[1]), (1, False, 3, 3, texts[2]), (1, True, 4, 4, texts[3])]
+    assert minhash.cross_links(rows, 2, 80) == [(1, 3), (2, 3)]
+    assert minhash.cross_links([(s, False, i, c, t) for s, _, i, c, t in rows], 2, 80) == []  # both ends in the largest component
+    assert minhash.exact_links([(i, t) for _, _, i, _, t in rows], 2, 80) == [(1, 2), (1, 3)]
+
+
 def test_keep_one_and_empty(spark):
     rows = [(*r, 1, "c", None) for r in EDGES]
     kept = keep_one(spark.createDataFrame(rows, SCHEMA))
