@@ -52,28 +52,6 @@ def bm25(queries: DataFrame, candidates: DataFrame, pairs: DataFrame, *, k1: flo
     return pairs.drop("score").join(scores, ["query_id", "memory_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def pooled_bm25(memories: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """RNK6 where each query is one of the memories and all others are its candidates: query_id, memory_id and score of what can be among its k best.
-
-    memories: memory_id, text; queries: query_id, a memory's. Frequencies are counted once by term and corrected
-    for the query itself. Rows are made for pairs that share a term only; memories without one score 0
-    and rank by identifier, so the first k + 1 of those stand for them all.
-    """
-    terms = memories.select("memory_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("memory_id", "term").agg(F.count("*").alias("tf"))
-    length = terms.groupBy("memory_id").agg(F.sum("tf").alias("dl"))
-    df = terms.groupBy("term").agg((F.count("*") - 1).alias("df"))
-    whole = memories.agg(F.count("*").alias("all")).crossJoin(length.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))  # one row
-    asked = queries.select("query_id").join(length.select(F.col("memory_id").alias("query_id"), F.col("dl").alias("own")), "query_id", "left").crossJoin(F.broadcast(whole))
-    asked = asked.select("query_id", (F.col("all") - 1).alias("n"), rate(F.col("total") - F.coalesce("own", F.lit(0)), F.col("all") - 1).alias("avgdl"))
-    words = terms.select(F.col("memory_id").alias("query_id"), "term").join(queries.select("query_id"), "query_id", "left_semi")
-    hits = words.join(terms.join(length, "memory_id"), "term").where("query_id <> memory_id").join(df, "term").join(asked, "query_id")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scores = hits.groupBy("query_id", "memory_id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("score"))
-    first = memories.select("memory_id").orderBy("memory_id").limit(k + 1)
-    rest = queries.select("query_id").crossJoin(F.broadcast(first)).where("query_id <> memory_id").join(scores, ["query_id", "memory_id"], "left_anti").withColumn("score", F.lit(0.0))  # k + 1 rows a query
-    return scores.unionByName(rest)
-
-
 def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     """RNK7: 1 / (k + rank) summed over two full rankings of the same pairs."""
     a = top_k(first, None).select("query_id", "memory_id", F.col("rank").alias("r1"))
@@ -104,23 +82,28 @@ def _packed(most: int):
     return run
 
 
-def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int = 1, block: int = 1024, chunk: int = 4096, slices: int = 16) -> DataFrame:
+def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int = 1, block: int = 1024, chunk: int = 4096, slice_rows: int = 1 << 14) -> DataFrame:
     """RNK15: exact dense top-k of several arms by matrix products, without a row per pair: query_id, memory_id, score, held.
 
     queries: key, query_id, fact (the query's class, from 0), q_embedding; memories: key, memory_id, fact, m_embedding.
     A query meets the memories of its key but itself; bit class * arms + arm of a memory's fact tells if
     that arm's support holds it for that class; bit `arm` of `held` if it is among the arm's k best there. A
     task multiplies `block` queries with `chunk` memories at a time and passes on each arm's k best and their
-    ties; those few meet in one ranking. A key's blocks and chunks are dealt over block x slices tasks, so
-    neither a hot key nor many queries gather in one, and nothing is broadcast.
+    ties; those few meet in one ranking. Queries are dealt into blocks and memories into slices by their
+    numbers, and (key, block, slice) meet, so neither a hot key nor many queries gather in one, and nothing is
+    broadcast.
     """
-    n_blocks = max(1, -(-queries.count() // block))
-    place, part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("memory_id"), F.lit(slices))
-    q = queries.select("key", "query_id", F.col("fact").cast("bigint"), "q_embedding", place.alias("block")).repartition("key", "block").sortWithinPartitions("key", "block")
-    m = memories.select("key", "memory_id", F.col("fact").cast("bigint"), "m_embedding", part.alias("slice")).repartition("key", "slice").sortWithinPartitions("key")
-    q_packed = q.select("key", "query_id", "fact", "q_embedding").mapInArrow(_packed(block), PACKED).select(F.col("key"), F.col("ids").alias("q_ids"), F.col("facts").alias("q_facts"), F.col("vectors").alias("q_vectors"))
-    q_packed = q_packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    m_packed = m.select("key", "memory_id", "fact", "m_embedding").mapInArrow(_packed(chunk), PACKED).withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    blocks, slices = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (memories, slice_rows)))
+    q = queries.select("key", "query_id", F.col("fact").cast("bigint"), "q_embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    m = memories.select("key", "memory_id", F.col("fact").cast("bigint"), "m_embedding", F.pmod(F.xxhash64("memory_id"), F.lit(slices)).cast("int").alias("slice"))
+
+    def packed(rows: DataFrame, part: str, most: int) -> DataFrame:
+        """Matrices of rows of one key and part; a part's name goes along in its key."""
+        named = rows.withColumn("key", F.concat_ws("\0", F.col(part).cast("string"), "key")).repartition("key").sortWithinPartitions("key").drop(part)
+        return named.mapInArrow(_packed(most), PACKED).withColumns({part: F.substring_index("key", "\0", 1).cast("int"), "key": F.expr("substring(key, instr(key, '\\0') + 1)")})
+
+    q_packed = packed(q, "block", block).select("key", "block", F.col("ids").alias("q_ids"), F.col("facts").alias("q_facts"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    m_packed = packed(m, "slice", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,5 +129,5 @@ def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int
                 i, j = np.nonzero(held)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(m_ids[j]), pa.array(scores[i, j]), pa.array(held[i, j])], names=["query_id", "memory_id", "score", "held"])
 
-    met = q_packed.join(m_packed, ["key", "place"]).select("q_ids", "q_facts", "q_vectors", "ids", "facts", "vectors")
+    met = q_packed.join(m_packed, ["key", "block", "slice"]).select("q_ids", "q_facts", "q_vectors", "ids", "facts", "vectors")
     return met.mapInArrow(best, "query_id bigint, memory_id bigint, score double, held bigint")

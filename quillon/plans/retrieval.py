@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate
 from quillon.functions.status import admissible_status
-from quillon.operators import aggregate, arms, classify, corrupt, corrupt_grid, prefix, rank, support
+from quillon.operators import aggregate, arms, cells, classify, corrupt, corrupt_grid, prefix, rank, support
 from quillon.sources import model
 
 DIRECT = list(arms.DENSE)
@@ -93,23 +93,21 @@ bm AS (SELECT p.query_id, p.memory_id, p.score AS dense, coalesce(s, 0.0) AS s F
 @register("arm_global_bm25", f"{BM25}, x AS (SELECT query_id, memory_id, round(s, 9) AS s FROM bm), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) AS rank FROM x) SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM y WHERE rank <= {TOP}")
 def arm_global_bm25(spark, sf_dir):
     m = model.memories(spark, sf_dir, with_text=True).select("memory_id", "text")
-    scored = rank.pooled_bm25(m, model.queries(spark, sf_dir).select("query_id"), TOP)
-    return _ranked(rank.top_k(scored.withColumn("score", F.round("score", 9)), TOP))
+    return _ranked(cells.ranked(cells.bm25_corpus(model.queries(spark, sf_dir).select("query_id"), m), m, TOP))
 
 
 @register("arm_global_bm25_dense_rrf", f"""{BM25}, r AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, memory_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, memory_id) AS r2 FROM bm),
 s AS (SELECT query_id, memory_id, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS score FROM r), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s) SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM y WHERE rank <= {TOP}""")
 def arm_global_rrf(spark, sf_dir):
-    m = model.memories(spark, sf_dir, with_text=True).select("memory_id", "text")
-    p = model.pairs(spark, sf_dir)
-    lexical = rank.bm25(model.queries(spark, sf_dir, with_text=True).select("query_id", "text"), m, p.select("query_id", "memory_id")).withColumn("score", F.round("score", 9))
-    return _ranked(rank.top_k(rank.rrf(lexical, rank.dense(p)), TOP))
+    m, q = model.memories(spark, sf_dir, with_text=True), model.queries(spark, sf_dir)
+    return _ranked(cells.fused(cells.bm25_corpus(q, m), cells.dense_corpus(q, m), m, TOP))
 
 
 @register("arm_global_recency_dense", f"""{MODEL}, w AS (SELECT query_id, memory_id, score + 0.1 * coalesce((released_order - min(released_order) OVER o) / nullif(max(released_order) OVER o - min(released_order) OVER o, 0), 0) AS s FROM pairs WINDOW o AS (PARTITION BY query_id)),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) AS rank FROM w) SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM y WHERE rank <= {TOP}""")
 def arm_global_recency_dense(spark, sf_dir):
-    return _ranked(arms.global_recency_dense(model.pairs(spark, sf_dir), 0.1, TOP))
+    m = model.memories(spark, sf_dir)
+    return _ranked(cells.ranked(cells.dense_corpus(model.queries(spark, sf_dir), m, 0.1), m, TOP))
 
 
 @register("rank_blocked_dense", SQL["arm_global_dense"])
@@ -117,7 +115,7 @@ def rank_blocked_dense(spark, sf_dir):
     """Small blocks and chunks, so that rankings of several tasks meet."""
     q, m = model.queries(spark, sf_dir), model.memories(spark, sf_dir)
     every = F.lit("").alias("key")
-    found = rank.blocked_dense(q.select(every, "query_id", F.lit(0).alias("fact"), "q_embedding"), m.select(every, "memory_id", F.lit(1).alias("fact"), "m_embedding"), TOP, block=16, chunk=128)
+    found = rank.blocked_dense(q.select(every, "query_id", F.lit(0).alias("fact"), "q_embedding"), m.select(every, "memory_id", F.lit(1).alias("fact"), "m_embedding"), TOP, block=16, chunk=128, slice_rows=200)
     return _ranked(rank.top_k(found, TOP))
 
 

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.functions import scalar, status
-from quillon.operators import aggregate, arms, classify, cluster, corrupt, corrupt_grid, paired, prefix, quality, rank, stats, support
+from quillon.operators import aggregate, arms, cells, classify, cluster, corrupt, corrupt_grid, paired, prefix, quality, rank, stats, support
 from quillon.plans import retrieval
 from quillon.sources import io
 
@@ -150,6 +151,70 @@ def test_corruption_curve_counts(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def _corpus(spark, n=150):
+    """Memories with texts of a few common and many rare words, copies among them and empty ones; every sixth is a query."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.4, int(rng.integers(1, 30))), 400)) for _ in range(n)]
+    texts[20:40] = [texts[6]] * 20
+    texts[41], texts[42], texts[48], texts[60] = "", "onlyhere", "only", ""
+    vectors = [[float(x) for x in rng.integers(-3, 4, 5)] for _ in range(n)]
+    rows = [(i, texts[i], vectors[i % 90], float(i % 50)) for i in range(n)]
+    memories = spark.createDataFrame(rows, "memory_id bigint, text string, m_embedding array<double>, released_order double").repartition(3)
+    queries = memories.where("memory_id % 6 = 0").select(F.col("memory_id").alias("query_id"), "text", F.col("m_embedding").alias("q_embedding"))
+    pairs = queries.drop("text").join(memories.drop("text"), F.col("query_id") != F.col("memory_id"))
+    return queries, memories, pairs
+
+
+def _best(df):
+    return sorted((r["query_id"], r["rank"], r["memory_id"], round(r["score"], 8)) for r in df.collect())
+
+
+@pytest.mark.parametrize("top", [7, 200])
+def test_rankings_by_cells(spark, top):
+    """Against rankings of all pairs; groups of 4 queries with slices of 20 memories."""
+    queries, memories, pairs = _corpus(spark)
+    small = {"group": 4, "slice_rows": 20}
+    lexical = rank.bm25(queries.select("query_id", "text"), memories.select("memory_id", "text"), pairs.select("query_id", "memory_id")).withColumn("score", F.round("score", 9)).cache()
+    words, vectors = cells.bm25_corpus(queries, memories, **small), cells.dense_corpus(queries, memories, **small)
+    assert _best(cells.ranked(words, memories, top)) == _best(rank.top_k(lexical, top))
+    assert _best(cells.ranked(cells.dense_corpus(queries, memories, 0.1, **small), memories, top)) == _best(rank.top_k(rank.recency(pairs, 0.1), top))
+    if top == 7:
+        for c in (0, 60):
+            assert _best(cells.fused(words, vectors, memories, top, c)) == _best(rank.top_k(rank.rrf(lexical, rank.dense(pairs), c), top))
+
+
+def test_impact_blocks_prune():
+    """Memories that can't be among the best aren't scored, and the best are the same."""
+    rng = np.random.default_rng(3)
+    docs = [[f"t{i // 64}", "all", *(f"r{int(x)}" for x in set(rng.integers(0, 50, 3)))] for i in range(64 * 40)]
+    right = pa.table({"terms": docs, "tf": [[1] * len(d) for d in docs], "dl": [len(d) for d in docs]})
+    left = pa.table({"terms": [["t3", "all", "r7"]], "idf": [[4.0, 0.01, 2.5]], "avgdl": [4.5]})
+    cell, seen = cells.Bm25(left, right), []
+    add = cell._add
+    cell._add = lambda out, i, runs, idf: (seen.append(len(np.unique(cell.run_block[runs]))), add(out, i, runs, idf))
+    found, scores = cell.pruned(0, 10)
+    whole = cell.scores(0)
+    assert sum(seen[:-1]) < 40 and seen[-1] == 40
+    best = sorted(zip(-scores, found, strict=True))[:10]
+    assert [i for _, i in best] == sorted(range(len(docs)), key=lambda i: (-whole[i], i))[:10] and all(whole[i] == -s for s, i in best)
+
+
+def test_blocks_spread_a_single_key(spark):
+    rng = np.random.default_rng(1)
+    m = spark.createDataFrame([("", i, 1, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(240)], "key string, memory_id bigint, fact bigint, m_embedding array<double>")
+    q = m.where("memory_id < 60").select("key", F.col("memory_id").alias("query_id"), F.lit(0).alias("fact"), F.col("m_embedding").alias("q_embedding"))
+    found = rank.blocked_dense(q, m, 5, block=10, chunk=8, slice_rows=30)
+    pairs = q.select("query_id", "q_embedding").join(m.select("memory_id", "m_embedding"), F.col("query_id") != F.col("memory_id"))
+    assert _best(rank.top_k(found, 5)) == _best(rank.top_k(rank.dense(pairs), 5))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_statistics(spark):
     deltas = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5, 6, 7)], "delta double")
     assert tuple(stats.sign_flip(deltas, "delta").first()) == (7, 0.015625)
