@@ -82,6 +82,65 @@ def paired_groups(rows: DataFrame, arm: str, treated: str, base: str, group: lis
     return leave_one_out(delta, "delta")
 
 
+#: A control score's sums: over all queries, and over those that reach the target.
+OF_ALL = {"evidence_recall": "evidence_recall", "feasible_rate": "feasible", "penalized_admissibility_upper_risk": "penalized_full", "penalized_residual_upper_risk": "penalized_residual", "returned_wrong_scope_rate": "returned_wrong_scope", "mean_route_width": "route_width", "mean_candidates_scored": "candidates_scored"}
+OF_MATCHED = {"conditional_admissibility_upper_risk": "full_upper", "conditional_residual_upper_risk": "residual_upper", "matched_prefix_wrong_scope_rate": "matched_wrong_scope", "matched_prefix_any_known_admissibility_violation_rate": "any_known_violation", "matched_prefix_mean_known_admissibility_violation_count": "known_violations", "matched_prefix_mean_upper_admissibility_violation_count": "upper_violations"}
+
+
+def states(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG7: sums and counts by keys, which can be added (`merged`) and subtracted (`loo_source_macro`): query_count, matched_count and a sum a metric."""
+    ok = F.col("feasible")
+    sums = [F.sum(F.col(c).cast("double")).alias(m) for m, c in OF_ALL.items()] + [F.coalesce(F.sum(F.when(ok, F.col(c).cast("double"))), F.lit(0.0)).alias(m) for m, c in OF_MATCHED.items()]
+    return scores.groupBy(*keys).agg(F.count("*").alias("query_count"), F.count_if(ok).alias("matched_count"), *sums)
+
+
+def merged(state: DataFrame, keys: list[str]) -> DataFrame:
+    return state.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("query_count", "matched_count", *OF_ALL, *OF_MATCHED)])
+
+
+def means(state: DataFrame) -> DataFrame:
+    """A state's metrics; those of the queries that reach the target are NULL without any."""
+    return state.withColumns({**{m: rate(F.col(m), F.col("query_count")) for m in OF_ALL}, **{m: rate(F.col(m), F.col("matched_count")) for m in OF_MATCHED}})
+
+
+def state_macro(state: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """Means by source, then over the sources that have one; counts are summed."""
+    per = means(merged(state, [*keys, source]))
+    return per.groupBy(*keys).agg(F.sum("query_count").alias("query_count"), F.sum("matched_count").alias("matched_query_count"), *[F.avg(m).alias(m) for m in (*OF_ALL, *OF_MATCHED)])
+
+
+def loo_source_macro(state: DataFrame, arm: str, treated: str, base: str, source: str, group: str, metrics: list[str], *, strict: bool = True) -> DataFrame:
+    """AGG7, AGG10: the arms' difference of source macros with each (source, group) left out once.
+
+    state: a row an arm, source and group. Nothing is aggregated again: what is left of a source is its total
+    less the group's state. metric, omitted source and group, group_delta (the arms' difference within the
+    group), estimate (nothing left out) and loo. A source of one group raises, for leaving that out would empty it; or its loo is NULL, without `strict`.
+    """
+    sides = {"t": treated, "b": base}
+    per = state.groupBy(source, group).agg(*[F.sum(F.when(F.col(arm) == a, F.col(c))).alias(f"{k}_{c}") for k, a in sides.items() for c in ("query_count", *metrics)])
+    totals = per.groupBy(source).agg(F.count("*").alias("groups"), *[F.sum(f"{k}_{c}").alias(f"{k}_{c}_all") for k in sides for c in ("query_count", *metrics)])  # a row a source
+
+    def of(k: str, m: str, kind: str) -> Column:
+        own, every = (lambda c: F.col(f"{k}_{c}")), (lambda c: F.col(f"{k}_{c}_all"))
+        return rate(own(m), own("query_count")) if kind == "group" else rate(every(m), every("query_count")) if kind == "all" else rate(every(m) - own(m), every("query_count") - own("query_count"))
+
+    def delta(m: str, kind: str) -> Column:
+        return of("t", m, kind) - of("b", m, kind)
+
+    whole = totals.agg(F.count("*").alias("sources"), *[F.sum(delta(m, "all")).alias(f"{m}_sum") for m in metrics])  # one row
+    rows = per.join(totals, source).crossJoin(F.broadcast(whole))
+    several = F.when(F.col("groups") > 1, F.col("sources"))
+    several = several.otherwise(F.raise_error(F.lit("leaving out a source's only group would empty it")).cast("bigint")) if strict else several
+    parts = [F.struct(F.lit(m).alias("metric"), delta(m, "group").alias("group_delta"), rate(F.col(f"{m}_sum"), F.col("sources")).alias("estimate"), rate(F.col(f"{m}_sum") - delta(m, "all") + delta(m, "left"), several).alias("loo")) for m in metrics]
+    return rows.select(source, group, F.explode(F.array(*parts)).alias("x")).select(source, group, "x.*")
+
+
+def loo_table(loo: DataFrame) -> DataFrame:
+    """A row a metric: estimate, the range of the macros with a group left out, and the groups' signs."""
+    d = F.col("group_delta")
+    return loo.groupBy("metric").agg(F.max("estimate").alias("estimate"), F.min("loo").alias("loo_min"), F.max("loo").alias("loo_max"), F.count("*").alias("group_count"), F.count_if(d > 0).alias("positive"), F.count_if(d == 0).alias("zero"), F.count_if(d < 0).alias("negative"))
+
+
 def sign_counts(deltas: DataFrame, value: str = "delta") -> DataFrame:
     d = F.col(value)
     return deltas.agg(F.count("*").alias("groups"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("positive"), F.count_if(d == 0).alias("zero"), F.count_if(d < 0).alias("negative"), F.min("loo").alias("loo_min"), F.max("loo").alias("loo_max"))

@@ -84,26 +84,37 @@ def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target:
     return out.withColumn("matched_prefix_count", F.when(F.coalesce("feasible", F.lit(False)), F.coalesce("matched_prefix_count", F.lit(0))))
 
 
-def score_matched_recall(rankings: DataFrame, statuses: DataFrame, anchors: DataFrame, grid: DataFrame) -> DataFrame:
-    """SCO5: full and residual upper risk over a grid of (target, cost); infeasible costs `cost`.
+def score_matched_recall(rankings: DataFrame, statuses: DataFrame, runs: DataFrame, grid: DataFrame) -> DataFrame:
+    """SCO5, SCO8: full and residual upper risk over a grid of (target, cost), a row for each of `runs` and point; infeasible costs `cost`.
 
-    statuses: query_id, memory_id, anchor, full, residual; anchors: query_id, anchor_total (> 0).
+    statuses: query_id, memory_id, anchor, full, residual, wrong_scope; runs: setting_id, query_id, anchor_total (> 0)
+    and more. A run without a ranked row has recall 0, returns nothing of a wrong scope, and pays the cost.
     """
-    rows = assessed(rankings.join(anchors, "query_id"), statuses).crossJoin(F.broadcast(grid))  # the grid is a handful of settings
     keys = ["setting_id", "query_id", "target", "cost"]
-    rows = matched(rows, keys, F.col("anchor"), F.col("target"))
+    ranked = rankings.select("setting_id", "query_id", "memory_id", "rank").join(runs.select("setting_id", "query_id", "anchor_total"), ["setting_id", "query_id"])
+    rows = matched(assessed(ranked, statuses).crossJoin(F.broadcast(grid)), keys, F.col("anchor"), F.col("target"))  # the grid is a handful of settings
     inside, n = F.col("inside"), F.count_if(F.col("inside"))
     per = rows.groupBy(*keys).agg(
-        F.first("anchor_total").alias("anchor_total"),
+        F.count("*").alias("width"),
         _count(F.col("anchor")).alias("retrieved"),
+        _count(F.col("wrong_scope")).alias("wrong"),
+        rate(_count(inside & F.col("wrong_scope")), n).alias("matched_wrong_scope"),
         rate(_count(inside & ~F.coalesce("full", F.lit(False))), n).alias("full_upper"),
         rate(_count(inside & ~F.coalesce("residual", F.lit(False))), n).alias("residual_upper"),
         _count(inside & ~F.col("full")).alias("violations"),
+        _count(inside & ~F.coalesce("full", F.lit(False))).alias("upper_violations"),
     )
-    per = per.withColumn("evidence_recall", rate(F.col("retrieved"), F.col("anchor_total"))).withColumn("feasible", F.col("evidence_recall") >= F.col("target"))
+    per = runs.crossJoin(F.broadcast(grid)).join(per, keys, "left")
+    per = per.withColumn("evidence_recall", rate(F.coalesce("retrieved", F.lit(0)), F.col("anchor_total"))).withColumn("feasible", F.col("evidence_recall") >= F.col("target"))
+
+    def reached(c: str) -> Column:
+        return F.when(F.col("feasible"), F.col(c))
+
     return per.select(
-        *keys, "evidence_recall", "feasible", F.coalesce("full_upper", "cost").alias("penalized_full"), F.coalesce("residual_upper", "cost").alias("penalized_residual"),
-        F.when(F.col("feasible"), F.col("violations")).alias("known_violations"), F.when(F.col("feasible"), F.col("violations") > 0).alias("any_known_violation"),
+        *runs.columns, "target", "cost", "evidence_recall", "feasible", reached("full_upper").alias("full_upper"), reached("residual_upper").alias("residual_upper"),
+        F.coalesce(reached("full_upper"), "cost").alias("penalized_full"), F.coalesce(reached("residual_upper"), "cost").alias("penalized_residual"),
+        reached("violations").alias("known_violations"), F.when(F.col("feasible"), F.col("violations") > 0).alias("any_known_violation"), reached("upper_violations").alias("upper_violations"),
+        F.coalesce(rate(F.col("wrong"), F.col("width")), F.lit(0.0)).alias("returned_wrong_scope"), reached("matched_wrong_scope").alias("matched_wrong_scope"), F.coalesce("width", F.lit(0)).alias("route_width"),
     )
 
 
@@ -130,14 +141,17 @@ def score_fixed_route(route: DataFrame, cases: DataFrame, target: float) -> Data
     )
 
 
-def scope_diagnostics(rankings: DataFrame, labels: DataFrame, anchors: DataFrame, target: float) -> DataFrame:
-    """SCO8-9: of each setting and query the share of wrong scope among all returned rows, and in the matched prefix (NULL where infeasible).
+def scope_diagnostics(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float) -> DataFrame:
+    """SCO8-9: of each run the share of wrong scope among all returned rows, and in the matched prefix (NULL where infeasible); nothing returned: 0 and NULL.
 
-    anchors: query_id, anchor_total (> 0).
+    runs: setting_id, query_id, anchor_total (> 0).
     """
-    rows = matched(labelled(assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)).join(anchors, "query_id"), ["setting_id", "query_id"], F.col("usable"), target)
+    ranked = rankings.select("setting_id", "query_id", "memory_id", "rank").join(runs.select("setting_id", "query_id", "anchor_total"), ["setting_id", "query_id"])
+    rows = matched(labelled(assessed(ranked, labels)), ["setting_id", "query_id"], F.col("usable"), target)
     wrong, inside = ~F.col("scope_ok"), F.col("inside")
-    return rows.groupBy("setting_id", "query_id").agg(F.count("*").alias("returned"), rate(_count(wrong), F.count("*")).alias("returned_wrong_scope_rate"), rate(_count(inside & wrong), F.count_if(inside)).alias("matched_wrong_scope_rate"))
+    per = rows.groupBy("setting_id", "query_id").agg(F.count("*").alias("returned"), rate(_count(wrong), F.count("*")).alias("returned_wrong_scope_rate"), rate(_count(inside & wrong), F.count_if(inside)).alias("matched_wrong_scope_rate"))
+    out = runs.select("setting_id", "query_id").join(per, ["setting_id", "query_id"], "left")
+    return out.select("setting_id", "query_id", F.coalesce("returned", F.lit(0)).alias("returned"), F.coalesce("returned_wrong_scope_rate", F.lit(0.0)).alias("returned_wrong_scope_rate"), "matched_wrong_scope_rate")
 
 
 def passed_on(value: Column) -> Column:

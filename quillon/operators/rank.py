@@ -82,14 +82,14 @@ def _packed(most: int):
     return run
 
 
-def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int = 1, block: int = 1024, chunk: int = 4096, slice_rows: int = 1 << 14) -> DataFrame:
+def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int = 1, block: int = 1024, chunk: int = 4096, slice_rows: int = 1 << 14, keyed: bool = False) -> DataFrame:
     """RNK15: exact dense top-k of several arms by matrix products, without a row per pair: query_id, memory_id, score, held.
 
     queries: key, query_id, fact (the query's class, from 0), q_embedding; memories: key, memory_id, fact, m_embedding.
     A query meets the memories of its key but itself; bit class * arms + arm of a memory's fact tells if
     that arm's support holds it for that class; bit `arm` of `held` if it is among the arm's k best there. A
     task multiplies `block` queries with `chunk` memories at a time and passes on each arm's k best and their
-    ties; those few meet in one ranking. Queries are dealt into blocks and memories into slices by their
+    ties; those few meet in one ranking; with `keyed` rows tell their key, where a query stands under several. Queries are dealt into blocks and memories into slices by their
     numbers, and (key, block, slice) meet, so neither a hot key nor many queries gather in one, and nothing is
     broadcast.
     """
@@ -107,7 +107,7 @@ def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, *columns in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 q_ids, classes, m_ids, facts = (np.frombuffer(columns[i], np.int64) for i in (0, 1, 3, 4))
                 a, b = (np.frombuffer(columns[i], np.float64).reshape(len(ids), -1) for i, ids in ((2, q_ids), (5, m_ids)))
                 if a.shape[1] != b.shape[1]:
@@ -127,7 +127,7 @@ def blocked_dense(queries: DataFrame, memories: DataFrame, k: int, *, arms: int
                         least = np.partition(own, -k, axis=1)[:, -k, None] if own.shape[1] > k else np.full((len(rows), 1), -np.inf)
                         held[np.ix_(rows, inside)] |= ((own >= least) & (own > -np.inf)).astype(np.int64) << arm
                 i, j = np.nonzero(held)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(m_ids[j]), pa.array(scores[i, j]), pa.array(held[i, j])], names=["query_id", "memory_id", "score", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(m_ids[j]), pa.array(scores[i, j]), pa.array(held[i, j]), *([pa.array([key] * len(i), pa.string())] if keyed else [])], names=["query_id", "memory_id", "score", "held", "key"][: 5 if keyed else 4])
 
-    met = q_packed.join(m_packed, ["key", "block", "slice"]).select("q_ids", "q_facts", "q_vectors", "ids", "facts", "vectors")
-    return met.mapInArrow(best, "query_id bigint, memory_id bigint, score double, held bigint")
+    met = q_packed.join(m_packed, ["key", "block", "slice"]).select("key", "q_ids", "q_facts", "q_vectors", "ids", "facts", "vectors")
+    return met.mapInArrow(best, "query_id bigint, memory_id bigint, score double, held bigint" + (", key string" if keyed else ""))

@@ -45,9 +45,15 @@ def current_only() -> Column:
 
 def random_partition(memories: DataFrame, seed: str) -> DataFrame:
     """SUP8: namespaces permuted among memories, their sizes kept: the k-th by id takes the k-th label by hash."""
-    u = uniform(seed, F.col("source"), F.col("memory_id"))
-    labels = numbered(memories.select("source", "memory_id", F.col("memory_namespace").alias("shuffled"), u.alias("u")), ["source"], F.floor(F.col("u") * 4096), ["u", "memory_id"], "k").select("source", "k", "shuffled")
-    return numbered(memories, ["source"], F.floor(F.col("memory_id") / (1 << 16)), ["memory_id"], "k").join(labels, ["source", "k"]).drop("k", "memory_namespace").withColumnRenamed("shuffled", "memory_namespace")
+    return random_partitions(memories, [seed]).drop("seed")
+
+
+def random_partitions(memories: DataFrame, seeds: list[str]) -> DataFrame:
+    """SUP8 for several seeds in one plan: every memory once a seed, with the namespace dealt to it."""
+    seeded = memories.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    u = uniform(F.col("seed"), F.col("source"), F.col("memory_id"))
+    labels = numbered(seeded.select("seed", "source", "memory_id", F.col("memory_namespace").alias("shuffled"), u.alias("u")), ["seed", "source"], F.floor(F.col("u") * 4096), ["u", "memory_id"], "k").select("seed", "source", "k", "shuffled")
+    return numbered(seeded, ["seed", "source"], F.floor(F.col("memory_id") / (1 << 16)), ["memory_id"], "k").join(labels, ["seed", "source", "k"]).drop("k", "memory_namespace").withColumnRenamed("shuffled", "memory_namespace")
 
 
 def numbered(rows: DataFrame, keys: list[str], part: Column, order: list[str], out: str) -> DataFrame:

@@ -245,7 +245,10 @@ def random_partition(spark, sf_dir):
 
 @register("false_allow_support", f"{MODEL} SELECT query_id, count(*) AS supported, CAST(sum(CASE WHEN scope_ok THEN 1 ELSE 0 END) AS BIGINT) AS own FROM pairs WHERE scope_ok OR {uniform_sql(chr(39) + '3' + chr(39), chr(39) + 'false_allow' + chr(39), 'CAST(query_id AS VARCHAR)', 'CAST(memory_id AS VARCHAR)')} < 0.1 GROUP BY query_id")
 def false_allow_support(spark, sf_dir):
-    return model.pairs(spark, sf_dir).where(support.false_allow(0.1, "3")).groupBy("query_id").agg(F.count("*").alias("supported"), F.count_if(support.in_namespace()).alias("own"))
+    q, m = model.queries(spark, sf_dir), model.candidates(spark, sf_dir)
+    outside = corrupt_grid.let_in(q, m, [0.1], ["3"], lambda _, query: str(query), "", "false_allow").select("query_id", "outside")
+    own = arms.pooled_stats(q, m, ["namespace_dense"]).select("query_id", F.col("candidates_scored").alias("own"))
+    return own.join(outside, "query_id", "left").select("query_id", (F.col("own") + F.coalesce("outside", F.lit(0))).alias("supported"), "own").where("supported > 0")
 
 
 _CONTROL = f"""{MODEL}, known AS (SELECT *, scope_ok AND policy_ok AND lifecycle_ok AS full_ok, policy_ok AND lifecycle_ok AS residual_ok, coalesce(relevant AND scope_ok AND policy_ok AND lifecycle_ok, false) AS anchor FROM pairs),
@@ -254,18 +257,19 @@ r AS (SELECT k.*, anchor_total, row_number() OVER (PARTITION BY query_id ORDER B
 grid AS (SELECT t.target, c.cost FROM (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) t(target), (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) c(cost)),
 cum AS (SELECT *, sum(CAST(anchor AS INT)) OVER (PARTITION BY query_id, target, cost ORDER BY rank) AS cum FROM (SELECT * FROM r WHERE rank <= {TOP}) x, grid),
 ins AS (SELECT *, coalesce(rank <= min(CASE WHEN cum / anchor_total >= target THEN rank END) OVER (PARTITION BY query_id, target, cost), false) AS i FROM cum),
-per AS (SELECT query_id, target, cost, max(anchor_total) AS t, count_if(anchor) AS got, count_if(i AND full_ok IS DISTINCT FROM true) / nullif(count_if(i), 0) AS fu, count_if(i AND residual_ok IS DISTINCT FROM true) / nullif(count_if(i), 0) AS re, count_if(i AND full_ok IS FALSE) AS v FROM ins GROUP BY ALL)
-SELECT query_id, target, cost, round(got / t, 6) AS evidence_recall, got / t >= target AS feasible, round(coalesce(fu, cost), 6) AS penalized_full, round(coalesce(re, cost), 6) AS penalized_residual, CASE WHEN got / t >= target THEN v END AS known_violations, CASE WHEN got / t >= target THEN v > 0 END AS any_known_violation FROM per"""
+per AS (SELECT query_id, target, cost, count_if(anchor) AS got, count_if(i AND full_ok IS DISTINCT FROM true) / nullif(count_if(i), 0) AS fu, count_if(i AND residual_ok IS DISTINCT FROM true) / nullif(count_if(i), 0) AS re, count_if(i AND full_ok IS FALSE) AS v FROM ins GROUP BY ALL),
+e AS (SELECT *, coalesce(got, 0) / anchor_total AS recall, coalesce(got, 0) / anchor_total >= target AS ok FROM tot CROSS JOIN grid LEFT JOIN per USING (query_id, target, cost))
+SELECT query_id, target, cost, round(recall, 6) AS evidence_recall, ok AS feasible, round(CASE WHEN ok THEN fu ELSE cost END, 6) AS penalized_full, round(CASE WHEN ok THEN re ELSE cost END, 6) AS penalized_residual, CASE WHEN ok THEN v END AS known_violations, CASE WHEN ok THEN v > 0 END AS any_known_violation FROM e"""
 
 
 @register("support_control_scores", _CONTROL)
 def support_control_scores(spark, sf_dir):
     ranked = _arms(spark, sf_dir, ["namespace_dense"], TOP).select("setting_id", "query_id", "memory_id", "rank")
     known = prefix.labelled(model.assessments(spark, sf_dir, ranked))
-    statuses = known.select("query_id", "memory_id", F.coalesce("usable", F.lit(False)).alias("anchor"), F.col("admissible").alias("full"), (F.col("policy_ok") & F.col("lifecycle_ok")).alias("residual"))
-    totals = model.anchors(spark, sf_dir).where("anchor_total > 0")
+    statuses = known.select("query_id", "memory_id", F.coalesce("usable", F.lit(False)).alias("anchor"), F.col("admissible").alias("full"), (F.col("policy_ok") & F.col("lifecycle_ok")).alias("residual"), (~F.col("scope_ok")).alias("wrong_scope"))
+    runs = model.anchors(spark, sf_dir).where("anchor_total > 0").withColumn("setting_id", F.lit("namespace_dense"))
     grid = spark.createDataFrame([(t, c) for t in (0.2, 0.5, 0.8) for c in (0.5, 1.0)], "target double, cost double")
-    out = prefix.score_matched_recall(ranked, statuses, totals, grid).drop("setting_id")
+    out = prefix.score_matched_recall(ranked, statuses, runs, grid).select("query_id", "target", "cost", "evidence_recall", "feasible", "penalized_full", "penalized_residual", "known_violations", "any_known_violation")
     return out.withColumns(r6("evidence_recall", "penalized_full", "penalized_residual"))
 
 

@@ -183,6 +183,60 @@ def test_rankings_by_cells(spark, top):
             assert _best(cells.fused(words, vectors, memories, top, c)) == _best(rank.top_k(rank.rrf(lexical, rank.dense(pairs), c), top))
 
 
+def test_matched_recall_keeps_runs_without_rows(spark):
+    """A query with anchors whose ranking is empty has recall 0 and pays the cost."""
+    statuses = spark.createDataFrame([(1, 10, True, True, None, False), (1, 11, False, False, False, True)], "query_id bigint, memory_id bigint, anchor boolean, full boolean, residual boolean, wrong_scope boolean")
+    rankings = spark.createDataFrame([("a", 1, 11, 1), ("a", 1, 10, 2)], "setting_id string, query_id bigint, memory_id bigint, rank int")
+    runs = spark.createDataFrame([(s, q, 2) for s in "ab" for q in (1, 2)], "setting_id string, query_id bigint, anchor_total bigint")
+    grid = spark.createDataFrame([(0.5, 0.25), (0.8, 1.0)], "target double, cost double")
+    got = {(r["setting_id"], r["query_id"], r["target"]): r for r in prefix.score_matched_recall(rankings, statuses, runs, grid).collect()}
+    assert len(got) == 8
+    full = got["a", 1, 0.5]
+    assert (full["evidence_recall"], full["feasible"], full["penalized_full"], full["penalized_residual"], full["known_violations"], full["upper_violations"], full["returned_wrong_scope"], full["matched_wrong_scope"], full["route_width"]) == (0.5, True, 0.5, 1.0, 1, 1, 0.5, 0.5, 2)
+    for key, cost in ((("a", 1, 0.8), 1.0), (("a", 2, 0.5), 0.25), (("b", 1, 0.5), 0.25), (("b", 2, 0.8), 1.0)):
+        r = got[key]
+        assert (r["feasible"], r["penalized_full"], r["penalized_residual"], r["full_upper"], r["known_violations"], r["matched_wrong_scope"]) == (False, cost, cost, None, None, None)
+        assert r["route_width"] == (2 if key[:2] == ("a", 1) else 0)
+    labels = spark.createDataFrame([(1, 10, True, True, True, True), (1, 11, True, False, True, True)], LABEL_SCHEMA)
+    seen = {(r["setting_id"], r["query_id"]): tuple(r)[2:] for r in prefix.scope_diagnostics(rankings, labels, runs, 0.5).collect()}
+    assert seen == {("a", 1): (2, 0.5, 0.5), ("a", 2): (0, 0.0, None), ("b", 1): (0, 0.0, None), ("b", 2): (0, 0.0, None)}
+
+
+def test_leave_one_group_out_by_subtraction(spark):
+    rng = np.random.default_rng(9)
+    rows = [(a, s, f"{s}{g}", float(rng.random())) for s in "xyz" for g in range(3) for a in ("t", "b") for _ in range(int(rng.integers(1, 5)))]
+    base = spark.createDataFrame(rows, "arm string, source string, grp string, m double")
+    state = base.groupBy("arm", "source", "grp").agg(F.count("*").alias("query_count"), F.sum("m").alias("m"))
+    got = aggregate.loo_source_macro(state, "arm", "t", "b", "source", "grp", ["m"]).collect()
+    mean = lambda x: sum(x) / len(x)
+
+    def macro(keep):
+        return mean([mean([v for a, t, g, v in rows if a == "t" and t == s and keep(s, g)]) - mean([v for a, t, g, v in rows if a == "b" and t == s and keep(s, g)]) for s in "xyz"])
+
+    assert len(got) == 9
+    for r in got:
+        assert r["estimate"] == pytest.approx(macro(lambda s, g: True))
+        assert r["loo"] == pytest.approx(macro(lambda s, g, o=(r["source"], r["grp"]): (s, g) != o))
+    only = state.where("source <> 'x' OR grp = 'x0'")
+    with pytest.raises(Exception, match="only group"):
+        aggregate.loo_source_macro(only, "arm", "t", "b", "source", "grp", ["m"]).collect()
+    assert [r["loo"] for r in aggregate.loo_source_macro(only, "arm", "t", "b", "source", "grp", ["m"], strict=False).where("source = 'x'").collect()] == [None]
+
+
+def test_progressive_filter_reads_less(spark):
+    queries, memories, pairs = _corpus(spark)
+    corpus = cells.dense_corpus(queries, memories, group=8, slice_rows=50)
+    allowed = (F.col("memory_id") + F.col("query_id")) % 3 != 0
+    got, steps = cells.first_supported(corpus, memories, lambda rows: rows.where(allowed), 5, 6)
+    whole = support.filter_ranking(rank.top_k(rank.dense(pairs), None), allowed, ["query_id"], 5)
+    assert sorted(map(tuple, got.select("query_id", "memory_id", "rank").collect())) == sorted(map(tuple, whole.select("query_id", "memory_id", "rank").collect()))
+    opened = [s[1] for s in steps]
+    assert opened[0] == 25 and len(steps) > 1 and opened == sorted(opened, reverse=True) and opened[-1] < 25
+    assert sum(s[2] for s in steps) < 25 * 149 / 5
+    none, steps = cells.first_supported(corpus, memories, lambda rows: rows.where("false"), 5, 100)
+    assert none.collect() == [] and [s[2] for s in steps] == [2500, 25 * 49]
+
+
 def test_impact_blocks_prune():
     """Memories that can't be among the best aren't scored, and the best are the same."""
     rng = np.random.default_rng(3)
