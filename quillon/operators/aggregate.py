@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate
 from quillon.functions.status import penalized
+from quillon.operators import ranges
 
 SCORES = ("non_usable_known_rate", "non_usable_label_coverage", "non_usable_lower_bound", "non_usable_upper_bound", "admissibility_known_rate", "admissibility_label_coverage", "admissibility_lower_bound", "admissibility_upper_bound", "known_relevant_admissible_rate", "known_relevant_inadmissible_rate", "known_irrelevant_admissible_rate", "known_irrelevant_inadmissible_rate", "joint_label_coverage", "wrong_scope_exposure_rate", "policy_disallowed_exposure_rate", "lifecycle_incompatible_exposure_rate", "unresolved_admissibility_rate")
 
@@ -161,16 +162,27 @@ def grouping_sets(rows: DataFrame, sets: list[list[str]], aggregates: dict[str,
 
 
 def population(rows: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
-    """AGG20: exact median."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.countDistinct(group).alias("groups"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"))
+    """AGG20: exact median, selected by ranges."""
+    per = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.countDistinct(group).alias("groups"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"))
+    median = ranges.counted(rows, keys, value).groupBy(*keys).agg(ranges.interpolated(value, 0.5).alias("median"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    out = per.alias("a").join(median.alias("b"), same, "left")
+    return out.select(*[f"a.{k}" for k in keys], "n", "mean", "median", "low", "high", "groups", "coverage")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """AGG21, AGG22, AGG28: the three conventions side by side: interpolated, floor((n-1)p), and round((n-1)p) to even."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("__k", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count("*").over(w))
-    at = (F.col("__n") - 1) * p
-    return ranked.groupBy(*keys).agg(F.percentile(value, p).alias("interpolated"), F.max(F.when(F.col("__k") == F.floor(at), F.col(value))).alias("floored"), F.max(F.when(F.col("__k") == F.rint(at), F.col(value))).alias("rounded"))
+    """AGG21, AGG22, AGG28: the three conventions side by side: interpolated, floor((n-1)p), and round((n-1)p) to even; selected by ranges."""
+    at = (F.col("n_total") - 1) * p
+    return ranges.counted(rows, keys, value).groupBy(*keys).agg(ranges.interpolated(value, p).alias("interpolated"), ranges.at_rank(value, F.floor(at)).alias("floored"), ranges.at_rank(value, F.rint(at)).alias("rounded"))
+
+
+def usage(calls: DataFrame, keys: list[str], sums: dict[str, str], latency: str) -> DataFrame:
+    """AGG21, AGG28: calls, the sums (attempts, tokens, cost; NULL counts as none), and the latency's median and 95 % quantile by rounded places."""
+    at = {f"{latency}_p{p}": (F.col("n_total") - 1) * p / 100 for p in (50, 95)}
+    per = calls.groupBy(*keys).agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()])
+    found = ranges.counted(calls, keys, latency).groupBy(*keys).agg(*[ranges.at_rank(latency, F.rint(x)).alias(k) for k, x in at.items()])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return per.alias("a").join(found.alias("b"), same, "left").select(*[f"a.{k}" for k in keys], "calls", *sums, *at)
 
 
 def duplicate_calls(rows: DataFrame, case: str, payload: str, cost: str) -> DataFrame:

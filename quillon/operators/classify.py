@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import rate, uniform
 from quillon.functions.status import drop_candidate
+from quillon.operators import ranges
 
 
 def binary_rows(rows: DataFrame, gold: Column, score: Column, keys: list[str]) -> DataFrame:
@@ -25,20 +26,17 @@ def binary_metrics(rows: DataFrame, keys: list[str], threshold: float = 0.5) ->
 
 
 def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """CLS3: Mann-Whitney with mid-ranks; NULL with one class only. Ranks come from sums over distinct scores."""
-    per = rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    mid = F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2
+    """CLS3: Mann-Whitney with mid-ranks; NULL with one class only. Ranks come from running counts by ranges of distinct scores."""
+    per = ranges.cumulated(rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), keys, "score", ["n"])
+    mid = F.col("n_before") + (F.col("n") + 1) / 2
     sums = per.withColumn("r", mid * F.col("pos")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(*keys, rate(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """CLS4: steps over tied scores."""
-    per = rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    base = Window.partitionBy(*(keys or [F.lit(1)]))
-    w = base.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    step = per.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w)).withColumn("gain", rate(F.col("pos"), F.sum("pos").over(base)))
+    """CLS4: steps over tied scores; what lies at or above a score is the total less what stands before it."""
+    per = ranges.cumulated(rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), keys, "score", ["n", "pos"])
+    step = per.withColumn("precision", (F.col("pos_total") - F.col("pos_before")) / (F.col("n_total") - F.col("n_before"))).withColumn("gain", rate(F.col("pos"), F.col("pos_total")))
     return step.groupBy(*keys).agg(F.sum(F.col("gain") * F.col("precision")).alias("pr_auc"))
 
 

@@ -443,6 +443,13 @@ def quantile_conventions(spark, sf_dir):
     return aggregate.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.95).withColumns({c: F.round(c, 4) for c in ("interpolated", "floored", "rounded")})
 
 
+@register("usage_summary", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(value) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, max(CASE WHEN k = round_even((n - 1) * 50 / 100::DOUBLE, 0) THEN value END) AS value_p50, max(CASE WHEN k = round_even((n - 1) * 95 / 100::DOUBLE, 0) THEN value END) AS value_p95 FROM r GROUP BY ALL), c AS (SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, CAST(coalesce(sum(user_id % 7), 0) AS BIGINT) AS attempts, round(coalesce(sum(value), 0), 3) AS cost FROM events GROUP BY ALL) SELECT event_type, calls, attempts, cost, value_p50, value_p95 FROM c LEFT JOIN l USING (event_type)")
+def usage_summary(spark, sf_dir):
+    """AGG21, AGG28: calls, attempts and cost by type, and quantiles of what a call took."""
+    calls = table(spark, sf_dir, "events").withColumn("tries", F.col("user_id") % 7)
+    return aggregate.usage(calls, ["event_type"], {"attempts": "tries", "cost": "value"}, "value").withColumn("cost", F.round("cost", 3))
+
+
 @register("seed_summary", "SELECT l_returnflag, l_linestatus, count(*) AS seeds, round(avg(q), 6) AS q_mean, round(coalesce(stddev_samp(q), 0), 6) AS q_std FROM (SELECT l_returnflag, l_linestatus, l_linenumber, avg(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def seed_summary(spark, sf_dir):
     per = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.avg("l_quantity").alias("q"))

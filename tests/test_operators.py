@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon.functions import scalar, status
-from quillon.operators import aggregate, arms, cells, classify, cluster, corrupt, corrupt_grid, paired, prefix, quality, rank, stats, support
+from quillon.operators import aggregate, arms, cells, classify, cluster, corrupt, corrupt_grid, paired, prefix, quality, ranges, rank, stats, support
 from quillon.plans import retrieval
 from quillon.sources import io
 
@@ -237,6 +237,36 @@ def test_progressive_filter_reads_less(spark):
     assert none.collect() == [] and [s[2] for s in steps] == [2500, 25 * 49]
 
 
+def test_selection_and_running_sums_by_ranges(spark):
+    """A key of two thirds of all rows, ties, NULL keys and values; no task sorts more than a range."""
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else "cold", None if i % 97 == 0 else float(rng.integers(0, 900)) if i % 2 else 7.0, int(rng.integers(2))) for i in range(4000)] + [("one", 3.0, 1), ("none", None, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, label int").repartition(5)
+    per = df.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    cum = ranges.cumulated(per, ["k"], "v", ["n", "pos"], 16).collect()
+    for r in cum:
+        before = [x for x in rows if x[0] == r["k"] and x[1] is not None and x[1] < r["v"]]
+        assert (r["n_before"], r["pos_before"]) == (len(before), sum(x[2] for x in before))
+        assert r["n_total"] == sum(x[0] == r["k"] and x[1] is not None for x in rows)
+    assert len(cum) == per.count()
+    got = {r["k"]: r for r in aggregate.quantiles(df, ["k"], "v", 0.35).collect()}
+    whole = {r["k"]: r for r in aggregate.population(df, ["k"], "v", "label").collect()}
+    for k in ("hot", "cold", None, "one"):
+        v = sorted(x[1] for x in rows if x[0] == k and x[1] is not None)
+        at = (len(v) - 1) * 0.35
+        assert (got[k]["floored"], got[k]["rounded"]) == (v[int(at)], v[round(at)]) and got[k]["interpolated"] == pytest.approx(float(np.quantile(v, 0.35)))
+        assert whole[k]["median"] == pytest.approx(float(np.median(v)))
+    assert "none" not in got and whole["none"]["median"] is None
+    scored = df.where("v is not null").select("k", "label", F.col("v").alias("score"))
+    auc, ap = ({r["k"]: r[1] for r in f(scored, ["k"]).collect()} for f in (classify.roc_auc, classify.average_precision))
+    for k in ("hot", "cold", None):
+        pos, neg = ([x[1] for x in rows if x[0] == k and x[1] is not None and x[2] == y] for y in (1, 0))
+        assert auc[k] == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+        steps = sorted(set(pos + neg), reverse=True)
+        assert ap[k] == pytest.approx(sum(pos.count(s) / len(pos) * sum(p >= s for p in pos) / (sum(p >= s for p in pos) + sum(q >= s for q in neg)) for s in steps))
+    assert classify.roc_auc(scored.where("k = 'hot'").drop("k"), []).first()[0] == pytest.approx(auc["hot"])
+
+
 def test_impact_blocks_prune():
     """Memories that can't be among the best aren't scored, and the best are the same."""
     rng = np.random.default_rng(3)
