@@ -143,16 +143,16 @@ def global_recency_dense(pairs: DataFrame, gamma: float = 0.1, top_k: int = 100)
     return rank.top_k(rank.recency(pairs, gamma), top_k)
 
 
-def threshold_router(pairs: DataFrame, memories: DataFrame, *, theta: float = 0.8, top_l: int = 1, top_k: int = 100) -> DataFrame:
-    """ARM11."""
-    members = cluster.clusters(memories, lambda v: cluster.threshold_clusters(v, theta))
-    return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), members, top_l=top_l, theta=theta)), top_k)
+def threshold_router(pairs: DataFrame, memories: DataFrame, *, theta: float = 0.8, top_l: int = 1, top_k: int = 100, **sizes: int) -> DataFrame:
+    """ARM11. memories: those that clusters are formed of, none of them a query."""
+    found = cluster.clusters(memories, cluster.threshold_rule(theta), **sizes)
+    return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), found, top_l=top_l, theta=theta)), top_k)
 
 
-def cluster_router(pairs: DataFrame, memories: DataFrame, *, alpha: float = 1.0, beta: float = 1.0, gamma: float = 0.5, tau: float = 0.1, tau_new: float = 0.4, top_l: int = 1, top_k: int = 100) -> DataFrame:
-    """ARM12."""
-    members = cluster.clusters(memories, lambda v: cluster.size_aware_clusters(v, alpha=alpha, beta=beta, gamma=gamma, tau=tau, tau_new=tau_new))
-    return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), members, top_l=top_l, beta=beta, gamma=gamma, tau=tau)), top_k)
+def cluster_router(pairs: DataFrame, memories: DataFrame, *, alpha: float = 1.0, beta: float = 1.0, gamma: float = 0.5, tau: float = 0.1, tau_new: float = 0.4, top_l: int = 1, top_k: int = 100, **sizes: int) -> DataFrame:
+    """ARM12. memories: those that clusters are formed of, none of them a query."""
+    found = cluster.clusters(memories, cluster.size_aware_rule(alpha=alpha, beta=beta, gamma=gamma, tau=tau, tau_new=tau_new), **sizes)
+    return rank.top_k(rank.dense(cluster.route(pairs.where(support.in_namespace()), found, top_l=top_l, beta=beta, gamma=gamma, tau=tau)), top_k)
 
 
 def post_filters(ranked: DataFrame, depths: list[int], limit: int) -> DataFrame:

@@ -1,19 +1,45 @@
 """Cluster routers (RNK9-14). The clusters of a namespace are formed in insertion order, which no relational
-fold can express: one namespace is one group of applyInPandas, formed once and shared by all its queries."""
+fold can express: a namespace's vectors pass block by block, with what the clusters have come to as state, so a
+task holds one block and the clusters, not the namespace."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MEMBERS = "memory_namespace string, memory_id bigint, cluster int, members int, centroid array<double>"
+from quillon.functions.scalar import cosine
+from quillon.operators.support import numbered
+from quillon.sources import io
 
+STEP = "memory_namespace string, memory_id bigint, cluster int, members int, total array<double>"
+NAMES = ["memory_namespace", "memory_id", "cluster", "members", "total"]
 
-def _unit(v: np.ndarray) -> np.ndarray:
+
+class Clusters:
+    """Sums, sizes and directions of clusters, in the order in which they were begun."""
+
+    def __init__(self, dims: int, sums: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        self.sums = np.zeros((0, dims)) if sums is None else sums
+        self.sizes = np.zeros(0) if sizes is None else sizes.astype(float)
+        self.units = np.stack([unit(s) for s in self.sums]) if len(self.sums) else np.zeros((0, dims))
+
+    def add(self, v: np.ndarray, place: int) -> int:
+        """v joins the cluster at `place`, or begins one if that is -1; the cluster's place."""
+        if place < 0:
+            place = len(self.sums)
+            self.sums, self.sizes, self.units = np.vstack([self.sums, np.zeros_like(v)]), np.append(self.sizes, 0), np.vstack([self.units, np.zeros_like(v)])
+        self.sums[place] += v
+        self.sizes[place] += 1
+        self.units[place] = unit(self.sums[place])
+        return place
+
+
+def unit(v: np.ndarray) -> np.ndarray:
     """A zero vector has no direction and raises; one that isn't finite too."""
     n = np.linalg.norm(v)
     if not 0 < n < math.inf:
@@ -21,75 +47,89 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / n
 
 
-def threshold_clusters(vectors: np.ndarray, theta: float) -> list[int]:
+Rule = Callable[[Clusters, np.ndarray], int]
+
+
+def threshold_rule(theta: float) -> Rule:
     """RNK10: each vector joins the cluster of the best cosine if that is at least theta (ties: the older), else it leads a new one."""
-    sums: list[np.ndarray] = []
-    units = np.zeros((0, vectors.shape[1]))
-    out = []
-    for v in vectors:
-        cos = units @ _unit(v)
+
+    def place(held: Clusters, cos: np.ndarray) -> int:
         best = int(np.argmax(cos)) if len(cos) else -1
-        if best >= 0 and cos[best] >= theta:
-            sums[best] = sums[best] + v
-        else:
-            best = len(sums)
-            sums.append(v.copy())
-            units = np.vstack([units, np.zeros((1, vectors.shape[1]))])
-        units[best] = _unit(sums[best])
-        out.append(best)
-    return out
-
-
-def size_aware_clusters(vectors: np.ndarray, *, alpha: float, beta: float, gamma: float, tau: float, tau_new: float) -> list[int]:
+        return best if best >= 0 and cos[best] >= theta else -1
+
+    return place
+
+
+def size_aware_rule(*, alpha: float, beta: float, gamma: float, tau: float, tau_new: float) -> Rule:
     """RNK11: existing clusters score gamma ln(n + beta) + cos / tau, a new one ln alpha + (1 - max cos) / tau_new; it needs strictly more."""
-    sums: list[np.ndarray] = []
-    sizes: list[int] = []
-    units = np.zeros((0, vectors.shape[1]))
-    out = []
-    for v in vectors:
-        cos = units @ _unit(v)
-        best = -1
-        if len(cos):
-            old = gamma * np.log(np.array(sizes) + beta) + cos / tau
-            best = int(np.argmax(old))
-            if math.log(alpha) + (1 - cos.max()) / tau_new > old[best]:
-                best = -1
-        if best < 0:
-            best = len(sums)
-            sums.append(np.zeros(vectors.shape[1]))
-            sizes.append(0)
-            units = np.vstack([units, np.zeros((1, vectors.shape[1]))])
-        sums[best] = sums[best] + v
-        sizes[best] += 1
-        units[best] = _unit(sums[best])
-        out.append(best)
-    return out
-
-
-def clusters(memories: DataFrame, form) -> DataFrame:
-    """RNK9-11: cluster, its size and centroid of every memory, by namespace in (released_order, memory_id) order."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["released_order", "memory_id"], kind="stable")
-        vectors = np.stack(frame["m_embedding"].to_list())
-        own = np.array(form(vectors))
-        sums = np.stack([vectors[own == c].sum(axis=0) for c in range(own.max() + 1)])
-        centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        return pd.DataFrame({"memory_namespace": frame["memory_namespace"], "memory_id": frame["memory_id"], "cluster": own.astype("int32"), "members": np.bincount(own)[own].astype("int32"), "centroid": [centroids[c] for c in own]})
-
-    return memories.select("memory_namespace", "memory_id", "released_order", "m_embedding").groupBy("memory_namespace").applyInPandas(run, MEMBERS)
-
-
-def route(pairs: DataFrame, members: DataFrame, *, top_l: int, theta: float | None = None, beta: float = 1.0, gamma: float = 0.5, tau: float = 0.1) -> DataFrame:
-    """RNK12 (theta given: cosine at least theta, else the whole namespace) and RNK13: the pairs of the clusters chosen.
 
-    pairs: own-namespace pairs with q_embedding. Adds cluster, fallback_used and route_width.
+    def place(held: Clusters, cos: np.ndarray) -> int:
+        if not len(cos):
+            return -1
+        old = gamma * np.log(held.sizes + beta) + cos / tau
+        best = int(np.argmax(old))
+        return -1 if math.log(alpha) + (1 - cos.max()) / tau_new > old[best] else best
+
+    return place
+
+
+def formed(vectors: np.ndarray, rule: Rule, held: Clusters | None = None) -> tuple[list[int], Clusters]:
+    """The cluster of each vector, one after the other."""
+    held = held or Clusters(vectors.shape[1])
+    return [held.add(v, rule(held, held.units @ unit(v))) for v in vectors], held
+
+
+def _step(rule: Rule):
+    """A block of a namespace (memory_id, vector in order) beside its clusters so far: its members, and the clusters now."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        rows = left.sort_by("place") if left.num_rows else left
+        old = right.sort_by("cluster") if right.num_rows else right
+        space = (rows if rows.num_rows else old).column("memory_namespace")[0].as_py()
+        sums = np.stack(old.column("total").to_numpy()) if old.num_rows else None
+        vectors = np.stack(rows.column("m_embedding").to_numpy()).astype(float) if rows.num_rows else np.zeros((0, sums.shape[1]))
+        own, held = formed(vectors, rule, Clusters(vectors.shape[1], sums, old.column("members").to_numpy() if old.num_rows else None))
+        out += [(space, i, c, None, None) for i, c in zip(rows.column("memory_id").to_pylist(), own, strict=True)]
+        out += [(space, None, c, int(n), s.tolist()) for c, (n, s) in enumerate(zip(held.sizes, held.sums, strict=True))]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)], names=NAMES)
+
+    return run
+
+
+def clusters(memories: DataFrame, rule: Rule, block: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
+    """RNK9-11: members (memory_namespace, memory_id, cluster) and clusters (memory_namespace, cluster, members, total), by namespace in (released_order, memory_id) order.
+
+    A job for each `block` vectors of the largest namespace, all namespaces side by side.
     """
-    from quillon.functions.scalar import cosine
+    spark, work = memories.sparkSession, io.scratch(memories.sparkSession, "clusters")
+    rows = memories.select("memory_namespace", "memory_id", "released_order", "m_embedding")
+    placed = numbered(rows, ["memory_namespace"], F.floor(F.col("released_order") / (1 << 16)), ["released_order", "memory_id"], "place")
+    placed = placed.withColumn("block", ((F.col("place") - 1) / block).cast("int")).select("memory_namespace", "memory_id", "m_embedding", "place", "block")
+    placed.write.partitionBy("block").parquet(f"{work}/placed")
+    placed = spark.read.schema(placed.schema).parquet(f"{work}/placed")
+    state = spark.createDataFrame([], STEP)
+    blocks = sorted(r[0] for r in placed.select("block").distinct().collect())  # one number a block of the largest namespace
+    for b in blocks:
+        step = placed.where(F.col("block") == b).groupBy("memory_namespace").cogroup(state.groupBy("memory_namespace")).applyInArrow(_step(rule), STEP)
+        step.write.parquet(f"{work}/step{b}")
+        state = spark.read.schema(STEP).parquet(f"{work}/step{b}").where("memory_id is null")
+    if not blocks:
+        return state.select(*NAMES[:3]), state.select("memory_namespace", *NAMES[2:])
+    members = spark.read.schema(STEP).parquet(*[f"{work}/step{b}" for b in blocks]).where("memory_id is not null")
+    return members.select(*NAMES[:3]), state.select("memory_namespace", *NAMES[2:])
+
+
+def route(pairs: DataFrame, formed_: tuple[DataFrame, DataFrame], *, top_l: int, theta: float | None = None, beta: float = 1.0, gamma: float = 0.5, tau: float = 0.1) -> DataFrame:
+    """RNK12 (theta given: cosine at least theta, else the whole namespace) and RNK13: the pairs of the clusters chosen.
 
-    heads = members.groupBy("memory_namespace", "cluster").agg(F.first("members").alias("members"), F.first("centroid").alias("centroid"))
+    pairs: own-namespace pairs with q_embedding; those of memories that are in no cluster are left out. The
+    clusters must have been formed without the queries, as a query is no candidate of its own. Adds cluster,
+    fallback_used and route_width.
+    """
+    members, heads = formed_
     queries = pairs.select("query_id", "namespace", "q_embedding").dropDuplicates(["query_id"])
-    scored = queries.join(heads, F.col("namespace") == F.col("memory_namespace")).withColumn("cos", cosine(F.col("q_embedding"), F.col("centroid")))
+    scored = queries.join(heads, F.col("namespace") == F.col("memory_namespace")).withColumn("cos", cosine(F.col("q_embedding"), F.col("total")))
     if theta is None:
         scored = scored.withColumn("s", gamma * F.log(F.col("members") + beta) + F.col("cos") / tau)
     else:

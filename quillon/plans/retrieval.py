@@ -119,14 +119,40 @@ def rank_blocked_dense(spark, sf_dir):
     return _ranked(rank.top_k(found, TOP))
 
 
-@register("arm_threshold_router")
+def _router_sql(begins: str, place: str, score: str, least: str, top_l: int) -> str:
+    """Clusters formed one memory after the other by a recursive fold; `begins`: the memory at hand begins one; `place`: which it joins; then the clusters that a query takes."""
+    return f"""{MODEL.replace("WITH lab", "WITH RECURSIVE lab", 1)}, seq AS (SELECT ns, memory_id, emb, row_number() OVER (PARTITION BY ns ORDER BY released_order, memory_id) AS i FROM mem WHERE memory_id % 20 <> 0),
+f AS (SELECT DISTINCT ns, 0::BIGINT AS i, NULL::BIGINT AS memory_id, 0::BIGINT AS cluster, []::DOUBLE[][] AS sums, []::BIGINT[] AS sizes FROM seq
+UNION ALL SELECT ns, i, memory_id, CASE WHEN begins THEN len(sums) ELSE best - 1 END, CASE WHEN begins THEN list_append(sums, emb) ELSE list_transform(sums, lambda s, k: CASE WHEN k = best THEN list_transform(list_zip(s, emb), lambda z: z[1] + z[2]) ELSE s END) END, CASE WHEN begins THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda n, k: CASE WHEN k = best THEN n + 1 ELSE n END) END
+  FROM (SELECT *, len(sums) = 0 OR {begins} AS begins FROM (SELECT *, {place} AS best FROM (SELECT s.ns, s.i, s.memory_id, s.emb, sums, sizes, list_transform(sums, lambda x: list_cosine_similarity(x, s.emb)) AS cos FROM f JOIN seq s ON s.ns = f.ns AND s.i = f.i + 1)))),
+heads AS (SELECT ns, unnest(sums) AS total, unnest(sizes) AS members, unnest(range(len(sums))) AS cluster FROM (SELECT ns, arg_max(sums, i) AS sums, arg_max(sizes, i) AS sizes FROM f GROUP BY ns)),
+own AS (SELECT query_id, cluster, {score} AS s FROM (SELECT q.query_id, cluster, members, list_cosine_similarity(total, q_emb) AS cos FROM q JOIN heads ON ns = q_ns) WHERE {least}),
+chosen AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster) <= {top_l}), width AS (SELECT query_id, count(*) AS w FROM chosen GROUP BY ALL),
+kept AS (SELECT p.query_id, p.memory_id, score, f.cluster, w IS NULL AS fallback_used, coalesce(w, 1) AS route_width FROM pairs p JOIN f USING (memory_id) LEFT JOIN width USING (query_id) LEFT JOIN chosen c ON c.query_id = p.query_id AND c.cluster = f.cluster WHERE scope_ok AND (w IS NULL OR c.cluster IS NOT NULL)),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM kept)
+SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, CAST(cluster AS INT) AS cluster, fallback_used, CAST(route_width AS INT) AS route_width FROM y WHERE rank <= {TOP}"""
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Own-namespace pairs of the queries with the memories that aren't queries, of which the routers' clusters are formed."""
+    m = model.memories(spark, sf_dir).where("memory_id % 20 <> 0")
+    pairs = model.queries(spark, sf_dir).drop("q_label").join(model.candidates(spark, sf_dir).where("memory_id % 20 <> 0"), F.col("namespace") == F.col("memory_namespace"))
+    return pairs, m
+
+
+@register("arm_threshold_router", _router_sql("list_max(cos) < 0.2", "list_position(cos, list_max(cos))", "cos", "cos >= 0.2", 3))
 def arm_threshold_router(spark, sf_dir):
-    return arms.threshold_router(model.pairs(spark, sf_dir), model.memories(spark, sf_dir), theta=0.2, top_l=3, top_k=TOP).select("query_id", "memory_id", "rank", F.round("score", 6).alias("score"), "cluster", "fallback_used", "route_width")
+    pairs, m = _held_out(spark, sf_dir)
+    return arms.threshold_router(pairs, m, theta=0.2, top_l=3, top_k=TOP).select("query_id", "memory_id", "rank", F.round("score", 6).alias("score"), "cluster", "fallback_used", "route_width")
 
 
-@register("arm_cluster_router")
+_OLD = "list_transform(list_zip(sizes, cos), lambda z: 0.5 * ln(z[1] + 1) + z[2] / 0.1)"
+
+
+@register("arm_cluster_router", _router_sql(f"(1 - list_max(cos)) / 0.4 > list_max({_OLD})", f"list_position({_OLD}, list_max({_OLD}))", "0.5 * ln(members + 1) + cos / 0.1", "true", 1))
 def arm_cluster_router(spark, sf_dir):
-    return arms.cluster_router(model.pairs(spark, sf_dir), model.memories(spark, sf_dir), top_k=TOP).select("query_id", "memory_id", "rank", F.round("score", 6).alias("score"), "cluster", "fallback_used", "route_width")
+    pairs, m = _held_out(spark, sf_dir)
+    return arms.cluster_router(pairs, m, top_k=TOP).select("query_id", "memory_id", "rank", F.round("score", 6).alias("score"), "cluster", "fallback_used", "route_width")
 
 
 STATS = f"""{MODEL}, arms(arm) AS (VALUES {ARMS_SQL}),

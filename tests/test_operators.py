@@ -76,7 +76,7 @@ def test_routers(spark):
     pairs = m.selectExpr("9L AS query_id", "'a' AS namespace", "array(0D, 1D) AS q_embedding", "memory_id", "memory_namespace", "m_embedding")
     got = arms.threshold_router(pairs, m, theta=0.9, top_l=3).collect()
     assert {r["memory_id"] for r in got} == {1, 2} and all(r["fallback_used"] for r in got)
-    members = cluster.clusters(m, lambda v: cluster.size_aware_clusters(v, alpha=1, beta=1, gamma=0.5, tau=0.1, tau_new=0.4))
+    members, _ = cluster.clusters(m, cluster.size_aware_rule(alpha=1, beta=1, gamma=0.5, tau=0.1, tau_new=0.4))
     assert {(r["memory_id"], r["cluster"]) for r in members.collect()} == {(1, 0), (2, 0), (3, 0)}
 
 
@@ -267,6 +267,24 @@ def test_selection_and_running_sums_by_ranges(spark):
     assert classify.roc_auc(scored.where("k = 'hot'").drop("k"), []).first()[0] == pytest.approx(auc["hot"])
 
 
+def test_clusters_pass_on_their_state(spark):
+    """Blocks of 7 give the clusters of one pass over each namespace, and a query's own vector is in none."""
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 3 > 0], i, float((i * 37) % 200), [float(x) for x in rng.normal(0, 1, 3)]) for i in range(60)]
+    m = spark.createDataFrame(rows, "memory_namespace string, memory_id bigint, released_order double, m_embedding array<double>").repartition(4)
+    for rule in (cluster.threshold_rule(0.6), cluster.size_aware_rule(alpha=1.0, beta=1.0, gamma=0.5, tau=0.1, tau_new=0.4)):
+        members, heads = cluster.clusters(m, rule, block=7)
+        got, ends = {(r["memory_namespace"], r["memory_id"]): r["cluster"] for r in members.collect()}, {(r["memory_namespace"], r["cluster"]): r for r in heads.collect()}
+        for ns in "ab":
+            own = sorted((o, i, v) for n, i, o, v in rows if n == ns)
+            places, held = cluster.formed(np.array([v for *_, v in own]), rule)
+            assert [got[ns, i] for _, i, _ in own] == places and max(places) > 0
+            for c in range(len(held.sums)):
+                assert ends[ns, c]["members"] == places.count(c) and ends[ns, c]["total"] == pytest.approx(held.sums[c].tolist())
+        assert len(got) == 60
+    assert [x.collect() for x in cluster.clusters(m.limit(0), cluster.threshold_rule(0.5))] == [[], []]
+
+
 def test_impact_blocks_prune():
     """Memories that can't be among the best aren't scored, and the best are the same."""
     rng = np.random.default_rng(3)
@@ -485,7 +503,7 @@ def test_a_ranked_memory_without_an_assessment_raises(spark):
     with pytest.raises(ValueError, match="zero vector"):
         import numpy as np
 
-        cluster.threshold_clusters(np.zeros((2, 3)), 0.5)
+        cluster.formed(np.zeros((2, 3)), cluster.threshold_rule(0.5))
 
 
 def test_records_are_checked(spark):
