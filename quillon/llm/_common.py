@@ -36,15 +36,19 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+FILE_ROWS = 100_000  # of narrow tables whose size is known beforehand
+
+
 class Scratch:
     """A folder below the shared one for the tables of one call, which drop() deletes when its result is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, scratch(spark, name)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """df as a table; if it is known to have `most` rows at most, in no more files than these need."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        (df if most is None else df.coalesce(max(1, -(-most // FILE_ROWS)))).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

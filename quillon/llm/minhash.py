@@ -373,22 +373,23 @@ def components(links: DataFrame) -> DataFrame:
     """
     work = Scratch(links.sparkSession, "components")
     edges = work.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    moved = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
-    while not edges.isEmpty():
+    moved, n, n_moved = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0), edges.count(), 0
+    while n:
         # Every root that has a smaller neighbour hooks to the smallest one; chains of hooks are halved until none is left.
         hook = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         while True:
             onward = hook.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            halved = work.written(hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far")), "hook")
+            halved = work.written(hook.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("far")), "hook", n)
             hook = halved.select("id", "to")
             if halved.where("far").isEmpty():
                 break
-        end = hook.select(F.col("id").alias("component"), F.col("to").alias("end"))
-        moved = work.written(moved.join(end, "component", "left").select("id", F.coalesce("end", "component").alias("component")).unionByName(hook.withColumnRenamed("to", "component")), "moved")
+        end, n_moved = hook.select(F.col("id").alias("component"), F.col("to").alias("end")), n_moved + n
+        moved = work.written(moved.join(end, "component", "left").select("id", F.coalesce("end", "component").alias("component")).unionByName(hook.withColumnRenamed("to", "component")), "moved", n_moved)
         a = edges.join(end.withColumnRenamed("component", "a"), "a", "left").select(F.coalesce("end", "a").alias("a"), "b")
         ab = a.join(end.withColumnRenamed("component", "b"), "b", "left").select("a", F.coalesce("end", "b").alias("b"))
-        edges = work.written(ab.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    out = written(moved, "components")
+        edges = work.written(ab.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", n)
+        n = edges.count()
+    out = Scratch(links.sparkSession, "components").written(moved, "components", n_moved)
     work.drop()
     return out
 
