@@ -11,14 +11,16 @@ ends taken off, as sets: how often a stem repeats and how long the text is don't
 `n_stems` stems are chosen, by the signed roots of chi-squared from `least_z` up; of stems that extend one
 another only the one with the best score.
 
-Training takes a bounded sample: of the labelled rows those with the `sample` smallest hashes of
-identifier and text (default 6,000), gathered as stems on the driver; the fitted model has at most
-n_stems weights a category and goes to the tasks with the function. Scoring reads whole texts of all rows
-without a shuffle.
+Training takes a bounded sample: of the labelled identifiers those with the `sample` smallest hashes
+(default 6,000), whose texts are turned into their distinct words where they stand; the driver gets these and
+a hash of each text. The fitted model has at most n_stems weights a category and goes to the tasks with the
+function. Scoring reads whole texts of all rows without a shuffle.
 
 Defined results: null and empty texts have no stems and get the intercepts' probabilities; rows with a
 null label aren't trained on; a null identifier is scored but never trained on; rows that repeat pass
-through; an empty table gives an empty result; without labelled rows of both kinds a category's
+through, and of texts that share a labelled identifier each is trained on; a very long text counts by its
+distinct words, and words of more than 64 characters aren't remembered; other columns stay as they are,
+whatever their names; an empty table gives an empty result; without labelled rows of both kinds a category's
 probability is its training mean (0 without rows), and nothing is rejected.
 """
 
@@ -109,14 +111,13 @@ class Chain:
         return tuple([s for s in (x + " ", *[x[:n] for n in PREFIXES if len(x) >= n]) if s in self.weighted])
 
 
-def coded(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """The names of all stems, and each text's as sorted places among them."""
+def coded(texts: list[set[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Of texts as words: the names of all stems, and each text's as sorted places among them."""
     of_word: dict[str, int] = {}
     stem_id: dict[str, int] = {}
     table: list[list[int]] = []
     docs = []
-    for text in texts:
-        own = words(text)
+    for own in texts:
         for w in own:
             if w not in of_word:
                 of_word[w] = len(table)
@@ -175,10 +176,15 @@ def best_threshold(p: np.ndarray, y: np.ndarray, least: float) -> float:
     return max(least, (p[i] + p[i + 1]) / 2 if i + 1 < len(p) else p[i])
 
 
-def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], *, folds: int = 5, n_stems: int = 400, least: int = 5, least_z: float = 5.0, least_p: float = 0.2) -> Chain:
-    """labels: a column of 0 and 1 a category, in chain order. A text's hash gives its fold, so copies share one."""
+def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], **options) -> Chain:
+    """The chain of whole texts."""
+    return fit_words([words(t) for t in texts], [zlib.crc32(t.encode()) for t in texts], labels, categories, **options)
+
+
+def fit_words(texts: list[set[str]], marks: list[int], labels: np.ndarray, categories: list[str], *, folds: int = 5, n_stems: int = 400, least: int = 5, least_z: float = 5.0, least_p: float = 0.2) -> Chain:
+    """texts: as words; marks: hashes of the texts, which give their folds, so copies share one; labels: a column of 0 and 1 a category, in chain order."""
     (names, rows), chain = coded(texts), Chain(categories)
-    fold = np.array([zlib.crc32(t.encode()) % folds for t in texts], int)
+    fold = np.array([m % folds for m in marks], int)
     before = np.zeros((len(rows), 0))
     for k in range(len(categories)):
         y, out = labels[:, k], np.zeros(len(rows))
@@ -204,10 +210,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sam
     # The sample is fixed by identifiers before any text is read.
     named = named.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(sample)
     own = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = own.join(F.broadcast(named), "__id").select("__h", "__id", F.coalesce("__text", F.lit("")).alias("__text"), *[f"__{i}" for i in range(len(categories))])
-    found = rows.orderBy("__h", "__id", "__text").limit(sample).collect()
-    y = np.array([[r[f"__{i}"] for i in range(len(categories))] for r in found], int).reshape(len(found), len(categories))
-    return fit_chain([r["__text"] for r in found], y, list(categories), **options)
+    columns = [f"__{i}" for i in range(len(categories))]
+    rows = own.join(F.broadcast(named), "__id").select("__h", "__id", F.coalesce("__text", F.lit("")).alias("__text"), *columns)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text as its distinct words and a hash: no text leaves its task."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), *part.columns[3:]], names=["__h", "__id", "__mark", "__words", *columns])
+
+    schema = "__h bigint, __id bigint, __mark bigint, __words array<string>, " + ", ".join(f"{c} int" for c in columns)
+    found = rows.mapInArrow(told, schema).orderBy("__h", "__id", "__mark", "__words").limit(sample).collect()
+    y = np.array([[r[c] for c in columns] for r in found], int).reshape(len(found), len(categories))
+    return fit_words([set(r["__words"]) for r in found], [r["__mark"] for r in found], y, list(categories), **options)
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
