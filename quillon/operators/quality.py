@@ -63,6 +63,32 @@ def evidence(rows: DataFrame, **columns: Column | str) -> DataFrame:
     return rows.select(*[(F.lit(None) if k not in columns else F.lit(columns[k]) if isinstance(columns[k], str) else columns[k]).cast(kinds.get(k, "string")).alias(k) for k in EVIDENCE])
 
 
+def reader_effects(table: DataFrame, claim: str, reader: str, source: str, metrics: list[str]) -> DataFrame:
+    """EVD2-5: a published table (reader, source, n, and <metric>, <metric>_sd of each metric) as evidence rows: each reader's own rows by source, and its macro over exactly two sources; readers are never pooled.
+
+    A row's interval is the mean's at 1.96 standard errors; macros have none.
+    """
+    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate"), (1.96 * F.col(f"{m}_sd") / F.sqrt("n")).alias("half")) for m in metrics])).alias("x")
+    rows = table.select(reader, source, "n", parts).select(reader, source, "n", "x.*")
+    own = evidence(rows, claim_id=claim, family="reader", population=F.col(reader), source=F.col(source), metric=F.col("metric"), estimate=F.col("estimate"), ci95_lower=F.col("estimate") - F.col("half"), ci95_upper=F.col("estimate") + F.col("half"), n=F.col("n"), notes="readers_not_pooled")
+    macro = two_source_macro(rows, [reader, "metric"], source, "estimate")
+    return own.unionByName(evidence(macro, claim_id=claim, family="reader", population=F.col(reader), source="equal_source_macro", metric=F.col("metric"), estimate=F.col("estimate"), notes="readers_not_pooled"))
+
+
+def contrasts(evidence_rows: DataFrame, treated: str, base: str, source: str) -> DataFrame:
+    """EVD3: the difference of two populations by metric in one source, each looked up as exactly one row."""
+    sides = {k: evidence_rows.where((F.col("population") == p) & (F.col("source") == source)).groupBy("metric").agg(F.count("*").alias(f"n_{k}"), F.max("estimate").alias(k)) for k, p in (("t", treated), ("b", base))}
+    rows = sides["t"].join(sides["b"], "metric", "full")
+    single = (F.coalesce("n_t", F.lit(0)) == 1) & (F.coalesce("n_b", F.lit(0)) == 1)
+    return rows.select("metric", F.when(single, F.col("t") - F.col("b")).otherwise(F.raise_error(F.lit("not exactly one row a side")).cast("double")).alias("estimate"))
+
+
+def finite_mean(value: Column) -> Column:
+    """FN8: the mean, where a NULL or a number that isn't finite raises instead of being left out."""
+    good = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.avg(F.when(good, value.cast("double")).otherwise(F.raise_error(F.lit("a mean needs finite numbers")).cast("double")))
+
+
 def two_source_macro(rows: DataFrame, keys: list[str], source: str, value: str) -> DataFrame:
     """EVD2: the mean of exactly two sources."""
     return rows.groupBy(*keys).agg(F.when(F.countDistinct(source) == 2, F.avg(value)).otherwise(F.raise_error(F.lit("not exactly two sources")).cast("double")).alias(value))

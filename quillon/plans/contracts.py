@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import contracts, responses
+from quillon.operators import classify, contracts, paired, quality, responses
 from quillon.sources import io, model
 
 QUERIES, SQL = {}, {}
@@ -161,3 +161,59 @@ def checkpoint_import(spark, sf_dir):
     table.append(rows.where(key % 5 == 0).select("request_id", F.when(key % 3 == 0, F.col("payload")).otherwise(F.lit("other")).alias("payload"), F.lit("v3").alias("protocol"), F.lit("v3").alias("origin")), "base")
     first = table.import_from(source, "v3", ["v1", "v2"], "from-v2").withColumn("import", F.lit(1))
     return first.unionByName(table.import_from(source, "v3", ["v1", "v2"], "from-v2").withColumn("import", F.lit(2))).select("import", "status", "records", "requests")
+
+
+# --- SRC7, EVD2-5, NAT5 with CLS12
+
+
+@register("overlay_binding", """SELECT CASE WHEN s_suppkey % 10 = 3 THEN 'stale' ELSE 'bound' END AS binding, count(*) AS suppliers FROM supplier GROUP BY 1 UNION ALL SELECT 'unknown', count(*) FROM supplier WHERE s_suppkey % 9 = 2""")
+def overlay_binding(spark, sf_dir):
+    """SRC7: an overlay over suppliers; some rows were made for other bytes, some name suppliers that there aren't."""
+    rows, path = model.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), io.scratch(spark, "base")
+    rows.write.parquet(path)
+    digest, key = io.dataset_digest(spark, path), F.col("s_suppkey")
+    own = rows.crossJoin(F.broadcast(digest)).select("s_suppkey", F.when(key % 10 == 3, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("base_sha256"))
+    strange = rows.where(key % 9 == 2).crossJoin(F.broadcast(digest)).select((-key).alias("s_suppkey"), F.col("sha256").alias("base_sha256"))
+    return io.bound_overlay(own.unionByName(strange), rows, digest, "s_suppkey").groupBy("binding").agg(F.count("*").alias("suppliers"))
+
+
+_EFFECTS = """WITH t AS (SELECT 'reader ' || (l_suppkey % 3) AS reader, l_linestatus AS source, count(*) AS n, avg(l_discount) AS discount, stddev_samp(l_discount) AS discount_sd, avg(l_tax) AS tax, stddev_samp(l_tax) AS tax_sd FROM lineitem GROUP BY ALL),
+x AS (SELECT reader, source, n, 'discount' AS metric, discount AS e, 1.96 * discount_sd / sqrt(n) AS h FROM t UNION ALL SELECT reader, source, n, 'tax', tax, 1.96 * tax_sd / sqrt(n) FROM t),
+ev AS (SELECT reader AS population, source, metric, e AS estimate, e - h AS ci95_lower, e + h AS ci95_upper, n FROM x UNION ALL SELECT reader, 'equal_source_macro', metric, avg(e), NULL, NULL, NULL FROM x GROUP BY reader, metric)"""
+
+
+def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = model.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("reader "), (F.col("l_suppkey") % 3).cast("string")).alias("reader"), F.col("l_linestatus").alias("source"), "l_discount", "l_tax")
+    table = lines.groupBy("reader", "source").agg(F.count("*").alias("n"), *[c for m in ("discount", "tax") for c in (F.avg(f"l_{m}").alias(m), F.stddev_samp(f"l_{m}").alias(f"{m}_sd"))])
+    return quality.reader_effects(table, "readers", "reader", "source", ["discount", "tax"])
+
+
+@register("reader_evidence", f"{_EFFECTS} SELECT 'readers' AS claim_id, 'reader' AS family, population, source, CAST(NULL AS VARCHAR) AS contrast, metric, round(round(estimate, 10), 8) AS estimate, round(round(ci95_lower, 10), 8) AS ci95_lower, round(round(ci95_upper, 10), 8) AS ci95_upper, n, 'readers_not_pooled' AS notes FROM ev")
+def reader_evidence(spark, sf_dir):
+    """EVD2, EVD4, EVD5: two metrics of every reader (by supplier) by source (line status), and their macros."""
+    return _effects(spark, sf_dir).withColumns({c: F.round(F.round(c, 10), 8) for c in ("estimate", "ci95_lower", "ci95_upper")})
+
+
+@register("reader_contrasts", f"{_EFFECTS} SELECT a.metric, round(round(a.estimate - b.estimate, 10), 8) AS estimate FROM ev a JOIN ev b USING (metric, source) WHERE source = 'equal_source_macro' AND a.population = 'reader 0' AND b.population = 'reader 1'")
+def reader_contrasts(spark, sf_dir):
+    """EVD3, JOI10: two readers' macros, each exactly one row."""
+    return quality.contrasts(_effects(spark, sf_dir), "reader 0", "reader 1", "equal_source_macro").withColumn("estimate", F.round(F.round("estimate", 10), 8))
+
+
+@register("judged_sample", """WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), t AS (SELECT DISTINCT u.conv_id || '|' || u.turn AS case_id, u.conv_id, u.turn, u.text AS user, a.text AS assistant FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+s AS (SELECT case_id FROM (SELECT DISTINCT case_id FROM t) ORDER BY sha256('judge' || case_id) LIMIT 300), w AS (SELECT case_id FROM s UNION SELECT case_id FROM t WHERE turn >= 4),
+r AS (SELECT arm, case_id, assistant, CASE WHEN arm = 'global' THEN assistant ELSE concat(assistant, ' (as seen)') END AS answer FROM t JOIN w USING (case_id), (VALUES ('global'), ('namespace')) x(arm))
+SELECT arm, count(*) AS cases, count_if(length(answer) <= 20) AS refusals, CAST(sum(length(answer)) AS BIGINT) AS chars, count_if(substr(sha256(concat(case_id, answer)), 1, 1) < '8') AS correct FROM r GROUP BY arm""")
+def judged_sample(spark, sf_dir):
+    """NAT5, NAT12 over the judged sample (CLS12): the 300 cases of least salted hash and all late turns; the arms answer differently."""
+    c = model.table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    replies = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant"))
+    turns = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user")).join(replies, ["conv_id", "turn"]).distinct().withColumn("case_id", F.concat_ws("|", "conv_id", "turn"))
+    sample = classify.salted_sample(turns.select("case_id", "turn").distinct(), "case_id", 300, "judge", F.col("turn") >= 4).select("case_id").distinct()
+    told = turns.join(sample, "case_id", "left_semi").withColumn("arm", F.explode(F.array(F.lit("global"), F.lit("namespace"))))
+    told = told.withColumn("answer", F.when(F.col("arm") == "global", F.col("assistant")).otherwise(F.concat("assistant", F.lit(" (as seen)")))).withColumn("prompt_sha256", F.sha2(F.concat_ws("\0", "arm", "case_id", "user", "assistant"), 256))
+    answers = told.select("prompt_sha256", "answer", F.when(F.length("answer") > 20, "answer").otherwise("refuse").alias("action"))
+    digest = F.sha2("answer", 256)
+    verdicts = told.select("case_id", digest.alias("answer_sha256"), (F.substring(F.sha2(F.concat("case_id", "answer"), 256), 1, 1) < "8").alias("correct"), F.lit(0).alias("quality")).distinct()
+    rows = paired.judged_scores(told.select("case_id", "arm", "prompt_sha256"), answers, verdicts)
+    return rows.groupBy("arm").agg(F.count("*").alias("cases"), F.sum("over_refusal").cast("bigint").alias("refusals"), F.sum(F.length("answer")).alias("chars"), F.sum("correct").cast("bigint").alias("correct"))

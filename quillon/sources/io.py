@@ -120,3 +120,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 def manifest(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """SNK3: digests of the data files below a folder, and the table's row count."""
     return file_digests(spark, path).where(F.col("path").rlike(r"/part-[^/]*$")).withColumn("row_count", F.lit(rows).cast("bigint"))
+
+
+def dataset_digest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7: one row, sha256: a digest of a data set's files by content, whatever their names and order."""
+    files = file_digests(spark, path).where(F.col("path").rlike(r"/part-[^/]*$"))
+    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"))  # a digest a file
+
+
+def bound_overlay(overlay: DataFrame, base: DataFrame, digest: DataFrame, key: str) -> DataFrame:
+    """SRC7: overlay rows (key, base_sha256 and more) with `binding`: bound, stale (made for other bytes than the base has now), or unknown (the base lacks the key)."""
+    rows = overlay.crossJoin(F.broadcast(digest)).join(base.select(key).distinct().withColumn("__known", F.lit(True)), key, "left")  # one row
+    binding = F.when(~F.col("base_sha256").eqNullSafe(F.col("sha256")), "stale").when(F.col("__known").isNull(), "unknown").otherwise("bound")
+    return rows.withColumn("binding", binding).drop("__known", "sha256")

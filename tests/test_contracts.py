@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import contracts, responses
+from quillon.operators import contracts, quality, responses
+from quillon.sources import io
 
 V = {"policy": {"allowed": 1, "disallowed": 0, "unknown": 0}, "lifecycle": {"compatible": 0.5, "incompatible": 0.25, "unknown": 0.25}, "admissibility": {"admissible": 0.1, "inadmissible": 0.9, "unknown": 0.0}}
 
@@ -99,3 +100,34 @@ def test_imports_can_be_repeated(spark, tmp_path):
     assert second["incompatible"] == 1 and second["present"] == 3 and table.records().count() == 3
     other = table.import_from(source.withColumn("payload", F.lit("changed")), "v3", ["v1", "v2"], "two")
     assert {r["status"]: r["records"] for r in other.collect()}["conflict"] >= 3 and table.records().where("request_id IN ('1', '2')").count() == 2
+
+
+def test_reader_evidence_is_never_pooled(spark):
+    table = spark.createDataFrame([("r1", "a", 4, 0.5, 0.2), ("r1", "b", 1, 0.1, None), ("r2", "a", 9, 0.3, 0.3), ("r2", "b", 4, 0.4, 0.0)], "reader string, source string, n bigint, m double, m_sd double")
+    got = {(r["population"], r["source"]): (r["estimate"], r["ci95_lower"], r["n"]) for r in quality.reader_effects(table, "c", "reader", "source", ["m"]).collect()}
+    assert set(got) == {(r, s) for r in ("r1", "r2") for s in ("a", "b", "equal_source_macro")}
+    assert got["r1", "a"] == pytest.approx((0.5, 0.5 - 1.96 * 0.1, 4)) and got["r1", "b"] == (0.1, None, 1)
+    assert got["r1", "equal_source_macro"][0] == pytest.approx(0.3) and got["r2", "equal_source_macro"][0] == pytest.approx(0.35)
+    rows = quality.reader_effects(table, "c", "reader", "source", ["m"])
+    assert quality.contrasts(rows, "r1", "r2", "a").first()["estimate"] == pytest.approx(0.2)
+    with pytest.raises(Exception, match="exactly one row"):
+        quality.contrasts(rows.unionByName(rows.where("population = 'r1'")), "r1", "r2", "a").collect()
+    with pytest.raises(Exception, match="two sources"):
+        quality.reader_effects(table.where("source = 'a'"), "c", "reader", "source", ["m"]).collect()
+
+
+def test_overlays_are_bound_to_bytes(spark, tmp_path):
+    base, path = spark.createDataFrame([(1,), (2,)], "id bigint"), str(tmp_path / "base")
+    base.write.parquet(path)
+    digest = io.dataset_digest(spark, path)
+    sha = digest.first()["sha256"]
+    overlay = spark.createDataFrame([(1, sha), (2, "0" * 64), (3, sha), (None, None)], "id bigint, base_sha256 string")
+    assert {r["id"]: r["binding"] for r in io.bound_overlay(overlay, base, digest, "id").collect()} == {1: "bound", 2: "stale", 3: "unknown", None: "stale"}
+
+
+def test_finite_mean(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "a double, b double")
+    assert rows.agg(quality.finite_mean(F.col("a"))).first()[0] == 1.5
+    for c in ("b", "a / 0", "double('nan')"):
+        with pytest.raises(Exception):
+            rows.agg(quality.finite_mean(F.expr(c))).collect()
