@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -111,7 +111,7 @@ class Chain:
         return tuple([s for s in (x + " ", *[x[:n] for n in PREFIXES if len(x) >= n]) if s in self.weighted])
 
 
-def coded(texts: list[set[str]]) -> tuple[list[str], list[np.ndarray]]:
+def coded(texts: Iterable[set[str]]) -> tuple[list[str], list[np.ndarray]]:
     """Of texts as words: the names of all stems, and each text's as sorted places among them."""
     of_word: dict[str, int] = {}
     stem_id: dict[str, int] = {}
@@ -181,7 +181,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str], **opt
     return fit_words([words(t) for t in texts], [zlib.crc32(t.encode()) for t in texts], labels, categories, **options)
 
 
-def fit_words(texts: list[set[str]], marks: list[int], labels: np.ndarray, categories: list[str], *, folds: int = 5, n_stems: int = 400, least: int = 5, least_z: float = 5.0, least_p: float = 0.2) -> Chain:
+def fit_words(texts: Iterable[set[str]], marks: list[int], labels: np.ndarray, categories: list[str], *, folds: int = 5, n_stems: int = 400, least: int = 5, least_z: float = 5.0, least_p: float = 0.2) -> Chain:
     """texts: as words; marks: hashes of the texts, which give their folds, so copies share one; labels: a column of 0 and 1 a category, in chain order."""
     (names, rows), chain = coded(texts), Chain(categories)
     fold = np.array([m % folds for m in marks], int)
@@ -219,12 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, sam
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = part.column(2).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), *part.columns[3:]], names=["__h", "__id", "__mark", "__words", *columns])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array(["\n".join(sorted(words(t))) for t in texts]), *part.columns[3:]], names=["__h", "__id", "__mark", "__words", *columns])
 
-    schema = "__h bigint, __id bigint, __mark bigint, __words array<string>, " + ", ".join(f"{c} int" for c in columns)
+    schema = "__h bigint, __id bigint, __mark bigint, __words string, " + ", ".join(f"{c} int" for c in columns)
     found = rows.mapInArrow(told, schema).orderBy("__h", "__id", "__mark", "__words").limit(sample).collect()
     y = np.array([[r[c] for c in columns] for r in found], int).reshape(len(found), len(categories))
-    return fit_words([set(r["__words"]) for r in found], [r["__mark"] for r in found], y, list(categories), **options)
+    return fit_words((set(filter(None, r["__words"].split("\n"))) for r in found), [r["__mark"] for r in found], y, list(categories), **options)
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
