@@ -1,6 +1,13 @@
 """documents to packed training sequences: toxicity, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Defined results, of each stage on its own input: a null or empty text is clean, is one empty line, has no
+near-duplicate and is packed as its end token alone; rows that repeat an identifier are one document to line
+dedup and near-dedup, which keep or drop them together, and are scored and packed each; a null identifier
+matches nothing and stays; of equal lines or alike documents that of the smallest identifier stays; very long
+texts are read whole; columns beside doc_id, text, source and n_chars pass through, whatever their names; an
+empty table passes all stages and gives no piece.
 """
 
 from __future__ import annotations

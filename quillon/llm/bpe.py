@@ -10,7 +10,9 @@ Each task keeps a bounded memo of pieces; a miss runs the tree, so the memo neve
 ranks are read where the task runs, from the path that is given.
 
 Defined results: null and empty texts have no tokens; lone surrogates can't occur in Spark strings;
-null identifiers and repeated rows pass through; an empty table gives an empty result.
+null identifiers and repeated rows pass through; a very long text, or a single very long piece of one, costs
+n log n and is held once by its task; other columns aren't read, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

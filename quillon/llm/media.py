@@ -12,7 +12,8 @@ Images are handled one at a time, so memory is bounded by the largest one.
 `stored` puts the images in a binary column, and `described` computes all else from that column alone.
 
 Defined results: null and empty texts are 64 bytes 0; equal texts give equal values in all columns; null
-identifiers and repeated rows pass through; an empty table gives an empty result.
+identifiers and repeated rows pass through; a very long text is one image of as many rows as it takes, held
+once by its task; other columns aren't read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

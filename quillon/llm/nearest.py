@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import Scratch
+from quillon.llm._common import Scratch, written
 from quillon.llm._vectors import dimension, matrix, usable
 
 PAIRS = "query_id bigint, place int, vec_id bigint, score double"
@@ -147,7 +147,7 @@ def _dealt(n: int, *by: str) -> Column:
 
 
 def search(vectors: DataFrame, asked: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cell_bytes: int = 1 << 26) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of each row for which `asked` (on column vec_id) holds."""
+    """query_id, rank, vec_id and score of the k nearest of each row for which `asked` (on column vec_id) holds, written to the shared folder."""
     spark = vectors.sparkSession
     rows = usable(vectors, vector_col, vec_id=F.col(id_col).cast("bigint")).where(F.col("vec_id").isNotNull())
     rows = rows.withColumn("vector", F.transform("vector", lambda c: c + F.lit(0.0))).where(F.exists("vector", lambda c: c != 0))  # -0.0 equals 0.0
@@ -164,4 +164,6 @@ def search(vectors: DataFrame, asked: Column, *, k: int = 10, id_col: str = "vec
     right = candidates.withColumn("slice", _dealt(slices, "vec_id", "vector")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = left.groupBy("grp", "slice").cogroup(right.groupBy("grp", "slice")).applyInArrow(_cell(k, dims), PAIRS)
     lists = found.repartition("query_id", "place").sortWithinPartitions("query_id", "place")
-    return lists.mapInArrow(_heaps(k), "query_id bigint, rank int, vec_id bigint, score double")
+    out = written(lists.mapInArrow(_heaps(k), "query_id bigint, rank int, vec_id bigint, score double"), "neighbours")
+    work.drop()
+    return out

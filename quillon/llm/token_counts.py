@@ -11,8 +11,9 @@ and the number of documents before it the running sum of their counts. The scan
 `roll_tokens` bounds a file.
 
 Defined results: null and empty texts have 0 tokens; null identifiers and repeated rows get a row each;
-ids after the last separator of a file belong to no document, and are reported by `unended`; an empty
-table gives an empty result.
+ids after the last separator of a file belong to no document, and are reported by `unended`; a very long
+text spans as many blocks as it takes; other columns aren't read, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ the others revisit it; smaller payloads are all responses.
 
 Defined results: a null html is an empty payload; a null page sorts first and is never referred to while
 an equal payload has a page; rows that repeat the page which is the response are responses too; a null URL
-is written as about:blank; an empty table gives no files and an empty result.
+is written as about:blank; a very long html is one record, held once by the task that writes it, and may
+make a file larger than `roll_bytes`; other columns aren't read, whatever their names; an empty table gives
+no files and an empty result.
 """
 
 from __future__ import annotations

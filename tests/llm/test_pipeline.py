@@ -1,10 +1,16 @@
 """Each stage against its own input, by brute force."""
 
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import __spark_entry__
 import corpus_pipeline
 from quillon.llm import toxicity
-from quillon.llm.queries import CATEGORIES
+from quillon.llm.queries import CATEGORIES, WORD_TOKENIZER
 from tests.llm.test_minhash import brute
+from tests.llm.test_operators import key
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,14 +30,39 @@ def test_stages(spark, tmp_path):
     chain = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), CATEGORIES)
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in first if chain.score(r["text"])[-1] < chain.threshold}
     assert all(r["n_chars"] == len(r["text"]) for r in lines) and {r["doc_id"] for r in lines} == {r["doc_id"] for r in clean}
+    owner = {}
+    for r in clean:
+        for k in {key(x) for x in r["text"].split("\n")}:
+            owner.setdefault(k, set()).add(r["doc_id"])
+    kept = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if len(key(x)) < 10 or len(owner[key(x)]) < 2 or min(owner[key(x)]) == r["doc_id"]) for r in clean}
+    assert {r["doc_id"]: r["text"] for r in lines} == kept
     keep = {i for i, _, _, kept in brute([(r["doc_id"], r["text"]) for r in before], 5, 80) if kept}
     assert {r["doc_id"] for r in unique} == keep
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in last}
+    words, of = Tokenizer.from_file(WORD_TOKENIZER), {}
+    for r in pieces:
+        of.setdefault(r["doc_id"], []).append(r)
+    for r in last:
+        ids, at = np.array([*words.encode(r["text"], add_special_tokens=False).ids, 2], "<u4"), 0
+        for piece in sorted(of[r["doc_id"]], key=lambda p: p["start"]):
+            assert (piece["start"], piece["doc_tokens"]) == (at, len(ids))
+            at += piece["length"]
+            assert zlib.crc32(ids[piece["start"] : at].tobytes()) == piece["ids_crc32"]
+        assert at == len(ids)
+    places = {}
+    for r in pieces:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 4096
 
 
 def test_registered():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in queries} and "pipeline" in queries
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in queries} and "pipeline" in queries
     assert set(sql) <= set(queries) and "pipeline" not in sql
 
 
