@@ -74,3 +74,12 @@ def test_routers_need_no_row_a_pair(spark):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
     one, other = (f.select(*keys) for f in (arms.pooled_cluster_router(q, rest, top_l=2, top_k=9), arms.cluster_router(pairs, rest, top_l=2, top_k=9)))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_cells_stay_few_as_both_sides_grow():
+    from quillon.operators import cells
+
+    for least, most in ((256, 4096), (1 << 14, 1 << 16)):
+        assert [cells._parts(n, least, most) for n in (0, 1, least, 2 * least)] == [1, 1, 1, 2]
+        assert cells._parts(rank.CELLS * most, least, most) == rank.CELLS  # before: n / least
+        assert cells._parts(100 * most, least, most) == 100
