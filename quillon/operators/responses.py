@@ -1,16 +1,19 @@
 """Strict parsing of JSON responses (FN12-14, SRC9, SRC11): shapes as data, bad rows routed apart with a reason.
 
-A response is parsed once into a VARIANT; a shape tells which keys an object has (no more, no fewer), which
+A response is read once, in batches; a shape tells which keys an object has (no more, no fewer), which
 labels a probability vector has and to what it must sum, and that an array answers a request's keys one by
-one and in their order. Nothing raises on a bad row: it gets the reason of the first check that it fails.
+one and in their order. Nothing raises on a bad row: it gets the reason of the first check that it fails. What
+was one JSON value goes on as a VARIANT.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
-from functools import reduce
+from itertools import repeat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,80 +76,96 @@ def entries(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def same_keys(row: Column, names: list[str]) -> Column:
-    """FN12: the map has exactly these keys; NULL counts as no."""
-    return F.coalesce(F.array_sort(F.map_keys(row)) == F.array(*map(F.lit, sorted(names))), F.lit(False))
-
-
 def number(value: Column) -> Column:
     """The number in a VARIANT; NULL for what isn't one, strings and booleans too."""
     return F.when(F.schema_of_variant(value).rlike(NUMBERS), F.try_variant_get(value, "$", "double"))
 
 
-def _numbers(row: Column, shape: Vector) -> Column:
-    return F.array(*[number(row[label]) for label in shape.labels])
+def _refused(numbers: object, labels: tuple[str, ...], tolerance: float) -> str | None:
+    """The reason against a vector, or None."""
+    if type(numbers) is not dict or len(numbers) != len(labels):
+        return "labels"
+    total = 0.0
+    for p in map(numbers.get, labels, repeat(_once)):
+        if type(p) is float or type(p) is int:
+            total += p if 0 <= p <= 1 else math.inf
+        else:
+            total = math.inf
+    if -tolerance <= total - 1 <= tolerance:
+        return None
+    return "labels" if numbers.keys() != set(labels) else "probability" if total == math.inf else "sum"
 
 
-def _vector(named: Column, numbers: Column, tolerance: float) -> Column:
-    """The reason against a vector, of which is known whether its labels are right, and its numbers; or NULL."""
-    bad = F.exists(numbers, lambda p: p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
-    total = F.aggregate(numbers, F.lit(0.0), lambda a, p: a + p)
-    return F.when(~named, F.lit("labels")).when(bad, F.lit("probability")).when(F.abs(total - 1) > tolerance, F.lit("sum"))
+def _answers_refused(items: object, shape: Answers, keys: list[str | None], tolerance: float) -> str | None:
+    """The reason against the answers to the keys: that of the first item that has one."""
+    if not isinstance(items, list):
+        return "array"
+    if len(items) != len(keys):
+        return "count"
+    names, vectors = {shape.key, *shape.fields}, [(field, v.labels) for field, v in shape.fields.items()]
+    for item, key in zip(items, keys, strict=True):
+        if type(item) is not dict or item.keys() != names:
+            return "fields"
+        if (item[shape.key] if type(item[shape.key]) is str else None) != key:
+            return "order"
+        for field, labels in vectors:
+            if why := _refused(item[field], labels, tolerance):
+                return why
+    return None
 
 
-def examined(rows: DataFrame, shape: dict[str, Vector | Answers], tolerance: float = 1e-4) -> DataFrame:
-    """FN14: rows (value, a VARIANT, and keys) with `reason`: why the value doesn't answer a request for the keys; NULL if it does.
+def _named(shape: dict[str, Vector | Answers], count: int) -> int:
+    """How many keys a right response to `count` requested keys has."""
+    return len(shape) + sum(len(x.labels) if isinstance(x, Vector) else count * (1 + sum(1 + len(v.labels) for v in x.fields.values())) for x in shape.values())
 
-    Every step of taking the value apart is a column of its own, so that nothing is taken apart twice.
-    """
-    out, extra, checks = rows.withColumn("__row", entries(F.col("value"))), ["__row"], [F.when(F.col("value").isNull(), F.lit("json")), F.when(~same_keys(F.col("__row"), list(shape)), F.lit("fields"))]
 
-    def step(name: str, value: Column) -> Column:
-        nonlocal out
-        out = out.withColumn(name, value)
-        extra.append(name)
-        return F.col(name)
+def _once(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key is repeated")
+    return found
 
-    for i, (name, x) in enumerate(shape.items()):
-        if isinstance(x, Vector):
-            continue
-        items = step(f"__items{i}", F.try_variant_get(F.col("__row")[name], "$", "array<variant>"))
-        own = step(f"__own{i}", F.transform(items, entries))
-        checks += [F.when(items.isNull(), F.lit("array")), F.when(F.size(items) != F.size("keys"), F.lit("count"))]
-        key = step(f"__key{i}", F.transform(own, _string(x.key)))
-        reasons = [step(f"__fields{i}", F.transform(own, _lacking([x.key, *x.fields]))), step(f"__order{i}", F.zip_with(key, "keys", lambda a, b: F.when(~a.eqNullSafe(b), F.lit("order"))))]
-        for j, (field, vector) in enumerate(x.fields.items()):
-            maps = step(f"__map{i}_{j}", F.transform(own, _field(field)))
-            named = step(f"__named{i}_{j}", F.transform(maps, _named(vector)))
-            numbers = step(f"__numbers{i}_{j}", F.transform(maps, _values(vector)))
-            reasons.append(step(f"__why{i}_{j}", F.zip_with(named, numbers, lambda a, b: _vector(a, b, tolerance))))
-        first = reduce(lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, q)), reasons)
-        checks.append(F.get(F.array_compact(step(f"__first{i}", first)), F.lit(0)))
-    for i, (name, x) in enumerate(shape.items()):
-        if isinstance(x, Vector):
-            own = step(f"__vector{i}", entries(F.col("__row")[name]))
-            checks.append(_vector(same_keys(own, list(x.labels)), step(f"__values{i}", _numbers(own, x)), tolerance))
-    return out.withColumn("reason", F.coalesce(*checks)).drop(*extra)
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
 
 
-def _string(key: str):
-    return lambda m: F.when(F.schema_of_variant(m[key]) == "STRING", F.try_variant_get(m[key], "$", "string"))
+PLAIN, STRICT = json.JSONDecoder(parse_constant=_no_number), json.JSONDecoder(object_pairs_hook=_once, parse_constant=_no_number)
 
 
-def _lacking(names: list[str]):
-    return lambda m: F.when(~same_keys(m, names), F.lit("fields"))
+def _reason(value: object, keys: list[str | None], shape: dict[str, Vector | Answers], tolerance: float) -> str | None:
+    if not isinstance(value, dict) or value.keys() != shape.keys():
+        return "fields"
+    for name, x in shape.items():
+        if isinstance(x, Answers) and (why := _answers_refused(value[name], x, keys, tolerance)):
+            return why
+    for name, x in shape.items():
+        if isinstance(x, Vector) and (why := _refused(value[name], x.labels, tolerance)):
+            return why
+    return None
 
 
-def _field(name: str):
-    return lambda m: entries(m[name])
+def refused(text: str, keys: list[str | None], shape: dict[str, Vector | Answers], tolerance: float = 1e-4) -> str | None:
+    """FN14: why the text doesn't answer a request for the keys; None if it does. Answers are checked before vectors.
+
+    A right response with a colon a key repeats none; any other is read again by a reader that refuses repeated keys.
+    """
+    try:
+        why = _reason(PLAIN.decode(text), keys, shape, tolerance)
+        if why is not None or text.count(":") != _named(shape, len(keys)):
+            STRICT.decode(text)
+    except (ValueError, RecursionError):
+        return "json"
+    return why
 
 
-def _named(shape: Vector):
-    return lambda m: same_keys(m, list(shape.labels))
+def examined(response: Column, keys: Column, shape: dict[str, Vector | Answers], tolerance: float = 1e-4) -> Column:
+    """FN14: `refused` of a text and its request's keys, in batches; a text is taken apart once."""
 
+    @F.pandas_udf("string")
+    def why(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([refused(t.decode("utf-8", "replace"), list(k), shape, tolerance) for t, k in zip(texts, asked, strict=True)], dtype=object)
 
-def _values(shape: Vector):
-    return lambda m: _numbers(m, shape)
+    return why(response.cast("binary"), keys)
 
 
 def bound(responses: DataFrame, requests: DataFrame, shape: dict[str, Vector | Answers], *, tolerance: float = 1e-4) -> DataFrame:
@@ -156,11 +175,13 @@ def bound(responses: DataFrame, requests: DataFrame, shape: dict[str, Vector | A
     is refused as `duplicate`, whatever the answers; others are `missing` or `unknown`. The rows are a written
     table, for good and bad ones are read apart, and a filter on the reason would repeat its steps.
     """
-    once = responses.groupBy("request_id").agg(F.count("*").alias("n"), F.min("response").alias("response"))
+    once = responses.repartition("request_id").groupBy("request_id").agg(F.count("*").alias("n"), F.min("response").alias("response"))
     asked = requests.select("request_id", "keys", F.lit(True).alias("asked"))
-    rows = examined(asked.join(once, "request_id", "full").withColumn("value", strict_json(F.col("response"))), shape, tolerance)
-    why = F.when(F.col("asked").isNull(), F.lit("unknown")).when(F.col("n").isNull(), F.lit("missing")).when(F.col("n") > 1, F.lit("duplicate")).otherwise(F.col("reason"))
-    out = rows.select("request_id", why.alias("reason"), "value", "keys")
+    rows = asked.join(once, "request_id", "full").withColumn("text", F.coalesce("response", F.lit("")))
+    rows = rows.withColumn("why", examined(F.col("text"), F.coalesce("keys", F.array().cast("array<string>")), shape, tolerance))
+    reason = F.when(F.col("asked").isNull(), F.lit("unknown")).when(F.col("n").isNull(), F.lit("missing")).when(F.col("n") > 1, F.lit("duplicate")).otherwise(F.col("why"))
+    value = F.when(~F.col("why").eqNullSafe("json"), F.try_parse_json("text"))  # one JSON value, as the check has read it
+    out = rows.select("request_id", reason.alias("reason"), value.alias("value"), "keys")
     out.write.parquet(path := io.scratch(out.sparkSession, "responses"))
     return out.sparkSession.read.schema(out.schema).parquet(path)
 

@@ -131,3 +131,18 @@ def test_finite_mean(spark):
     for c in ("b", "a / 0", "double('nan')"):
         with pytest.raises(Exception):
             rows.agg(quality.finite_mean(F.expr(c))).collect()
+
+
+def test_responses_are_read_once_and_strictly(spark):
+    """Before, a text was taken apart by some fifty VARIANT expressions, and requests were made of the responses' items."""
+    shape, keys = responses.VERIFIER, ["c01", "c02"]
+    assert responses.refused(GOOD, keys, shape) is None
+    vector = '{"current_state":0.7,"history":0.2,"unknown":0.1}'
+    odd = {vector[:-1] + ',"unknown":0.1}': "json", '{"current_state":0.7,"history":0.2,"unknown":true}': "probability", '{"current_state":0.7,"history":0.2,"unknown":1e999}': "probability", '{"current_state":0.7,"history":0.2,"unknown":NaN}': "json", '{"current_state":0.7,"history":0.2,":":0.1}': "labels", "null": "labels", '{"current_state":1,"history":0,"unknown":-0}': None}
+    for text, reason in odd.items():
+        whole = json.dumps({"query_intent": 0, "candidates": json.loads(GOOD)["candidates"]}).replace('"query_intent": 0', f'"query_intent": {text}')
+        assert (text, responses.refused(whole, keys, shape)) == (text, reason)
+    from quillon.plans import contracts as plans
+
+    requests, _ = plans._asked(spark, "/root/testdata/sf0.001")
+    assert "admissibility" not in requests._jdf.queryExecution().optimizedPlan().toString()
