@@ -83,3 +83,19 @@ def test_cells_stay_few_as_both_sides_grow():
         assert [cells._parts(n, least, most) for n in (0, 1, least, 2 * least)] == [1, 1, 1, 2]
         assert cells._parts(rank.CELLS * most, least, most) == rank.CELLS  # before: n / least
         assert cells._parts(100 * most, least, most) == 100
+
+
+def test_masks_are_counted_by_kind_and_level():
+    """Before, every pair of a cell went through the masks of every channel."""
+    from quillon.operators import corrupt_grid as g
+    from quillon.operators.corrupt import CHANNELS
+
+    grid, rng, n = g.Grid(["namespace_dense", "released_governance_oracle_v2"], list(CHANNELS), [0.0, 0.2, 0.6], [1, 4], ["a", "b"]), np.random.default_rng(3), 400
+    flags = {f: rng.random(n) < 0.5 for f in g.FLAGS}
+    drawn = rng.integers(0, 4, (n, len(grid.pairs), 2)).astype(np.uint8)
+    m = g.Rows(**flags, levels=np.zeros((n, len(grid.records), 2), np.uint8), alternates=np.zeros((n, 2), np.uint8), pair_levels=drawn)
+    for q in (g.Query(grid, "s", 20, "a", "current_state"), g.Query(grid, "s", 40, "b", "history")):
+        for channel in (*grid.pairs, "query_intent_flip"):
+            rows = np.flatnonzero(rng.random(n) < 0.9)
+            assert (g._counted(grid, q, m, rows, channel) == g._counts(grid, q, m.take(rows), channel)).all()
+    assert len(set(g.draws(3, "c", "f", [b"x", b"y"] * 700).tolist())) == 2
