@@ -6,6 +6,8 @@ lifecycle_ok (nullable booleans). One window sum and one aggregate a scorer.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ from quillon.functions.scalar import rate
 from quillon.functions.status import admissible_status, usable_status
 
 
+ROWS = 1 << 18  # ranked rows of a task
+
+
+def tasks(rankings: DataFrame) -> int:
+    """How many tasks score written rankings: as many as hold ROWS each, where Spark would join shuffled rows up to a size in bytes, packed."""
+    return max(1, ceil(rankings.count() / ROWS))
+
+
+def _dealt(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows if parts is None else rows.repartition(parts, "setting_id", "query_id")
+
+
 def _count(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
@@ -46,16 +60,18 @@ def assessed(rankings: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("rank", checked).drop("__known")
 
 
-def score_route(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float, anchors: DataFrame | None = None) -> DataFrame:
+def score_route(rankings: DataFrame, labels: DataFrame | None, runs: DataFrame, target: float, anchors: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """SCO4: a row for each of `runs` (setting_id, source, group_id, query_id, candidates_scored, route_width).
 
     labels: a row for each of a query's candidates; of the ranked ones only, if anchors (query_id,
-    anchor_total over all candidates) are given. No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
+    anchor_total over all candidates) are given; None, if the rankings have them beside them. `parts`: the tasks
+    that the ranked rows are dealt to. No anchors: recall, feasible and matched metrics are NULL. Infeasible: matched metrics are NULL. Target 0:
     an empty prefix, whose rates are NULL.
     """
     if anchors is None:
         anchors = labelled(labels).groupBy("query_id").agg(_count(F.col("usable")).alias("anchor_total"))
-    rows = labelled(assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)).join(anchors, "query_id")
+    beside = rankings if labels is None else assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)
+    rows = _dealt(labelled(beside).join(anchors, "query_id"), parts)
     rows = matched(rows, ["setting_id", "query_id"], F.col("usable"), target)
     inside, rel, adm = F.col("inside"), F.col("relevant"), F.col("admissible")
     n = F.count_if(inside)
@@ -118,12 +134,12 @@ def score_matched_recall(rankings: DataFrame, statuses: DataFrame, runs: DataFra
     )
 
 
-def score_fixed_route(route: DataFrame, cases: DataFrame, target: float) -> DataFrame:
+def score_fixed_route(route: DataFrame, cases: DataFrame, target: float, parts: int | None = None) -> DataFrame:
     """SCO6-7: a filtered frozen ranking. Risk over the prefix (empty: 0), exposure rates over the whole route (empty: 0).
 
     route: setting_id, query_id, memory_id, rank, anchor, scope_ok, policy_ok, lifecycle_ok; cases: setting_id, query_id, anchor_total >= 1.
     """
-    rows = matched(route.join(cases, ["setting_id", "query_id"]), ["setting_id", "query_id"], F.col("anchor"), target)
+    rows = matched(_dealt(route.join(cases, ["setting_id", "query_id"]), parts), ["setting_id", "query_id"], F.col("anchor"), target)
     rows = rows.withColumn("admissible", admissible_status(F.col("scope_ok"), F.col("policy_ok"), F.col("lifecycle_ok")))
     inside, adm, n = F.col("inside"), F.col("admissible"), F.count("*")
     per = rows.groupBy("setting_id", "query_id").agg(
@@ -141,13 +157,14 @@ def score_fixed_route(route: DataFrame, cases: DataFrame, target: float) -> Data
     )
 
 
-def scope_diagnostics(rankings: DataFrame, labels: DataFrame, runs: DataFrame, target: float) -> DataFrame:
+def scope_diagnostics(rankings: DataFrame, labels: DataFrame | None, runs: DataFrame, target: float, parts: int | None = None) -> DataFrame:
     """SCO8-9: of each run the share of wrong scope among all returned rows, and in the matched prefix (NULL where infeasible); nothing returned: 0 and NULL.
 
-    runs: setting_id, query_id, anchor_total (> 0).
+    runs: setting_id, query_id, anchor_total (> 0); labels, parts: as for score_route.
     """
-    ranked = rankings.select("setting_id", "query_id", "memory_id", "rank").join(runs.select("setting_id", "query_id", "anchor_total"), ["setting_id", "query_id"])
-    rows = matched(labelled(assessed(ranked, labels)), ["setting_id", "query_id"], F.col("usable"), target)
+    beside = rankings if labels is None else assessed(rankings.select("setting_id", "query_id", "memory_id", "rank"), labels)
+    ranked = _dealt(labelled(beside).join(runs.select("setting_id", "query_id", "anchor_total"), ["setting_id", "query_id"]), parts)
+    rows = matched(ranked, ["setting_id", "query_id"], F.col("usable"), target)
     wrong, inside = ~F.col("scope_ok"), F.col("inside")
     per = rows.groupBy("setting_id", "query_id").agg(F.count("*").alias("returned"), rate(_count(wrong), F.count("*")).alias("returned_wrong_scope_rate"), rate(_count(inside & wrong), F.count_if(inside)).alias("matched_wrong_scope_rate"))
     out = runs.select("setting_id", "query_id").join(per, ["setting_id", "query_id"], "left")
