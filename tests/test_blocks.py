@@ -99,3 +99,48 @@ def test_masks_are_counted_by_kind_and_level():
             rows = np.flatnonzero(rng.random(n) < 0.9)
             assert (g._counted(grid, q, m, rows, channel) == g._counts(grid, q, m.take(rows), channel)).all()
     assert len(set(g.draws(3, "c", "f", [b"x", b"y"] * 700).tolist())) == 2
+
+
+def test_rankings_of_cells_grow_in_tasks(spark, monkeypatch):
+    """Before, Spark joined the cells' rows to tasks by packed bytes, and the ranking moved them by arm and query."""
+    monkeypatch.setattr(rank, "FEW", 40)
+    q, m = _sides(spark, 240, 60)
+    found = rank.blocked_dense(q, m, 2, slice_rows=30)  # 8 slices pass on 2 memories a query each
+    ranked = rank.top_k(found, 2)
+    assert found.rdd.getNumPartitions() == ranked.rdd.getNumPartitions() == 60 * 8 * 2 // 40
+    pairs = q.select("query_id", "q_embedding").join(m.select("memory_id", "m_embedding"), F.col("query_id") != F.col("memory_id"))
+    assert _rows(ranked) == _rows(rank.top_k(rank.dense(pairs), 2))
+
+
+def test_copies_for_cells_grow_in_tasks(spark, monkeypatch):
+    """Before, a task of the scan made all copies of its rows, and held them until its shuffle was written."""
+    monkeypatch.setattr(rank, "COPIES", 100)
+    q, m = _sides(spark, 240, 60)
+    assert rank._spread(m, "memory_id", 100) is m
+    assert rank._spread(m, "memory_id", 240 * 4 + 1).rdd.getNumPartitions() == 10
+    dealt = rank.top_k(rank.blocked_dense(q, m, 2, block=15, slice_rows=30), 2)
+    pairs = q.select("query_id", "q_embedding").join(m.select("memory_id", "m_embedding"), F.col("query_id") != F.col("memory_id"))
+    assert _rows(dealt) == _rows(rank.top_k(rank.dense(pairs), 2))
+
+
+def test_scored_rows_have_labels_beside_and_tasks_by_number(spark, monkeypatch):
+    """Before, labels were made for the distinct pairs and joined a second time, and tasks followed packed bytes."""
+    import pytest
+
+    from quillon.operators import arms, prefix
+    from quillon.plans import retrieval
+    from quillon.sources import model
+
+    path, names = "/root/testdata/sf0.001", ["global_dense", "namespace_dense"]
+    ranked = retrieval._frozen(spark, path, names, 20)
+    beside = model.assessed(spark, path, ranked)
+    joined = prefix.assessed(ranked, model.assessments(spark, path, ranked)).select(beside.columns)
+    assert sorted(map(str, beside.collect())) == sorted(map(str, joined.collect()))
+    monkeypatch.setattr(prefix, "ROWS", ranked.count() // 4)
+    parts, runs = prefix.tasks(ranked), arms.pooled_stats(model.queries(spark, path), model.candidates(spark, path), names)
+    assert parts in (4, 5) and prefix._dealt(beside, parts).rdd.getNumPartitions() == parts
+    one, other = (prefix.score_route(*x, runs, 0.2, model.anchors(spark, path), n) for x, n in (((beside, None), parts), ((ranked, model.assessments(spark, path, ranked)), None)))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.select(one.columns).collect()))
+    unknown = spark.createDataFrame([("a", 0, -1, 1)], "setting_id string, query_id bigint, memory_id bigint, rank int")
+    with pytest.raises(Exception, match="no assessment"):
+        model.assessed(spark, path, unknown).collect()
