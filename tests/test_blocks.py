@@ -144,3 +144,39 @@ def test_scored_rows_have_labels_beside_and_tasks_by_number(spark, monkeypatch):
     unknown = spark.createDataFrame([("a", 0, -1, 1)], "setting_id string, query_id bigint, memory_id bigint, rank int")
     with pytest.raises(Exception, match="no assessment"):
         model.assessed(spark, path, unknown).collect()
+
+
+def test_letting_in_is_hashed_without_python_in_dealt_cells(spark, monkeypatch):
+    """Before, a Python loop hashed the pairs of a cell, whose number followed the queries alone."""
+    from quillon.operators import corrupt_grid as g
+
+    rates, seeds, n = [0.0, 0.02, 0.5], [0, 7], 300
+    m = spark.range(n).select(F.col("id").alias("memory_id"), F.when(F.col("id") % 7 < 4, "en").otherwise("fr").alias("memory_namespace"))
+    q = m.where("memory_id % 20 = 0").select(F.lit("s1").alias("source"), F.col("memory_id").alias("query_id"), F.col("memory_namespace").alias("namespace"))
+    spaces, ids = ["en" if i % 7 < 4 else "fr" for i in range(n)], [r["query_id"] for r in q.collect()]
+
+    def found(memories):
+        return g.let_in(q, memories, rates, seeds, [F.col("source"), F.col("query_id").cast("string")], ["gate"], "c")
+
+    def expected(i, s, r):
+        names = [f"{j}\0gate".encode() for j in range(n) if spaces[j] != spaces[i]]
+        return int((g.draws(s, "c", f"s1\0{i}", names) < r).sum())
+
+    assert [g._side(*x, 1 << 16) for x in ((1, 20), (513, 10_256), (30_769, 615_384), (307_690, 6_153_840))] == [1, 4, 32, 94]
+    wanted = {(str(s), r, i): expected(i, s, r) for s in seeds for r in rates for i in ids}
+    for pairs in (1 << 18, 100):  # one cell, 36 cells
+        monkeypatch.setattr(g, "PAIRS", pairs)
+        got = found(m)
+        assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "InArrow" not in plan
+        assert {(r["seed"], r["rate"], r["query_id"]): r["outside"] for r in got.collect()} == wanted
+    alone = found(m.where("memory_namespace = 'en'")).where("outside = 0").select("query_id").distinct().collect()
+    assert {r["query_id"] for r in alone} >= {i for i in ids if spaces[i] == "en"}  # none is left out
+
+
+def test_bounds_of_draws_are_those_of_doubles():
+    from quillon.operators import corrupt_grid as g
+
+    for rate in (0.02, 0.05, 0.1, 0.3, 0.5, 1 / 3, 1e-19):
+        first = int(g._below(rate), 16)
+        assert not first / 2.0**64 < rate and (first - 1) / 2.0**64 < rate
+    assert g._below(0.0) == "0" * 16 and g._below(1.5) == "g"
