@@ -180,3 +180,19 @@ def test_bounds_of_draws_are_those_of_doubles():
         first = int(g._below(rate), 16)
         assert not first / 2.0**64 < rate and (first - 1) / 2.0**64 < rate
     assert g._below(0.0) == "0" * 16 and g._below(1.5) == "g"
+
+
+def test_swaps_are_drawn_once_for_all_rates(spark):
+    """Before, every rate drew its swaps again."""
+    from quillon.operators import corrupt, corrupt_grid as g
+
+    rates, seeds = [0.0, 0.1, 0.5], [0, 3]
+    m = spark.range(60).select(F.lit("s0").alias("source"), F.col("id").alias("memory_id"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("memory_namespace"))
+    words = m.agg(F.array_sort(F.collect_set("memory_namespace")).alias("vocabulary"))
+    found = g.swapped(m, words, rates, seeds)
+    assert found.count() == 60 * len(seeds)
+    got = {(rate, r["seed"], r["memory_id"], r["other"] if r["level"] <= i else r["memory_namespace"]) for r in found.collect() for i, rate in enumerate(rates)}
+    fields = {"lifecycle_state": "string", "content_allowed": "boolean", "trace_allowed": "boolean", "query_id": "bigint", "namespace": "string", "intent": "string"}
+    pairs = m.withColumns({c: F.lit(None).cast(t) for c, t in fields.items()})
+    whole = corrupt.corrupt(pairs, corrupt.grid(spark, ["namespace_swap"], rates, seeds), words)
+    assert got == {(r["rate"], r["seed"], r["memory_id"], r["memory_namespace"]) for r in whole.collect()}
