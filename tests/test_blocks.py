@@ -196,3 +196,15 @@ def test_swaps_are_drawn_once_for_all_rates(spark):
     pairs = m.withColumns({c: F.lit(None).cast(t) for c, t in fields.items()})
     whole = corrupt.corrupt(pairs, corrupt.grid(spark, ["namespace_swap"], rates, seeds), words)
     assert got == {(r["rate"], r["seed"], r["memory_id"], r["memory_namespace"]) for r in whole.collect()}
+
+
+def test_no_name_of_a_module_is_defined_twice():
+    """Before, let_in's _side took the place of the cells' _side, and every corruption query failed."""
+    import ast
+    from pathlib import Path
+
+    import quillon
+
+    for path in Path(quillon.__file__).parent.rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef)) and not n.decorator_list]
+        assert len(names) == len(set(names)), path
