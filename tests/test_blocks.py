@@ -208,3 +208,72 @@ def test_no_name_of_a_module_is_defined_twice():
     for path in Path(quillon.__file__).parent.rglob("*.py"):
         names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef)) and not n.decorator_list]
         assert len(names) == len(set(names)), path
+
+
+def test_products_score_only_what_they_leave_open():
+    """Before, a query's scores were summed by postings, with each impact at its own mean length, for every memory of every cell."""
+    import pyarrow as pa
+
+    from quillon.operators import cells
+
+    rng, n = np.random.default_rng(6), 400
+    docs = [[f"w{x}" for x in np.unique(np.minimum(rng.zipf(1.3, int(rng.integers(0, 40))), 900))] for _ in range(n)]
+    docs[30:60], docs[61], docs[62] = [docs[3]] * 30, [], ["alone"]
+    tf = [rng.integers(1, 6, len(d)).tolist() for d in docs]
+    tf[30:60] = [tf[3]] * 30
+    right = pa.table({"terms": docs, "tf": pa.array(tf, pa.list_(pa.int32())), "dl": [sum(x) for x in tf]})
+    asked = [*docs[:99], ["w1", "unheard"], ["unheard"]]
+    left = pa.table({"terms": pa.array(asked, pa.list_(pa.string())), "idf": pa.array([rng.random(len(d)).tolist() for d in asked], pa.list_(pa.float64())), "avgdl": rng.uniform(30, 33, len(asked))})
+    ids, whole, products, seen = np.arange(n), cells.Bm25(left, right), cells.Products(left, right), []
+    assert 0 < len(products.impacts) < 100 and len(products.doc)
+    some = products.some
+    products.some = lambda i, at: (seen.append(len(at)), some(i, at))[1]
+    for i in range(len(asked)):
+        scores, others = whole.scores(i), ids != i
+        at, found = products.pruned(i, 20)
+        assert np.allclose(scores[at], found, rtol=0, atol=1.1e-9)
+        best = [j for j in sorted(range(n), key=lambda j: (-scores[j], j))[:20] if scores[j] > 0]
+        assert [j for _, j in sorted(zip(-found, at, strict=True))][:20] == best
+        stated = rng.choice(n, 30, replace=False)
+        known = some(i, stated)
+        want = cells._Cell.better(whole, i, known, stated, ids, others)
+        assert (products.better(i, known, stated, ids, others) == want).all()
+        assert (want == [sum(others[j] and (scores[j] > v + 1e-9 or (abs(scores[j] - v) <= 1e-9 and j < t)) for j in range(n)) for v, t in zip(known, stated, strict=True)]).all()
+    assert sum(seen) < len(seen) * n / 2
+
+
+def test_lexical_ranking_by_products(spark, monkeypatch):
+    from quillon.operators import cells
+    from tests.test_operators import _best, _corpus
+
+    queries, memories, pairs = _corpus(spark)
+    lexical = rank.bm25(queries.select("query_id", "text"), memories.select("memory_id", "text"), pairs.select("query_id", "memory_id")).withColumn("score", F.round("score", 9)).cache()
+    monkeypatch.setattr(cells, "ASKED", 0)
+    words = cells.bm25_corpus(queries, memories.withColumn("text", F.when(F.col("text") != "", F.col("text"))), group=13, slice_rows=50)
+    assert _best(cells.ranked(words, memories, 30)) == _best(rank.top_k(lexical, 30))
+    assert _best(cells.fused(words, cells.dense_corpus(queries, memories), memories, 7)) == _best(rank.top_k(rank.rrf(lexical, rank.dense(pairs)), 7))
+
+
+def test_memories_move_once_for_many_queries(spark):
+    """Before, 30,769 queries met an index of 615,384 texts in 8 groups, and vectors in 16."""
+    from quillon.operators import cells
+
+    for kind in (cells.Bm25, cells.Dense):
+        corpus = cells.Corpus.__new__(cells.Corpus)
+        cells.Corpus.__init__(corpus, *(spark.createDataFrame([], f"{x}_id bigint, " + ", ".join(f"{c} int" for c in of)) for x, of in (("query", kind.left), ("memory", kind.right))), None, kind)
+        groups, slices = (cells._parts(x, *size) for x, size in zip((30_769, 615_384), corpus.sizes, strict=True))
+        assert groups == 2 and slices >= 16
+
+
+def test_texts_are_dealt_by_number(spark, monkeypatch):
+    """Before, the texts that have vectors stayed in those few tasks of the scan that had read them."""
+    from quillon.operators import cells
+
+    monkeypatch.setattr(cells, "TEXTS", 10)
+    counted = cells._counted
+    monkeypatch.setattr(cells, "_counted", lambda batches: counted(batches))
+    kept, written = [], cells.io.written
+    monkeypatch.setattr(cells.io, "written", lambda df, path: (kept.append(df.rdd.getNumPartitions()), written(df, path))[1])
+    texts = spark.range(95).coalesce(1).select(F.col("id").alias("memory_id"), F.lit("a b a").alias("text"))
+    cells.bm25_corpus(texts.where("memory_id < 5").select(F.col("memory_id").alias("query_id")), texts)
+    assert kept[0] == 10
